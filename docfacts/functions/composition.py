@@ -1,12 +1,9 @@
-"""Chemical compositions as ``map<element, amount>`` columns."""
+"""Chemical compositions as ``map<string, double>`` of element to amount."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, functions as F
-
 from docfacts.functions.numbers import compensated_sum, double_text, fixed_decimals
+from docfacts.functions.sql import each, each_value, fresh, let, literal, only
 from docfacts.functions.text import SPACE, strip
 
 # Standard atomic weights in g/mol of the elements that weight percent is converted for.
@@ -29,284 +26,222 @@ RATIO_NUMBER = r"-?\d*\.?\d+(?:e[+-]?\d+)?"
 # "El 20at%" or "El = 20at%" as whole blank-separated words.
 PAIR = r"(?<![^ ])([A-Z][a-z]?) (?:= )?(-?\d*\.?\d+(?:[eE][+-]?\d+)?)([a-zA-Z%]*+)(?![^ ])"
 
-MAP_TYPE = "map<string,double>"
-PARSED_TYPE = f"struct<amounts:{MAP_TYPE},unit:string>"
+WEIGHTS = "map(" + ", ".join(f"'{element}', {weight}D" for element, weight in ATOMIC_WEIGHTS.items()) + ")"
+EMPTY = "cast(map() as map<string,double>)"
+
 
+def clean_text(text: str) -> str:
+    """Separators to blanks, full-width signs and long dashes to ASCII, blanks collapsed."""
+    ascii_signs = f"translate({text}, ',;|＝：–—', '   =:--')"
+    return strip(f"regexp_replace({ascii_signs}, {literal(f'[{SPACE}]+')}, ' ')")
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def _find_all(text: str, pattern: str, group: int) -> str:
+    return f"regexp_extract_all({text}, {literal(pattern)}, {group})"
 
-def clean_text(text: Column) -> Column:
-    """Separators to blanks, full-width signs and long dashes to ASCII, blanks collapsed."""
-    ascii_signs = F.translate(text, ",;|＝：–—", "   =:--")
-    return strip(F.regexp_replace(ascii_signs, rf"[{SPACE}]+", " "))
+
+def _numbers(texts: str, otherwise: str = "null") -> str:
+    return each(texts, lambda n: f"coalesce(try_cast({n} as double), {otherwise})")
 
 
-def _sum_by_key(keys: Column, values: Column) -> Column:
+def _sum_by_key(keys: str, values: str) -> str:
     """Map of key to summed value; the scan for repeats runs only if there are any."""
 
-    def merged(distinct: Column) -> Column:
-        pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-        sums = F.transform(
-            distinct,
-            lambda key: F.aggregate(
-                pairs, F.lit(0.0), lambda acc, p: acc + F.when(p["k"] == key, p["v"]).otherwise(F.lit(0.0))
-            ),
+    def sum_of(key: str) -> str:
+        # Sum and position run along the two arrays together.
+        a, x, r = fresh(), fresh(), fresh()
+        return (
+            f"aggregate({values}, named_struct('i', 0, 's', 0D),"
+            f" ({a}, {x}) -> named_struct('i', {a}.i + 1, 's', if({keys}[{a}.i] = {key}, {a}.s + {x}, {a}.s)),"
+            f" {r} -> {r}.s)"
         )
-        return F.map_from_arrays(distinct, sums)
 
     return let(
-        F.array_distinct(keys),
-        lambda distinct: F.when(F.size(distinct) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(
-            merged(distinct)
-        ),
+        f"array_distinct({keys})",
+        lambda distinct: f"if(size({distinct}) = size({keys}), map_from_arrays({keys}, {values}),"
+        f" map_from_arrays({distinct}, {each(distinct, sum_of)}))",
     )
 
 
-def parse_formula(text: Column) -> Column:
+def parse_formula(text: str) -> str:
     """``Al0.25NbTi`` to a map; a missing or unreadable amount is 1, repeats are summed."""
-    spaced = F.translate(text, "%", " ")
-    elements = F.regexp_extract_all(spaced, F.lit(FORMULA_TERM), F.lit(1))
-    written = F.regexp_extract_all(spaced, F.lit(FORMULA_TERM), F.lit(2))
-    parts = let(
-        F.struct(
-            elements.alias("k"),
-            F.transform(written, lambda n: F.coalesce(n.try_cast("double"), F.lit(1.0))).alias("v"),
-        ),
-        lambda p: F.when(F.size(p["k"]) > 0, _sum_by_key(p["k"], p["v"])),
-    )
-    return F.when(F.length(text) > 0, parts)
 
+    def amounts(t: str) -> str:
+        found = (
+            f"named_struct('k', {_find_all(t, FORMULA_TERM, 1)},"
+            f" 'v', {_numbers(_find_all(t, FORMULA_TERM, 2), '1D')})"
+        )
+        return let(found, lambda p: f"if(size({p}.k) > 0, {_sum_by_key(f'{p}.k', f'{p}.v')}, null)")
+
+    return let(f"translate({text}, '%', ' ')", amounts)
 
-def parse_ratio_form(text: Column) -> Column:
+
+def parse_ratio_form(text: str) -> str:
     """``Al:Nb:Ti=1:1:2`` to a map; null unless both sides have the same number of entries."""
-    left = clean_text(F.substring_index(text, "=", 1))
-    right = clean_text(F.substr(text, F.locate("=", text) + F.lit(1)))
-    elements = F.regexp_extract_all(left, F.lit(ELEMENT), F.lit(0))
-    amounts = F.transform(
-        F.regexp_extract_all(right, F.lit(RATIO_NUMBER), F.lit(0)), lambda n: n.try_cast("double")
-    )
 
-    def last_wins(p: Column) -> Column:
+    def last_wins(p: str) -> str:
+        def last_value(key: str) -> str:
+            return f"{p}.v[size({p}.k) - cast(array_position(reverse({p}.k), {key}) as int)]"
+
         return let(
-            F.array_distinct(p["k"]),
-            lambda distinct: F.when(
-                F.size(distinct) == F.size(p["k"]), F.map_from_arrays(p["k"], p["v"])
-            ).otherwise(
-                F.map_from_arrays(
-                    distinct,
-                    F.transform(
-                        distinct,
-                        lambda key: F.element_at(
-                            p["v"], F.size(p["k"]) + 1 - F.array_position(F.reverse(p["k"]), key).cast("int")
-                        ),
-                    ),
-                )
-            ),
+            f"array_distinct({p}.k)",
+            lambda distinct: f"if(size({distinct}) = size({p}.k), map_from_arrays({p}.k, {p}.v),"
+            f" map_from_arrays({distinct}, {each(distinct, last_value)}))",
         )
 
-    parts = let(
-        F.struct(elements.alias("k"), amounts.alias("v")),
-        lambda p: F.when((F.size(p["k"]) > 0) & (F.size(p["k"]) == F.size(p["v"])), last_wins(p)),
-    )
-    return F.when(F.contains(text, F.lit("=")), parts)
+    left = clean_text(f"substring_index({text}, '=', 1)")
+    right = clean_text(f"substr({text}, instr({text}, '=') + 1)")
+    found = f"named_struct('k', {_find_all(left, ELEMENT, 0)}, 'v', {_numbers(_find_all(right, RATIO_NUMBER, 0))})"
+    parts = let(found, lambda p: f"if(size({p}.k) > 0 and size({p}.k) = size({p}.v), {last_wins(p)}, null)")
+    return f"if(contains({text}, '='), {parts}, null)"
 
 
-def parse_pairs(text: Column) -> Column:
-    """``Al 20at.% Nb 80at.%`` to ``struct(amounts, unit)``; null if there is no pair.
+def parse_pairs(text: str) -> str:
+    """``Al 20at.% Nb 80at.%`` to ``struct<amounts, unit>``; null if there is no pair.
 
     The unit counts only when glued to the number; the first unit seen holds for the row.
     """
-    glued = F.regexp_replace(text, r"(at|wt)\. ?%", "$1%")
-    words = F.regexp_replace(glued, rf"[,{SPACE}]+", " ")
-    found = F.struct(
-        F.regexp_extract_all(words, F.lit(PAIR), F.lit(1)).alias("k"),
-        F.transform(
-            F.regexp_extract_all(words, F.lit(PAIR), F.lit(2)), lambda n: n.try_cast("double")
-        ).alias("v"),
-        F.filter(
-            F.transform(F.regexp_extract_all(words, F.lit(PAIR), F.lit(3)), lambda u: F.lower(u)),
-            lambda u: F.contains(u, F.lit("wt")) | F.contains(u, F.lit("at")),
-        ).alias("u"),
-    )
-
-    def build(p: Column) -> Column:
-        first = F.get(p["u"], F.lit(0))
-        unit = F.when(F.contains(first, F.lit("wt")), F.lit("wt")).when(first.isNotNull(), F.lit("at"))
-        return F.when(
-            F.size(p["k"]) > 0,
-            F.struct(_sum_by_key(p["k"], p["v"]).alias("amounts"), unit.alias("unit")),
+    glued = f"regexp_replace({text}, {literal('(at|wt)[.] ?%')}, '$1%')"
+    words = f"regexp_replace({glued}, {literal(f'[,{SPACE}]+')}, ' ')"
+
+    def build(p: str) -> str:
+        stated = only(f"{p}.u", lambda u: f"contains({u}, 'wt') or contains({u}, 'at')")
+        unit = let(
+            f"get({stated}, 0)",
+            lambda first: f"case when contains({first}, 'wt') then 'wt' when {first} is not null then 'at' end",
         )
+        amounts = _sum_by_key(f"{p}.k", f"{p}.v")
+        return f"if(size({p}.k) > 0, named_struct('amounts', {amounts}, 'unit', {unit}), null)"
 
-    # A pair needs two words, so the regex is skipped for texts without any separator.
-    return F.when(F.rlike(text, F.lit(rf"[,{SPACE}]")), let(found, build))
+    def find(w: str) -> str:
+        units = each(_find_all(w, PAIR, 3), lambda u: f"lower({u})")
+        found = f"named_struct('k', {_find_all(w, PAIR, 1)}, 'v', {_numbers(_find_all(w, PAIR, 2))}, 'u', {units})"
+        return let(found, build)
 
+    # A pair needs two words, so the search is skipped for texts without any separator.
+    return f"if(rlike({text}, {literal(f'[,{SPACE}]')}), {let(words, find)}, null)"
 
-def parse_composition(text: Column) -> Column:
-    """Any spelling to ``struct(amounts, unit)``: ratio form, then pairs, then formula."""
-    no_unit = F.lit(None).cast("string")
 
-    def from_ratio(cleaned: Column) -> Column:
-        return let(
-            parse_ratio_form(cleaned),
-            lambda m: F.when(m.isNotNull(), F.struct(m.alias("amounts"), no_unit.alias("unit"))),
-        )
+def parse_composition(text: str) -> str:
+    """Any spelling to ``struct<amounts, unit>``: ratio form, then pairs, then formula."""
 
-    def from_formula(cleaned: Column) -> Column:
-        def with_unit(m: Column) -> Column:
-            # Amounts that add up to 100 are read as atomic percent.
-            is_percent = F.abs(compensated_sum(F.map_values(m)) - F.lit(100.0)) < F.lit(1e-3)
-            unit = F.when(is_percent, F.lit("at"))
-            return F.when(m.isNotNull(), F.struct(m.alias("amounts"), unit.alias("unit")))
+    def with_unit(unit: str):
+        return lambda m: f"if({m} is not null, named_struct('amounts', {m}, 'unit', {unit.format(m=m)}), null)"
 
-        return let(parse_formula(cleaned), with_unit)
-
-    return let(
-        clean_text(text),
-        lambda cleaned: F.when(
-            F.length(cleaned) > 0,
-            F.coalesce(from_ratio(cleaned), parse_pairs(cleaned), from_formula(cleaned)),
-        ),
-    )
+    # Amounts of a formula that add up to 100 are read as atomic percent.
+    is_percent = f"abs({compensated_sum('map_values({m})')} - 100D) < 1e-3D"
 
+    def any_form(t: str) -> str:
+        ratio = let(parse_ratio_form(t), with_unit("cast(null as string)"))
+        formula = let(parse_formula(t), with_unit(f"if({is_percent}, 'at', null)"))
+        return f"if(length({t}) > 0, coalesce({ratio}, {parse_pairs(t)}, {formula}), null)"
 
-def _weights() -> Column:
-    return F.create_map(*[F.lit(x) for pair in ATOMIC_WEIGHTS.items() for x in pair])
+    return let(clean_text(text), any_form)
 
 
-def composition_total(amounts: Column) -> Column:
-    return compensated_sum(F.map_values(amounts))
+def composition_total(amounts: str) -> str:
+    return compensated_sum(f"map_values({amounts})")
 
 
-def weight_to_mole(amounts: Column) -> Column:
+def weight_to_mole(amounts: str) -> str:
     """Weight shares divided by atomic weight; an unknown element keeps its value."""
-    return F.transform_values(
-        amounts, lambda element, w: w / F.coalesce(F.try_element_at(_weights(), element), F.lit(1.0))
-    )
-
+    k, w = fresh(), fresh()
+    return f"transform_values({amounts}, ({k}, {w}) -> {w} / coalesce(try_element_at({WEIGHTS}, {k}), 1D))"
 
-def normalize_composition(amounts: Column, unit: Column, assume_weight_if_ambiguous: bool = False) -> Column:
-    """Amounts to mole fractions that add up to 1; null where the total does not allow it."""
-
-    def share(m: Column, total: Column) -> Column:
-        return F.transform_values(m, lambda _, v: v / total)
-
-    def from_weight(m: Column) -> Column:
-        return let(
-            weight_to_mole(m),
-            lambda moles: let(
-                composition_total(moles), lambda total: F.when(~(total <= 0), share(moles, total))
-            ),
-        )
-
-    def from_amounts(m: Column, total: Column) -> Column:
-        usable = ((total > 0) & ~F.isnan(total)) | ((unit == "at") & (total != 0))
-        return F.when(usable, share(m, total))
 
-    by_weight = F.coalesce(unit == "wt", F.lit(False))
+def _shares(amounts: str, usable: str) -> str:
+    """Values divided by their total where the condition on ``{total}`` holds."""
+    return let(
+        composition_total(amounts),
+        lambda total: f"if({usable.format(total=total)}, {each_value(amounts, lambda v: f'{v} / {total}')}, null)",
+    )
 
-    def convert(total: Column) -> Column:
-        weight = by_weight
-        if assume_weight_if_ambiguous:
-            weight = weight | (unit.isNull() & (F.abs(total - F.lit(100.0)) < F.lit(1e-1)))
-        return F.when(weight, from_weight(amounts)).otherwise(from_amounts(amounts, total))
 
-    return F.when(amounts.isNotNull(), let(composition_total(amounts), convert))
+def normalize_composition(amounts: str, unit: str, assume_weight_if_ambiguous: bool = False) -> str:
+    """Amounts to mole fractions that add up to 1; null where the total does not allow it."""
+    by_weight = f"{unit} <=> 'wt'"
+    if assume_weight_if_ambiguous:
+        by_weight += f" or ({unit} is null and abs({composition_total(amounts)} - 100D) < 1e-1D)"
+    usable = f"({{total}} > 0D and not isnan({{total}})) or ({unit} <=> 'at' and {{total}} <> 0D)"
+    from_weight = let(weight_to_mole(amounts), lambda moles: _shares(moles, "not ({total} <= 0D)"))
+    return f"if({amounts} is null, null, if({by_weight}, {from_weight}, {_shares(amounts, usable)}))"
 
 
-def infer_from_name(name: Column) -> Column:
+def infer_from_name(name: str) -> str:
     """Mole fractions read from an alloy name such as ``AlNbTi0.5MoV``."""
 
-    def fractions(m: Column) -> Column:
-        all_one = F.forall(F.map_values(m), lambda v: F.abs(v - F.lit(1.0)) <= F.lit(1e-9))
-        amounts = F.transform_values(m, lambda _, v: F.when(all_one, F.lit(1.0)).otherwise(v))
-        return let(
-            amounts,
-            lambda a: let(
-                composition_total(a),
-                lambda total: F.when(~(total <= 0), F.transform_values(a, lambda _, v: v / total)),
-            ),
-        )
+    def fractions(m: str) -> str:
+        v = fresh()
+        # All amounts about 1 count as exactly 1.
+        equal = f"forall(map_values({m}), {v} -> abs({v} - 1D) <= 1e-9D)"
+        amounts = f"if({equal}, {each_value(m, lambda _: '1D')}, {m})"
+        return let(amounts, lambda a: _shares(a, "not ({total} <= 0D)"))
 
     return let(parse_formula(clean_text(name)), fractions)
 
 
-def element_order(name: Column) -> Column:
+def element_order(name: str) -> str:
     """Element symbols of a name in order, repeats kept; empty for null."""
-    found = F.regexp_extract_all(name, F.lit(ELEMENT), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    return f"coalesce({_find_all(name, ELEMENT, 0)}, cast(array() as array<string>))"
 
 
-def aligned(a: Column, b: Column) -> Column:
-    """Two compositions on the union of their elements, missing = 0, sorted by element."""
-    zipped = F.map_zip_with(
-        a, b, lambda _, x, y: F.struct(F.coalesce(x, F.lit(0.0)).alias("x"), F.coalesce(y, F.lit(0.0)).alias("y"))
-    )
-    return F.array_sort(F.map_entries(zipped))
+def distances(a: str, b: str) -> str:
+    """``struct<l1, cosine>`` of two compositions on the union of their elements; null if one is null.
 
+    Missing elements count as 0. The cosine is 0 when one side has no length.
+    """
+    k, x, y = fresh(), fresh(), fresh()
+    # Sorted by element, so that sums do not depend on the order of writing.
+    both = (
+        f"array_sort(map_entries(map_zip_with({a}, {b}, ({k}, {x}, {y}) ->"
+        f" named_struct('x', coalesce({x}, 0D), 'y', coalesce({y}, 0D)))))"
+    )
 
-def l1_of_aligned(pairs: Column) -> Column:
-    return compensated_sum(F.transform(pairs, lambda p: F.abs(p["value"]["x"] - p["value"]["y"])))
+    def measure(p: str) -> str:
+        def dot(first: str, second: str) -> str:
+            return compensated_sum(each(p, lambda e: f"{e}.value.{first} * {e}.value.{second}"))
 
+        lengths = f"named_struct('d', {dot('x', 'y')}, 'n', sqrt({dot('x', 'x')}), 'm', sqrt({dot('y', 'y')}))"
+        cosine = let(lengths, lambda s: f"if({s}.n = 0D or {s}.m = 0D, 0D, {s}.d / ({s}.n * {s}.m))")
+        l1 = compensated_sum(each(p, lambda e: f"abs({e}.value.x - {e}.value.y)"))
+        return f"named_struct('l1', {l1}, 'cosine', {cosine})"
 
-def cosine_of_aligned(pairs: Column) -> Column:
-    """Cosine of the two sides; 0 when one has no length."""
-    dot = compensated_sum(F.transform(pairs, lambda p: p["value"]["x"] * p["value"]["y"]))
-    norm_x = F.sqrt(compensated_sum(F.transform(pairs, lambda p: p["value"]["x"] * p["value"]["x"])))
-    norm_y = F.sqrt(compensated_sum(F.transform(pairs, lambda p: p["value"]["y"] * p["value"]["y"])))
-    return let(
-        F.struct(dot.alias("d"), norm_x.alias("nx"), norm_y.alias("ny")),
-        lambda s: F.when((s["nx"] == 0) | (s["ny"] == 0), F.lit(0.0)).otherwise(s["d"] / (s["nx"] * s["ny"])),
-    )
+    return f"if({a} is null or {b} is null, null, {let(both, measure)})"
 
 
-def distances(a: Column, b: Column) -> Column:
-    """``struct(l1, cosine)`` of two compositions; null if one of them is null."""
-    return F.when(
-        a.isNotNull() & b.isNotNull(),
-        let(aligned(a, b), lambda p: F.struct(l1_of_aligned(p).alias("l1"), cosine_of_aligned(p).alias("cosine"))),
-    )
+def drop_zero(fractions: str, eps: float = 1e-8) -> str:
+    k, v = fresh(), fresh()
+    return f"map_filter({fractions}, ({k}, {v}) -> {v} > {eps!r}D and not isnan({v}))"
 
 
-def drop_zero(fractions: Column, eps: float = 1e-8) -> Column:
-    return F.map_filter(fractions, lambda _, v: (v > eps) & ~F.isnan(v))
+def ratio_string(fractions: str, order: str, eps: float = 1e-8, decimals: int = 1) -> str:
+    """``A1.0B1.5``: scaled so that the smallest kept fraction is 1, in the order of the name."""
 
+    def text(kept: str) -> str:
+        named = only(order, lambda e: f"map_contains_key({kept}, {e})")
+        elements = f"concat({named}, array_sort(array_except(map_keys({kept}), {order})))"
 
-def ratio_string(fractions: Column, order: Column, eps: float = 1e-8, decimals: int = 1) -> Column:
-    """``A1.0B1.5``: scaled so that the smallest kept fraction is 1, in the order of the name."""
+        def parts(base: str) -> str:
+            return each(
+                elements, lambda e: f"concat({e}, {fixed_decimals(f'try_element_at({kept}, {e}) / {base}', decimals)})"
+            )
 
-    def text(kept: Column) -> Column:
-        smallest = F.array_min(F.map_values(kept))
-        named = F.filter(order, lambda e: F.map_contains_key(kept, e))
-        rest = F.array_sort(F.array_except(F.map_keys(kept), order))
-        return let(
-            smallest,
-            lambda base: F.array_join(
-                F.transform(
-                    F.concat(named, rest),
-                    lambda e: F.concat(e, fixed_decimals(F.try_element_at(kept, e) / base, decimals)),
-                ),
-                "",
-            ),
-        )
+        joined = let(f"array_min(map_values({kept}))", lambda base: f"array_join({parts(base)}, '')")
+        return f"if(size({kept}) > 0, {joined}, null)"
 
-    return let(drop_zero(fractions, eps), lambda kept: F.when(F.size(kept) > 0, text(kept)))
+    return let(drop_zero(fractions, eps), text)
 
 
-def name_without_zero(name: Column, fractions: Column, order: Column, eps: float = 1e-8) -> Column:
+def name_without_zero(name: str, fractions: str, order: str, eps: float = 1e-8) -> str:
     """The name without elements of about zero fraction."""
-    kept = F.filter(order, lambda e: F.coalesce(F.try_element_at(fractions, e) > eps, F.lit(False)))
-    return F.when(fractions.isNotNull() & (F.size(order) > 0), F.array_join(kept, "")).otherwise(
-        F.coalesce(name, F.lit(""))
-    )
+    kept = only(order, lambda e: f"try_element_at({fractions}, {e}) > {eps!r}D")
+    return f"if({fractions} is not null and size({order}) > 0, array_join({kept}, ''), coalesce({name}, ''))"
 
 
-def sorted_json(amounts: Column) -> Column:
+def sorted_json(amounts: str) -> str:
     """JSON object text with sorted keys, one blank after separators."""
-    entries = F.transform(
-        F.array_sort(F.map_entries(amounts)),
-        lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), double_text(e["value"])),
+    entries = each(
+        f"array_sort(map_entries({amounts}))",
+        lambda e: f"concat('\"', {e}.key, '\": ', {double_text(f'{e}.value')})",
     )
-    return F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
+    return f"concat('{{', array_join({entries}, ', '), '}}')"

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from docfacts.functions.composition import let
+from docfacts.functions.sql import each, fresh, let, literal
 from docfacts.functions.text import SPACE, strip
 
 # What counts as a fenced block.
@@ -15,137 +13,116 @@ OTHER_FENCE = r"(?s)```(?!json)(?:[a-zA-Z0-9_+-]*)\s*(.*?)```"
 
 # Closes the probe array below. A text that contained it could not be told from a whole value.
 _END_MARK = "e7c1f0a94b5d4f2c8a36d0b1957e2c48"
+NO_TEXTS = "cast(array() as array<string>)"
 
 
-def strict_json(text: Column) -> Column:
+def strict_json(text: str) -> str:
     """VARIANT of a text that is one JSON value and nothing else, otherwise null.
 
     ``try_parse_json`` accepts text after the value, so the text is parsed as the first
     of exactly two array entries.
     """
-    probe = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END_MARK}"]')))
-    entries = probe.try_cast("array<variant>")
+    probe = f"try_cast(try_parse_json(concat('[', {text}, ',\"{_END_MARK}\"]')) as array<variant>)"
     return let(
-        entries,
-        lambda a: F.when(
-            (F.size(a) == 2) & (F.try_variant_get(F.get(a, F.lit(1)), "$", "string") == _END_MARK),
-            F.get(a, F.lit(0)),
-        ),
+        probe,
+        lambda a: f"if(size({a}) = 2 and try_variant_get(get({a}, 1), '$', 'string') = '{_END_MARK}', get({a}, 0), null)",
     )
 
 
-def json_kind(value: Column) -> Column:
+def json_kind(value: str) -> str:
     """``array``, ``object``, ``string``, ``number``, ``boolean`` or ``null``."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(F.startswith(schema, F.lit("ARRAY")), F.lit("array"))
-        .when(F.startswith(schema, F.lit("OBJECT")), F.lit("object"))
-        .when(schema == "STRING", F.lit("string"))
-        .when(schema == "BOOLEAN", F.lit("boolean"))
-        .when(schema == "VOID", F.lit("null"))
-        .when(value.isNotNull(), F.lit("number"))
+    return let(
+        f"schema_of_variant({value})",
+        lambda s: f"case when startswith({s}, 'ARRAY') then 'array' when startswith({s}, 'OBJECT') then 'object'"
+        f" when {s} = 'STRING' then 'string' when {s} = 'BOOLEAN' then 'boolean' when {s} = 'VOID' then 'null'"
+        f" when {s} is not null then 'number' end",
     )
 
 
-def json_size(value: Column) -> Column:
+def json_size(value: str) -> str:
     """Number of array entries or object keys; null for scalars."""
-    entries = F.size(value.try_cast("array<variant>"))
-    keys = F.size(F.map_keys(value.try_cast("map<string,variant>")))
-    return F.coalesce(F.nullif(entries, F.lit(-1)), F.nullif(keys, F.lit(-1)))
+    return (
+        f"coalesce(nullif(size(try_cast({value} as array<variant>)), -1),"
+        f" nullif(size(map_keys(try_cast({value} as map<string,variant>))), -1))"
+    )
 
 
-def first_between(text: Column, opener: str, closer: str, keep: bool) -> Column:
+def first_between(text: str, opener: str, closer: str, keep: bool) -> str:
     """Shortest text from the first ``opener`` to the next ``closer``; null if there is none."""
     skip = len(opener)
-    start = F.locate(opener, text)
-    end = F.position(F.lit(closer), text, start + skip)
-    inner = F.substr(text, start + skip, end - start - skip)
-    chunk = F.concat(F.lit(opener), inner, F.lit(closer)) if keep else inner
-    return F.when((start > 0) & (end > 0), chunk)
+    o, c = literal(opener), literal(closer)
 
+    def cut(start: str) -> str:
+        end = f"locate({c}, {text}, {start} + {skip})"
+        inner = f"substr({text}, {start} + {skip}, {end} - {start} - {skip})"
+        return f"if({start} > 0 and {end} > 0, {f'concat({o}, {inner}, {c})' if keep else inner}, null)"
 
-def _balanced_head(rest: Column, opener: str, closer: str) -> Column:
+    return let(f"locate({o}, {text})", cut)
+
+
+def _balanced_length(rest: str, opener: str, closer: str) -> str:
     """Length of the balanced chunk that ``rest`` begins with; null if it never closes.
 
     The text is cut into pieces that end with a bracket, quoted strings skipped, and
     the depth is followed over the pieces. An open quote ends the cutting.
     """
     o, c = "\\" + opener, "\\" + closer
-    piece = (
-        rf"(?s)\G(?:[^\"'{o}{c}]++|\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+')*+[{o}{c}]"
-    )
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(False).alias("closed"))
-
-    def step(acc: Column, token: Column) -> Column:
-        depth = acc["depth"] + F.when(F.endswith(token, F.lit(opener)), F.lit(1)).otherwise(F.lit(-1))
-        return F.when(acc["closed"], acc).otherwise(
-            F.struct(
-                depth.alias("depth"),
-                (acc["chars"] + F.length(token)).alias("chars"),
-                (depth == 0).alias("closed"),
-            )
-        )
-
-    return F.aggregate(
-        F.regexp_extract_all(rest, F.lit(piece), F.lit(0)),
-        start,
-        step,
-        lambda acc: F.when(acc["closed"], acc["chars"]),
+    piece = rf"""(?s)\G(?:[^"'{o}{c}]++|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')*+[{o}{c}]"""
+    a, t, r = fresh(), fresh(), fresh()
+    depth = f"{a}.depth + if(endswith({t}, {literal(opener)}), 1, -1)"
+    return (
+        f"aggregate(regexp_extract_all({rest}, {literal(piece)}, 0),"
+        f" named_struct('depth', 0, 'chars', 0, 'closed', false),"
+        f" ({a}, {t}) -> if({a}.closed, {a}, named_struct('depth', {depth},"
+        f" 'chars', {a}.chars + length({t}), 'closed', {depth} = 0)),"
+        f" {r} -> if({r}.closed, {r}.chars, null))"
     )
 
 
-def _from_opener(text: Column, opener: str) -> Column:
-    at = F.locate(opener, text)
-    return F.when(at > 0, F.substr(text, at))
+def balanced_chunks(text: str, opener: str, closer: str) -> str:
+    """The first two balanced chunks of one bracket type; the search ends at one that stays open."""
+    o, c = literal(opener), literal(closer)
 
+    def from_opener(t: str) -> str:
+        return f"if(contains({t}, {o}), substr({t}, locate({o}, {t})), null)"
 
-def balanced_chunks(text: Column, opener: str, closer: str) -> Column:
-    """The first two balanced chunks of one bracket type; the search ends at one that stays open."""
+    def head(rest: str) -> str:
+        return f"named_struct('rest', {rest}, 'chars', {_balanced_length(rest, opener, closer)})"
+
+    def chunk(f: str) -> str:
+        return f"array(substr({f}.rest, 1, {f}.chars))"
+
+    def second(f: str) -> str:
+        rest = let(f"substr({f}.rest, {f}.chars + 1)", from_opener)
+        found = let(rest, head)
+        return let(found, lambda g: f"if({g}.chars is null, {NO_TEXTS}, {chunk(g)})")
 
-    def second(first: Column) -> Column:
-        rest = F.substr(first["rest"], first["chars"] + 1)
-        return let(
-            _from_opener(rest, opener),
-            lambda r: let(
-                _balanced_head(r, opener, closer),
-                lambda n: F.when(n.isNotNull(), F.array(F.substr(r, F.lit(1), n))).otherwise(
-                    F.array().cast("array<string>")
-                ),
-            ),
-        )
-
-    def both(rest: Column) -> Column:
-        return let(
-            F.struct(rest.alias("rest"), _balanced_head(rest, opener, closer).alias("chars")),
-            lambda f: F.when(
-                f["chars"].isNotNull(), F.concat(F.array(F.substr(f["rest"], F.lit(1), f["chars"])), second(f))
-            ).otherwise(F.array().cast("array<string>")),
-        )
-
-    return F.when(
-        F.contains(text, F.lit(opener)) & F.contains(text, F.lit(closer)), let(_from_opener(text, opener), both)
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def fenced_candidates(text: Column) -> Column:
+    def both(f: str) -> str:
+        return f"if({f}.chars is null, {NO_TEXTS}, concat({chunk(f)}, {second(f)}))"
+
+    found = let(let(from_opener(text), head), both)
+    return f"if(contains({text}, {o}) and contains({text}, {c}), {found}, {NO_TEXTS})"
+
+
+def fenced_candidates(text: str) -> str:
     """Contents of json fences in any case, then of other fences."""
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(JSON_FENCE), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(OTHER_FENCE), F.lit(1)),
-    )
-    return F.when(F.contains(text, F.lit(FENCE_CLOSE)), F.transform(found, strip)).otherwise(
-        F.array().cast("array<string>")
+    found = (
+        f"concat(regexp_extract_all({text}, {literal(JSON_FENCE)}, 1),"
+        f" regexp_extract_all({text}, {literal(OTHER_FENCE)}, 1))"
     )
+    return f"if(contains({text}, {literal(FENCE_CLOSE)}), {each(found, strip)}, {NO_TEXTS})"
 
 
-def bracket_candidates(text: Column) -> Column:
+def bracket_candidates(text: str) -> str:
     """Balanced arrays, then balanced objects, at most two of each."""
-    return F.concat(balanced_chunks(text, "[", "]"), balanced_chunks(text, "{", "}"))
+    return f"concat({balanced_chunks(text, '[', ']')}, {balanced_chunks(text, '{', '}')})"
 
 
-def light_fix(text: Column) -> Column:
+def light_fix(text: str) -> str:
     """Drop trailing commas, then turn single-quoted keys and values into double-quoted ones."""
     ws = rf"[{SPACE}]*"
-    commas = F.regexp_replace(text, rf",({ws}[}}\]])", "$1")
-    keys = F.regexp_replace(commas, rf"([{{\[,]){ws}'([^'\\]*?)'{ws}:", '$1 "$2":')
-    return F.regexp_replace(keys, rf":{ws}'([^'\\]*?)'({ws}[,}}\]])", ': "$1"$2')
+    commas = f"regexp_replace({text}, {literal(rf',({ws}[}}\]])')}, '$1')"
+    key = literal(rf"([{{\[,]){ws}'([^'\\]*?)'{ws}:")
+    value = literal(rf":{ws}'([^'\\]*?)'({ws}[,}}\]])")
+    keys = f"regexp_replace({commas}, {key}, {literal('$1 "$2":')})"
+    return f"regexp_replace({keys}, {value}, {literal(': "$1"$2')})"

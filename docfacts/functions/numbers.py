@@ -2,47 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from docfacts.functions.sql import fresh, let
 
 
-def fixed_decimals(value: Column, decimals: int) -> Column:
+def fixed_decimals(value: str, decimals: int) -> str:
     """Text with a fixed number of decimals, ties to even on the exact binary value."""
-    return F.call_function("format_number", value, F.lit("0." + "0" * decimals if decimals > 0 else "0"))
+    pattern = "0." + "0" * decimals if decimals > 0 else "0"
+    return f"format_number({value}, '{pattern}')"
 
 
-def compensated_sum(values: Column) -> Column:
+def compensated_sum(values: str) -> str:
     """Sum of an array of doubles with an error term carried along.
 
     Sums of a few fractions are compared with thresholds, so the last bit counts.
     """
+    a, x, r = fresh(), fresh(), fresh()
+    lost = f"if(abs({a}.s) >= abs({x}), ({a}.s - ({a}.s + {x})) + {x}, ({x} - ({a}.s + {x})) + {a}.s)"
+    return (
+        f"aggregate({values}, named_struct('s', 0D, 'c', 0D),"
+        f" ({a}, {x}) -> named_struct('s', {a}.s + {x}, 'c', {a}.c + {lost}),"
+        f" {r} -> if(abs({r}.c) < double('infinity'), {r}.s + {r}.c, {r}.s))"
+    )
 
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["s"] + x
-        lost = F.when(F.abs(acc["s"]) >= F.abs(x), (acc["s"] - total) + x).otherwise((x - total) + acc["s"])
-        return F.struct(total.alias("s"), (acc["c"] + lost).alias("c"))
-
-    def finish(acc: Column) -> Column:
-        usable = F.abs(acc["c"]) < F.lit(float("inf"))
-        return F.when(usable, acc["s"] + acc["c"]).otherwise(acc["s"])
 
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
-    return F.aggregate(values, zero, step, finish)
+def double_text(value: str) -> str:
+    """Text of a double: plain between 1e-4 and 1e16, otherwise like ``1e-05``."""
 
+    def scientific(java: str) -> str:
+        mantissa = f"regexp_replace(substring_index({java}, 'E', 1), '[.]0$', '')"
+        exponent = f"try_cast(substring_index({java}, 'E', -1) as int)"
+        sign = f"if({exponent} < 0, 'e-', 'e+')"
+        return f"concat({mantissa}, {sign}, lpad(abs({exponent}), greatest(2, length(abs({exponent}))), '0'))"
 
-def double_text(value: Column) -> Column:
-    """Text of a double: plain between 1e-4 and 1e16, otherwise like ``1e-05``."""
-    plain = F.call_function("format_number", value, F.lit("0.0" + "#" * 24))
-    java = value.cast("string")
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(java, "E", -1).try_cast("int")
-    sign = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    digits = F.abs(exponent).cast("string")
-    scientific = F.concat(mantissa, sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
-    size = F.abs(value)
+    plain = f"format_number({value}, '0.0{'#' * 24}')"
     return (
-        F.when(value == 0, java)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .when(F.isnan(value), F.lit("NaN"))
-        .when(size == float("inf"), F.when(value > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
-        .otherwise(scientific)
+        f"case when {value} = 0D then cast({value} as string)"
+        f" when abs({value}) >= 1e-4D and abs({value}) < 1e16D then {plain}"
+        f" when isnan({value}) then 'NaN'"
+        f" when abs({value}) = double('infinity') then if({value} > 0D, 'Infinity', '-Infinity')"
+        f" else {let(f'cast({value} as string)', scientific)} end"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from docfacts.functions.sql import literal
 
 # Unicode-aware classes: Java's \w and \s are ASCII only, so they are spelled out.
 WORD = r"\p{L}\p{N}_"
@@ -14,43 +14,43 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+_SPACE_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in SPACE_CHARS) + "'"
 
 
-def strip(text: Column) -> Column:
+def strip(text: str) -> str:
     """Remove Unicode white space at both ends."""
-    return F.btrim(text, F.lit(SPACE_CHARS))
+    return f"btrim({text}, {_SPACE_SQL})"
 
 
-def normalize_text(text: Column) -> Column:
+def normalize_text(text: str) -> str:
     """Join words split over a line end, turn white-space runs into one blank, trim."""
     # The regex runs only on the few texts that have a hyphen at a line end.
-    joined = F.when(
-        F.contains(text, F.lit("-\n")),
-        F.regexp_replace(text, rf"([{WORD}])-\n([{WORD}])", "$1$2"),
-    ).otherwise(text)
-    return strip(F.regexp_replace(joined, rf"[{SPACE}]{{2,}}|[\t\r\n]", " "))
+    line_end = literal(rf"([{WORD}])-\n([{WORD}])")
+    joined = f"if(contains({text}, '-\\n'), regexp_replace({text}, {line_end}, '$1$2'), {text})"
+    runs = literal(rf"[{SPACE}]{{2,}}|[\t\r\n]")
+    return strip(f"regexp_replace({joined}, {runs}, ' ')")
 
 
-def count_words(text: Column) -> Column:
+def count_words(text: str) -> str:
     """Number of words; apostrophes and hyphens inside a word do not split it."""
-    return F.regexp_count(text, F.lit(rf"[{WORD}][{WORD}'-]*+"))
+    return f"regexp_count({text}, {literal(rf'''[{WORD}][{WORD}'-]*+''')})"
 
 
-def round_half_even(value: Column) -> Column:
+def round_half_even(value: str) -> str:
     """Whole number nearest to a double, ties to the even one."""
-    return F.rint(value).cast("bigint")
+    return f"cast(rint({value}) as bigint)"
 
 
-def tokens_from_words(words: Column) -> Column:
+def tokens_from_words(words: str) -> str:
     """About four tokens for three words; 0 for an empty text."""
-    return F.when(words > 0, round_half_even(words / F.lit(0.75))).otherwise(F.lit(0).cast("bigint"))
+    return f"if({words} > 0, {round_half_even(f'{words} / 0.75D')}, 0L)"
 
 
-def tokens_from_chars(chars: Column) -> Column:
+def tokens_from_chars(chars: str) -> str:
     """About one token for four characters; 0 for an empty text."""
-    return F.when(chars > 0, round_half_even(chars / F.lit(4.0))).otherwise(F.lit(0).cast("bigint"))
+    return f"if({chars} > 0, {round_half_even(f'{chars} / 4D')}, 0L)"
 
 
-def prompt_terms(text: Column) -> Column:
+def prompt_terms(text: str) -> str:
     """Lower-case terms of two or more word characters, repeats kept."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]{{2,}}+"), F.lit(0))
+    return f"regexp_extract_all(lower({text}), {literal(f'[{WORD}]{{2,}}+')}, 0)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docfacts.functions import composition as C
 
@@ -19,17 +19,14 @@ def find_column(df: DataFrame, *spellings: str) -> str | None:
 
 def parse_and_normalize(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """Adds ``<prefix>_parsed``, ``<prefix>_unit`` and ``<prefix>_fractions``."""
-    parsed = f"_{prefix}"
-    return (
-        df.withColumn(parsed, C.parse_composition(F.col(f"`{column}`")))
-        .withColumn(f"{prefix}_parsed", F.col(f"{parsed}.amounts"))
-        .withColumn(f"{prefix}_unit", F.col(f"{parsed}.unit"))
-        .withColumn(
-            f"{prefix}_fractions",
-            C.normalize_composition(F.col(f"{prefix}_parsed"), F.col(f"{prefix}_unit")),
-        )
-        .drop(parsed)
-    )
+    parsed = df.withColumn("_parsed", F.expr(C.parse_composition(f"`{column}`")))
+    return parsed.withColumns(
+        {
+            f"{prefix}_parsed": F.col("_parsed.amounts"),
+            f"{prefix}_unit": F.col("_parsed.unit"),
+            f"{prefix}_fractions": F.expr(C.normalize_composition("_parsed.amounts", "_parsed.unit")),
+        }
+    ).drop("_parsed")
 
 
 def compare_compositions(
@@ -40,13 +37,14 @@ def compare_compositions(
     Expects ``nominal_fractions``, ``name_fractions`` and ``measured_fractions``. A missing
     nominal composition counts as empty. A row fails only if both sides are off.
     """
-    empty = F.map_from_arrays(F.array(), F.array()).cast(C.MAP_TYPE)
-    nominal = F.coalesce(F.col("nominal_fractions"), empty)
-    compared = df.withColumn("_name", C.distances(nominal, F.col("name_fractions"))).withColumn(
-        "_meas", C.distances(nominal, F.col("measured_fractions"))
+    compared = df.withColumn("_nominal", F.expr(f"coalesce(nominal_fractions, {C.EMPTY})")).withColumns(
+        {
+            "_name": F.expr(C.distances("_nominal", "name_fractions")),
+            "_meas": F.expr(C.distances("_nominal", "measured_fractions")),
+        }
     )
 
-    def off(side: str):
+    def off(side: str) -> Column:
         return F.coalesce((F.col(f"{side}.l1") > l1_limit) | (F.col(f"{side}.cosine") < cosine_limit), F.lit(False))
 
     verdict = (
@@ -54,14 +52,15 @@ def compare_compositions(
         .when(off("_name") & off("_meas"), "inconsistent: name,measured")
         .otherwise("OK")
     )
-    return (
-        compared.withColumn("l1_nom_vs_name", F.col("_name.l1"))
-        .withColumn("l1_nom_vs_measured", F.col("_meas.l1"))
-        .withColumn("cos_nom_vs_name", F.col("_name.cosine"))
-        .withColumn("cos_nom_vs_measured", F.col("_meas.cosine"))
-        .withColumn("consistency_check", verdict)
-        .drop("_name", "_meas")
-    )
+    return compared.withColumns(
+        {
+            "l1_nom_vs_name": F.col("_name.l1"),
+            "l1_nom_vs_measured": F.col("_meas.l1"),
+            "cos_nom_vs_name": F.col("_name.cosine"),
+            "cos_nom_vs_measured": F.col("_meas.cosine"),
+            "consistency_check": verdict,
+        }
+    ).drop("_nominal", "_name", "_meas")
 
 
 def check_compositions(
@@ -84,35 +83,48 @@ def check_compositions(
     name = find_column(df, "name")
     measured = find_column(df, "measured composition", "measured_composition")
     null_text = F.lit(None).cast("string")
-    inputs = df.columns
-
-    work = (
-        df.withColumn("_name_text", F.col(f"`{name}`") if name else null_text)
-        .withColumn("_measured_text", F.col(f"`{measured}`") if measured else null_text)
-        .withColumn("_nominal_text", F.col(f"`{nominal}`"))
+    work = df.withColumns(
+        {
+            "_name_text": F.col(f"`{name}`") if name else null_text,
+            "_measured_text": F.col(f"`{measured}`") if measured else null_text,
+            "_nominal_text": F.col(f"`{nominal}`"),
+        }
+    )
+    # The two parsed columns and the name are worked on side by side, in few projections.
+    work = work.withColumns(
+        {
+            "_nominal": F.expr(C.parse_composition("_nominal_text")),
+            "_measured": F.expr(C.parse_composition("_measured_text")),
+            "name_fractions": F.expr(C.infer_from_name("_name_text")),
+            "_order": F.expr(C.element_order("_name_text")),
+        }
+    ).withColumns(
+        {
+            "nominal_fractions": F.expr(C.normalize_composition("_nominal.amounts", "_nominal.unit")),
+            "measured_fractions": F.expr(C.normalize_composition("_measured.amounts", "_measured.unit")),
+            "_nominal_amounts": F.col("_nominal.amounts"),
+            "_measured_amounts": F.col("_measured.amounts"),
+        }
     )
-    work = parse_and_normalize(work, "_nominal_text", "nominal")
-    work = parse_and_normalize(work, "_measured_text", "measured")
-    work = work.withColumn("name_fractions", C.infer_from_name(F.col("_name_text")))
-    work = compare_compositions(work, l1_limit, cosine_limit)
-    work = work.withColumn("_order", C.element_order(F.col("_name_text")))
-    shown = C.sorted_json if as_json else (lambda m: m)
-    return work.select(
-        *[F.col(f"`{c}`") for c in inputs],
-        shown(F.col("nominal_parsed")).alias("nominal_parsed"),
-        shown(F.col("nominal_fractions")).alias("nominal_molar_fractions"),
-        shown(F.col("name_fractions")).alias("name_inferred_equal_molar"),
-        shown(F.col("measured_parsed")).alias("measured_parsed"),
-        shown(F.col("measured_fractions")).alias("measured_molar_fractions"),
+    judged = compare_compositions(work, l1_limit, cosine_limit)
+
+    def shown(column: str, name: str) -> Column:
+        return F.expr(C.sorted_json(column) if as_json else column).alias(name)
+
+    return judged.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        shown("_nominal_amounts", "nominal_parsed"),
+        shown("nominal_fractions", "nominal_molar_fractions"),
+        shown("name_fractions", "name_inferred_equal_molar"),
+        shown("_measured_amounts", "measured_parsed"),
+        shown("measured_fractions", "measured_molar_fractions"),
         "l1_nom_vs_name",
         "l1_nom_vs_measured",
         "cos_nom_vs_name",
         "cos_nom_vs_measured",
         "consistency_check",
-        C.name_without_zero(F.col("_name_text"), F.col("nominal_fractions"), F.col("_order"), eps).alias(
-            "name_without_zero"
-        ),
-        C.ratio_string(F.col("nominal_fractions"), F.col("_order"), eps, decimals).alias("cleanned composition"),
+        F.expr(C.name_without_zero("_name_text", "nominal_fractions", "_order", eps)).alias("name_without_zero"),
+        F.expr(C.ratio_string("nominal_fractions", "_order", eps, decimals)).alias("cleanned composition"),
     )
 
 

@@ -33,7 +33,7 @@ def prompt_similarity(
         F.struct(F.col("previous").alias("t"), F.lit(True).alias("old")),
         F.struct(F.col(prompt).alias("t"), F.lit(False).alias("old")),
     )
-    terms = steps.select(*keys, F.inline(both)).select(*keys, "old", F.explode_outer(prompt_terms(F.col("t"))).alias("term"))
+    terms = steps.select(*keys, F.inline(both)).select(*keys, "old", F.explode_outer(F.expr(prompt_terms("t"))).alias("term"))
     counts = terms.groupBy(*keys, "term").agg(
         F.count_if(F.col("old") & F.col("term").isNotNull()).alias("a"),
         F.count_if(~F.col("old") & F.col("term").isNotNull()).alias("b"),

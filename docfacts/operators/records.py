@@ -39,9 +39,9 @@ def record_columns(record: Column, placeholder: str | None = None) -> list[Colum
 
 def explode_records(parsed: DataFrame, keep: Sequence[str], json: str = "json", accept_object: bool = False) -> DataFrame:
     """One row per array entry: the kept columns, ``pos`` and ``record`` (VARIANT)."""
-    entries = F.when(json_kind(F.col(json)) == "array", F.col(json).try_cast("array<variant>"))
+    entries = F.when(F.expr(f"{json_kind(json)} = 'array'"), F.col(json).try_cast("array<variant>"))
     if accept_object:
-        entries = F.when(json_kind(F.col(json)) == "object", F.array(F.col(json))).otherwise(entries)
+        entries = F.when(F.expr(f"{json_kind(json)} = 'object'"), F.array(F.col(json))).otherwise(entries)
     return parsed.select(*keep, F.posexplode(entries).alias("pos", "record"))
 
 
@@ -64,8 +64,8 @@ def paper_id_of(file_name: Column) -> Column:
 
 def parse_record_files(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
     """Adds ``json``, ``Paperid`` and ``issue`` (bad_json, not_a_list or null)."""
-    parsed = files.withColumn("json", strict_json(F.col(value)))
-    issue = F.when(F.col("json").isNull(), "bad_json").when(json_kind(F.col("json")) != "array", "not_a_list")
+    parsed = files.withColumn("json", F.expr(strict_json(value)))
+    issue = F.when(F.col("json").isNull(), "bad_json").when(F.expr(f"{json_kind('json')} <> 'array'"), "not_a_list")
     return parsed.withColumn("Paperid", paper_id_of(F.col(file_name))).withColumn("issue", issue)
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from docfacts.functions.composition import let
 from docfacts.functions.jsontext import (
     FENCE_CLOSE,
     FENCE_OPEN,
@@ -15,6 +14,7 @@ from docfacts.functions.jsontext import (
     light_fix,
     strict_json,
 )
+from docfacts.functions.sql import each, fresh, let, only
 from docfacts.functions.text import strip
 
 
@@ -23,58 +23,50 @@ def parse_v1(responses: DataFrame, text: str = "response") -> DataFrame:
 
     Adds ``status`` (ok, dropped_not_list, invalid, raw), ``branch`` and ``json`` (VARIANT, only if ok).
     """
-    t = F.col(text)
-    fenced = first_between(t, FENCE_OPEN, FENCE_CLOSE, keep=False)
-    listed = first_between(t, "[", "]", keep=True)
-    braced = first_between(t, "{", "}", keep=True)
-    found = F.coalesce(
-        F.when(fenced.isNotNull(), F.struct(F.lit("fence").alias("branch"), fenced.alias("chunk"))),
-        F.when(listed.isNotNull(), F.struct(F.lit("list").alias("branch"), listed.alias("chunk"))),
-        F.when(braced.isNotNull(), F.struct(F.lit("object").alias("branch"), braced.alias("chunk"))),
-    )
-    parsed = responses.withColumn("_found", found).withColumn("_json", strict_json(strip(F.col("_found.chunk"))))
+    branches = {
+        "fence": first_between(text, FENCE_OPEN, FENCE_CLOSE, keep=False),
+        "list": first_between(text, "[", "]", keep=True),
+        "object": first_between(text, "{", "}", keep=True),
+    }
+    tried = [
+        let(chunk, lambda c: f"if({c} is not null, named_struct('branch', '{branch}', 'chunk', {c}), null)")
+        for branch, chunk in branches.items()
+    ]
     status = (
-        F.when(F.col("_found").isNull(), "raw")
-        .when(F.col("_json").isNull(), "invalid")
-        .when((F.col("_found.branch") == "object") | (json_kind(F.col("_json")) == "array"), "ok")
-        .otherwise("dropped_not_list")
+        "case when branch is null then 'raw' when _json is null then 'invalid'"
+        f" when branch = 'object' or {json_kind('_json')} = 'array' then 'ok' else 'dropped_not_list' end"
     )
     return (
-        parsed.withColumn("status", status)
-        .withColumn("branch", F.col("_found.branch"))
-        .withColumn("json", F.when(F.col("status") == "ok", F.col("_json")))
+        responses.withColumn("_found", F.expr(f"coalesce({', '.join(tried)})"))
+        .withColumns({"branch": F.col("_found.branch"), "_json": F.expr(strict_json(strip("_found.chunk")))})
+        .withColumn("status", F.expr(status))
+        .withColumn("json", F.expr("if(status = 'ok', _json, null)"))
         .drop("_found", "_json")
     )
 
 
 def json_candidates(responses: DataFrame, text: str = "response") -> DataFrame:
     """Adds ``candidates``: fenced blocks, other blocks, balanced arrays, balanced objects."""
-    t = F.col(text)
-    return responses.withColumn("candidates", F.concat(fenced_candidates(t), bracket_candidates(t)))
-
+    found = f"concat({fenced_candidates(text)}, {bracket_candidates(text)})"
+    return responses.withColumn("candidates", F.expr(f"if({text} is null, array(), {found})"))
 
-def _attempts(candidates: Column) -> Column:
-    """Per candidate ``struct(json, repaired)``, strict first, repaired only where that fails."""
 
-    def attempt(c: Column) -> Column:
-        return let(
-            strict_json(c),
-            lambda v: F.when(v.isNotNull(), F.struct(v.alias("json"), F.lit(False).alias("repaired"))).otherwise(
-                F.struct(strict_json(light_fix(c)).alias("json"), F.lit(True).alias("repaired"))
-            ),
-        )
+def _first_success(candidates: str, tried_before: str) -> str:
+    """The first candidate that parses, strict or else repaired, with its number; null if none does."""
 
-    return F.transform(candidates, attempt)
+    def attempt(c: str) -> str:
+        def strict_or_fixed(v: str) -> str:
+            fixed = f"named_struct('json', {strict_json(light_fix(c))}, 'repaired', true)"
+            return f"if({v} is not null, named_struct('json', {v}, 'repaired', false), {fixed})"
 
+        return let(strict_json(c), strict_or_fixed)
 
-def _first_success(attempts: Column, tried_before: Column) -> Column:
-    numbered = F.transform(
-        attempts,
-        lambda a, i: F.struct(
-            (i + 1 + tried_before).alias("candidate_no"), a["repaired"].alias("repaired"), a["json"].alias("json")
-        ),
+    a, i = fresh(), fresh()
+    numbered = (
+        f"transform({each(candidates, attempt)}, ({a}, {i}) -> named_struct("
+        f"'candidate_no', {i} + 1 + {tried_before}, 'repaired', {a}.repaired, 'json', {a}.json))"
     )
-    return F.get(F.filter(numbered, lambda a: a["json"].isNotNull()), F.lit(0))
+    return f"get({only(numbered, lambda n: f'{n}.json is not null')}, 0)"
 
 
 def parse_v2(responses: DataFrame, text: str = "response") -> DataFrame:
@@ -83,21 +75,25 @@ def parse_v2(responses: DataFrame, text: str = "response") -> DataFrame:
     Adds ``status`` (ok, raw), ``candidate_no``, ``repaired`` and ``json`` (VARIANT). The bracket
     scan runs only for answers whose fenced blocks gave nothing.
     """
-    t = F.col(text)
-    none = F.lit(0)
+
+    def then_scan(hit: str) -> str:
+        scanned = let(bracket_candidates(text), lambda c: _first_success(c, "size(_fenced)"))
+        return f"if({hit} is not null or {text} is null, {hit}, {scanned})"
+
+    found = let(_first_success("_fenced", "0"), then_scan)
+    # One row in, one row out: the generator keeps a later filter from repeating the parse.
     return (
-        responses.withColumn("_fenced", fenced_candidates(t))
-        .withColumn("_hit", _first_success(_attempts(F.col("_fenced")), none))
-        .withColumn("_scanned", F.when(F.col("_hit").isNull(), bracket_candidates(t)))
-        .withColumn(
-            "_hit",
-            F.coalesce(F.col("_hit"), _first_success(_attempts(F.col("_scanned")), F.size("_fenced"))),
+        responses.withColumn("_fenced", F.expr(fenced_candidates(text)))
+        .select("*", F.inline(F.array(F.struct(F.expr(found).alias("_hit")))))
+        .withColumns(
+            {
+                "status": F.expr("if(_hit is not null, 'ok', 'raw')"),
+                "candidate_no": F.col("_hit.candidate_no"),
+                "repaired": F.col("_hit.repaired"),
+                "json": F.col("_hit.json"),
+            }
         )
-        .withColumn("status", F.when(F.col("_hit").isNotNull(), "ok").otherwise("raw"))
-        .withColumn("candidate_no", F.col("_hit.candidate_no"))
-        .withColumn("repaired", F.col("_hit.repaired"))
-        .withColumn("json", F.col("_hit.json"))
-        .drop("_fenced", "_scanned", "_hit")
+        .drop("_fenced", "_hit")
     )
 
 

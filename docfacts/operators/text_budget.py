@@ -40,16 +40,16 @@ def text_stats(
     null_int = F.lit(None).cast("int")
     return (
         documents.where(F.col(text).isNotNull())
-        .withColumn("norm", normalize_text(F.col(text)))
+        .withColumn("norm", F.expr(normalize_text(text)))
         .withColumn("characters", F.length("norm").cast("bigint"))
-        .withColumn("words", count_words(F.col("norm")).cast("bigint"))
+        .withColumn("words", F.expr(count_words("norm")).cast("bigint"))
         .select(
             F.col(doc_id).alias("doc_id"),
             (pages if pages is not None else null_int).alias("pages"),
             "characters",
             "words",
-            tokens_from_words(F.col("words")).alias("tokens_word_est"),
-            tokens_from_chars(F.col("characters")).alias("tokens_char_est"),
+            F.expr(tokens_from_words("words")).alias("tokens_word_est"),
+            F.expr(tokens_from_chars("characters")).alias("tokens_char_est"),
             (exact_tokens if exact_tokens is not None else null_int).cast("bigint").alias("tokens_tiktoken"),
             (engine if engine is not None else F.lit(None).cast("string")).alias("engine"),
         )
@@ -101,9 +101,9 @@ def token_budget(
     Expects ``image_mp`` (null where images are not estimated).
     """
     if image_divisor is not None:
-        image = round_half_even(F.col("image_mp") * F.lit(1e6) / F.lit(float(image_divisor)))
+        image = F.expr(round_half_even(f"image_mp * 1e6D / {float(image_divisor)!r}D"))
     elif image_tokens_per_mp is not None:
-        image = round_half_even(F.col("image_mp") * F.lit(float(image_tokens_per_mp)))
+        image = F.expr(round_half_even(f"image_mp * {float(image_tokens_per_mp)!r}D"))
     else:
         image = F.lit(None).cast("bigint")
     budget = stats.withColumn("image_tokens", image)
@@ -133,7 +133,7 @@ def token_report(budget: DataFrame, file: str = "doc_id") -> DataFrame:
         part("tokens(char-est)", F.col("tokens_char_est")),
         part("tokens(tiktoken)", F.coalesce(F.col("tokens_tiktoken").cast("string"), F.lit("-"))),
         part("engine", F.col("engine")),
-        part("image_mp", fixed_decimals(F.col("image_mp"), 2)),
+        part("image_mp", F.expr(fixed_decimals("image_mp", 2))),
         part("image_tokens", F.col("image_tokens")),
         part("total_tokens(word-est)", F.col("total_tokens_word_est")),
         part("total_tokens(char-est)", F.col("total_tokens_char_est")),
@@ -144,7 +144,7 @@ def token_report(budget: DataFrame, file: str = "doc_id") -> DataFrame:
 
 def token_budget_csv(budget: DataFrame, file: str = "doc_id") -> DataFrame:
     """The 13 text columns of the statistics file; unknown values are empty."""
-    shown = budget.withColumn("file", F.col(file)).withColumn("image_mp", fixed_decimals(F.col("image_mp"), 4))
+    shown = budget.withColumn("file", F.col(file)).withColumn("image_mp", F.expr(fixed_decimals("image_mp", 4)))
     return shown.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV_COLUMNS])
 
 
@@ -158,8 +158,8 @@ def token_totals(budget: DataFrame) -> DataFrame:
         F.sum("image_mp").alias("image_mp"),
         F.sum("image_tokens").alias("image_tokens"),
     )
-    totals = sums.withColumn("tokens_word_est", tokens_from_words(F.col("words"))).withColumn(
-        "tokens_char_est", tokens_from_chars(F.col("chars"))
+    totals = sums.withColumn("tokens_word_est", F.expr(tokens_from_words("words"))).withColumn(
+        "tokens_char_est", F.expr(tokens_from_chars("chars"))
     )
     for source in ("word_est", "char_est", "tiktoken"):
         totals = totals.withColumn(f"total_tokens_{source}", F.col(f"tokens_{source}") + F.col("image_tokens"))

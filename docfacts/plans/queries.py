@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docfacts.functions import composition as C
 from docfacts.functions.jsontext import json_kind, json_size, light_fix as fix_json
+from docfacts.functions.sql import each_value, let
 from docfacts.operators import compositions, documents, labels, prompts, records, requests, responses, text_budget, verdicts
 from docfacts.plans import fixtures as fx
 from docfacts.session import work_folder
@@ -24,9 +25,8 @@ def _places(value: Column, places: int = 6) -> Column:
 
 def _long(df: DataFrame, keys: list[str], amounts: str, value: str = "amount") -> DataFrame:
     """A composition map as rows; one row with nulls where there is none."""
-    return df.select(*keys, F.explode_outer(amounts).alias("element", "_v")).select(
-        *keys, "element", _places(F.col("_v")).alias(value)
-    )
+    rows = df.select(*keys, F.explode_outer(amounts).alias("element", "_v"))
+    return rows.withColumn(value, _places(F.col("_v"))).drop("_v")
 
 
 # ---- compositions ----
@@ -55,22 +55,22 @@ def parse_formula(spark: SparkSession, d: str) -> DataFrame:
     texts = fx.table(spark, d, "documents").select(
         F.col("doc_id").alias("rec_id"), F.lit("document").alias("source"), F.col("text").alias("txt")
     )
-    parsed = _spellings(spark, d).unionAll(texts).withColumn("m", C.parse_formula(C.clean_text(F.col("txt"))))
+    parsed = _spellings(spark, d).unionAll(texts).withColumn("m", F.expr(C.parse_formula(C.clean_text("txt"))))
     return _long(parsed, ["rec_id", "source"], "m")
 
 
 def parse_ratio_form(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _spellings(spark, d).withColumn("m", C.parse_ratio_form(C.clean_text(F.col("txt"))))
+    parsed = _spellings(spark, d).withColumn("m", F.expr(let(C.clean_text("txt"), C.parse_ratio_form)))
     return _long(parsed, ["rec_id", "source"], "m")
 
 
 def parse_pairs(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _spellings(spark, d).withColumn("p", C.parse_pairs(C.clean_text(F.col("txt"))))
+    parsed = _spellings(spark, d).withColumn("p", F.expr(let(C.clean_text("txt"), C.parse_pairs)))
     return _long(parsed, ["rec_id", "source", "p.unit"], "p.amounts")
 
 
 def parse_composition(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _spellings(spark, d).withColumn("p", C.parse_composition(F.col("txt")))
+    parsed = _spellings(spark, d).withColumn("p", F.expr(C.parse_composition("txt")))
     return _long(parsed, ["rec_id", "source", "p.unit"], "p.amounts")
 
 
@@ -81,19 +81,19 @@ def normalize_composition(spark: SparkSession, d: str) -> DataFrame:
 
 def weight_to_mole(spark: SparkSession, d: str) -> DataFrame:
     """Moles of all compositions that state weight percent."""
-    parsed = _spellings(spark, d).withColumn("p", C.parse_composition(F.col("txt"))).where(F.col("p.unit") == "wt")
-    return _long(parsed.withColumn("m", C.weight_to_mole(F.col("p.amounts"))), ["rec_id", "source"], "m", "moles")
+    parsed = _spellings(spark, d).withColumn("p", F.expr(C.parse_composition("txt"))).where(F.col("p.unit") == "wt")
+    return _long(parsed.withColumn("m", F.expr(C.weight_to_mole("p.amounts"))), ["rec_id", "source"], "m", "moles")
 
 
 def name_inferred(spark: SparkSession, d: str) -> DataFrame:
-    named = _spellings(spark, d).withColumn("m", C.infer_from_name(F.col("txt")))
+    named = _spellings(spark, d).withColumn("m", F.expr(C.infer_from_name("txt")))
     return _long(named, ["rec_id", "source"], "m", "fraction")
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     work = compositions.parse_and_normalize(_alloys(spark, d), "nominal_composition", "nominal")
     work = compositions.parse_and_normalize(work, "measured_composition", "measured")
-    return compositions.compare_compositions(work.withColumn("name_fractions", C.infer_from_name(F.col("name"))))
+    return compositions.compare_compositions(work.withColumn("name_fractions", F.expr(C.infer_from_name("name"))))
 
 
 def composition_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -103,21 +103,17 @@ def composition_distance(spark: SparkSession, d: str) -> DataFrame:
 
 def ratio_string(spark: SparkSession, d: str) -> DataFrame:
     work = compositions.parse_and_normalize(_alloys(spark, d), "nominal_composition", "nominal")
-    order = C.element_order(F.col("name"))
-    return work.select(
+    return work.withColumn("o", F.expr(C.element_order("name"))).select(
         "rec_id",
-        C.ratio_string(F.col("nominal_fractions"), order).alias("ratio_text"),
-        C.ratio_string(F.col("nominal_fractions"), order, decimals=3).alias("ratio_text_3"),
+        F.expr(C.ratio_string("nominal_fractions", "o")).alias("ratio_text"),
+        F.expr(C.ratio_string("nominal_fractions", "o", decimals=3)).alias("ratio_text_3"),
     )
 
 
 def name_without_zero(spark: SparkSession, d: str) -> DataFrame:
     work = compositions.parse_and_normalize(_alloys(spark, d), "nominal_composition", "nominal")
-    return work.select(
-        "rec_id",
-        C.name_without_zero(F.col("name"), F.col("nominal_fractions"), C.element_order(F.col("name"))).alias(
-            "name_without_zero"
-        ),
+    return work.withColumn("o", F.expr(C.element_order("name"))).select(
+        "rec_id", F.expr(C.name_without_zero("name", "nominal_fractions", "o")).alias("name_without_zero")
     )
 
 
@@ -127,7 +123,7 @@ def check_compositions(spark: SparkSession, d: str) -> DataFrame:
     measures = ["l1_nom_vs_name", "l1_nom_vs_measured", "cos_nom_vs_name", "cos_nom_vs_measured"]
     return checked.select(
         "rec_id", "name", "nominal_composition", "measured_composition",
-        *[C.sorted_json(F.transform_values(m, lambda _, v: _places(v))).alias(m) for m in maps],
+        *[F.expr(C.sorted_json(each_value(m, lambda v: f"round({v}, 6)"))).alias(m) for m in maps],
         *[_places(F.col(m)).alias(m) for m in measures],
         "consistency_check", "name_without_zero", F.col("cleanned composition"),
     )
@@ -145,14 +141,14 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 def parse_v1(spark: SparkSession, d: str) -> DataFrame:
     return responses.parse_v1(_answers(spark, d)).select(
-        "doc_id", "status", "branch", json_size(F.col("json")).alias("n_records")
+        "doc_id", "status", "branch", F.expr(json_size("json")).alias("n_records")
     )
 
 
 def parse_v2(spark: SparkSession, d: str) -> DataFrame:
     return responses.parse_v2(_answers(spark, d)).select(
         "doc_id", "status", "candidate_no", "repaired",
-        json_kind(F.col("json")).alias("kind"), json_size(F.col("json")).alias("size"),
+        F.expr(json_kind("json")).alias("kind"), F.expr(json_size("json")).alias("size"),
     )
 
 
@@ -176,7 +172,7 @@ def light_fix(spark: SparkSession, d: str) -> DataFrame:
         F.lit("answer").alias("source"), F.col("doc_id").alias("row_id"), F.translate("response", '"', "'").alias("txt")
     )
     pages = fx.table(spark, d, "pages").select(F.lit("page"), "page_id", "html")
-    return answers.unionAll(pages).select("source", "row_id", fix_json(F.col("txt")).alias("fixed"))
+    return answers.unionAll(pages).select("source", "row_id", F.expr(fix_json("txt")).alias("fixed"))
 
 
 def quarantine(spark: SparkSession, d: str) -> DataFrame:
@@ -377,7 +373,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     outcomes, first, second = (work_folder(spark, p) for p in ("outcomes", "stream", "stream"))
     for checkpoint in (first, second):
         arriving = spark.readStream.schema(schema).parquet(f"{d}/part*.parquet")
-        answers = spark.sql(fx.RESPONSES.format(part="{part}").replace('{"', '{{"').replace("}'", "}}'"), part=arriving)
+        answers = spark.sql(fx.RESPONSES, part=arriving)
         ingest.ingest_answers(answers, outcomes, checkpoint).awaitTermination()
     return ingest.read_outcomes(spark, outcomes).select("doc_id", "status", "candidate_no", "repaired", "raw")
 
