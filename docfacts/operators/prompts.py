@@ -60,11 +60,11 @@ def _seconds(clock: str):
 def parse_prompt_log(logs: DataFrame, log_id: str = "log_id", text: str = "value") -> DataFrame:
     """One row per step of a run's log: numbers printed by the bar, new prompt, similarity."""
     groups = ["step", "epoch", "clock", "seconds_per_step", "prompt", "similarity"]
-    arrays = [F.regexp_extract_all(F.col(text), F.lit(LOG_STEP), F.lit(i + 1)).alias(g) for i, g in enumerate(groups)]
+    steps = F.posexplode(F.regexp_extract_all(F.col(text), F.lit(LOG_STEP), F.lit(0))).alias("_pos", "_step")
+    parts = [F.regexp_extract("_step", LOG_STEP, i + 1).alias(g) for i, g in enumerate(groups)]
     return (
-        logs.select(log_id, *arrays)
-        .select(log_id, F.posexplode(F.arrays_zip(*groups)).alias("_pos", "_s"))
-        .select(log_id, (F.col("_pos") + 1).alias("version"), "_s.*")
+        logs.select(log_id, steps)
+        .select(log_id, (F.col("_pos") + 1).alias("version"), *parts)
         .select(
             log_id,
             "version",

@@ -37,7 +37,7 @@ def scan_pdfs_recursive(spark: SparkSession, targets: Sequence[str]) -> DataFram
 
 def read_record_files(spark: SparkSession, folder: str) -> DataFrame:
     """``*.json`` files of a folder, one row each: ``file_name``, ``path``, ``value``."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     return files.select(
         F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("path"), "value"
     )
@@ -73,6 +73,6 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 
 def read_prompt_logs(spark: SparkSession, path: str) -> DataFrame:
     """Run logs (one file each) as prompt history rows."""
-    logs = spark.read.option("wholetext", "true").text(path)
+    logs = spark.read.text(path, wholetext=True)
     named = logs.select(F.col("_metadata.file_name").alias("log_id"), "value")
     return parse_prompt_log(named)
