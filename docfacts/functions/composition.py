@@ -40,8 +40,13 @@ def _find_all(text: str, pattern: str, group: int) -> str:
     return f"regexp_extract_all({text}, {literal(pattern)}, {group})"
 
 
-def _numbers(texts: str, otherwise: str = "null") -> str:
-    return each(texts, lambda n: f"coalesce(try_cast({n} as double), {otherwise})")
+def _numbers(texts: str) -> str:
+    return each(texts, lambda n: f"try_cast({n} as double)")
+
+
+def _numbers_or_one(texts: str) -> str:
+    # A failed cast costs an exception inside Spark, and most amounts left out are empty texts.
+    return each(texts, lambda n: f"if({n} = '', 1D, coalesce(try_cast({n} as double), 1D))")
 
 
 def _sum_by_key(keys: str, values: str) -> str:
@@ -69,7 +74,7 @@ def parse_formula(text: str) -> str:
     def amounts(t: str) -> str:
         found = (
             f"named_struct('k', {_find_all(t, FORMULA_TERM, 1)},"
-            f" 'v', {_numbers(_find_all(t, FORMULA_TERM, 2), '1D')})"
+            f" 'v', {_numbers_or_one(_find_all(t, FORMULA_TERM, 2))})"
         )
         return let(found, lambda p: f"if(size({p}.k) > 0, {_sum_by_key(f'{p}.k', f'{p}.v')}, null)")
 

@@ -27,7 +27,7 @@ def normalize_text(text: str) -> str:
     # The regex runs only on the few texts that have a hyphen at a line end.
     line_end = literal(rf"([{WORD}])-\n([{WORD}])")
     joined = f"if(contains({text}, '-\\n'), regexp_replace({text}, {line_end}, '$1$2'), {text})"
-    runs = literal(rf"[{SPACE}]{{2,}}|[\t\r\n]")
+    runs = literal(rf"[{SPACE}]{{2,}}+|[\t\r\n]")
     return strip(f"regexp_replace({joined}, {runs}, ' ')")
 
 

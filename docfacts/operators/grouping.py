@@ -43,22 +43,27 @@ def previous_in_group(rows: DataFrame, key: str, order: str, value: str, block:
 
     Groups are cut into ranges of ``block`` order values, so a long group is spread over
     many tasks. The first row of a range takes the last value of the range before, which
-    is one small row per range. Keeps ``_block`` so that later grouping by key, ``_block``
+    is one row per range. Whether there is more than one range is looked up first, from
+    the order column alone. Keeps ``_block`` so that later grouping by key, ``_block``
     and more needs no further shuffle.
     """
     cut = rows.select(key, order, value, F.floor(F.col(order) / F.lit(block)).cast("bigint").alias("_block"))
+    in_block = Window.partitionBy(key, "_block").orderBy(order)
+    inside = cut.withColumn("previous", F.lag(value).over(in_block))
+    first_block, last_block = cut.agg(F.min("_block"), F.max("_block")).first()
+    if first_block == last_block:
+        return inside
+
     last = cut.groupBy(key, "_block").agg(F.max_by(value, order).alias("_carry"))
     by_block = Window.partitionBy(key).orderBy("_block")
     carried = last.select(key, F.lead("_block").over(by_block).alias("_block"), "_carry").where(
         F.col("_block").isNotNull()
     )
-    in_block = Window.partitionBy(key, "_block").orderBy(order)
     return (
-        cut.withColumn("_inside", F.lag(value).over(in_block))
-        .withColumn("_first", F.row_number().over(in_block) == 1)
+        inside.withColumn("_first", F.row_number().over(in_block) == 1)
         .join(carried, [key, "_block"], "left")
-        .withColumn("previous", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_inside")))
-        .drop("_inside", "_first", "_carry")
+        .withColumn("previous", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("previous")))
+        .drop("_first", "_carry")
     )
 
 

@@ -64,9 +64,13 @@ def paper_id_of(file_name: Column) -> Column:
 
 def parse_record_files(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
     """Adds ``json``, ``Paperid`` and ``issue`` (bad_json, not_a_list or null)."""
-    parsed = files.withColumn("json", F.expr(strict_json(value)))
-    issue = F.when(F.col("json").isNull(), "bad_json").when(F.expr(f"{json_kind('json')} <> 'array'"), "not_a_list")
-    return parsed.withColumn("Paperid", paper_id_of(F.col(file_name))).withColumn("issue", issue)
+    issue = f"case when _json is null then 'bad_json' when {json_kind('_json')} <> 'array' then 'not_a_list' end"
+    # One row in, one row out: the generator keeps a later filter from repeating the parse.
+    return (
+        files.select("*", F.inline(F.array(F.struct(F.expr(strict_json(value)).alias("_json")))))
+        .withColumns({"json": F.col("_json"), "Paperid": paper_id_of(F.col(file_name)), "issue": F.expr(issue)})
+        .drop("_json")
+    )
 
 
 def combine_records(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:

@@ -45,10 +45,24 @@ def parse_v1(responses: DataFrame, text: str = "response") -> DataFrame:
     )
 
 
+def _candidates(text: str) -> str:
+    return f"if({text} is null, array(), concat({fenced_candidates(text)}, {bracket_candidates(text)}))"
+
+
 def json_candidates(responses: DataFrame, text: str = "response") -> DataFrame:
     """Adds ``candidates``: fenced blocks, other blocks, balanced arrays, balanced objects."""
-    found = f"concat({fenced_candidates(text)}, {bracket_candidates(text)})"
-    return responses.withColumn("candidates", F.expr(f"if({text} is null, array(), {found})"))
+    return responses.withColumn("candidates", F.expr(_candidates(text)))
+
+
+def candidate_rows(responses: DataFrame, doc_id: str = "doc_id", text: str = "response") -> DataFrame:
+    """One row per candidate with its number from 1."""
+    # The outer form adds no filter that would search every text a second time.
+    found = F.posexplode_outer(F.expr(_candidates(text))).alias("_pos", "candidate")
+    return (
+        responses.select(doc_id, found)
+        .where(F.col("_pos").isNotNull())
+        .select(doc_id, (F.col("_pos") + 1).alias("candidate_no"), "candidate")
+    )
 
 
 def _first_success(candidates: str, tried_before: str) -> str:

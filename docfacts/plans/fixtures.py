@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docfacts.sources.files import spread_few_files
+
 TABLES = ["part", "nation", "documents", "pages", "labels", "conversations"]
 
 # Alloys: a name and two compositions in varying spellings, several per paper.
@@ -174,11 +176,24 @@ def duckdb_sql(sql: str) -> str:
     return _fill(sql, {t: t for t in TABLES}, DUCKDB_PAGES).strip()
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The derivation as a Spark DataFrame over the parquet files of ``sf_dir``."""
-    files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(_fill(sql, files, SPARK_PAGES))
+# Unique row key of the tables whose rows cost much work in the queries.
+HEAVY = {"part": "p_partkey", "documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_few_files(df, HEAVY[name]) if name in HEAVY else df
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The derivation as a Spark DataFrame over the parquet files of ``sf_dir``."""
+    markers = {t: f"{{{t}}}" for t in TABLES}
+    text = _fill(sql, markers, SPARK_PAGES)
+    used = {t: table(spark, sf_dir, t) for t in TABLES if markers[t] in text}
+    # What is left in braces are table names, other braces belong to JSON texts.
+    for t in used:
+        text = text.replace(markers[t], f"\0{t}\0")
+    text = text.replace("{", "{{").replace("}", "}}")
+    for t in used:
+        text = text.replace(f"\0{t}\0", markers[t])
+    return spark.sql(text, **used)

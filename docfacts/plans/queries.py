@@ -153,18 +153,12 @@ def parse_v2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_candidates(spark: SparkSession, d: str) -> DataFrame:
-    found = responses.json_candidates(_answers(spark, d))
-    return found.select("doc_id", F.posexplode("candidates").alias("_p", "candidate")).select(
-        "doc_id", (F.col("_p") + 1).alias("candidate_no"), "candidate"
-    )
+    return responses.candidate_rows(_answers(spark, d))
 
 
 def json_candidates_pages(spark: SparkSession, d: str) -> DataFrame:
     """Balanced chunks in whole web pages."""
-    found = responses.json_candidates(fx.table(spark, d, "pages"), "html")
-    return found.select("page_id", F.posexplode("candidates").alias("_p", "candidate")).select(
-        "page_id", (F.col("_p") + 1).alias("candidate_no"), "candidate"
-    )
+    return responses.candidate_rows(fx.table(spark, d, "pages"), "page_id", "html")
 
 
 def light_fix(spark: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,19 @@ NULL_WORDS = [
 ]
 
 
+FEW_FILES = 32
+
+
+def spread_few_files(df: DataFrame, key: str) -> DataFrame:
+    """Share out a table that comes in fewer files than there are cores, by a unique key.
+
+    A file of one row group is read by one task, which would then do all the narrow work
+    that follows. Tables in many files, which is what large ones are, stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < min(cores, FEW_FILES) else df
+
+
 def scan_pdfs(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
     """PDF files directly in a folder (suffix in lower case) with ``doc_id``; bytes only if asked for."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
