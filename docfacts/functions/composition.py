@@ -28,6 +28,7 @@ PAIR = r"(?<![^ ])([A-Z][a-z]?) (?:= )?(-?\d*\.?\d+(?:[eE][+-]?\d+)?)([a-zA-Z%]*
 
 WEIGHTS = "map(" + ", ".join(f"'{element}', {weight}D" for element, weight in ATOMIC_WEIGHTS.items()) + ")"
 EMPTY = "cast(map() as map<string,double>)"
+NO_ORDER = "cast(array() as array<string>)"
 
 
 def clean_text(text: str) -> str:
@@ -187,7 +188,7 @@ def infer_from_name(name: str) -> str:
 
 def element_order(name: str) -> str:
     """Element symbols of a name in order, repeats kept; empty for null."""
-    return f"coalesce({_find_all(name, ELEMENT, 0)}, cast(array() as array<string>))"
+    return f"coalesce({_find_all(name, ELEMENT, 0)}, {NO_ORDER})"
 
 
 def distances(a: str, b: str) -> str:
@@ -219,7 +220,7 @@ def drop_zero(fractions: str, eps: float = 1e-8) -> str:
     return f"map_filter({fractions}, ({k}, {v}) -> {v} > {eps!r}D and not isnan({v}))"
 
 
-def ratio_string(fractions: str, order: str, eps: float = 1e-8, decimals: int = 1) -> str:
+def ratio_string(fractions: str, order: str = NO_ORDER, eps: float = 1e-8, decimals: int = 1) -> str:
     """``A1.0B1.5``: scaled so that the smallest kept fraction is 1, in the order of the name."""
 
     def text(kept: str) -> str:
