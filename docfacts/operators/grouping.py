@@ -7,32 +7,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# Up to this many heavy keys are sent to every executor; more are joined by shuffle.
+BROADCAST_KEYS = 100_000
+
+
 def bounded_lists(
-    rows: DataFrame, key: str, order: Sequence[str], item: Column, list_size: int = 10_000, salts: int = 32
+    rows: DataFrame,
+    key: str,
+    order: Sequence[str],
+    item: Column,
+    list_size: int = 10_000,
+    salts: int = 32,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Collect ``item`` per key into sorted lists of about ``list_size`` entries at most.
 
     A key with few rows gives one list. A key with more is dealt over several numbered
     lists by a hash of ``order``, which must be unique per row, so no list grows with the
-    data and no row is lost. Result: key, ``list_no``, ``n_items``, ``items``.
+    data and no row is lost. The keys with too many rows are counted first, from the key
+    column alone; mostly there are none. Result: key, ``list_no``, ``n_items``, ``items``.
     """
     n_lists = F.ceil(F.col("_n") / F.lit(list_size)).cast("int")
-    # Only keys above the list size are kept, once per salt, so the join is spread over
-    # the salts of a heavy key instead of going to one task.
-    heavy = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > list_size)
-        .select(key, n_lists.alias("_lists"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    )
-    salted = rows.withColumn("_item", F.struct(*order, item.alias("item"))).withColumn(
-        "_salt", F.pmod(F.hash(*order), F.lit(salts))
-    )
-    dealt = salted.join(heavy, [key, "_salt"], "left").withColumn(
-        "list_no", F.pmod(F.xxhash64(*order), F.coalesce("_lists", F.lit(1)).cast("bigint")).cast("int")
-    )
+    heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > list_size)
+    heavy = heavy.select(key, n_lists.alias("_lists"))
+    entries = rows.withColumn("_item", F.struct(*order, item.alias("item")))
+
+    n_heavy = heavy.count()
+    if n_heavy == 0:
+        entries = entries.withColumn("_lists", F.lit(1))
+    elif n_heavy <= broadcast_keys:
+        entries = entries.join(F.broadcast(heavy), key, "left")
+    else:
+        # Each key once per salt, so a heavy key is joined in many tasks instead of one.
+        spread = heavy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        entries = entries.withColumn("_salt", F.pmod(F.hash(*order), F.lit(salts))).join(spread, [key, "_salt"], "left")
+
+    lists = F.coalesce("_lists", F.lit(1)).cast("bigint")
     return (
-        dealt.groupBy(key, "list_no")
+        entries.withColumn("list_no", F.pmod(F.xxhash64(*order), lists).cast("int"))
+        .groupBy(key, "list_no")
         .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
         .select(key, "list_no", F.size("_items").alias("n_items"), F.col("_items.item").alias("items"))
     )

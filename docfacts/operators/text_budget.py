@@ -56,6 +56,11 @@ def text_stats(
     )
 
 
+def text_failures(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents left out of the statistics because no extraction gave a text."""
+    return documents.where(F.col(text).isNull()).select(F.col(doc_id), F.lit("no_text").alias("reason"))
+
+
 def default_page_size(size: str = "letter", width: float | None = None, height: float | None = None) -> tuple[float, float]:
     """Both overrides together win; otherwise the named size, letter if unknown."""
     if width is not None and height is not None:

@@ -38,9 +38,14 @@ def verdict_scores(verdicts: DataFrame, doc_id: str = "doc_id", text: str = "ver
 def batch_feedback(
     batches: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id", text: str = "verdict_text"
 ) -> DataFrame:
-    """The verdict texts of each batch, joined in batch order (a batch holds a few documents)."""
+    """The verdict texts of each batch, joined in batch order.
+
+    A document has one verdict; repeats fall together before the join, so a batch holds no
+    more texts than documents.
+    """
+    one_each = verdicts.groupBy(doc_id).agg(F.max(text).alias(text))
     return (
-        batches.join(verdicts.select(doc_id, text), doc_id)
+        batches.join(one_each, doc_id)
         .groupBy("epoch", "batch")
         .agg(
             F.count(F.lit(1)).alias("n_verdicts"),

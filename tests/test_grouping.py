@@ -21,8 +21,11 @@ def _heavy(spark, n: int = 3000):
     )
 
 
-def test_lists_are_bounded_and_whole(spark):
-    lists = bounded_lists(_heavy(spark), "k", ["id"], F.struct("id", "text"), list_size=50, salts=4).collect()
+@pytest.mark.parametrize("broadcast_keys", [0, 10])
+def test_lists_are_bounded_and_whole(spark, broadcast_keys):
+    lists = bounded_lists(
+        _heavy(spark), "k", ["id"], F.struct("id", "text"), list_size=50, salts=4, broadcast_keys=broadcast_keys
+    ).collect()
     assert max(r.n_items for r in lists) < 120
     seen = [(r.k, i.id) for r in lists for i in r["items"]]
     assert sorted(seen) == sorted((r.k, r.id) for r in _heavy(spark).collect())
@@ -98,9 +101,10 @@ def test_label_sets(spark):
 def test_verdicts(spark):
     text = "Yes\n\n2. no\nYES it is\nunclear\nyes\nyes\nyes\nyes\nNo"
     df = spark.createDataFrame([(1, text), (2, "no")], "doc_id long, verdict_text string")
+    repeated = df.unionAll(df)
     got = {r.question_no: (r.n_answers, r.n_yes, r.n_no, r.n_unclear, r.good_rate) for r in verdicts.verdict_scores(df).collect()}
     assert got[1] == (2, 1, 1, 0, 0.5) and got[2] == (1, 0, 1, 0, 0.0)
     assert got[4] == (1, 0, 0, 1, None) and got[9] == (1, 0, 1, 0, 1.0)
     batches = spark.createDataFrame([(0, 0, 1, 1), (0, 0, 0, 2), (1, 5, 0, 1)], "epoch int, batch long, position int, doc_id long")
-    joined = {(r.epoch, r.batch): (r.n_verdicts, r.feedback) for r in verdicts.batch_feedback(batches, df).collect()}
+    joined = {(r.epoch, r.batch): (r.n_verdicts, r.feedback) for r in verdicts.batch_feedback(batches, repeated).collect()}
     assert joined == {(0, 0): (2, "no\n\n" + text), (1, 5): (1, text)}

@@ -7,6 +7,7 @@ import pytest
 from conftest import executed_plan
 from pyspark.sql import functions as F
 
+from docfacts.functions.tokens import exact_token_count
 from docfacts.functions.text import tokens_from_chars, tokens_from_words
 from docfacts.operators import text_budget
 
@@ -84,3 +85,24 @@ def test_only_needed_columns_are_read(spark):
     plan = executed_plan(text_budget.text_stats(docs))
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_exact_tokens(spark):
+    def byte_encoding(name: str):
+        import tiktoken
+
+        ranks = {bytes([i]): i for i in range(256)}
+        return tiktoken.Encoding(name, pat_str=r".", mergeable_ranks=ranks, special_tokens={"<|end|>": 256})
+
+    def no_encoding(name: str):
+        raise OSError(name)
+
+    docs = spark.createDataFrame([(1, "abc\n\nd"), (2, "é"), (3, "<|end|>")], "doc_id int, text string")
+    for load, want in ((byte_encoding, {1: 5, 2: 2, 3: None}), (no_encoding, {1: None, 2: None, 3: None})):
+        counted = text_budget.text_stats(docs, exact_tokens=exact_token_count("bytes", load)(F.col("norm")))
+        assert {r.doc_id: r.tokens_tiktoken for r in counted.collect()} == want
+
+
+def test_failures(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id int, text string")
+    assert [tuple(r) for r in text_budget.text_failures(docs).collect()] == [(2, "no_text")]
