@@ -34,7 +34,9 @@ NO_ORDER = "cast(array() as array<string>)"
 def clean_text(text: str) -> str:
     """Separators to blanks, full-width signs and long dashes to ASCII, blanks collapsed."""
     ascii_signs = f"translate({text}, ',;|＝：–—', '   =:--')"
-    return strip(f"regexp_replace({ascii_signs}, {literal(f'[{SPACE}]+')}, ' ')")
+    cleaned = strip(f"regexp_replace({ascii_signs}, {literal(f'[{SPACE}]+')}, ' ')")
+    # Most compositions are plain formulas with nothing to clean.
+    return f"if(rlike({text}, {literal(r'\A[A-Za-z0-9.]*+\z')}), {text}, {cleaned})"
 
 
 def _find_all(text: str, pattern: str, group: int) -> str:
@@ -199,7 +201,7 @@ def distances(a: str, b: str) -> str:
     k, x, y = fresh(), fresh(), fresh()
     # Sorted by element, so that sums do not depend on the order of writing.
     both = (
-        f"array_sort(map_entries(map_zip_with({a}, {b}, ({k}, {x}, {y}) ->"
+        f"sort_array(map_entries(map_zip_with({a}, {b}, ({k}, {x}, {y}) ->"
         f" named_struct('x', coalesce({x}, 0D), 'y', coalesce({y}, 0D)))))"
     )
 
@@ -225,7 +227,7 @@ def ratio_string(fractions: str, order: str = NO_ORDER, eps: float = 1e-8, decim
 
     def text(kept: str) -> str:
         named = only(order, lambda e: f"map_contains_key({kept}, {e})")
-        elements = f"concat({named}, array_sort(array_except(map_keys({kept}), {order})))"
+        elements = f"concat({named}, sort_array(array_except(map_keys({kept}), {order})))"
 
         def parts(base: str) -> str:
             return each(
@@ -247,7 +249,7 @@ def name_without_zero(name: str, fractions: str, order: str, eps: float = 1e-8)
 def sorted_json(amounts: str) -> str:
     """JSON object text with sorted keys, one blank after separators."""
     entries = each(
-        f"array_sort(map_entries({amounts}))",
+        f"sort_array(map_entries({amounts}))",
         lambda e: f"concat('\"', {e}.key, '\": ', {double_text(f'{e}.value')})",
     )
     return f"concat('{{', array_join({entries}, ', '), '}}')"

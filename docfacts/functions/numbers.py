@@ -36,7 +36,7 @@ def double_text(value: str) -> str:
 
     plain = f"format_number({value}, '0.0{'#' * 24}')"
     return (
-        f"case when {value} = 0D then cast({value} as string)"
+        f"case when {value} = 0D or (abs({value}) >= 1e-3D and abs({value}) < 1e7D) then cast({value} as string)"
         f" when abs({value}) >= 1e-4D and abs({value}) < 1e16D then {plain}"
         f" when isnan({value}) then 'NaN'"
         f" when abs({value}) = double('infinity') then if({value} > 0D, 'Infinity', '-Infinity')"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfacts.sources.files import spread_few_files
+from docfacts.sources.files import spread_small_table
 
 TABLES = ["part", "nation", "documents", "pages", "labels", "conversations"]
 
@@ -182,7 +182,7 @@ HEAVY = {"part": "p_partkey", "documents": "doc_id", "pages": "page_id"}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_few_files(df, HEAVY[name]) if name in HEAVY else df
+    return spread_small_table(df, HEAVY[name]) if name in HEAVY else df
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

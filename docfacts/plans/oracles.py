@@ -516,7 +516,7 @@ select paper as Paperid, cast(pos as int) as pos, '10.1/' || paper_id as doi, na
   '{{"lattice_constant":' || (100 - conf) || ',"name":' || conf || '}}' as confidence_scores, cast(null as varchar) as is_single_phase
 from entries where shape <> 3""",
     "record_keys": """select distinct unnest(['name', 'nominal_composition', 'measured_composition', 'lattice_constant', 'phases', 'doi', 'confidence_scores']) as key
-from part where p_partkey % 5 in (0, 1, 2)""",
+from part""",
     "prompt_similarity": _SIMILARITY,
     "prompt_log": _LOG,
     "label_sets": _LABEL_SETS,

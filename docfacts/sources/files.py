@@ -17,17 +17,17 @@ NULL_WORDS = [
 ]
 
 
-FEW_FILES = 32
+FEW_PARTITIONS = 32
 
 
-def spread_few_files(df: DataFrame, key: str) -> DataFrame:
-    """Share out a table that comes in fewer files than there are cores, by a unique key.
+def spread_small_table(df: DataFrame, key: str) -> DataFrame:
+    """Share out a table that is read in fewer partitions than there are cores, by a unique key.
 
-    A file of one row group is read by one task, which would then do all the narrow work
-    that follows. Tables in many files, which is what large ones are, stay as they are read.
+    A small file is read by one task, which would then do all the narrow work that
+    follows. Tables read in many partitions, which is what large ones are, stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < min(cores, FEW_FILES) else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, FEW_PARTITIONS) else df
 
 
 def scan_pdfs(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
