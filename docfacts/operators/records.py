@@ -107,6 +107,20 @@ def combine_with_keys(
     return rows.withColumn("_fields", fields).select("Paperid", "pos", *columns).orderBy("Paperid", "pos")
 
 
+def combine_all(
+    files: DataFrame, file_name: str = "file_name", value: str = "value", max_keys: int = 1000
+) -> DataFrame:
+    """Combined table with a column for every key that occurs, in name order.
+
+    The keys are looked up first. They are the columns of the result, so there can only be
+    so many: above ``max_keys`` this fails, and :func:`combine_with_keys` takes a choice.
+    """
+    keys = [row.key for row in record_keys(files, file_name, value).limit(max_keys + 1).collect()]
+    if len(keys) > max_keys:
+        raise ValueError(f"more than {max_keys} different record keys")
+    return combine_with_keys(files, sorted(keys), file_name, value)
+
+
 def confidence_profile(records: DataFrame, threshold: int = HIGH_CONFIDENCE) -> DataFrame:
     """Per field: records, scored records, high-confidence records and their share."""
     counts = [F.count(F.lit(1)).alias("n")]

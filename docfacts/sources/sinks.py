@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -23,15 +23,31 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).option("emptyValue", "").csv(path)
 
 
-def write_results(parsed: DataFrame, results: str, quarantine: str, doc_id: str = "doc_id", text: str = "response", mode: str = "append") -> None:
-    """Parsed answers to the result table, all others to the quarantine table with their raw text.
+def write_outcomes(
+    parsed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "response", mode: str = "append"
+) -> None:
+    """Parsed answers, and the whole raw text of all others, as one table partitioned by status.
 
-    One table each instead of a file per document.
+    One table instead of a file per document, and one pass, so each answer is parsed once.
     """
-    ok = parsed.where(F.col("status") == "ok").select(doc_id, F.to_json("json").alias("json"))
-    bad = parsed.where(F.col("status") != "ok").select(doc_id, F.col("status").alias("reason"), F.col(text).alias("raw"))
-    ok.write.mode(mode).parquet(results)
-    bad.write.mode(mode).parquet(quarantine)
+    parsed.select(
+        doc_id,
+        F.to_json("json").alias("json"),
+        F.when(F.col("status") != "ok", F.col(text)).alias("raw"),
+        "status",
+    ).write.mode(mode).partitionBy("status").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame:
+    """The parsed answers of :func:`write_outcomes`; reads only their partition."""
+    return spark.read.parquet(path).where(F.col("status") == "ok").select(doc_id, "json")
+
+
+def read_quarantine(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame:
+    """The answers without a result, with reason and raw text; reads only their partitions."""
+    return (
+        spark.read.parquet(path).where(F.col("status") != "ok").select(doc_id, F.col("status").alias("reason"), "raw")
+    )
 
 
 def append_verdicts(verdicts: DataFrame, path: str) -> None:

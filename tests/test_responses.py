@@ -4,6 +4,7 @@ import json
 import random
 
 import brute
+import pytest
 from conftest import executed_plan
 from pyspark.sql import functions as F
 
@@ -88,10 +89,11 @@ def test_random_answers_agree_with_plain_python(spark):
 def test_long_answers_are_scanned_whole(spark):
     entry = '{"a": "x]}\'", "n": [1, [2, 3]]}'
     long = "It's long: [" + ",".join([entry] * 20_000) + "] end"
-    row = responses.parse_v2(_answers(spark, [long, "[" * 5000 + "text", "{\"a\": \"" + "y" * 500_000 + "\"}"]))
+    fenced = "Here:\n```json\n[" + ",".join([entry] * 60_000) + "]\n```"
+    row = responses.parse_v2(_answers(spark, [long, "[" * 5000 + "text", "{\"a\": \"" + "y" * 500_000 + "\"}", fenced]))
     got = {r.doc_id: (r.status, r.n) for r in row.select("doc_id", "status", F.expr(json_size("json")).alias("n")).collect()}
     # The apostrophe before the list is outside of it; the one inside is in a string.
-    assert got == {0: ("ok", 20_000), 1: ("raw", None), 2: ("ok", 1)}
+    assert got == {0: ("ok", 20_000), 1: ("raw", None), 2: ("ok", 1), 3: ("ok", 60_000)}
 
 
 def test_filters_do_not_repeat_the_parse(spark):
@@ -117,7 +119,10 @@ def test_records(spark):
     assert {(r.file_name, r.reason) for r in records.file_issues(files).collect()} == {("c.json", "not_a_list"), ("d.json", "bad_json")}
     keys = sorted(r.key for r in records.record_keys(files).collect())
     assert keys == ["confidence_scores", "is_single_phase", "lattice_constant", "name", "phases"]
-    wide = records.combine_with_keys(files, keys).collect()
+    assert records.combine_all(files).columns == ["Paperid", "pos", *keys]
+    with pytest.raises(ValueError):
+        records.combine_all(files, max_keys=4)
+    wide = records.combine_all(files).collect()
     assert wide[2].is_single_phase == "true" and wide[0].phases is None
     parsed = records.parse_record_files(files)
     flat = records.flatten_records(parsed, "Paperid", accept_object=True, placeholder="Not found")

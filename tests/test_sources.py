@@ -105,9 +105,13 @@ def test_log_file(spark, tmp_path):
 
 def test_results_and_verdict_tables(spark, tmp_path):
     answers = spark.createDataFrame([(1, "[1]"), (2, "none")], "doc_id long, response string")
-    sinks.write_results(responses.parse_v2(answers), str(tmp_path / "ok"), str(tmp_path / "bad"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == [(1, "[1]")]
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [(2, "raw", "none")]
+    sinks.write_outcomes(responses.parse_v2(answers), str(tmp_path / "t"))
+    results, held = sinks.read_results(spark, str(tmp_path / "t")), sinks.read_quarantine(spark, str(tmp_path / "t"))
+    assert [tuple(r) for r in results.collect()] == [(1, "[1]")]
+    assert [tuple(r) for r in held.collect()] == [(2, "raw", "none")]
+    assert "PartitionFilters: [isnotnull(status" in executed_plan(results)
+    docs = spark.range(1, 5).withColumnRenamed("id", "doc_id")
+    assert sorted(r.doc_id for r in documents.pending_docs(docs, results, held).collect()) == [3, 4]
     verdict = spark.createDataFrame([(1, "Yes")], "doc_id long, verdict_text string")
     for _ in range(2):
         sinks.append_verdicts(verdict, str(tmp_path / "v"))
