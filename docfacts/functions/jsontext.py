@@ -11,6 +11,14 @@ FENCE_CLOSE = "```"
 JSON_FENCE = r"(?is)```json\s*(.*?)```"
 OTHER_FENCE = r"(?s)```(?!json)(?:[a-zA-Z0-9_+-]*)\s*(.*?)```"
 
+# Repairs of almost-JSON in order, pattern and replacement.
+_WS = rf"[{SPACE}]*"
+REPAIRS = [
+    (rf",({_WS}[}}\]])", "$1"),
+    (rf"([{{\[,]){_WS}'([^'\\]*?)'{_WS}:", '$1 "$2":'),
+    (rf":{_WS}'([^'\\]*?)'({_WS}[,}}\]])", ': "$1"$2'),
+]
+
 # Closes the probe array below. A text that contained it could not be told from a whole value.
 _END_MARK = "e7c1f0a94b5d4f2c8a36d0b1957e2c48"
 NO_TEXTS = "cast(array() as array<string>)"
@@ -120,9 +128,6 @@ def bracket_candidates(text: str) -> str:
 
 def light_fix(text: str) -> str:
     """Drop trailing commas, then turn single-quoted keys and values into double-quoted ones."""
-    ws = rf"[{SPACE}]*"
-    commas = f"regexp_replace({text}, {literal(rf',({ws}[}}\]])')}, '$1')"
-    key = literal(rf"([{{\[,]){ws}'([^'\\]*?)'{ws}:")
-    value = literal(rf":{ws}'([^'\\]*?)'({ws}[,}}\]])")
-    keys = f"regexp_replace({commas}, {key}, {literal('$1 "$2":')})"
-    return f"regexp_replace({keys}, {value}, {literal(': "$1"$2')})"
+    for pattern, replacement in REPAIRS:
+        text = f"regexp_replace({text}, {literal(pattern)}, {literal(replacement)})"
+    return text

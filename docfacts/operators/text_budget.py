@@ -16,6 +16,7 @@ from docfacts.functions.text import (
 # Page sizes in inches.
 PAGE_SIZES = {"letter": (8.5, 11.0), "a4": (8.27, 11.69)}
 
+# Columns of the statistics file.
 CSV_COLUMNS = [
     "file", "pages", "characters", "words", "tokens_word_est", "tokens_char_est", "tokens_tiktoken",
     "engine", "image_mp", "image_tokens", "total_tokens_word_est", "total_tokens_char_est",
