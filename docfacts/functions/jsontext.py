@@ -19,7 +19,7 @@ REPAIRS = [
     (rf":{_WS}'([^'\\]*?)'({_WS}[,}}\]])", ': "$1"$2'),
 ]
 
-# Closes the probe array below. A text that contained it could not be told from a whole value.
+# Closes the probe array below. A text that contains it is not taken for a value.
 _END_MARK = "e7c1f0a94b5d4f2c8a36d0b1957e2c48"
 NO_TEXTS = "cast(array() as array<string>)"
 
@@ -30,11 +30,17 @@ def strict_json(text: str) -> str:
     ``try_parse_json`` accepts text after the value, so the text is parsed as the first
     of exactly two array entries.
     """
-    probe = f"try_cast(try_parse_json(concat('[', {text}, ',\"{_END_MARK}\"]')) as array<variant>)"
-    return let(
-        probe,
-        lambda a: f"if(size({a}) = 2 and try_variant_get(get({a}, 1), '$', 'string') = '{_END_MARK}', get({a}, 0), null)",
-    )
+
+    def whole(t: str) -> str:
+        probe = f"try_cast(try_parse_json(concat('[', {t}, ',\"{_END_MARK}\"]')) as array<variant>)"
+        closed = let(
+            probe,
+            lambda a: f"if(size({a}) = 2 and try_variant_get(get({a}, 1), '$', 'string') = '{_END_MARK}',"
+            f" get({a}, 0), null)",
+        )
+        return f"if(contains({t}, '{_END_MARK}'), null, {closed})"
+
+    return let(text, whole)
 
 
 def json_kind(value: str) -> str:

@@ -4,33 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
+from docfacts.operators.documents import id_before_first_dot
 from docfacts.operators.responses import parse_v2
 
-OUTCOME_SCHEMA = (
-    "doc_id bigint, status string, candidate_no int, repaired boolean, json string, raw string, "
-    "query_id string, batch_id bigint"
-)
+
+def stream_answer_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of ``doc_id, response`` from a folder with one text file per answer."""
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
+    return stream.select(id_before_first_dot(F.col("_metadata.file_name")).alias("doc_id"), F.col("value").alias("response"))
+
+
+def stream_pdfs(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of ``doc_id, path, content`` from a folder of PDF files."""
+    stream = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("pathGlobFilter", "*.pdf")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(folder)
+    )
+    return stream.select(id_before_first_dot(F.col("_metadata.file_name")).alias("doc_id"), "path", "content")
 
 
 def read_outcomes(spark: SparkSession, outcomes: str) -> DataFrame:
     """The outcome table: results and quarantined answers, told apart by ``status``."""
-    return spark.read.schema(OUTCOME_SCHEMA).option("recursiveFileLookup", "true").parquet(outcomes)
+    return spark.read.option("recursiveFileLookup", "true").parquet(outcomes)
 
 
-def create_outcomes(spark: SparkSession, outcomes: str) -> None:
+def create_outcomes(answers: DataFrame, outcomes: str) -> None:
     """Make the outcome table exist, so that the first batch can read it."""
-    empty = spark.range(0).select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(OUTCOME_SCHEMA)]
-    )
+    columns = {
+        "doc_id": answers.schema["doc_id"].dataType, "status": "string", "candidate_no": "int", "repaired": "boolean",
+        "json": "string", "raw": "string", "query_id": "string", "batch_id": "bigint",
+    }
+    empty = answers.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()])
     empty.write.mode("overwrite").parquet(f"{outcomes.rstrip('/')}/start")
 
 
 def parse_outcomes(answers: DataFrame) -> DataFrame:
     parsed = parse_v2(answers)
     return parsed.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "doc_id",
         "status",
         F.col("candidate_no").cast("int").alias("candidate_no"),
         "repaired",
@@ -47,7 +62,7 @@ def ingest_answers(answers: DataFrame, outcomes: str, checkpoint: str) -> Stream
     folder, so a failure between write and commit adds nothing twice. The known ids live in
     the outcome table, not in stream state, so a new checkpoint does not start over.
     """
-    create_outcomes(answers.sparkSession, outcomes)
+    create_outcomes(answers, outcomes)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -140,3 +140,24 @@ def test_stream_works_on_new_documents_only(spark, tmp_path):
     # A new checkpoint reads every file again but finds all outcomes present.
     assert ingest_all("c2") == both
     assert ingest.read_outcomes(spark, outcomes).count() == 3
+
+
+def test_stream_of_files(spark, tmp_path):
+    answers = tmp_path / "answers"
+    answers.mkdir()
+    (answers / "p1.v2.txt").write_text("Result:\n[1]\nend")
+    (answers / "p2.txt").write_text("none")
+    outcomes = work_folder(spark, "outcomes")
+    for _ in range(2):
+        stream = ingest.stream_answer_files(spark, str(answers), files_per_batch=1)
+        ingest.ingest_answers(stream, outcomes, str(tmp_path / "c")).awaitTermination()
+    rows = ingest.read_outcomes(spark, outcomes).collect()
+    assert {(r.doc_id, r.status, r.json, r.raw) for r in rows} == {("p1", "ok", "[1]", None), ("p2", "raw", None, "none")}
+    assert {r.batch_id for r in rows} == {0, 1}
+
+
+def test_stream_of_pdfs(spark, folder, tmp_path):
+    stream = ingest.stream_pdfs(spark, str(folder))
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert [(r.doc_id, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("a", PDF)]
