@@ -53,22 +53,24 @@ def _numbers_or_one(texts: str) -> str:
 
 
 def _sum_by_key(keys: str, values: str) -> str:
-    """Map of key to summed value; the scan for repeats runs only if there are any."""
-
-    def sum_of(key: str) -> str:
-        # Sum and position run along the two arrays together.
-        a, x, r = fresh(), fresh(), fresh()
-        return (
-            f"aggregate({values}, named_struct('i', 0, 's', 0D),"
-            f" ({a}, {x}) -> named_struct('i', {a}.i + 1, 's', if({keys}[{a}.i] = {key}, {a}.s + {x}, {a}.s)),"
-            f" {r} -> {r}.s)"
-        )
+    """Map of key to summed value; repeats are merged only if there are any.
 
-    return let(
-        f"array_distinct({keys})",
-        lambda distinct: f"if(size({distinct}) = size({keys}), map_from_arrays({keys}, {values}),"
-        f" map_from_arrays({distinct}, {each(distinct, sum_of)}))",
+    Sorted by key and position, equal keys lie together and add up in the order written, in
+    one pass. That holds for long texts, too.
+    """
+    k, i, a, p, r = fresh(), fresh(), fresh(), fresh(), fresh()
+    entries = f"sort_array(transform({keys}, ({k}, {i}) -> named_struct('k', {k}, 'i', {i}, 'v', {values}[{i}])))"
+    start = f"named_struct('ks', {NO_ORDER}, 'vs', cast(array() as array<double>), 'k', cast(null as string), 's', 0D)"
+    same = f"named_struct('ks', {a}.ks, 'vs', {a}.vs, 'k', {a}.k, 's', {a}.s + {p}.v)"
+    done = f"concat({{0}}.ks, array({{0}}.k)), 'vs', concat({{0}}.vs, array({{0}}.s))"
+    following = f"named_struct('ks', {done.format(a)}, 'k', {p}.k, 's', 0D + {p}.v)"
+    first = f"named_struct('ks', {a}.ks, 'vs', {a}.vs, 'k', {p}.k, 's', 0D + {p}.v)"
+    merged = (
+        f"aggregate({entries}, {start},"
+        f" ({a}, {p}) -> case when {a}.k is null then {first} when {a}.k = {p}.k then {same} else {following} end,"
+        f" {r} -> map_from_arrays(concat({r}.ks, array({r}.k)), concat({r}.vs, array({r}.s))))"
     )
+    return f"if(size(array_distinct({keys})) = size({keys}), map_from_arrays({keys}, {values}), {merged})"
 
 
 def parse_formula(text: str) -> str:
