@@ -180,9 +180,9 @@ def duckdb_sql(sql: str) -> str:
 HEAVY = {"part": "p_partkey", "documents": "doc_id", "pages": "page_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small_table(df, HEAVY[name]) if name in HEAVY else df
+    return spread_small_table(df, HEAVY[name]) if spread and name in HEAVY else df
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

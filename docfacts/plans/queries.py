@@ -228,7 +228,7 @@ def _budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_megapixels(spark: SparkSession, d: str) -> DataFrame:
-    docs = fx.table(spark, d, "documents").select(
+    docs = fx.table(spark, d, "documents", spread=False).select(
         "doc_id", (F.lit(1) + F.floor(F.col("n_chars") / 3000)).cast("int").alias("pages")
     )
     sized = text_budget.image_megapixels(docs, fx.derived(spark, d, fx.PAGE_GEOMETRY), default_size="a4")
@@ -287,7 +287,7 @@ def _mix(item: Column, epoch: Column) -> Column:
 
 
 def mini_batches(spark: SparkSession, d: str) -> DataFrame:
-    return labels.mini_batches(fx.table(spark, d, "documents"), mix=_mix, mix_range=1000003)
+    return labels.mini_batches(fx.table(spark, d, "documents", spread=False), mix=_mix, mix_range=1000003)
 
 
 def batch_feedback(spark: SparkSession, d: str) -> DataFrame:
@@ -333,13 +333,13 @@ def pending_docs(spark: SparkSession, d: str) -> DataFrame:
     outcomes = fx.table(spark, d, "labels")
     results = outcomes.where(F.col("quality") == 1)
     raw = outcomes.where(F.col("quality") == 0)
-    return documents.pending_docs(fx.table(spark, d, "documents").select("doc_id", "source"), results, raw)
+    return documents.pending_docs(fx.table(spark, d, "documents", spread=False).select("doc_id", "source"), results, raw)
 
 
 def pair_outputs(spark: SparkSession, d: str) -> DataFrame:
     outputs = fx.table(spark, d, "labels").select(F.format_string("/out/%d.v1.json", "doc_id").alias("path"), "quality")
     suffix = F.when(F.col("lang") == "fr", ".PDF").otherwise(".pdf")
-    pdfs = fx.table(spark, d, "documents").select(F.concat(F.format_string("/out/%d.v1", "doc_id"), suffix).alias("path"))
+    pdfs = fx.table(spark, d, "documents", spread=False).select(F.concat(F.format_string("/out/%d.v1", "doc_id"), suffix).alias("path"))
     paired, missing = documents.pair_outputs(outputs, pdfs)
     return paired.unionByName(missing, allowMissingColumns=True)
 
