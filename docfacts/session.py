@@ -25,9 +25,12 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name for ``purpose`` under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a local temporary folder is used.
+    Where that is unset the warehouse folder is used, which a cluster shares too. Only a session
+    that runs in one process, as in tests, uses a local temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
         base = tempfile.mkdtemp(prefix="docfacts-")
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
