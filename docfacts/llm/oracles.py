@@ -3,6 +3,46 @@
 _ESCAPED = r"replace(replace(replace({0}, '\', '\e'), '<', '\l'), '>', '\g')"
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, unnest(range(len(words) - 7)) AS pos, words FROM split WHERE len(words) >= 8
+),
+keyed AS (SELECT doc_id, pos, array_to_string(words[pos + 1 : pos + 8], ' ') AS w FROM windows),
+again AS (SELECT doc_id, pos FROM keyed QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+steps AS (SELECT doc_id, least(8, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -8)) AS n FROM again),
+repeated AS (SELECT doc_id, sum(n) AS n FROM steps GROUP BY doc_id),
+numbered AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+judged AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS seen,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n_words,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS n_symbols,
+    len(regexp_extract_all(line, '[|»·›>]')) AS n_separators,
+    len(regexp_extract_all(line, '!')) AS n_marks
+  FROM numbered
+),
+lost AS (
+  SELECT doc_id, count(*) FILTER (seen) AS n_dup_lines, sum(length(line)) AS line_chars,
+    coalesce(sum(length(line)) FILTER (NOT (seen OR NOT regexp_matches(line, '\p{L}') OR 10 * n_symbols > length(line) OR 2 * n_marks > n_words
+      OR (n_separators >= 2 AND 3 * n_separators >= n_words)
+      OR regexp_matches(lower(line), '(cookie policy|accept cookies|privacy policy|terms of service|terms of use|all rights reserved|enable javascript|click here|skip to content|back to top|share this|lorem ipsum)'))), 0) AS kept_chars
+  FROM judged GROUP BY doc_id
+),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(line_chars, 0)::BIGINT AS line_chars, coalesce(kept_chars, 0)::BIGINT AS kept_chars
+  FROM split LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (line_chars - kept_chars) <= 30 * line_chars AS kept
+FROM counted
+""",
     "op4_chat_formatting": rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
