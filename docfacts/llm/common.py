@@ -74,7 +74,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64) if n else np.ones(1, np.uint64)
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 class Rolling:
@@ -98,10 +100,13 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in joined texts, and for each text the index of its first word (one more at the end)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in joined texts, and for each text the index of its first word (one more at the end).
+
+    ``blank`` says for each byte whether it ends a word.
+    """
     space = np.ones(len(data) + 1, bool)
-    space[:-1] = _IS_SPACE[data]
+    space[:-1] = blank[data]
     begin = np.empty(len(data) + 1, bool)
     begin[0] = not space[0]
     begin[1:] = space[:-1] & ~space[1:]
