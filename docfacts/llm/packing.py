@@ -88,9 +88,8 @@ def pack(documents: DataFrame, path: str, length: int = LENGTH, keep_ids: bool =
         base = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), codes.ids(texts)):
-                ids = np.append(ids.astype("<u4"), np.uint32(END_ID))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids = np.append(codes.ids(text or "").astype("<u4"), np.uint32(END_ID))
                 total = len(ids)
                 rest = total % length
                 for start in range(0, total - rest, length):

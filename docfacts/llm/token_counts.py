@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from docfacts.llm.common import slices
@@ -38,42 +39,48 @@ class PrefixCounts:
         self.encoder = encoder(path)
         self._merges = _Merges(path) if self.encoder.by_words else None
 
-    def boundaries(self, text: str, packed: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Character positions of the part ends and the exact token count of the text up to each; both start at 0."""
-        parts = self.encoder.parts([text])[0]
-        packed = self.encoder.packed([parts]) if packed is None else packed
+    def sums(self, parts: list[str]) -> np.ndarray:
+        """The exact token count up to each part end, from 0."""
         counts = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, map(packed.__getitem__, parts)), np.int64, len(parts)) // self.encoder.kind.itemsize, out=counts[1:])
+        np.cumsum(self.encoder.counts(parts), out=counts[1:])
+        return counts
+
+    @staticmethod
+    def ends(parts: list[str]) -> np.ndarray:
+        """Character positions of the part ends, from 0."""
         ends = np.zeros(len(parts) + 1, np.int64)
         ends[1:] = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        return ends, counts
+        return ends
 
     def part(self, part: str) -> np.ndarray:
         """The count of every prefix of one part."""
         table = self._merges.counts(part) if self._merges else None
         if table is None:  # characters that change when they are normalised: each prefix is read as it is
             texts = [part[:k] for k in range(len(part) + 1)]
-            table = np.array([len(ids) for ids in self.encoder.ids(texts)], np.int64)
+            table = self.encoder.counts(texts)
         return table
 
     def every_prefix(self, text: str) -> np.ndarray:
         """``counts[k]``: the tokens of ``text[:k]``."""
-        ends, counts = self.boundaries(text)
+        parts = self.encoder.parts(text)
+        counts = self.sums(parts)
         out, at = np.zeros(len(text) + 1, np.int64), 0
-        for i, part in enumerate(self.encoder.parts([text])[0]):
+        for i, part in enumerate(parts):
             out[at : at + len(part) + 1] = counts[i] + self.part(part)
             at += len(part) + 1
         return out
 
-    def longest_prefix(self, text: str, budget: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    def longest_prefix(self, text: str, budget: int) -> int:
         """The most characters of ``text`` whose tokens fit in ``budget``."""
-        ends, counts = known or self.boundaries(text)
+        parts = self.encoder.parts(text)
+        return self._longest(parts, self.sums(parts), budget)
+
+    def _longest(self, parts: list[str], counts: np.ndarray, budget: int) -> int:
         last = int(np.searchsorted(counts, budget, side="right")) - 1
-        if last == len(counts) - 1:
-            return len(text)
-        start = int(ends[last]) + (1 if last else 0)
-        part = text[start : int(ends[last + 1])]
-        fitting = np.flatnonzero(counts[last] + self.part(part) <= budget)
+        start = int(self.ends(parts[: last + 1])[last]) + (1 if last else 0)
+        if last == len(parts):
+            return start - 1 if last else 0
+        fitting = np.flatnonzero(counts[last] + self.part(parts[last]) <= budget)
         return start + int(fitting[-1])
 
 
@@ -161,18 +168,16 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = prefix_counts(path)
         for batch in slices(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            parts = tables.encoder.parts(texts)
-            packed = tables.encoder.packed(parts)
             tokens, fits = [], []
-            for text in texts:
-                known = tables.boundaries(text, packed)
-                tokens.append(int(known[1][-1]))
-                fits.append(tables.longest_prefix(text, limit, known))
+            for text in batch.column("text").to_pylist():
+                parts = tables.encoder.parts(text or "")
+                counts = tables.sums(parts)
+                tokens.append(int(counts[-1]))
+                fits.append(tables._longest(parts, counts, limit) if counts[-1] > limit else len(text or ""))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(t.encode()) for t in texts], pa.int64()),
+                    pc.cast(pc.fill_null(pc.binary_length(batch.column("text")), 0), pa.int64()),
                     pa.array(tokens, pa.int64()),
                     pa.array([n > limit for n in tokens], pa.bool_()),
                     pa.array(fits, pa.int64()),
@@ -190,7 +195,8 @@ def prefix_tables(documents: DataFrame, path: str) -> DataFrame:
     def tables_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = prefix_counts(path)
         for batch in slices(batches, "text"):
-            found = [tables.boundaries(t or "") for t in batch.column("text").to_pylist()]
+            parts = [tables.encoder.parts(t or "") for t in batch.column("text").to_pylist()]
+            found = [(tables.ends(p), tables.sums(p)) for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array([x[i].tolist() for x in found], pa.list_(pa.int64())) for i in (0, 1))],
                 ["doc_id", "ends", "counts"],

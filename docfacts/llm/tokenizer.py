@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 LONGEST_KEPT = 48
 
 
@@ -17,22 +18,52 @@ def special_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Parts(dict):
+    """The ids of blank-free parts as bytes. A part that is not held is encoded when it is asked for.
+
+    Two generations of at most ``KEPT_WORDS`` each are held, so memory is bounded whatever the corpus.
+    """
+
+    def __init__(self, encode):
+        super().__init__({"": b""})
+        self._encode, self._before = encode, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self._before.get(part)
+        if ids is None:
+            word = part[:-1] if part[-1] in ",." else part
+            lowered = word.lower()
+            if (word != part or lowered != part) and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                # Letters and one mark are two steps of the splitting pattern, and these letters have plain lower cases.
+                ids = self[lowered] + (self[part[-1]] if word != part else b"")
+            else:
+                ids = self._encode(part)
+        if len(part) <= LONGEST_KEPT:
+            self[part] = ids
+        return ids
+
+    def age(self) -> None:
+        """Call between batches: a full generation becomes the older one."""
+        if len(self) > KEPT_WORDS:
+            self._before = dict(self)
+            self.clear()
+            self[""] = b""
+
+
 class Encoder:
     """Encodes texts exactly as the library does, without special tokens at either end.
 
     A vocabulary whose pre-tokenizer drops white space and never looks beyond it gives the
     same ids for a text as for its blank-separated parts one after another. Such parts are
-    encoded once and kept in two generations of at most ``KEPT_WORDS`` each, so memory is
-    bounded whatever the corpus. Any other vocabulary encodes whole texts.
+    encoded once and kept. Any other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str):
-        self.path = path
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self._library = lambda texts: model.encode(texts, num_threads=1)
+            self._library = lambda text: model.encode(text, num_threads=1)
             self.by_words, size = False, model.get_piece_size()
         else:
             from tokenizers import Tokenizer
@@ -40,50 +71,33 @@ class Encoder:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self._library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._library = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
             with open(path, encoding="utf-8") as file:
                 self.by_words = _drops_blanks(json.load(file))
             size = tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2" if size < 65_536 else "<u4")
-        self._now: dict[str, bytes] = {"": b""}
-        self._before: dict[str, bytes] = {}
-
-    def parts(self, texts: list[str]) -> list[list[str]]:
-        """Each text cut at blanks and line feeds; joining the parts' ids gives the text's ids."""
-        if self.by_words:
-            return [text.replace("\n", " ").split(" ") for text in texts]
-        return [[text] for text in texts]
-
-    def packed(self, parts: list[list[str]]) -> dict[str, bytes]:
-        """The ids of every part, as the bytes of ``kind`` numbers."""
+        self.kind, self._code = (np.dtype("<u2"), "H") if size < 65_536 else (np.dtype("<u4"), "I")
+        self.packed = Parts(self._packed)
+
+    def _packed(self, part: str) -> bytes:
+        return array(self._code, self._library(part)).tobytes()
+
+    def parts(self, text: str) -> list[str]:
+        """A text cut at blanks and line feeds; joining the parts' ids gives the text's ids."""
+        return text.replace("\n", " ").split(" ") if self.by_words else [text]
+
+    def ids(self, text: str) -> np.ndarray:
         if not self.by_words:
-            wanted = list({p for each in parts for p in each})
-            return {"": b"", **dict(zip(wanted, self._encode(wanted)))}
-        if len(self._now) > KEPT_WORDS:
-            self._before, self._now = self._now, {"": b""}
-        wanted = set().union(*parts) - self._now.keys() if parts else set()
-        new = []
-        for part in wanted:
-            known = self._before.get(part)
-            if known is None:
-                new.append(part)
-            else:
-                self._now[part] = known
-        long = {}
-        for part, ids in zip(new, self._encode(new)):
-            (self._now if len(part) <= LONGEST_KEPT else long)[part] = ids
-        return self._now if not long else {**self._now, **long}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(parts), 1000):
-            out += [np.array(ids, self.kind).tobytes() for ids in self._library(parts[at : at + 1000])]
-        return out
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        parts = self.parts(texts)
-        packed = self.packed(parts)
-        return [np.frombuffer(b"".join(map(packed.__getitem__, each)), self.kind) for each in parts]
+            return np.frombuffer(self._packed(text), self.kind)
+        self.packed.age()
+        return np.frombuffer(b"".join(map(self.packed.__getitem__, self.parts(text))), self.kind)
+
+    def counts(self, parts: list[str]) -> np.ndarray:
+        """Tokens of each part."""
+        if not self.by_words:
+            return np.array([len(self._library(p)) for p in parts], np.int64)
+        self.packed.age()
+        sizes = np.fromiter(map(len, map(self.packed.__getitem__, parts)), np.int64, len(parts))
+        return sizes // self.kind.itemsize
 
 
 def _drops_blanks(spec: dict) -> bool:
