@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfacts.llm import chat, mixing, packing, quality, token_counts, toxicity, warc
+from docfacts.llm import chat, mixing, near_embeddings, packing, quality, token_counts, toxicity, warc
 from docfacts.llm.common import table
 from docfacts.llm.oracles import ORACLES  # noqa: F401
 from docfacts.llm.tokenizer import special_path
@@ -46,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_warc, op6_packing, op7_toxicity, op9_mixing, op10_token_counts)
+    f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_warc, op6_packing, op7_toxicity, op8_embedding_near_dedup, op9_mixing, op10_token_counts)
 }
