@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfacts.llm import chat, jaccard, mixing, near_embeddings, packing, quality, token_counts, toxicity, warc
+from docfacts.llm import chat, jaccard, mixing, near_embeddings, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from docfacts.llm.common import table
 from docfacts.llm.oracles import ORACLES  # noqa: F401
 from docfacts.llm.tokenizer import special_path
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     extra = spark.range(1).select(
@@ -63,5 +67,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_chat_formatting, op5_warc, op6_packing, op7_toxicity, op8_embedding_near_dedup, op9_mixing, op10_token_counts)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_suffix_array_dedup, op4_chat_formatting, op5_warc, op6_packing, op7_toxicity, op8_embedding_near_dedup, op9_mixing, op10_token_counts)
 }
