@@ -34,7 +34,7 @@ MOST = 2.0
 NEWTON_STEPS = 60
 TOLERANCE = 1e-9
 #: Documents rounded in one task.
-BUCKET = 50_000
+BUCKET = 4_000
 
 
 def word_count(text: Column) -> Column:
