@@ -43,6 +43,8 @@ COLLECTION = 8_000
 IN_FILES = 32_000_000
 #: Slots of the list of documents that lost something; more documents than slots only make the list say yes more often.
 SLOTS = 1 << 20
+#: Fragments for each shuffle partition: a task holds one fragment at a time.
+FRAGMENTS = 2
 MOST_FRAGMENTS = 32_767
 
 
@@ -79,7 +81,8 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> t
     changed = anchor[1:] != anchor[:-1]
     first = np.flatnonzero(inside & np.r_[True, changed | ~inside[:-1]])
     last = np.flatnonzero(inside & np.r_[changed | ~inside[1:], True])
-    return first, last - first + length, anchor[first] - first, hashes[anchor[first]], text[first]
+    # Anchors have small hashes by choice; mixed again they spread evenly.
+    return first, last - first + length, anchor[first] - first, mix(hashes[anchor[first]]), text[first]
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -90,16 +93,17 @@ def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether two ranges of equal sizes hold equal bytes."""
-    if not len(a):
-        return np.zeros(0, bool)
-    equal = _gathered(data, a, sizes) == _gathered(data, b, sizes)
-    return np.logical_and.reduceat(equal, np.r_[0, np.cumsum(sizes)[:-1]])
+    """Whether two ranges of equal sizes hold equal bytes, some ranges at a time."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), _AT_ONCE):
+        part = slice(at, at + _AT_ONCE)
+        equal = _gathered(data, a[part], sizes[part]) == _gathered(data, b[part], sizes[part])
+        out[part] = np.logical_and.reduceat(equal, np.r_[0, np.cumsum(sizes[part])[:-1]])
+    return out
 
 
-def _leaders(data: np.ndarray, rolling: Rolling, sums: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order_by: tuple) -> np.ndarray:
-    """For each range the index of the first range (in ``order_by``) with the same bytes."""
-    key = mix(rolling.ranges(sums, starts, starts + sizes) + sizes.astype(np.uint64))
+def _leaders(data: np.ndarray, key: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order_by: tuple) -> np.ndarray:
+    """For each range the index of the first range (in ``order_by``) with the same bytes; ``key`` is a hash of the bytes."""
     order = np.lexsort((*reversed(order_by), key))
     new = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.zeros(0, bool)
     leader = np.empty(len(order), np.int64)
@@ -111,6 +115,28 @@ def _leaders(data: np.ndarray, rolling: Rolling, sums: np.ndarray, starts: np.nd
     return leader
 
 
+#: Ranges that are hashed or compared at a time.
+_AT_ONCE = 20_000
+
+
+def _piece_keys(data: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, side: int) -> tuple[np.ndarray, ...]:
+    """Hashes of each piece, of its anchor, and of the anchor with the bytes to its left and right (0 where they are missing)."""
+    whole, anchor, left, right = (np.zeros(len(at), np.uint64) for _ in range(4))
+    rolling = _rolling()
+    for begin in range(0, len(at), _AT_ONCE):
+        part = slice(begin, begin + _AT_ONCE)
+        low = at[part] - at[begin]
+        n, p = size[part], place[part]
+        sums = rolling.sums(data[at[begin] : at[begin] + low[-1] + n[-1]])
+        whole[part] = mix(rolling.ranges(sums, low, low + n) + n.astype(np.uint64))
+        anchor[part] = mix(rolling.ranges(sums, low + p, low + p + ANCHOR))
+        has = p >= side
+        left[part][has] = mix(rolling.ranges(sums, (low + p)[has] - side, (low + p)[has] + ANCHOR)) | np.uint64(1)
+        has = p + ANCHOR + side <= n
+        right[part][has] = mix(rolling.ranges(sums, (low + p)[has], (low + p)[has] + ANCHOR + side)) | np.uint64(1)
+    return whole, anchor, left, right
+
+
 _PIECES = ["ids", "marks", "owner", "start", "size", "place", "body"]
 _RANGES = ["r_ids", "r_marks", "r_start", "r_stop"]
 
@@ -135,7 +161,8 @@ def _sent_pieces(documents: DataFrame, fragments: int, length: int) -> DataFrame
             start, size, place, hashes, text = cut_pieces(data, offsets, length)
             if not len(start):
                 continue
-            leader = _leaders(data, _rolling(), _rolling().sums(data), start, size, (ids[text], text))
+            key = mix(_rolling().ranges(_rolling().sums(data), start, start + size) + size.astype(np.uint64))
+            leader = _leaders(data, key, start, size, (ids[text], text))
             repeat = ids[text] != ids[text[leader]]
             where = ((hashes >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
             known = np.flatnonzero(repeat)
@@ -147,7 +174,7 @@ def _sent_pieces(documents: DataFrame, fragments: int, length: int) -> DataFrame
                 k = kept[cut[f] : cut[f + 1]]
                 own, owner = np.unique(text[k], return_inverse=True)
                 rows["fragment"].append(int(f))
-                for name, values, kind in (("ids", ids[own], "<i8"), ("marks", marks[own], "<i8"), ("owner", owner, "<u4"), ("start", start[k] - offsets[text[k]], "<u4"), ("size", size[k], "u1"), ("place", place[k], "u1"), ("body", _gathered(data, start[k], size[k]), "u1")):
+                for name, values, kind in (("ids", ids[own], "<i8"), ("marks", marks[own], "<i8"), ("owner", owner, "<u4"), ("start", np.diff(start[k] - offsets[text[k]], prepend=0), "<i4"), ("size", size[k], "u1"), ("place", place[k], "u1"), ("body", _gathered(data, start[k], size[k]), "u1")):
                     rows[name].append(_pack(values, kind))
                 for name, values in zip(_RANGES, (ids[text[known]], marks[text[known]], start[known] - offsets[text[known]], (start + size)[known] - offsets[text[known]])):
                     rows[name].append(_pack(values, "<i8"))
@@ -267,29 +294,27 @@ def _searched(pieces: DataFrame, buckets: int, length: int) -> DataFrame:
     side = (length - ANCHOR) // 2
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
-        columns = {name: _unpack(table.column(name), kind) for name, kind in (("ids", "<i8"), ("marks", "<i8"), ("owner", "<u4"), ("start", "<u4"), ("size", "u1"), ("place", "u1"), ("body", "u1"))}
+        columns = {name: _unpack(table.column(name), kind) for name, kind in (("ids", "<i8"), ("marks", "<i8"), ("owner", "<u4"), ("start", "<i4"), ("size", "u1"), ("place", "u1"), ("body", "u1"))}
         shift = np.cumsum([0, *map(len, columns["ids"][:-1])])
         owner = np.concatenate([o.astype(np.int64) + s for o, s in zip(columns["owner"], shift)])
-        ids, marks, start, size, place, data = (np.concatenate(columns[n]) for n in ("ids", "marks", "start", "size", "place", "body"))
-        size, place, start = size.astype(np.int64), place.astype(np.int64), start.astype(np.int64)
+        start = np.concatenate([np.cumsum(x, dtype=np.int64) for x in columns["start"]])  # kept as differences
+        ids, marks, size, place, data = (np.concatenate(columns[n]) for n in ("ids", "marks", "size", "place", "body"))
+        size, place = size.astype(np.int64), place.astype(np.int64)
         doc = ids[owner]
         at = np.r_[0, np.cumsum(size)[:-1]]
-        rolling = Rolling(len(data) + 1)
-        sums = rolling.sums(data)
-        leader = _leaders(data, rolling, sums, at, size, (doc,))
+        whole_key, anchor_key, *half_keys = _piece_keys(data, at, size, place, side)
+        leader = _leaders(data, whole_key, at, size, (doc,))
         # Equal pieces: all but those of the smallest document are repeats as they are.
         whole = np.flatnonzero(doc != doc[leader])
         out = [(owner[whole], start[whole], start[whole] + size[whole])]
         lead = np.flatnonzero(leader == np.arange(len(leader)))
         # A window holds the anchor and all of one half of the rest, so a repeat needs one of these halves elsewhere.
         near = np.zeros(len(lead), bool)
-        for low, high in ((place[lead] - side, place[lead] + ANCHOR), (place[lead], place[lead] + ANCHOR + side)):
-            has = np.flatnonzero((low >= 0) & (high <= size[lead]))
-            keys = rolling.ranges(sums, at[lead[has]] + low[has], at[lead[has]] + high[has])
-            _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-            near[has] |= count[inverse] > 1
+        for keys in half_keys:
+            _, inverse, count = np.unique(keys[lead], return_inverse=True, return_counts=True)
+            near |= (count[inverse] > 1) & (keys[lead] != 0)
         lead = lead[near]
-        anchor = mix(rolling.ranges(sums, at[lead] + place[lead], at[lead] + place[lead] + ANCHOR))
+        anchor = anchor_key[lead]
         order = np.argsort(anchor, kind="stable")
         lead, anchor = lead[order], anchor[order]
         ends = np.flatnonzero(np.r_[anchor[1:] != anchor[:-1], True]) + 1 if len(lead) else np.zeros(0, np.int64)
@@ -355,7 +380,7 @@ def _merged(ranges: DataFrame) -> DataFrame:
 
 def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """Which bytes of which documents came before: ``doc_id, mark`` (hash of the text), ``starts, stops`` of the maximal runs."""
-    fragments = min(partitions(documents.sparkSession), MOST_FRAGMENTS)
+    fragments = min(FRAGMENTS * partitions(documents.sparkSession), MOST_FRAGMENTS)
     return written(_merged(_searched(_sent_pieces(documents, fragments, length), fragments, length)), "repeats")
 
 
