@@ -2,11 +2,12 @@
 
 Vectors are scaled to length 1 and cut in halves; each half has its own codebook, and the pairs of
 codes form a grid of cells. A vector visits the cells in order of the least squared distance that a
-member could have (multi-sequence traversal of the two sorted lists of halves), until the target is reached: here the
-first cell in which no member can be near enough, so that no pair is lost (recall 1). The least distance for a half is
-that to the plane midway between the vector's own centre and the cell's. Pairs in visited cells are verified in
-double precision, block by block. A block gives a link count and one root for each vector, never its pairs;
-large cells are dealt over many blocks, so a hot cell is spread over many tasks.
+member could have (multi-sequence traversal of the two sorted lists of halves), until ``TARGET_RECALL`` is reached. The least
+distance for a half is that to the plane midway between the vector's own centre and the cell's. Where to stop is measured
+on the sample: partners at exactly the threshold, in random directions, are the hardest to find, and the bound that finds the
+target share of them is taken; it never exceeds the bound beyond which no partner can lie. Pairs in visited cells are
+verified in double precision, block by block. A block gives a link count and one root for each vector, never its
+pairs; large cells are dealt over many blocks, so a hot cell is spread over many tasks.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors (those with the smallest hash of their id) and indexed are all.
 
@@ -33,6 +34,9 @@ SAMPLE = 8192
 CELL_ROWS = 256
 MOST_CODES = 128
 BLOCK = 1024
+TARGET_RECALL = 0.995
+#: Partners on which the stopping bound is measured.
+TRIALS = 5_000
 #: Rounding room of the distance bound.
 ROOM = 1e-6
 
@@ -78,12 +82,27 @@ def nearest_cells(first: np.ndarray, second: np.ndarray, most: float) -> Iterato
             heapq.heappush(heap, (first[one[i + 1]] + second[two[0]], i + 1, 0))
 
 
-def _unit(packed: list[bytes]) -> np.ndarray:
-    rows = np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), -1)
+def stopping_bound(unit: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float, target: float = TARGET_RECALL) -> float:
+    """The sum of bounds up to which cells are visited to find ``target`` of the partners at cosine ``least``."""
+    rng = np.random.default_rng(0)
+    rows = unit[rng.integers(0, len(unit), TRIALS)]
+    aside = rng.normal(size=rows.shape)
+    aside -= (aside * rows).sum(1)[:, None] * rows
+    aside /= np.maximum(np.sqrt((aside**2).sum(1)), 1e-300)[:, None]
+    partners = least * rows + np.sqrt(1 - least**2) * aside
+    half, needed = books[0].shape[1], 0.0
+    for part, centres in ((slice(0, half), books[0]), (slice(half, None), books[1])):
+        _, bounds = least_squared(rows[:, part], centres)
+        needed = needed + bounds[np.arange(len(rows)), squared(partners[:, part], centres).argmin(1)]
+    return float(min(np.quantile(needed, target), 2 - 2 * least)) + ROOM
+
+
+def _unit(packed: list[bytes], kind: str) -> np.ndarray:
+    rows = np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
     return rows / np.sqrt((rows**2).sum(1))[:, None]
 
 
-def _valid(embeddings: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+def _valid(embeddings: DataFrame, vec_id: str, embedding: str, kind: str) -> DataFrame:
     """Ids, lengths and packed values of the vectors that can link, one for each id."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,22 +117,23 @@ def _valid(embeddings: DataFrame, vec_id: str, embedding: str) -> DataFrame:
                 if np.isfinite(top) and top > 0:
                     ids.append(i)
                     sizes.append(len(numbers))
-                    packed.append((numbers / top).tobytes())
+                    packed.append((numbers if kind == "<f4" else numbers / top).astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["vec_id", "size", "packed"])
 
     one = embeddings.select(F.col(vec_id).alias("id"), F.col(embedding).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
     return one.mapInArrow(pack, "vec_id long, size int, packed binary")
 
 
-def _codebooks(vectors: DataFrame, rows: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Two codebooks for each vector length in a bounded sample."""
+def _codebooks(vectors: DataFrame, rows: int, kind: str, least: float) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Two codebooks and the stopping bound for each vector length in a bounded sample."""
     codes = int(np.clip(round((rows / CELL_ROWS) ** 0.5), 1, MOST_CODES))
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("size", "packed").toPandas()
     books = {}
     for size, group in sample.groupby("size"):
-        unit = _unit(list(group["packed"]))
+        unit = _unit(list(group["packed"]), kind)
         half = (int(size) + 1) // 2
-        books[int(size)] = (codebook(unit[:, :half], codes), codebook(unit[:, half:], codes) if size > 1 else np.zeros((1, 0)))
+        pair = codebook(unit[:, :half], codes), codebook(unit[:, half:], codes) if size > 1 else np.zeros((1, 0))
+        books[int(size)] = (*pair, stopping_bound(unit, pair, least))
     return books
 
 
@@ -143,9 +163,9 @@ def block_links(ids: np.ndarray, unit: np.ndarray, others: np.ndarray, other_uni
 def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = LEAST_COSINE) -> DataFrame:
     """For each vector the number of vectors it links with and the smallest id that its links reach."""
     spark = embeddings.sparkSession
-    vectors = written(_valid(embeddings, vec_id, embedding), "vectors")
-    books = spark.sparkContext.broadcast(_codebooks(vectors, vectors.count()))
-    most = 2 - 2 * least + ROOM
+    kind = "<f4" if dict(embeddings.dtypes)[embedding] == "array<float>" else "<f8"
+    vectors = written(_valid(embeddings, vec_id, embedding, kind), "vectors")
+    books = spark.sparkContext.broadcast(_codebooks(vectors, vectors.count(), kind, least))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +175,8 @@ def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
                     yield _visits(group.iloc[at : at + 1000], int(size))
 
     def _visits(group: pd.DataFrame, size: int) -> pa.RecordBatch:
-        unit, half = _unit(list(group["packed"])), (size + 1) // 2
-        one, two = books.value.get(size, (np.zeros((1, half)), np.zeros((1, size - half))))
+        unit, half = _unit(list(group["packed"]), kind), (size + 1) // 2
+        one, two, most = books.value.get(size, (np.zeros((1, half)), np.zeros((1, size - half)), 2.0))
         (i, first), (j, second) = least_squared(unit[:, :half], one), least_squared(unit[:, half:], two)
         ids, cells, member, packed = [], [], [], []
         for k, (vec, raw) in enumerate(zip(group["vec_id"], group["packed"])):
@@ -193,7 +213,7 @@ def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
         right = left if same else right
         if left.empty or right.empty:
             return pd.DataFrame({"vec_id": [], "n": [], "root": []}).astype("int64")
-        found = block_links(left["vec_id"].to_numpy(), _unit(list(left["packed"])), right["vec_id"].to_numpy(), _unit(list(right["packed"])), same, least)
+        found = block_links(left["vec_id"].to_numpy(), _unit(list(left["packed"]), kind), right["vec_id"].to_numpy(), _unit(list(right["packed"]), kind), same, least)
         return pd.DataFrame(dict(zip(("vec_id", "n", "root"), found)))
 
     links = written(dealt.groupBy("size", "cell", "kind", "left", "right").applyInPandas(verify, "vec_id long, n long, root long"), "links")
