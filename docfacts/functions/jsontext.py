@@ -19,38 +19,43 @@ REPAIRS = [
     (rf":{_WS}'([^'\\]*?)'({_WS}[,}}\]])", ': "$1"$2'),
 ]
 
-# Closes the probe array below. A text that contains it is not taken for a value.
-_END_MARK = "e7c1f0a94b5d4f2c8a36d0b1957e2c48"
 NO_TEXTS = "cast(array() as array<string>)"
 
 
 def strict_json(text: str) -> str:
     """VARIANT of a text that is one JSON value and nothing else, otherwise null.
 
-    ``try_parse_json`` accepts text after the value, so the text is parsed as the first
-    of exactly two array entries.
+    ``try_parse_json`` accepts text after the value, so the text is parsed as the first of exactly
+    two array entries. The second is the text's own digest, which no text holds.
     """
 
     def whole(t: str) -> str:
-        probe = f"try_cast(try_parse_json(concat('[', {t}, ',\"{_END_MARK}\"]')) as array<variant>)"
-        closed = let(
-            probe,
-            lambda a: f"if(size({a}) = 2 and try_variant_get(get({a}, 1), '$', 'string') = '{_END_MARK}',"
-            f" get({a}, 0), null)",
-        )
-        return f"if(contains({t}, '{_END_MARK}'), null, {closed})"
+        def probe(mark: str) -> str:
+            parsed = f"try_cast(try_parse_json(concat('[', {t}, ',\"', {mark}, '\"]')) as array<variant>)"
+            return let(
+                parsed,
+                lambda a: f"if(size({a}) = 2 and try_variant_get(get({a}, 1), '$', 'string') = {mark}, get({a}, 0), null)",
+            )
+
+        return let(f"md5(cast({t} as binary))", probe)
 
     return let(text, whole)
 
 
 def json_kind(value: str) -> str:
-    """``array``, ``object``, ``string``, ``number``, ``boolean`` or ``null``."""
-    return let(
+    """``array``, ``object``, ``string``, ``number``, ``boolean`` or ``null``.
+
+    Arrays and objects are told by casts; only scalars have their schema looked up, which is short.
+    """
+    scalar = let(
         f"schema_of_variant({value})",
-        lambda s: f"case when startswith({s}, 'ARRAY') then 'array' when startswith({s}, 'OBJECT') then 'object'"
-        f" when {s} = 'STRING' then 'string' when {s} = 'BOOLEAN' then 'boolean' when {s} = 'VOID' then 'null'"
+        lambda s: f"case when {s} = 'STRING' then 'string' when {s} = 'BOOLEAN' then 'boolean' when {s} = 'VOID' then 'null'"
         f" when {s} is not null then 'number' end",
     )
+    return (
+        f"case when try_cast({value} as array<variant>) is not null then 'array'"
+        f" when try_cast({value} as map<string,variant>) is not null then 'object' else {scalar} end"
+    )
 
 
 def json_size(value: str) -> str:
@@ -74,48 +79,48 @@ def first_between(text: str, opener: str, closer: str, keep: bool) -> str:
     return let(f"locate({o}, {text})", cut)
 
 
-def _balanced_length(rest: str, opener: str, closer: str) -> str:
-    """Length of the balanced chunk that ``rest`` begins with; null if it never closes.
+def balanced_chunks(text: str, opener: str, closer: str, max_items: int | None = None) -> str:
+    """The balanced chunks of one bracket type in order, at most ``max_items`` if given.
 
-    The text is cut into pieces that end with a bracket, quoted strings skipped, and
-    the depth is followed over the pieces. An open quote ends the cutting.
+    The text is cut into runs and single marks, and one fold follows them: outside of a chunk only an opener
+    counts; inside, brackets in quotes do not, and a backslash in quotes covers the character after it. A
+    chunk that stays open ends the search.
     """
-    o, c = "\\" + opener, "\\" + closer
-    piece = rf"""(?s)\G(?:[^"'{o}{c}]++|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')*+[{o}{c}]"""
+    o, c = literal(opener), literal(closer)
+    marks = rf"""\\"'\{opener}\{closer}"""
+    pieces = literal(rf"""[{marks}]|[^{marks}]++""")
     a, t, r = fresh(), fresh(), fresh()
-    depth = f"{a}.depth + if(endswith({t}, {literal(opener)}), 1, -1)"
-    return (
-        f"aggregate(regexp_extract_all({rest}, {literal(piece)}, 0),"
-        f" named_struct('depth', 0, 'chars', 0, 'closed', false),"
-        f" ({a}, {t}) -> if({a}.closed, {a}, named_struct('depth', {depth},"
-        f" 'chars', {a}.chars + length({t}), 'closed', {depth} = 0)),"
-        f" {r} -> if({r}.closed, {r}.chars, null))"
+    start = (
+        "named_struct('at', 0, 'depth', 0, 'quote', '', 'covered', false, 'start', 0,"
+        " 'found', cast(array() as array<struct<start:int,length:int>>))"
     )
 
+    def state(depth: str = f"{a}.depth", quote: str = f"{a}.quote", covered: str = "false", begin: str = f"{a}.start", found: str = f"{a}.found") -> str:
+        return (
+            f"named_struct('at', {a}.at + length({t}), 'depth', {depth}, 'quote', {quote}, 'covered', {covered},"
+            f" 'start', {begin}, 'found', {found})"
+        )
 
-def balanced_chunks(text: str, opener: str, closer: str) -> str:
-    """The first two balanced chunks of one bracket type; the search ends at one that stays open."""
-    o, c = literal(opener), literal(closer)
-
-    def from_opener(t: str) -> str:
-        return f"if(contains({t}, {o}), substr({t}, locate({o}, {t})), null)"
-
-    def head(rest: str) -> str:
-        return f"named_struct('rest', {rest}, 'chars', {_balanced_length(rest, opener, closer)})"
-
-    def chunk(f: str) -> str:
-        return f"array(substr({f}.rest, 1, {f}.chars))"
+    closed = f"array_append({a}.found, named_struct('start', {a}.start, 'length', {a}.at + 1 - {a}.start))"
+    step = (
+        f"case when {a}.depth = 0 then if({t} = {o}, {state(depth='1', begin=f'{a}.at')}, {state()})"
+        f" when {a}.covered then {state()}"
+        f" when {a}.quote <> '' then {state(quote=f'if({t} = {a}.quote, {literal(str())}, {a}.quote)', covered=f'{t} = {literal(chr(92))}')}"
+        f" when {t} in ('\"', {literal(chr(39))}) then {state(quote=t)}"
+        f" when {t} = {o} then {state(depth=f'{a}.depth + 1')}"
+        f" when {t} = {c} and {a}.depth = 1 then {state(depth='0', found=closed)}"
+        f" when {t} = {c} then {state(depth=f'{a}.depth - 1')} else {state()} end"
+    )
 
-    def second(f: str) -> str:
-        rest = let(f"substr({f}.rest, {f}.chars + 1)", from_opener)
-        found = let(rest, head)
-        return let(found, lambda g: f"if({g}.chars is null, {NO_TEXTS}, {chunk(g)})")
+    def spans(v: str) -> str:
+        return f"aggregate(regexp_extract_all({v}, {pieces}, 0), {start}, ({a}, {t}) -> {step}, {r} -> {r}.found)"
 
-    def both(f: str) -> str:
-        return f"if({f}.chars is null, {NO_TEXTS}, concat({chunk(f)}, {second(f)}))"
+    def cut(v: str) -> str:
+        some = spans(v) if max_items is None else f"slice({spans(v)}, 1, {max_items})"
+        chunks = each(some, lambda s: f"substr({v}, {s}.start + 1, {s}.length)")
+        return f"if(contains({v}, {o}) and contains({v}, {c}), {chunks}, {NO_TEXTS})"
 
-    found = let(let(from_opener(text), head), both)
-    return f"if(contains({text}, {o}) and contains({text}, {c}), {found}, {NO_TEXTS})"
+    return let(text, cut)
 
 
 def fenced_candidates(text: str) -> str:
@@ -127,9 +132,9 @@ def fenced_candidates(text: str) -> str:
     return f"if(contains({text}, {literal(FENCE_CLOSE)}), {each(found, strip)}, {NO_TEXTS})"
 
 
-def bracket_candidates(text: str) -> str:
-    """Balanced arrays, then balanced objects, at most two of each."""
-    return f"concat({balanced_chunks(text, '[', ']')}, {balanced_chunks(text, '{', '}')})"
+def bracket_candidates(text: str, max_items: int | None = None) -> str:
+    """Balanced arrays, then balanced objects; ``max_items`` limits each of the two."""
+    return f"concat({balanced_chunks(text, '[', ']', max_items)}, {balanced_chunks(text, '{', '}', max_items)})"
 
 
 def light_fix(text: str) -> str:

@@ -14,8 +14,8 @@ _names = count()
 
 
 def fresh() -> str:
-    """A lambda variable name not used before."""
-    return f"v{next(_names)}"
+    """A lambda variable name not used before, with a prefix that no column has (a lambda name hides a column)."""
+    return f"_docfacts_lambda_{next(_names)}"
 
 
 def literal(text: str) -> str:

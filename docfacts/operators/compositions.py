@@ -17,14 +17,19 @@ def find_column(df: DataFrame, *spellings: str) -> str | None:
     return next((by_lower[s] for s in spellings if s in by_lower), None)
 
 
-def parse_and_normalize(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Adds ``<prefix>_parsed``, ``<prefix>_unit`` and ``<prefix>_fractions``."""
+def parse_and_normalize(df: DataFrame, column: str, prefix: str, assume_weight_if_ambiguous: bool = False) -> DataFrame:
+    """Adds ``<prefix>_parsed``, ``<prefix>_unit`` and ``<prefix>_fractions``.
+
+    With ``assume_weight_if_ambiguous`` amounts without a unit that add up to about 100 are weight percent.
+    """
     parsed = df.withColumn("_parsed", F.expr(C.parse_composition(f"`{column}`")))
     return parsed.withColumns(
         {
             f"{prefix}_parsed": F.col("_parsed.amounts"),
             f"{prefix}_unit": F.col("_parsed.unit"),
-            f"{prefix}_fractions": F.expr(C.normalize_composition("_parsed.amounts", "_parsed.unit")),
+            f"{prefix}_fractions": F.expr(
+                C.normalize_composition("_parsed.amounts", "_parsed.unit", assume_weight_if_ambiguous)
+            ),
         }
     ).drop("_parsed")
 

@@ -28,9 +28,20 @@ def flat_pdfs(paths: DataFrame, folder: str, path: str = "path") -> DataFrame:
 
 
 def all_pdfs(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Distinct ``.pdf`` paths at any depth, suffix in any case, sorted."""
+    """Distinct ``.pdf`` paths at any depth, suffix in any case."""
     is_pdf = F.endswith(F.lower(F.col(path)), F.lit(".pdf"))
-    return paths.where(is_pdf).select(F.col(path).alias("path")).distinct().orderBy("path")
+    return paths.where(is_pdf).select(F.col(path).alias("path")).distinct()
+
+
+def both_scans(paths: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """The rows of :func:`flat_pdfs` and :func:`all_pdfs` from one pass, told apart by ``scan`` (flat, recursive)."""
+    counted = paths.where(F.endswith(F.lower(F.col(path)), F.lit(".pdf"))).groupBy(F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("_n"))
+    name = file_name_of(F.col("path"))
+    is_flat = (F.col("path") == F.concat(F.lit(folder.rstrip("/") + "/"), name)) & F.endswith(name, F.lit(".pdf"))
+    flat = F.struct(F.lit("flat").alias("scan"), id_before_first_dot(name).alias("doc_id"))
+    deep = F.struct(F.lit("recursive").alias("scan"), F.lit(None).cast("string").alias("doc_id"))
+    rows = F.concat(F.array_repeat(flat, F.when(is_flat, F.col("_n")).otherwise(0).cast("int")), F.array(deep))
+    return counted.select("path", F.inline(rows)).select("scan", "path", "doc_id")
 
 
 def pending_docs(documents: DataFrame, results: DataFrame, quarantined: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -49,8 +60,8 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(path, r"(?s)(?<=[^/.])\.[^./]*\z", "")
 
 
-def pair_outputs(outputs: DataFrame, pdfs: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
-    """Record files with the PDF of the same stem, and record files without one.
+def pair_outputs(outputs: DataFrame, pdfs: DataFrame, path: str = "path") -> DataFrame:
+    """Record files with ``pdf_path``, the PDF of the same stem; null where there is none.
 
     Both sides have one row per path, so no stem is heavy.
     """
@@ -58,7 +69,7 @@ def pair_outputs(outputs: DataFrame, pdfs: DataFrame, path: str = "path") -> tup
     right = pdfs.where(F.endswith(F.col(path), F.lit(".pdf"))).select(
         stem_of(F.col(path)).alias("_stem"), F.col(path).alias("pdf_path")
     )
-    return left.join(right, "_stem").drop("_stem"), left.join(right, "_stem", "left_anti").drop("_stem")
+    return left.join(right, "_stem", "left").drop("_stem")
 
 
 def document_kind(content: Column) -> Column:

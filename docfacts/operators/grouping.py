@@ -7,73 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-# Up to this many heavy keys are sent to every executor; more are joined by shuffle.
-BROADCAST_KEYS = 100_000
-
-
 def bounded_lists(
-    rows: DataFrame,
-    key: str,
-    order: Sequence[str],
-    item: Column,
-    list_size: int = 10_000,
-    salts: int = 32,
-    broadcast_keys: int = BROADCAST_KEYS,
+    rows: DataFrame, key: str, order: str, item: Column, list_size: int = 10_000, block: int = 65_536
 ) -> DataFrame:
-    """Collect ``item`` per key into sorted lists of about ``list_size`` entries at most.
+    """Collect ``item`` per key into sorted lists of ``list_size`` entries (the last one may be shorter).
 
-    A key with few rows gives one list. A key with more is dealt over several numbered
-    lists by a hash of ``order``, which must be unique per row, so no list grows with the
-    data and no row is lost. The keys with too many rows are counted first, from the key
-    column alone; mostly there are none. Result: key, ``list_no``, ``n_items``, ``items``.
+    ``order`` is a whole number, unique per row of a key. A key's rows are ranked block by block of order
+    values, so that no task ranks a whole heavy key, and dealt to lists by rank. One plan for light and heavy keys.
+    Result: key, ``list_no``, ``n_lists``, ``n_items``, ``items``.
     """
-    n_lists = F.ceil(F.col("_n") / F.lit(list_size)).cast("int")
-    heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > list_size)
-    heavy = heavy.select(key, n_lists.alias("_lists"))
-    entries = rows.withColumn("_item", F.struct(*order, item.alias("item")))
-
-    n_heavy = heavy.count()
-    if n_heavy == 0:
-        entries = entries.withColumn("_lists", F.lit(1))
-    elif n_heavy <= broadcast_keys:
-        entries = entries.join(F.broadcast(heavy), key, "left")
-    else:
-        # Each key once per salt, so a heavy key is joined in many tasks instead of one.
-        spread = heavy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        entries = entries.withColumn("_salt", F.pmod(F.hash(*order), F.lit(salts))).join(spread, [key, "_salt"], "left")
-
-    lists = F.coalesce("_lists", F.lit(1)).cast("bigint")
+    cut = rows.select(key, F.col(order).alias("_order"), item.alias("_item")).withColumn("_block", F.floor(F.col("_order") / F.lit(block)))
+    by_key = Window.partitionBy(key)
+    earlier = by_key.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        cut.groupBy(key, "_block")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(by_key).alias("_all"))
+    )
+    inside = Window.partitionBy(key, "_block").orderBy("_order")
+    ranked = cut.withColumn("_rank", F.row_number().over(inside) - 1).join(blocks, [key, "_block"])
     return (
-        entries.withColumn("list_no", F.pmod(F.xxhash64(*order), lists).cast("int"))
+        ranked.withColumn("list_no", F.floor((F.col("_before") + F.col("_rank")) / F.lit(list_size)).cast("int"))
         .groupBy(key, "list_no")
-        .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-        .select(key, "list_no", F.size("_items").alias("n_items"), F.col("_items.item").alias("items"))
+        .agg(
+            F.ceil(F.max("_all") / F.lit(list_size)).cast("int").alias("n_lists"),
+            F.sort_array(F.collect_list(F.struct("_order", "_item"))).alias("_items"),
+        )
+        .select(key, "list_no", "n_lists", F.size("_items").alias("n_items"), F.col("_items._item").alias("items"))
     )
 
 
-def previous_in_group(rows: DataFrame, key: str, order: str, value: str, block: int = 32_768) -> DataFrame:
+def previous_in_group(rows: DataFrame, key: str, order: str, value: str, block: int = 256) -> DataFrame:
     """Adds ``previous``: the value before this one in its group, by a whole-number order column.
 
     Groups are cut into ranges of ``block`` order values, so a long group is spread over
     many tasks. The first row of a range takes the last value of the range before, which
-    is one row per range. Whether there is more than one range is looked up first, from
-    the order column alone. Keeps ``_block`` so that later grouping by key, ``_block``
+    is one row per range. Keeps ``_block`` so that later grouping by key, ``_block``
     and more needs no further shuffle.
     """
     cut = rows.select(key, order, value, F.floor(F.col(order) / F.lit(block)).cast("bigint").alias("_block"))
     in_block = Window.partitionBy(key, "_block").orderBy(order)
-    inside = cut.withColumn("previous", F.lag(value).over(in_block))
-    first_block, last_block = cut.agg(F.min("_block"), F.max("_block")).first()
-    if first_block == last_block:
-        return inside
-
     last = cut.groupBy(key, "_block").agg(F.max_by(value, order).alias("_carry"))
     by_block = Window.partitionBy(key).orderBy("_block")
     carried = last.select(key, F.lead("_block").over(by_block).alias("_block"), "_carry").where(
         F.col("_block").isNotNull()
     )
     return (
-        inside.withColumn("_first", F.row_number().over(in_block) == 1)
+        cut.withColumn("previous", F.lag(value).over(in_block))
+        .withColumn("_first", F.row_number().over(in_block) == 1)
         .join(carried, [key, "_block"], "left")
         .withColumn("previous", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("previous")))
         .drop("_first", "_carry")

@@ -36,19 +36,19 @@ def label_records(labels: DataFrame, keep: Sequence[str] = ("Paperid",)) -> Data
 
 def label_sets(
     records: DataFrame,
-    order: Sequence[str],
+    order: str,
     folder: str = "",
     paper_id: str = "Paperid",
     list_size: int = 10_000,
 ) -> DataFrame:
-    """Training set: document path and its label records, in the order of ``order`` (unique per row).
+    """Training set: document path and its label records, in the order of ``order`` (a whole number, unique per row).
 
-    A paper gives one row; one with more than ``list_size`` records gives several numbered ones.
+    A paper with more than ``list_size`` records gives several rows: piece ``list_no`` (from 0) of ``n_lists``.
     """
     item = F.struct(*LABEL_COLUMNS)
     lists = bounded_lists(records, paper_id, order, item, list_size)
     path = F.concat(F.lit(folder), F.col(paper_id).cast("string"), F.lit(".pdf"))
-    return lists.select(paper_id, path.alias("path"), "list_no", "n_items", F.col("items").alias("records"))
+    return lists.select(paper_id, path.alias("path"), "list_no", "n_lists", "n_items", F.col("items").alias("records"))
 
 
 def mini_batches(

@@ -19,13 +19,13 @@ def prompt_similarity(
     run_id: str = "run_id",
     version: str = "version",
     prompt: str = "prompt",
-    block: int = 32_768,
+    block: int = 256,
 ) -> DataFrame:
     """TF-IDF cosine of each prompt with the one before it in the same run.
 
     The two prompts are the whole corpus, so a term in both has idf 1 and a term in one
-    ln(3/2) + 1. The texts are shuffled once, by run and version range; terms are counted
-    and compared in the same stage.
+    ln(3/2) + 1. The texts are shuffled by run and version range (``block`` versions), plus one
+    text for each range that the next range starts from; terms are counted and compared in the same stage.
     """
     steps = previous_in_group(history, run_id, version, prompt, block).where(F.col("previous").isNotNull())
     keys = [run_id, "_block", version]

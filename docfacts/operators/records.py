@@ -74,9 +74,12 @@ def parse_record_files(files: DataFrame, file_name: str = "file_name", value: st
 
 
 def combine_records(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
-    """All records of all list files in one table, sorted by paper and position."""
+    """All records of all list files in one table.
+
+    In no order, so that each file is parsed once; :func:`docfacts.sources.sinks.write_combined` writes it sorted.
+    """
     rows = explode_records(parse_record_files(files, file_name, value), ["Paperid"])
-    return rows.select("Paperid", "pos", *record_columns(F.col("record"))).orderBy("Paperid", "pos")
+    return rows.select("Paperid", "pos", *record_columns(F.col("record")))
 
 
 def file_issues(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
@@ -88,11 +91,20 @@ def file_issues(files: DataFrame, file_name: str = "file_name", value: str = "va
     )
 
 
-def record_keys(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
-    """The distinct keys used in any record, for :func:`combine_with_keys`."""
+def combine_all_keys(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
+    """The combined table with every key that any record has, in long form: ``Paperid, pos, key, value``.
+
+    One row for each key of each record, so there is no limit to the keys and nothing to look up
+    first. Values are text (nested ones JSON text), null where the record has null.
+    """
     rows = explode_records(parse_record_files(files, file_name, value), ["Paperid"])
-    keys = F.explode(F.map_keys(F.col("record").try_cast("map<string,variant>")))
-    return rows.select(keys.alias("key")).distinct()
+    fields = F.explode(F.col("record").try_cast("map<string,variant>")).alias("key", "_value")
+    return rows.select("Paperid", "pos", fields).select("Paperid", "pos", "key", F.try_variant_get("_value", "$", "string").alias("value"))
+
+
+def record_keys(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
+    """The distinct keys used in any record."""
+    return combine_all_keys(files, file_name, value).select("key").distinct()
 
 
 def combine_with_keys(
@@ -104,21 +116,7 @@ def combine_with_keys(
     columns = [
         F.try_variant_get(F.try_element_at(F.col("_fields"), F.lit(k)), "$", "string").alias(k) for k in keys
     ]
-    return rows.withColumn("_fields", fields).select("Paperid", "pos", *columns).orderBy("Paperid", "pos")
-
-
-def combine_all(
-    files: DataFrame, file_name: str = "file_name", value: str = "value", max_keys: int = 1000
-) -> DataFrame:
-    """Combined table with a column for every key that occurs, in name order.
-
-    The keys are looked up first. They are the columns of the result, so there can only be
-    so many: above ``max_keys`` this fails, and :func:`combine_with_keys` takes a choice.
-    """
-    keys = [row.key for row in record_keys(files, file_name, value).limit(max_keys + 1).collect()]
-    if len(keys) > max_keys:
-        raise ValueError(f"more than {max_keys} different record keys")
-    return combine_with_keys(files, sorted(keys), file_name, value)
+    return rows.withColumn("_fields", fields).select("Paperid", "pos", *columns)
 
 
 def confidence_profile(records: DataFrame, threshold: int = HIGH_CONFIDENCE) -> DataFrame:

@@ -14,7 +14,7 @@ from docfacts.functions.jsontext import (
     light_fix,
     strict_json,
 )
-from docfacts.functions.sql import each, fresh, let, only
+from docfacts.functions.sql import fresh, let
 from docfacts.functions.text import strip
 
 
@@ -45,19 +45,25 @@ def parse_v1(responses: DataFrame, text: str = "response") -> DataFrame:
     )
 
 
-def _candidates(text: str) -> str:
-    return f"if({text} is null, array(), concat({fenced_candidates(text)}, {bracket_candidates(text)}))"
+def _candidates(text: str, max_items: int | None) -> str:
+    found = f"concat({fenced_candidates(text)}, {bracket_candidates(text, max_items)})"
+    return f"if({text} is null, array(), {found})"
 
 
-def json_candidates(responses: DataFrame, text: str = "response") -> DataFrame:
-    """Adds ``candidates``: fenced blocks, other blocks, balanced arrays, balanced objects."""
-    return responses.withColumn("candidates", F.expr(_candidates(text)))
+def json_candidates(responses: DataFrame, text: str = "response", max_items: int | None = None) -> DataFrame:
+    """Adds ``candidates``: fenced blocks, other blocks, balanced arrays, balanced objects.
+
+    ``max_items`` limits the balanced chunks of each bracket type; by default all are taken.
+    """
+    return responses.withColumn("candidates", F.expr(_candidates(text, max_items)))
 
 
-def candidate_rows(responses: DataFrame, doc_id: str = "doc_id", text: str = "response") -> DataFrame:
+def candidate_rows(
+    responses: DataFrame, doc_id: str = "doc_id", text: str = "response", max_items: int | None = None
+) -> DataFrame:
     """One row per candidate with its number from 1."""
     # The outer form adds no filter that would search every text a second time.
-    found = F.posexplode_outer(F.expr(_candidates(text))).alias("_pos", "candidate")
+    found = F.posexplode_outer(F.expr(_candidates(text, max_items))).alias("_pos", "candidate")
     return (
         responses.select(doc_id, found)
         .where(F.col("_pos").isNotNull())
@@ -66,24 +72,26 @@ def candidate_rows(responses: DataFrame, doc_id: str = "doc_id", text: str = "re
 
 
 def _first_success(candidates: str, tried_before: str) -> str:
-    """The first candidate that parses, strict or else repaired, with its number; null if none does."""
+    """The first candidate that parses, strict or else repaired, with its number; null if none does.
 
-    def attempt(c: str) -> str:
-        def strict_or_fixed(v: str) -> str:
-            fixed = f"named_struct('json', {strict_json(light_fix(c))}, 'repaired', true)"
-            return f"if({v} is not null, named_struct('json', {v}, 'repaired', false), {fixed})"
+    A fold: once something is found, later candidates are not looked at.
+    """
+    hit = "struct<candidate_no:int,repaired:boolean,json:variant>"
+    a, x, c, i = fresh(), fresh(), fresh(), fresh()
 
-        return let(strict_json(c), strict_or_fixed)
+    def outcome(value: str, repaired: str) -> str:
+        return f"cast(named_struct('candidate_no', {x}.i + 1 + {tried_before}, 'repaired', {repaired}, 'json', {value}) as {hit})"
 
-    a, i = fresh(), fresh()
-    numbered = (
-        f"transform({each(candidates, attempt)}, ({a}, {i}) -> named_struct("
-        f"'candidate_no', {i} + 1 + {tried_before}, 'repaired', {a}.repaired, 'json', {a}.json))"
-    )
-    return f"get({only(numbered, lambda n: f'{n}.json is not null')}, 0)"
+    def strict_or_fixed(v: str) -> str:
+        fixed = let(strict_json(light_fix(f"{x}.c")), lambda w: f"if({w} is not null, {outcome(w, 'true')}, null)")
+        return f"if({v} is not null, {outcome(v, 'false')}, {fixed})"
+
+    numbered = f"transform({candidates}, ({c}, {i}) -> named_struct('c', {c}, 'i', {i}))"
+    attempt = let(strict_json(f"{x}.c"), strict_or_fixed)
+    return f"aggregate({numbered}, cast(null as {hit}), ({a}, {x}) -> if({a} is not null, {a}, {attempt}))"
 
 
-def parse_v2(responses: DataFrame, text: str = "response") -> DataFrame:
+def parse_v2(responses: DataFrame, text: str = "response", max_items: int | None = None) -> DataFrame:
     """First candidate that parses, as it is or after a light repair, wins.
 
     Adds ``status`` (ok, raw), ``candidate_no``, ``repaired`` and ``json`` (VARIANT). The bracket
@@ -91,7 +99,7 @@ def parse_v2(responses: DataFrame, text: str = "response") -> DataFrame:
     """
 
     def then_scan(hit: str) -> str:
-        scanned = let(bracket_candidates(text), lambda c: _first_success(c, "size(_fenced)"))
+        scanned = let(bracket_candidates(text, max_items), lambda c: _first_success(c, "size(_fenced)"))
         return f"if({hit} is not null or {text} is null, {hit}, {scanned})"
 
     found = let(_first_success("_fenced", "0"), then_scan)

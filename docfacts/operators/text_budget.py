@@ -170,3 +170,19 @@ def token_totals(budget: DataFrame) -> DataFrame:
     for source in ("word_est", "char_est", "tiktoken"):
         totals = totals.withColumn(f"total_tokens_{source}", F.col(f"tokens_{source}") + F.col("image_tokens"))
     return totals
+
+
+def token_total_line(totals: DataFrame) -> DataFrame:
+    """The totals as one tab-separated line; unknown optional parts are left out."""
+    # The labels and their order.
+    labels = [
+        ("files", "files"), ("words", "words"), ("chars", "chars"), ("tokens(word-est)", "tokens_word_est"),
+        ("tokens(char-est)", "tokens_char_est"), ("tokens(tiktoken)", "tokens_tiktoken"), ("image_mp", "image_mp"),
+        ("image_tokens", "image_tokens"), ("total_tokens(word-est)", "total_tokens_word_est"),
+        ("total_tokens(char-est)", "total_tokens_char_est"), ("total_tokens(tiktoken)", "total_tokens_tiktoken"),
+    ]
+    shown = totals.withColumn("image_mp", F.expr(fixed_decimals("image_mp", 2))).withColumn(
+        "tokens_tiktoken", F.coalesce(F.col("tokens_tiktoken").cast("string"), F.lit("-"))
+    )
+    parts = [F.concat(F.lit(f"{label}="), F.col(column).cast("string")) for label, column in labels]
+    return shown.select(F.concat_ws("\t", F.lit("TOTAL"), *parts).alias("line"))

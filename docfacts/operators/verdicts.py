@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
-QUESTIONS = 9
 # Question 9 asks whether something was missed, so "no" is the good answer.
 GOOD_IF_NO = (9,)
 
@@ -18,12 +19,13 @@ def verdict_answers(verdicts: DataFrame, doc_id: str = "doc_id", text: str = "ve
     )
 
 
-def verdict_scores(verdicts: DataFrame, doc_id: str = "doc_id", text: str = "verdict_text") -> DataFrame:
-    """Per question: answers, yes, no, unclear and the share of good answers among the clear ones."""
-    good = F.when(F.col("question_no").isin(*GOOD_IF_NO), F.col("answer") == "no").otherwise(F.col("answer") == "yes")
+def verdict_scores(
+    verdicts: DataFrame, doc_id: str = "doc_id", text: str = "verdict_text", good_if_no: Sequence[int] = GOOD_IF_NO
+) -> DataFrame:
+    """Per line number: answers, yes, no, unclear and the share of good answers among the clear ones."""
+    good = F.when(F.col("question_no").isin(*good_if_no), F.col("answer") == "no").otherwise(F.col("answer") == "yes")
     return (
         verdict_answers(verdicts, doc_id, text)
-        .where(F.col("question_no") <= QUESTIONS)
         .groupBy("question_no")
         .agg(
             F.count(F.lit(1)).alias("n_answers"),
@@ -38,14 +40,9 @@ def verdict_scores(verdicts: DataFrame, doc_id: str = "doc_id", text: str = "ver
 def batch_feedback(
     batches: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id", text: str = "verdict_text"
 ) -> DataFrame:
-    """The verdict texts of each batch, joined in batch order.
-
-    A document has one verdict; repeats fall together before the join, so a batch holds no
-    more texts than documents.
-    """
-    one_each = verdicts.groupBy(doc_id).agg(F.max(text).alias(text))
+    """All verdict texts of each batch, in batch order; several verdicts of one document in text order."""
     return (
-        batches.join(one_each, doc_id)
+        batches.join(verdicts.select(doc_id, text), doc_id)
         .groupBy("epoch", "batch")
         .agg(
             F.count(F.lit(1)).alias("n_verdicts"),

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfacts.sources.files import spread_small_table
-
 TABLES = ["part", "nation", "documents", "pages", "labels", "conversations"]
 
 # Alloys: a name and two compositions in varying spellings, several per paper.
@@ -24,7 +22,7 @@ select rec_id, paper_id,
     when 4 then e0 || ' ' || sz || 'at.% ' || e1 || ' ' || (100 - sz) || 'at.%'
     when 5 then 'Not found'
     when 6 then cast(null as varchar(64))
-    else e0 || e1 || '0.5' || e2 || e3 || sz end as nominal_composition,
+    else e0 || e1 || '0.5' || e2 || e3 || case when rec_id % 16 = 15 then 0 else sz end end as nominal_composition,
   case rec_id % 5
     when 0 then e0 || '24' || e1 || '26' || e2 || '25' || e3 || '25'
     when 1 then 'Not found'
@@ -62,19 +60,56 @@ select p_partkey as rec_id, case p_partkey % 16
 from (select p_partkey, p_type, cast(p_size as int) as sz from {part}) t
 """
 
-# Model answers: every shape the two parsers treat differently.
-RESPONSES = """
-select rec_id as doc_id, case rec_id % 7
-    when 0 then 'Result:' || chr(10) || '```json' || chr(10) || '[' || obj || ']' || chr(10) || '```'
-    when 1 then '```json' || chr(10) || obj || chr(10) || '```'
-    when 2 then '```JSON' || chr(10) || '[' || obj || ',]' || chr(10) || '``` done'
-    when 3 then 'Plain list [' || obj || ',' || obj || '] end'
-    when 4 then 'Object ' || obj || ' end'
-    when 5 then 'bad [1,2,,] then [' || obj || ']'
-    else 'No alloy was reported.' end as response
-from (select p_partkey as rec_id, '{{"name": "Al' || cast(p_size as int) || 'Co", "lattice_constant": '
-    || cast(p_size as int) || ', "confidence_scores": {{"name": ' || (p_partkey % 101) || '}}}}' as obj
-  from {part}) t
+# Model answers: every shape the two parsers treat differently, next to what comes out of them, traced by hand. In
+# all texts ~ is a line end, ^ a backslash, § a single quote, @ a number from the table, ¦ stands between
+# candidates. Columns: answer; first parser: status, branch, value; second parser: candidate (0: none), repaired, value; all candidates.
+_O = '{"name": "Al@Co", "x": @}'
+_V = '{"name":"Al@Co","x":@}'
+SHAPES = [
+    (f"Result:~```json~[{_O}]~```", "ok", "fence", f"[{_V}]", 1, False, f"[{_V}]", f"[{_O}]¦[{_O}]¦{_O}"),
+    (f"```json~{_O}~```", "dropped_not_list", "fence", None, 1, False, _V, f"{_O}¦{_O}"),
+    (f"```JSON~[{_O},]~``` done", "invalid", "list", None, 1, True, f"[{_V}]", f"[{_O},]¦[{_O},]¦[{_O},]¦{_O}"),
+    (f"Plain list [{_O},{_O}] end", "ok", "list", f"[{_V},{_V}]", 1, False, f"[{_V},{_V}]", f"[{_O},{_O}]¦{_O}¦{_O}"),
+    (f"Object {_O} end", "ok", "object", _V, 1, False, _V, _O),
+    (f"bad [1,2,,] then [{_O}]", "invalid", "list", None, 2, False, f"[{_V}]", f"[1,2,,]¦[{_O}]¦{_O}"),
+    ("No alloy was reported.", "raw", None, None, 0, None, None, None),
+    ("x [a] y [b] z [@, 7] and [8]", "invalid", "list", None, 3, False, "[@,7]", "[a]¦[b]¦[@, 7]¦[8]"),
+    ('see {"a": "x]} [", "b": [@]} ok', "invalid", "list", None, 1, False, '{"a":"x]} [","b":[@]}', '{"a": "x]} [", "b": [@]}'),
+    ('v {"a": "q^"} @"} w', "invalid", "object", None, 1, False, '{"a":"q^"} @"}', '{"a": "q^"} @"}'),
+    ("```json~oops~```~and~```json~[@]~```", "invalid", "fence", None, 2, False, "[@]", "oops¦[@]¦and¦[@]"),
+    ("```python~{§k§: §v@§,}~```", "invalid", "object", None, 1, True, '{"k":"v@"}', "{§k§: §v@§,}¦{§k§: §v@§,}"),
+    ("```json~@~```", "dropped_not_list", "fence", None, 1, False, "@", "@"),
+    ('open [1 [2] {"z": @}', "invalid", "list", None, 1, False, '{"z":@}', '{"z": @}'),
+    (None, "raw", None, None, 0, None, None, None),
+    ("```json~[@] tail~```", "invalid", "fence", None, 2, False, "[@]", "[@] tail¦[@]"),
+]
+
+
+_FLAG = 5  # the column that is true or false
+
+
+def _sql_value(value: str | int | bool | None, column: int) -> str:
+    if value is None:
+        return f"cast(null as {'boolean' if column == _FLAG else 'varchar(200)'})"
+    return f"'{value}'" if isinstance(value, str) else str(value).lower()
+
+
+def shape_rows(*columns: int) -> str:
+    """The rows of ``SHAPES`` as a list of SQL values, numbered from 0, with some of its columns."""
+    rows = (", ".join([str(i), *(_sql_value(shape[c], c) for c in columns)]) for i, shape in enumerate(SHAPES))
+    return "values " + ", ".join(f"({row})" for row in rows)
+
+
+def filled_in(text: str) -> str:
+    """A text of ``SHAPES`` with its marks replaced."""
+    for mark, value in (("~", "chr(10)"), ("^", "chr(92)"), ("§", "chr(39)"), ("@", "cast(cast(p_size as int) as varchar(12))")):
+        text = f"replace({text}, '{mark}', {value})"
+    return text
+
+
+RESPONSES = f"""
+select p_partkey as doc_id, {filled_in('template')} as response
+from {{part}} p join ({shape_rows(0).replace("{", "{{").replace("}", "}}")}) as shapes(shape, template) on p_partkey % {len(SHAPES)} = shape
 """
 
 # Record files: one JSON text each; lists of one or two full records, an object, a broken list.
@@ -116,7 +151,7 @@ select conv_id || '-' || turn as log_id,
 from {conversations}
 """
 
-# Judge verdicts: nine lines, numbered or not, some unclear.
+# Judge verdicts: nine lines or twelve, numbered or not, some unclear; some documents have two.
 VERDICTS = """
 select doc_id, case when quality = 1 then 'Yes' else 'No' end || chr(10)
   || case when toxic = 1 then 'no' else 'yes' end || chr(10)
@@ -126,8 +161,21 @@ select doc_id, case when quality = 1 then 'Yes' else 'No' end || chr(10)
   || case doc_id % 2 when 0 then 'Yes' else 'No' end || chr(10)
   || case doc_id % 4 when 0 then 'No' else 'yes' end || chr(10)
   || 'YES' || chr(10)
-  || case doc_id % 6 when 0 then 'Yes, one' else '9. No' end as verdict_text
+  || case doc_id % 6 when 0 then 'Yes, one' else '9. No' end
+  || case doc_id % 7 when 0 then chr(10) || 'no' || chr(10) || '11. yes' || chr(10) || 'maybe' else '' end as verdict_text
 from {labels}
+union all select doc_id, 'No' || chr(10) || 'second opinion: yes' from {labels} where doc_id % 4 = 0
+"""
+
+# Documents with words split over line ends, runs of blanks, and failed extractions (null).
+EDITED_TEXTS = """
+select doc_id, n_chars, case doc_id % 5
+    when 0 then replace(text, 'e ', 'e-' || chr(10))
+    when 1 then '  ' || replace(text, ' ', '  ')
+    when 2 then replace(text, '. ', '.' || chr(9) || chr(13) || chr(10))
+    when 3 then cast(null as varchar(9))
+    else text end as text
+from {documents}
 """
 
 # Human labels: the alloys under label-file headers, with names for the unnamed and some
@@ -176,13 +224,8 @@ def duckdb_sql(sql: str) -> str:
     return _fill(sql, {t: t for t in TABLES}, DUCKDB_PAGES).strip()
 
 
-# Unique row key of the tables whose rows cost much work in the queries.
-HEAVY = {"part": "p_partkey", "documents": "doc_id", "pages": "page_id"}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small_table(df, HEAVY[name]) if spread and name in HEAVY else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from docfacts.functions.composition import ATOMIC_WEIGHTS
 from docfacts.plans import fixtures as fx
-from docfacts.plans.queries import DIVISOR, INSTRUCTION, PROMPT
+from docfacts.plans.queries import DIVISOR, INSTRUCTION, LIST_SIZE, PROMPT
 
 _ALLOYS = fx.duckdb_sql(fx.ALLOYS)
 _RESPONSES = fx.duckdb_sql(fx.RESPONSES)
@@ -33,6 +33,7 @@ spellings as (
 )"""
 
 _CLEAN = f"trim(regexp_replace(translate(txt, ',;|＝：–—', '   =:--'), '[{_WS}]+', ' ', 'g'))"
+# The patterns of a formula term and of a number with a unit.
 _TERM = r"([A-Z][a-z]?)(-?\d*\.?\d*(?:e[+-]?\d+)?)"
 _NUM_UNIT = r"(-?\d*\.?\d+(?:[eE][+-]?\d+)?)([a-zA-Z%]*)"
 _WEIGHT_ROWS = ", ".join(f"('{e}', {w})" for e, w in ATOMIC_WEIGHTS.items())
@@ -217,29 +218,26 @@ from alloys a join compared using (rec_id) join short_names using (rec_id) left
   left join {_json_of("parsed", "measured", "amount")} mp using (rec_id)
   left join {_json_of("fractions", "measured", "fraction")} mf using (rec_id)"""
 
-# ---- answers: the seven shapes are known, so the outcome follows from the shape ----
-
-_ANSWER_PARTS = """answers as (select p_partkey as doc_id, p_partkey % 7 as shape,
-    '{"name": "Al' || p_size || 'Co", "lattice_constant": ' || p_size || ', "confidence_scores": {"name": ' || (p_partkey % 101) || '}}' as obj
-  from part)"""
-
-_OUTCOMES = f"""{_ANSWER_PARTS},
-outcomes as (select doc_id, shape, obj,
-    case when shape = 6 then 'raw' else 'ok' end as status,
-    case when shape = 6 then null when shape = 5 then 2 else 1 end as candidate_no,
-    case when shape = 6 then null else shape = 2 end as repaired
-  from answers)"""
-
-_CANDIDATES = f"""with {_ANSWER_PARTS},
-found as (select doc_id, case shape
-    when 0 then ['[' || obj || ']', '[' || obj || ']', obj]
-    when 1 then [obj, obj]
-    when 2 then ['[' || obj || ',]', '[' || obj || ',]', '[' || obj || ',]', obj]
-    when 3 then ['[' || obj || ',' || obj || ']', obj, obj]
-    when 4 then [obj]
-    when 5 then ['[1,2,,]', '[' || obj || ']', obj]
-    else [] end as cs from answers)
-select doc_id, cast(unnest(range(1, len(cs) + 1)) as int) as candidate_no, unnest(cs) as candidate from found"""
+# ---- answers: what comes out of each shape was traced by hand and stands beside it ----
+
+_OUTCOMES = f"""outcomes as (
+  select p_partkey as doc_id, {fx.filled_in("template")} as response, v1_status, branch, {fx.filled_in("v1_json")} as v1_json,
+    nullif(no, 0) as candidate_no, repaired, {fx.filled_in("v2_json")} as json, string_split({fx.filled_in("candidates")}, '¦') as cs
+  from part join ({fx.shape_rows(0, 1, 2, 3, 4, 5, 6, 7)}) as shapes(shape, template, v1_status, branch, v1_json, no, repaired, v2_json, candidates)
+    on p_partkey % {len(fx.SHAPES)} = shape)"""
+
+
+def _candidates(arrays_and_objects: int | None) -> str:
+    """All candidates, or those left when only so many balanced chunks of each type are taken."""
+    if arrays_and_objects is None:
+        return f"""with {_OUTCOMES}
+select doc_id, cast(unnest(range(1, len(cs) + 1)) as int) as candidate_no, unnest(cs) as candidate from outcomes"""
+    # Only one shape has more than two chunks of a type: its third and fourth array.
+    more = next(i for i, shape in enumerate(fx.SHAPES) if shape[7] and shape[7].startswith("[a]¦[b]¦"))
+    return f"""with {_OUTCOMES},
+taken as (select doc_id, case when doc_id % {len(fx.SHAPES)} = {more} then cs[:{arrays_and_objects}] else cs end as cs from outcomes)
+select doc_id, cast(unnest(range(1, len(cs) + 1)) as int) as candidate_no, unnest(cs) as candidate from taken"""
+
 
 _LIGHT_FIX = f"""with texts as (
   select 'answer' as source, doc_id as row_id, translate(response, '"', '''') as txt from ({_RESPONSES}) r
@@ -337,11 +335,14 @@ _LABEL_RECORDS = f"""labelled as (
   from ({_LABELS}) l
 )"""
 
-_LABEL_SETS = f"""with {_LABEL_RECORDS}
-select Paperid, 'papers/' || Paperid || '.pdf' as path, 0 as list_no, cast(count(*) as int) as n_items,
+_LABEL_SETS = f"""with {_LABEL_RECORDS},
+ranked as (select *, (row_number() over (partition by Paperid order by rec_id) - 1) // {LIST_SIZE} as list_no,
+    count(*) over (partition by Paperid) as n_all from labelled)
+select Paperid, 'papers/' || Paperid || '.pdf' as path, cast(list_no as int) as list_no,
+  cast(ceil(any_value(n_all) / {LIST_SIZE}) as int) as n_lists, cast(count(*) as int) as n_items,
   cast(to_json(list({{'name': name, 'nominal_composition': nominal_composition, 'measured_composition': measured_composition,
     'lattice_constant': lattice_constant, 'phases': phases, 'alloy_condition': alloy_condition, 'doi': doi}} order by rec_id)) as varchar) as records
-from labelled group by Paperid"""
+from ranked group by Paperid, list_no"""
 
 
 def _batches(table: str) -> str:
@@ -352,7 +353,7 @@ def _batches(table: str) -> str:
 
 
 _FEEDBACK = f"""with batches as ({_batches("labels")}), judged as ({_VERDICTS})
-select epoch, batch, count(*) as n_verdicts, string_agg(verdict_text, chr(10) || chr(10) order by position) as feedback
+select epoch, batch, count(*) as n_verdicts, string_agg(verdict_text, chr(10) || chr(10) order by position, verdict_text) as feedback
 from batches join judged using (doc_id) group by all"""
 
 _RECONCILE = f"""with alloys as ({_ALLOYS}), {_LABEL_RECORDS},
@@ -414,13 +415,45 @@ def _fields(ground_truth: bool) -> str:
 
 
 _REQUESTS = f"""with kinds as (select doc_id, text, {_KINDS} as kind from documents),
-blocks as (select doc_id, kind, {_BLOCK} as block from (select *, {_BASE64} as b64 from kinds where kind <> 'unsupported') k),
-truth as ({_LABEL_SETS.replace("with labelled", "with labelled", 1)}),
-answered as (select b.*, r.response from blocks b join ({_RESPONSES}) r using (doc_id))
-select doc_id, 'extract' as request, '[' || {_text_block(f'''\'"{PROMPT}"\'''')} || ',' || block || ']' as body, cast(null as varchar) as reason from blocks
-union all select doc_id, 'extract', null, 'unsupported' from kinds where kind = 'unsupported'
-union all select doc_id, 'judge', {_fields(False)}, null from answered
-union all select a.doc_id, 'train', {_fields(True)}, null from answered a join truth t on t.Paperid = a.doc_id"""
+blocks as (select doc_id, kind, {_BLOCK} as block from (select *, case when kind <> 'unsupported' then {_BASE64} end as b64 from kinds) k),
+truth as ({_LABEL_SETS}),
+answered as (select b.*, r.response from blocks b join ({_RESPONSES}) r using (doc_id) where response is not null),
+requests as (
+  select doc_id, kind, 'extract' as request, cast(null as int) as list_no, cast(null as int) as n_lists, '[' || {_text_block(f'''\'"{PROMPT}"\'''')} || ',' || block || ']' as body from blocks
+  union all select doc_id, kind, 'judge', null, null, {_fields(False)} from answered
+  union all select a.doc_id, kind, 'train', list_no, n_lists, {_fields(True)} from answered a join truth t on t.Paperid = a.doc_id
+)
+select doc_id, request, list_no, n_lists, case when kind <> 'unsupported' then body end as body,
+  case when kind = 'unsupported' then 'unsupported' end as reason from requests"""
+
+_EDITED_STATS = f"""select doc_id, length(norm) as characters, words, cast(round_even(words / 0.75e0, 0) as bigint) as tokens_word_est,
+  cast(round_even(length(norm) / 4e0, 0) as bigint) as tokens_char_est
+from (select *, len(regexp_extract_all(norm, '[{_W}][{_W}''-]*')) as words
+      from (select doc_id, {_NORM} as norm from ({fx.duckdb_sql(fx.EDITED_TEXTS)}) x where text is not null) d) e"""
+
+_NO_IMAGES = """cast(null as double) as image_mp, cast(null as bigint) as image_tokens, cast(null as bigint) as total_tokens_word_est,
+  cast(null as bigint) as total_tokens_char_est, cast(null as bigint) as total_tokens_tiktoken"""
+
+_TOTAL_LINE = f"""with {_budget()},
+sums as (
+  select count(*) as files, sum(words) as words, sum(characters) as chars, sum(image_mp) as mp, sum(image_tokens) as it from budget),
+est as (select *, cast(round_even(words / 0.75e0, 0) as bigint) as w, cast(round_even(chars / 4e0, 0) as bigint) as c from sums),
+lines as (select *, 'TOTAL' || chr(9) || 'files=' || files || chr(9) || 'words=' || words || chr(9) || 'chars=' || chars || chr(9)
+  || 'tokens(word-est)=' || w || chr(9) || 'tokens(char-est)=' || c || chr(9) || 'tokens(tiktoken)=-' as head from est)
+select 'plain' as run, head as line from lines
+union all select 'images', head || chr(9) || 'image_mp=' || printf('%.2f', mp) || chr(9) || 'image_tokens=' || it || chr(9)
+  || 'total_tokens(word-est)=' || (w + it) || chr(9) || 'total_tokens(char-est)=' || (c + it) from lines"""
+
+_AS_WEIGHT = f"""with {_PARSERS},
+sums as (select rec_id, source, any_value(unit) as unit, sum(amount) as total from parsed group by rec_id, source),
+by_weight as (
+  select p.rec_id, p.source, p.element, p.unit, case when s.unit = 'wt' or (s.unit is null and abs(s.total - 100) < 0.1)
+      then amount / coalesce(weight, 1) else amount end as v
+  from parsed p join sums s on s.rec_id = p.rec_id and s.source = p.source left join weights w on w.element = p.element),
+sums2 as (select rec_id, source, any_value(unit) as unit, sum(v) as total from by_weight group by rec_id, source),
+weighed as (
+  select m.rec_id, m.source, element, v / total as fraction from by_weight m join sums2 t on t.rec_id = m.rec_id and t.source = m.source
+  where total > 0 or (t.unit = 'at' and total <> 0))""" + _every_row("weighed", "fraction", "fraction")
 
 ORACLES: dict[str, str] = {
     "text_stats": f"with {_stats()} select * from stats",
@@ -478,19 +511,18 @@ select rec_id, t1 as ratio_text, t3 as ratio_text_3 from alloys left join ratio_
     "consistency_summary": f"""with {_COMPARED}
 select count(*) filter (consistency_check = 'OK') as n_ok, count(*) filter (consistency_check like 'inconsistent%') as n_inconsistent,
   count(*) filter (consistency_check = 'unknown') as n_unknown from compared""",
-    "parse_v1": f"""with {_ANSWER_PARTS}
-select doc_id, case when shape in (0, 3) then 'ok' when shape = 1 then 'dropped_not_list' when shape = 6 then 'raw' else 'invalid' end as status,
-  case when shape in (0, 1) then 'fence' when shape in (2, 3, 5) then 'list' when shape = 4 then 'object' end as branch,
-  case shape when 0 then 1 when 3 then 2 end as n_records
-from answers""",
-    "json_candidates": _CANDIDATES,
+    "parse_v1": f"with {_OUTCOMES} select doc_id, v1_status as status, branch, v1_json as json from outcomes",
+    "json_candidates": _candidates(None),
+    "json_candidates_two": _candidates(2),
     "json_candidates_pages": """select page_id, cast(unnest(range(1, len(cs) + 1)) as int) as candidate_no, unnest(cs) as candidate
-from (select page_id, regexp_extract_all(html, '[{][^{}"'']*[}]')[:2] as cs from pages) t""",
+from (select page_id, regexp_extract_all(html, '[{][^{}"'']*[}]') as cs from pages) t""",
     "light_fix": _LIGHT_FIX,
     "parse_v2": f"""with {_OUTCOMES}
-select doc_id, status, candidate_no, repaired, case when shape in (1, 4) then 'object' when shape <> 6 then 'array' end as kind,
-  case when shape in (1, 4) then 3 when shape = 3 then 2 when shape <> 6 then 1 end as size from outcomes""",
-    "quarantine": f"""select cast(doc_id as varchar) as item, 'raw' as reason, response as raw from ({_RESPONSES}) r where response = 'No alloy was reported.'
+select doc_id, case when candidate_no is null then 'raw' else 'ok' end as status, candidate_no, repaired,
+  case when json like '[%' then 'array' when json like '{{%' then 'object' when json is not null then 'number' end as kind,
+  cast(case when json like '[%' then json_array_length(json) when json like '{{%' then len(json_keys(json)) end as int) as size, json from outcomes""",
+    "quarantine": f"""with {_OUTCOMES}
+select cast(doc_id as varchar) as item, 'raw' as reason, response as raw from outcomes where candidate_no is null
 union all
 select file_name, case when value like '{{%' then 'not_a_list' else 'bad_json' end, value
 from ({_RECORD_FILES}) f where value like '{{%' or value like '%,]'""",
@@ -500,7 +532,8 @@ select paper as Paperid, cast(pos as int) as pos, name, nullif(nominal_compositi
   case when rec_id % 4 <> 1 then cast('3.' || lattice_milli as double) end as lattice_constant,
   case when rec_id % 4 <> 1 then regexp_replace('3.' || lattice_milli, '0+$', '') end as lattice_text, 'BCC' as phases,
   cast(null as varchar) as alloy_condition, '10.1/' || paper_id as doi, conf as conf_name,
-  cast(null as int) as conf_nominal_composition, 100 - conf as conf_lattice_constant, cast(null as int) as conf_doi
+  cast(null as int) as conf_nominal_composition, cast(null as int) as conf_measured_composition, 100 - conf as conf_lattice_constant,
+  cast(null as int) as conf_phases, cast(null as int) as conf_alloy_condition, cast(null as int) as conf_doi
 from entries""",
     "confidence_profile": _PROFILE,
     "combine_records": f"""with {_RECORDS}
@@ -509,10 +542,21 @@ select paper as Paperid, cast(pos as int) as pos, name, coalesce(nominal_composi
   case when rec_id % 4 <> 1 then cast('3.' || lattice_milli as double) end as lattice_constant,
   case when rec_id % 4 <> 1 then regexp_replace('3.' || lattice_milli, '0+$', '') else 'Not found' end as lattice_text, 'BCC' as phases,
   cast(null as varchar) as alloy_condition, '10.1/' || paper_id as doi, conf as conf_name,
-  100 - conf as conf_lattice_constant, cast(null as int) as conf_doi
+  cast(null as int) as conf_nominal_composition, cast(null as int) as conf_measured_composition, 100 - conf as conf_lattice_constant,
+  cast(null as int) as conf_phases, cast(null as int) as conf_alloy_condition, cast(null as int) as conf_doi
 from entries where shape <> 3""",
+    "combine_all_keys": f"""with {_RECORDS},
+fields as (
+  select paper, pos, unnest(['name', 'nominal_composition', 'measured_composition', 'lattice_constant', 'phases', 'doi', 'confidence_scores']) as key,
+    unnest([name, coalesce(nominal_composition, 'Not found'), coalesce(measured_composition, 'Not found'),
+      case when rec_id % 4 <> 1 then regexp_replace('3.' || lattice_milli, '0+$', '') else 'Not found' end, 'BCC', '10.1/' || paper_id,
+      '{{"lattice_constant":' || (100 - conf) || ',"name":' || conf || '}}']) as value
+  from entries where shape <> 3)
+select paper as Paperid, cast(pos as int) as pos, key, value from fields""",
     "combine_with_keys": f"""with {_RECORDS}
 select paper as Paperid, cast(pos as int) as pos, '10.1/' || paper_id as doi, name, 'BCC' as phases,
+  coalesce(nominal_composition, 'Not found') as nominal_composition, coalesce(measured_composition, 'Not found') as measured_composition,
+  case when rec_id % 4 <> 1 then regexp_replace('3.' || lattice_milli, '0+$', '') else 'Not found' end as lattice_constant,
   '{{"lattice_constant":' || (100 - conf) || ',"name":' || conf || '}}' as confidence_scores, cast(null as varchar) as is_single_phase
 from entries where shape <> 3""",
     "record_keys": """select distinct unnest(['name', 'nominal_composition', 'measured_composition', 'lattice_constant', 'phases', 'doi', 'confidence_scores']) as key
@@ -532,5 +576,18 @@ from part""",
 from labels l left join documents d on d.doc_id = l.doc_id and d.lang <> 'fr'""",
     "request_rows": _REQUESTS,
     "stream_ingest": f"""with {_OUTCOMES}
-select doc_id, status, candidate_no, repaired, case when shape = 6 then 'No alloy was reported.' end as raw from outcomes""",
+select doc_id, case when candidate_no is null then 'raw' else 'ok' end as status, candidate_no, repaired, json,
+  case when candidate_no is null then response end as raw from outcomes""",
+    "text_stats_edited": _EDITED_STATS,
+    "text_failures": "select doc_id, 'no_text' as reason from documents where doc_id % 5 = 3 or text is null",
+    "token_budget_no_images": f"with {_stats()} select *, {_NO_IMAGES} from stats",
+    "token_budget_no_rate": f"""with {_stats()},
+measured as (
+  select doc_id, sum((width_in * 100) * (height_in * 100) / 1e6) as mp, count(*) as n from ({_GEOMETRY}) g group by doc_id)
+select s.*, round(coalesce(mp, 500.0e0 * 700.0e0 / 1e6 * greatest(pages, 1)), 6) as image_mp,
+  cast(coalesce(n, greatest(pages, 1)) as bigint) as pages_used, cast(null as bigint) as image_tokens,
+  cast(null as bigint) as total_tokens_word_est, cast(null as bigint) as total_tokens_char_est, cast(null as bigint) as total_tokens_tiktoken
+from stats s left join measured using (doc_id)""",
+    "token_total_line": _TOTAL_LINE,
+    "normalize_as_weight": _AS_WEIGHT,
 }

@@ -17,6 +17,7 @@ from docfacts.streaming import ingest
 PROMPT = "Read the PDF file and extract the alloys."
 INSTRUCTION = "Answer yes or no for each extracted material."
 DIVISOR = 750
+LIST_SIZE = 8
 
 
 def _places(value: Column, places: int = 6) -> Column:
@@ -79,6 +80,12 @@ def normalize_composition(spark: SparkSession, d: str) -> DataFrame:
     return _long(done, ["rec_id", "source"], "c_fractions", "fraction")
 
 
+def normalize_as_weight(spark: SparkSession, d: str) -> DataFrame:
+    """Compositions without a unit read as weight percent."""
+    done = compositions.parse_and_normalize(_spellings(spark, d), "txt", "c", assume_weight_if_ambiguous=True)
+    return _long(done, ["rec_id", "source"], "c_fractions", "fraction")
+
+
 def weight_to_mole(spark: SparkSession, d: str) -> DataFrame:
     """Moles of all compositions that state weight percent."""
     parsed = _spellings(spark, d).withColumn("p", F.expr(C.parse_composition("txt"))).where(F.col("p.unit") == "wt")
@@ -140,15 +147,13 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_v1(spark: SparkSession, d: str) -> DataFrame:
-    return responses.parse_v1(_answers(spark, d)).select(
-        "doc_id", "status", "branch", F.expr(json_size("json")).alias("n_records")
-    )
+    return responses.parse_v1(_answers(spark, d)).select("doc_id", "status", "branch", F.to_json("json").alias("json"))
 
 
 def parse_v2(spark: SparkSession, d: str) -> DataFrame:
     return responses.parse_v2(_answers(spark, d)).select(
         "doc_id", "status", "candidate_no", "repaired",
-        F.expr(json_kind("json")).alias("kind"), F.expr(json_size("json")).alias("size"),
+        F.expr(json_kind("json")).alias("kind"), F.expr(json_size("json")).alias("size"), F.to_json("json").alias("json"),
     )
 
 
@@ -161,6 +166,11 @@ def json_candidates_pages(spark: SparkSession, d: str) -> DataFrame:
     return responses.candidate_rows(fx.table(spark, d, "pages"), "page_id", "html")
 
 
+def json_candidates_two(spark: SparkSession, d: str) -> DataFrame:
+    """At most two balanced chunks of each bracket type."""
+    return responses.candidate_rows(_answers(spark, d), max_items=2)
+
+
 def light_fix(spark: SparkSession, d: str) -> DataFrame:
     answers = _answers(spark, d).select(
         F.lit("answer").alias("source"), F.col("doc_id").alias("row_id"), F.translate("response", '"', "'").alias("txt")
@@ -183,19 +193,22 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flatten_records(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).drop("conf_measured_composition", "conf_phases", "conf_alloy_condition")
+    return _records(spark, d)
 
 
 def combine_records(spark: SparkSession, d: str) -> DataFrame:
-    combined = records.combine_records(fx.derived(spark, d, fx.RECORD_FILES))
-    return combined.select(
-        "Paperid", "pos", "name", "nominal_composition", "measured_composition", "lattice_constant",
-        "lattice_text", "phases", "alloy_condition", "doi", "conf_name", "conf_lattice_constant", "conf_doi",
-    )
+    return records.combine_records(fx.derived(spark, d, fx.RECORD_FILES))
+
+
+def combine_all_keys(spark: SparkSession, d: str) -> DataFrame:
+    return records.combine_all_keys(fx.derived(spark, d, fx.RECORD_FILES))
 
 
 def combine_with_keys(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["doi", "name", "phases", "confidence_scores", "is_single_phase"]
+    keys = [
+        "name", "nominal_composition", "measured_composition", "lattice_constant", "phases", "doi",
+        "confidence_scores", "is_single_phase",
+    ]
     return records.combine_with_keys(fx.derived(spark, d, fx.RECORD_FILES), keys)
 
 
@@ -228,7 +241,7 @@ def _budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_megapixels(spark: SparkSession, d: str) -> DataFrame:
-    docs = fx.table(spark, d, "documents", spread=False).select(
+    docs = fx.table(spark, d, "documents").select(
         "doc_id", (F.lit(1) + F.floor(F.col("n_chars") / 3000)).cast("int").alias("pages")
     )
     sized = text_budget.image_megapixels(docs, fx.derived(spark, d, fx.PAGE_GEOMETRY), default_size="a4")
@@ -258,6 +271,35 @@ def token_totals(spark: SparkSession, d: str) -> DataFrame:
     return text_budget.token_totals(_budget(spark, d)).withColumn("image_mp", _places(F.col("image_mp"), 4))
 
 
+def text_stats_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with split words and runs of blanks; failed extractions are left out."""
+    return text_budget.text_stats(fx.derived(spark, d, fx.EDITED_TEXTS)).select("doc_id", "characters", "words", "tokens_word_est", "tokens_char_est")
+
+
+def text_failures(spark: SparkSession, d: str) -> DataFrame:
+    return text_budget.text_failures(fx.derived(spark, d, fx.EDITED_TEXTS))
+
+
+def token_budget_no_images(spark: SparkSession, d: str) -> DataFrame:
+    """A run without images: their columns stay null."""
+    return text_budget.without_images(_stats(spark, d))
+
+
+def token_budget_no_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Images measured in a page size of one's own at 100 dpi, with neither divisor nor rate."""
+    sized = text_budget.image_megapixels(
+        _stats(spark, d), fx.derived(spark, d, fx.PAGE_GEOMETRY), dpi=100, default_width=5.0, default_height=7.0
+    )
+    budget = text_budget.token_budget(sized)
+    return budget.withColumn("image_mp", _places(F.col("image_mp")))
+
+
+def token_total_line(spark: SparkSession, d: str) -> DataFrame:
+    """The total line with and without images."""
+    lines = [text_budget.token_total_line(text_budget.token_totals(b)) for b in (_budget(spark, d), text_budget.without_images(_stats(spark, d)))]
+    return lines[0].select(F.lit("images").alias("run"), "line").unionAll(lines[1].select(F.lit("plain"), "line"))
+
+
 def text_source_pick(spark: SparkSession, d: str) -> DataFrame:
     return documents.pick_text(fx.derived(spark, d, fx.BACKEND_TEXTS)).select("doc_id", "text", "pages", "engine")
 
@@ -278,7 +320,8 @@ def _label_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_sets(spark: SparkSession, d: str) -> DataFrame:
-    sets = labels.label_sets(_label_records(spark, d), ["rec_id"], folder="papers/")
+    """Lists of few records, so that papers are cut into pieces at any size of the tables."""
+    sets = labels.label_sets(_label_records(spark, d), "rec_id", folder="papers/", list_size=LIST_SIZE)
     return sets.withColumn("records", F.to_json("records", {"ignoreNullFields": "false"}))
 
 
@@ -287,7 +330,7 @@ def _mix(item: Column, epoch: Column) -> Column:
 
 
 def mini_batches(spark: SparkSession, d: str) -> DataFrame:
-    return labels.mini_batches(fx.table(spark, d, "documents", spread=False), mix=_mix, mix_range=1000003)
+    return labels.mini_batches(fx.table(spark, d, "documents"), mix=_mix, mix_range=1000003)
 
 
 def batch_feedback(spark: SparkSession, d: str) -> DataFrame:
@@ -311,10 +354,7 @@ def verdict_scores(spark: SparkSession, d: str) -> DataFrame:
 # ---- documents and requests ----
 
 def scan_docs(spark: SparkSession, d: str) -> DataFrame:
-    paths = fx.derived(spark, d, fx.PATHS)
-    flat = documents.flat_pdfs(paths, "/in").select(F.lit("flat").alias("scan"), "path", "doc_id")
-    deep = documents.all_pdfs(paths).select(F.lit("recursive").alias("scan"), "path", F.lit(None).cast("string").alias("doc_id"))
-    return flat.unionAll(deep)
+    return documents.both_scans(fx.derived(spark, d, fx.PATHS), "/in")
 
 
 def _binary_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -333,32 +373,21 @@ def pending_docs(spark: SparkSession, d: str) -> DataFrame:
     outcomes = fx.table(spark, d, "labels")
     results = outcomes.where(F.col("quality") == 1)
     raw = outcomes.where(F.col("quality") == 0)
-    return documents.pending_docs(fx.table(spark, d, "documents", spread=False).select("doc_id", "source"), results, raw)
+    return documents.pending_docs(fx.table(spark, d, "documents").select("doc_id", "source"), results, raw)
 
 
 def pair_outputs(spark: SparkSession, d: str) -> DataFrame:
     outputs = fx.table(spark, d, "labels").select(F.format_string("/out/%d.v1.json", "doc_id").alias("path"), "quality")
     suffix = F.when(F.col("lang") == "fr", ".PDF").otherwise(".pdf")
-    pdfs = fx.table(spark, d, "documents", spread=False).select(F.concat(F.format_string("/out/%d.v1", "doc_id"), suffix).alias("path"))
-    paired, missing = documents.pair_outputs(outputs, pdfs)
-    return paired.unionByName(missing, allowMissingColumns=True)
+    pdfs = fx.table(spark, d, "documents").select(F.concat(F.format_string("/out/%d.v1", "doc_id"), suffix).alias("path"))
+    return documents.pair_outputs(outputs, pdfs)
 
 
 def request_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Extraction requests, judge requests (with and without ground truth) and rejected documents."""
-    docs = _binary_docs(spark, d)
-    wanted, rejected = requests.extraction_requests(docs, PROMPT)
-    answered = docs.join(_answers(spark, d).withColumnRenamed("response", "answer"), "doc_id")
-    truth = label_sets(spark, d).select(F.col("Paperid").alias("doc_id"), F.col("records").alias("truth"))
-    judged = requests.evaluation_requests(answered, INSTRUCTION, PROMPT)
-    trained = requests.evaluation_requests(answered.join(truth, "doc_id"), INSTRUCTION, PROMPT, ground_truth="truth")
-    none = F.lit(None).cast("string")
-    return (
-        wanted.select("doc_id", F.lit("extract").alias("request"), F.col("content").alias("body"), none.alias("reason"))
-        .unionAll(rejected.select("doc_id", F.lit("extract"), none, "reason"))
-        .unionAll(judged.select("doc_id", F.lit("judge"), "fields", none))
-        .unionAll(trained.select("doc_id", F.lit("train"), "fields", none))
-    )
+    """Extraction, judge and training requests, each also for the documents that are rejected."""
+    answers = _answers(spark, d).withColumnRenamed("response", "answer")
+    truths = label_sets(spark, d).select(F.col("Paperid").alias("doc_id"), F.col("records").alias("truth"), "list_no", "n_lists")
+    return requests.all_requests(_binary_docs(spark, d), answers, truths, PROMPT, INSTRUCTION)
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
@@ -369,19 +398,20 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
         arriving = spark.readStream.schema(schema).parquet(f"{d}/part*.parquet")
         answers = spark.sql(fx.RESPONSES, part=arriving)
         ingest.ingest_answers(answers, outcomes, checkpoint).awaitTermination()
-    return ingest.read_outcomes(spark, outcomes).select("doc_id", "status", "candidate_no", "repaired", "raw")
+    return ingest.read_outcomes(spark, outcomes).select("doc_id", "status", "candidate_no", "repaired", "json", "raw")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         text_stats, token_totals, image_megapixels, token_budget, token_budget_rate, token_report,
-        token_budget_csv, text_source_pick,
+        token_budget_csv, text_source_pick, text_stats_edited, text_failures, token_budget_no_images,
+        token_budget_no_rate, token_total_line, normalize_as_weight,
         parse_formula, parse_ratio_form, parse_pairs, parse_composition, normalize_composition,
         weight_to_mole, name_inferred, composition_distance, ratio_string, name_without_zero,
         check_compositions, consistency_summary,
-        parse_v1, json_candidates, json_candidates_pages, light_fix, parse_v2, quarantine,
-        flatten_records, confidence_profile, combine_records, combine_with_keys, record_keys,
+        parse_v1, json_candidates, json_candidates_two, json_candidates_pages, light_fix, parse_v2, quarantine,
+        flatten_records, confidence_profile, combine_records, combine_all_keys, combine_with_keys, record_keys,
         prompt_similarity, prompt_log, label_sets, mini_batches, batch_feedback, label_reconcile,
         verdict_scores,
         scan_docs, classify_docs, pending_docs, pair_outputs, request_rows, stream_ingest,

@@ -17,19 +17,6 @@ NULL_WORDS = [
 ]
 
 
-FEW_PARTITIONS = 32
-
-
-def spread_small_table(df: DataFrame, key: str) -> DataFrame:
-    """Share out a table that is read in fewer partitions than there are cores, by a unique key.
-
-    A small file is read by one task, which would then do all the narrow work that
-    follows. Tables read in many partitions, which is what large ones are, stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, FEW_PARTITIONS) else df
-
-
 def scan_pdfs(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
     """PDF files directly in a folder (suffix in lower case) with ``doc_id``; bytes only if asked for."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
@@ -38,14 +25,14 @@ def scan_pdfs(spark: SparkSession, folder: str, content: bool = True) -> DataFra
 
 
 def scan_pdfs_recursive(spark: SparkSession, targets: Sequence[str]) -> DataFrame:
-    """Distinct PDF paths of files and folders at any depth, suffix in any case, sorted."""
+    """Distinct PDF paths of files and folders at any depth, suffix in any case."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[pP][dD][fF]")
         .option("recursiveFileLookup", "true")
         .load(list(targets))
     )
-    return files.select("path").distinct().orderBy("path")
+    return files.select("path").distinct()
 
 
 def read_record_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,19 +54,41 @@ def missing_words_to_null(df: DataFrame, words: Sequence[str] = tuple(NULL_WORDS
     return df.select(*[cell(c) for c in df.columns])
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with header and quoted line breaks; missing-value words become null.
+def typed_columns(df: DataFrame) -> DataFrame:
+    """Text columns that hold only whole numbers, numbers or true/false (and nulls) get that type.
 
-    Columns are text unless a schema is given. With one, cells are read as text and cast, so
-    that a missing-value word in a number column is null rather than an error.
+    Which type fits is decided over all rows in one aggregation; the narrowest wins.
+    """
+    text = [name for name, kind in df.dtypes if kind == "string"]
+    if not text:
+        return df
+    kinds = {"bigint": r"[+-]?\d{1,18}", "double": r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", "boolean": r"(?i:true|false)"}
+    fits = [
+        (F.count(F.when(~F.rlike(F.col(f"`{c}`"), F.lit(rf"\A{pattern}\z")), 1)) + F.when(F.count(F.col(f"`{c}`")) == 0, 1).otherwise(0)).alias(f"{i} {kind}")
+        for i, c in enumerate(text)
+        for kind, pattern in kinds.items()
+    ]
+    misses = df.agg(*fits).first()
+    chosen = {c: next((kind for kind in kinds if misses[f"{i} {kind}"] == 0), None) for i, c in enumerate(text)}
+    return df.select(*[F.col(f"`{c}`").cast(chosen[c]).alias(c) if chosen.get(c) else F.col(f"`{c}`") for c in df.columns])
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = False, infer: bool = False
+) -> DataFrame:
+    """CSV with header; missing-value words become null.
+
+    Columns are text unless a schema is given or ``infer`` asks for the types that all rows fit. With a schema,
+    cells are read as text and cast, so that a missing-value word in a number column is null rather than an error.
+    ``multi_line`` reads cells with line breaks; such a file cannot be split, so one task reads it.
     """
     raw = (
-        spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"')
+        spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option("quote", '"').option("escape", '"')
         .csv(path)
     )
     clean = missing_words_to_null(raw)
     if schema is None:
-        return clean
+        return typed_columns(clean) if infer else clean
     fields = schema.fields if isinstance(schema, StructType) else StructType.fromDDL(schema).fields
     return clean.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 

@@ -23,19 +23,29 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).option("emptyValue", "").csv(path)
 
 
-def write_outcomes(
-    parsed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "response", mode: str = "append"
-) -> None:
-    """Parsed answers, and the whole raw text of all others, as one table partitioned by status.
+def _write_run(df: DataFrame, path: str, run_id: str, *by: str) -> None:
+    """Write the partitions of one run; running it again replaces them, other runs stay."""
+    df.withColumn("run", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", *by).parquet(path)
 
-    One table instead of a file per document, and one pass, so each answer is parsed once.
+
+def write_outcomes(parsed: DataFrame, path: str, run_id: str, doc_id: str = "doc_id", text: str = "response") -> None:
+    """Parsed answers, and the whole raw text of all others, as one table partitioned by run and status.
+
+    One table instead of a file per document, and one pass, so each answer is parsed once. A repeated run with the
+    same ``run_id`` replaces its own rows.
     """
-    parsed.select(
+    outcome = parsed.select(
         doc_id,
         F.to_json("json").alias("json"),
         F.when(F.col("status") != "ok", F.col(text)).alias("raw"),
         "status",
-    ).write.mode(mode).partitionBy("status").parquet(path)
+    )
+    _write_run(outcome, path, run_id, "status")
+
+
+def write_combined(combined: DataFrame, path: str) -> None:
+    """The combined table sorted by paper and position, in files that follow one another."""
+    combined.repartitionByRange("Paperid").sortWithinPartitions("Paperid", "pos").write.mode("overwrite").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame:
@@ -50,5 +60,6 @@ def read_quarantine(spark: SparkSession, path: str, doc_id: str = "doc_id") -> D
     )
 
 
-def append_verdicts(verdicts: DataFrame, path: str) -> None:
-    verdicts.select("doc_id", "verdict_text").write.mode("append").parquet(path)
+def write_verdicts(verdicts: DataFrame, path: str, run_id: str) -> None:
+    """Verdicts of one run; a repeated run replaces its own rows."""
+    _write_run(verdicts.select("doc_id", "verdict_text"), path, run_id)

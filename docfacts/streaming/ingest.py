@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docfacts.operators.documents import id_before_first_dot
@@ -27,24 +27,33 @@ def stream_pdfs(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     return stream.select(id_before_first_dot(F.col("_metadata.file_name")).alias("doc_id"), "path", "content")
 
 
+#: Parts in which outcomes are laid out by the hash of their id.
+BUCKETS = 64
+
+
+def bucket_of(doc_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(buckets)).cast("int")
+
+
 def read_outcomes(spark: SparkSession, outcomes: str) -> DataFrame:
     """The outcome table: results and quarantined answers, told apart by ``status``."""
-    return spark.read.option("recursiveFileLookup", "true").parquet(outcomes)
+    return spark.read.parquet(outcomes)
 
 
 def create_outcomes(answers: DataFrame, outcomes: str) -> None:
     """Make the outcome table exist, so that the first batch can read it."""
     columns = {
         "doc_id": answers.schema["doc_id"].dataType, "status": "string", "candidate_no": "int", "repaired": "boolean",
-        "json": "string", "raw": "string", "query_id": "string", "batch_id": "bigint",
+        "json": "string", "raw": "string",
     }
-    empty = answers.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()])
-    empty.write.mode("overwrite").parquet(f"{outcomes.rstrip('/')}/start")
+    empty = answers.sparkSession.range(0, 1).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]).where("doc_id is not null")
+    empty.write.mode("overwrite").parquet(f"{outcomes.rstrip('/')}/bucket=-1/batch=none")
 
 
-def parse_outcomes(answers: DataFrame) -> DataFrame:
+def parse_outcomes(answers: DataFrame, *keep: str) -> DataFrame:
     parsed = parse_v2(answers)
     return parsed.select(
+        *keep,
         "doc_id",
         "status",
         F.col("candidate_no").cast("int").alias("candidate_no"),
@@ -54,29 +63,31 @@ def parse_outcomes(answers: DataFrame) -> DataFrame:
     )
 
 
-def ingest_answers(answers: DataFrame, outcomes: str, checkpoint: str) -> StreamingQuery:
+def known_ids(spark: SparkSession, outcomes: str, buckets: list[int], but: str) -> DataFrame:
+    """Ids with an outcome in some buckets, those of one batch left out; other buckets are not read."""
+    known = read_outcomes(spark, outcomes).where(F.col("bucket").isin(*buckets, -1) & (F.col("batch") != but))
+    return known.select("doc_id").distinct()
+
+
+def ingest_answers(answers: DataFrame, outcomes: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Start a query over a stream of ``doc_id, response`` that handles what is there, then stops.
 
-    Each micro-batch drops repeated ids, skips ids that already have an outcome, parses the
-    rest and writes one folder named by query and batch. A repeated batch overwrites its own
-    folder, so a failure between write and commit adds nothing twice. The known ids live in
-    the outcome table, not in stream state, so a new checkpoint does not start over.
+    Of several answers to one document in a micro-batch the first in text order counts, so a repeated batch
+    chooses alike. Each micro-batch skips ids that already have an outcome, looking only into the buckets of its own ids,
+    parses the rest and writes its part of these buckets. A repeated batch overwrites its own parts, so a failure
+    between write and commit adds nothing twice. The known ids live in the outcome table, not in stream state, so a
+    new checkpoint does not start over.
     """
     create_outcomes(answers, outcomes)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        own = (F.col("query_id") == query_id) & (F.col("batch_id") == batch_id)
-        known = read_outcomes(spark, outcomes).where(~own).select("doc_id").distinct()
-        fresh = batch.dropDuplicates(["doc_id"]).join(known, "doc_id", "left_anti")
-        (
-            parse_outcomes(fresh)
-            .withColumn("query_id", F.lit(query_id))
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .parquet(f"{outcomes.rstrip('/')}/{query_id}-{batch_id}")
-        )
+        name = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        one = batch.groupBy("doc_id").agg(F.min("response").alias("response")).withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
+        present = [row.bucket for row in one.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        fresh = one.join(known_ids(spark, outcomes, present, name), "doc_id", "left_anti")
+        outcome = parse_outcomes(fresh, "bucket").withColumn("batch", F.lit(name))
+        outcome.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(outcomes)
 
     return (
         answers.writeStream.foreachBatch(handle)

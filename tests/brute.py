@@ -1,98 +1,11 @@
-"""Slow, plain-Python forms of the rules, to check the Spark expressions against."""
+"""Textbook formulas in plain Python, to check the Spark expressions against."""
 
 from __future__ import annotations
 
 import json
 import math
 import re
-from collections import Counter, deque
-
-# Patterns with their replacements, applied in order.
-REPAIRS = [
-    (r",(\s*[}\]])", r"\1"),
-    (r"([{\[,])\s*'([^'\\]*?)'\s*:", r'\1 "\2":'),
-    (r":\s*'([^'\\]*?)'(\s*[,}\]])", r': "\1"\2'),
-]
-NORMAL_FORM = [(r"(\w)-\n(\w)", r"\1\2"), (r"[\t\r\n]+", " "), (r"\s{2,}", " ")]
-
-WEIGHTS = {"Al": 26.982, "Nb": 92.906, "Fe": 55.845, "Co": 58.933, "Ti": 47.867, "W": 183.84, "V": 50.942}
-
-
-def clean(text: str) -> str:
-    table = {ord(c): " " for c in ",;|"} | {ord("＝"): "=", ord("："): ":", ord("–"): "-", ord("—"): "-"}
-    return " ".join(text.translate(table).split())
-
-
-def formula(text: str) -> dict | None:
-    amounts: dict[str, float] = {}
-    for symbol, number in re.findall(r"([A-Z][a-z]?)(-?\d*\.?\d*(?:e[+-]?\d+)?)", text.replace("%", " ")):
-        try:
-            amount = float(number)
-        except ValueError:
-            amount = 1.0
-        amounts[symbol] = amounts.get(symbol, 0.0) + amount
-    return amounts or None
-
-
-def ratio_form(text: str) -> dict | None:
-    head, equals, tail = text.partition("=")
-    symbols = re.findall("[A-Z][a-z]?", clean(head))
-    numbers = re.findall(r"-?\d*\.?\d+(?:e[+-]?\d+)?", clean(tail))
-    if not equals or not symbols or len(symbols) != len(numbers):
-        return None
-    return {s: float(n) for s, n in zip(symbols, numbers)}
-
-
-def pairs(text: str) -> tuple[dict | None, str | None]:
-    """Reads the words from a queue, so that a value used up is not looked at again."""
-    for kind in ("at", "wt"):
-        text = text.replace(f"{kind}.%", f"{kind}%").replace(f"{kind}. %", f"{kind}%")
-    value = re.compile(r"(-?\d*\.?\d+(?:e[+-]?\d+)?)([a-z%]*)\Z", re.I)
-    queue = deque(re.split(r"[,\s]+", text))
-    found: dict[str, float] = {}
-    unit = None
-    while queue:
-        symbol = queue.popleft()
-        if not re.fullmatch("[A-Z][a-z]?", symbol) or not queue:
-            continue
-        hit = value.match(queue[0])
-        used = 1
-        if not hit and queue[0] == "=" and len(queue) > 1:
-            hit, used = value.match(queue[1]), 2
-        if not hit:
-            continue
-        for _ in range(used):
-            queue.popleft()
-        found[symbol] = found.get(symbol, 0.0) + float(hit[1])
-        suffix = hit[2].lower()
-        unit = unit or ("wt" if "wt" in suffix else "at" if "at" in suffix else None)
-    return (found, unit) if found else (None, None)
-
-
-def composition(text: str | None) -> tuple[dict | None, str | None]:
-    if text is None or not text.strip():
-        return None, None
-    text = clean(text)
-    by_ratio = ratio_form(text)
-    if by_ratio:
-        return by_ratio, None
-    by_pairs, unit = pairs(text)
-    if by_pairs:
-        return by_pairs, unit
-    by_formula = formula(text)
-    percent = by_formula is not None and abs(sum(by_formula.values()) - 100) < 1e-3
-    return by_formula, "at" if percent else None
-
-
-def fractions(amounts: dict | None, unit: str | None) -> dict | None:
-    if not amounts:
-        return None
-    if unit == "wt":
-        amounts = {e: a / WEIGHTS.get(e, 1.0) for e, a in amounts.items()}
-    total = sum(amounts.values())
-    if total > 0 or (unit == "at" and total < 0):
-        return {e: a / total for e, a in amounts.items()}
-    return None
+from collections import Counter
 
 
 def l1(a: dict, b: dict) -> float:
@@ -105,46 +18,6 @@ def cosine(a: dict, b: dict) -> float:
     return sum(a.get(e, 0.0) * b.get(e, 0.0) for e in elements) / (length[0] * length[1]) if all(length) else 0.0
 
 
-def chunks(text: str, opener: str, closer: str) -> list[str]:
-    """Up to two balanced chunks, read character by character."""
-    found: list[str] = []
-    start = text.find(opener)
-    while start >= 0 and len(found) < 2:
-        depth, quote, at = 0, "", start
-        while at < len(text):
-            c = text[at]
-            if quote:
-                if c == "\\":
-                    at += 1
-                elif c == quote:
-                    quote = ""
-            elif c in "\"'":
-                quote = c
-            elif c in (opener, closer):
-                depth += 1 if c == opener else -1
-                if depth == 0:
-                    break
-            at += 1
-        if at >= len(text):
-            break
-        found.append(text[start : at + 1])
-        start = text.find(opener, at + 1)
-    return found
-
-
-def candidates(text: str) -> list[str]:
-    fenced = re.findall(r"(?is)```json\s*(.*?)```", text) + re.findall(
-        r"(?s)```(?!json)(?:[a-zA-Z0-9_+-]*)\s*(.*?)```", text
-    )
-    return [c.strip() for c in fenced] + chunks(text, "[", "]") + chunks(text, "{", "}")
-
-
-def repaired(text: str) -> str:
-    for pattern, replacement in REPAIRS:
-        text = re.sub(pattern, replacement, text)
-    return text
-
-
 def strictly(text: str):
     """``(True, value)`` of a JSON text; NaN and the like do not count."""
 
@@ -157,27 +30,8 @@ def strictly(text: str):
         return False, None
 
 
-def first_json(text: str):
-    """``(number, repaired, value)`` of the first candidate that parses, or None."""
-    for number, candidate in enumerate(candidates(text), 1):
-        for fixed, version in ((False, candidate), (True, repaired(candidate))):
-            ok, value = strictly(version)
-            if ok:
-                return number, fixed, value
-    return None
-
-
-def words(text: str) -> int:
-    return len(re.findall(r"\b\w+[\w'-]*\b", text))
-
-
-def normal(text: str) -> str:
-    for pattern, replacement in NORMAL_FORM:
-        text = re.sub(pattern, replacement, text)
-    return text.strip()
-
-
 def similarity(old: str, new: str) -> float:
+    """Cosine of the TF-IDF vectors over a corpus of the two texts."""
     a, b = (Counter(re.findall(r"\w\w+", t.lower())) for t in (old, new))
 
     def weight(term: str) -> float:

@@ -99,33 +99,74 @@ def test_weight_percent(spark):
     }
 
 
-def _random_texts(n: int) -> list[str]:
-    rng = random.Random(5)
-    pieces = ["Al", "Nb", "Fe", "Co", "W", "x", "20", "0.5", "-3", "1e2", "2E1", ".", "at%", "wt%", "at.%", "wt. %",
-              "=", ":", " ", " ", ",", ";", "–", "＝", "%", "1.", "(", "e5", "\t", "\u2003", "At", "WT%"]
-    return ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(n)]
-
-
-def test_parsers_agree_with_plain_python(spark):
-    texts = _random_texts(4000)
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, txt string").repartition(4)
-    rows = (
-        compositions.parse_and_normalize(df, "txt", "c")
-        .withColumn("p", F.expr(C.parse_pairs("txt")))
-        .withColumn("f", F.expr(C.parse_formula("txt")))
-        .withColumn("r", F.expr(C.parse_ratio_form("txt")))
-        .collect()
-    )
+PIECES = [  # text, pairs (amounts, unit), ratio form, formula; traced by hand
+    ("Al 20 at% Nb 80at%", ({"Al": 20, "Nb": 80}, "at"), None, {"Al": 1, "Nb": 1}),
+    ("Al 2wt. % Nb -3WT%", ({"Al": 2, "Nb": -3}, "wt"), None, {"Al": 1, "Nb": 1, "W": 1, "T": 1}),
+    ("Al = 0.5 Al 1e2at.%", ({"Al": 100.5}, "at"), None, {"Al": 2}),
+    ("Al = Nb", (None, None), None, {"Al": 1, "Nb": 1}),
+    ("AlNb=1 2", (None, None), {"Al": 1, "Nb": 2}, {"Al": 1, "Nb": 1}),
+    ("Al=1 2", (None, None), None, {"Al": 1}),
+    ("Fe-3Co.5W1.", (None, None), None, {"Fe": -3, "Co": 0.5, "W": 1}),
+    ("Al1e2Nbe5(", (None, None), None, {"Al": 100, "Nb": 1}),
+    ("x 20 0.5", (None, None), None, None),
+]
+
+
+def test_parsers_by_hand(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(PIECES)], "i int, txt string")
+    rows = df.select(
+        "i", F.expr(C.parse_pairs("txt")).alias("p"), F.expr(C.parse_ratio_form("txt")).alias("r"), F.expr(C.parse_formula("txt")).alias("f")
+    ).collect()
     for row in rows:
-        text = texts[row.i]
-        assert (row.p and row.p.amounts, row.p and row.p.unit) == brute.pairs(text), text
-        assert row.f == brute.formula(text), text
-        assert row.r == brute.ratio_form(text), text
-        amounts, unit = brute.composition(text)
-        assert (row.c_parsed, row.c_unit) == (amounts, unit), text
-        assert repr(row.c_fractions and sorted(row.c_fractions.items())) == repr(
-            (want := brute.fractions(amounts, unit)) and sorted(want.items())
-        ), text
+        text, pairs, ratio, formula = PIECES[row.i]
+        assert ((row.p and row.p.amounts, row.p and row.p.unit), row.r, row.f) == (pairs, ratio, formula), text
+
+
+def test_what_is_printed_is_read(spark):
+    """Any composition, printed in each of the spellings, is parsed to itself; its fractions add up to 1."""
+    rng = random.Random(5)
+    elements = ["Al", "Nb", "Fe", "Co", "W", "V", "Ti", "Zr"]
+    data, wanted = [], {}
+    for i in range(600):
+        amounts = {e: round(rng.choice([1, 2.5, 10, 0.125]) * rng.randint(1, 9), 4) for e in rng.sample(elements, rng.randint(2, 6))}
+        unit = rng.choice(["at", "wt"])
+        spelling = i % 4
+        if spelling == 0:
+            text = "".join(f"{e}{a}" for e, a in amounts.items())
+        elif spelling == 1:
+            text = rng.choice([":", " "]).join(amounts) + "=" + ":".join(map(str, amounts.values()))
+        elif spelling == 2:
+            text = rng.choice([" ", ", ", "; "]).join(f"{e} {a}{unit}{rng.choice(['%', '.%'])}" for e, a in amounts.items())
+        else:
+            text = " ".join(f"{e} = {a}" for e, a in amounts.items())
+        data.append((i, text))
+        hint = unit if spelling == 2 else "at" if spelling == 0 and abs(sum(amounts.values()) - 100) < 1e-3 else None
+        wanted[i] = (amounts, hint)
+    for row in compositions.parse_and_normalize(spark.createDataFrame(data, "i int, txt string"), "txt", "c").collect():
+        amounts, hint = wanted[row.i]
+        assert row.c_parsed == pytest.approx(amounts) and row.c_unit == hint, row.txt
+        assert sum(row.c_fractions.values()) == pytest.approx(1) and row.c_fractions.keys() == amounts.keys()
+
+
+def test_any_text_gives_shares_or_nothing(spark):
+    rng = random.Random(6)
+    pieces = ["Al", "Nb", "Fe", "x", "20", "0.5", "-3", "1e2", ".", "at%", "wt%", "=", ":", " ", ",", "–", "＝", "%", "(", "\t", "At", "WT%"]
+    data = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))) for i in range(3000)]
+    df = spark.createDataFrame(data, "i int, txt string").repartition(4)
+    for row in compositions.parse_and_normalize(df, "txt", "c").collect():
+        if row.c_fractions is not None:
+            assert row.c_parsed and sum(row.c_fractions.values()) == pytest.approx(1)
+        elif row.c_parsed:
+            assert sum(row.c_parsed.values()) <= 0
+
+
+def test_column_names_do_not_meet_lambda_names(spark):
+    """A lambda's variable hides a column of the same name, so none may have a name that a column has."""
+    columns = {f"v{i}": F.lit(f"Al{i + 1}Co") for i in range(61)}
+    df = spark.range(1).select(*[c.alias(n) for n, c in columns.items()])
+    for i in range(0, 61, 6):
+        got = df.select(F.expr(C.parse_composition(f"v{i}")).alias("p")).first().p.amounts
+        assert got == {"Al": i + 1, "Co": 1}
 
 
 def test_distances_agree_with_plain_python_to_the_last_bit(spark):

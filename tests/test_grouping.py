@@ -21,16 +21,19 @@ def _heavy(spark, n: int = 3000):
     )
 
 
-@pytest.mark.parametrize("broadcast_keys", [0, 10])
-def test_lists_are_bounded_and_whole(spark, broadcast_keys):
-    lists = bounded_lists(
-        _heavy(spark), "k", ["id"], F.struct("id", "text"), list_size=50, salts=4, broadcast_keys=broadcast_keys
-    ).collect()
-    assert max(r.n_items for r in lists) < 120
-    seen = [(r.k, i.id) for r in lists for i in r["items"]]
-    assert sorted(seen) == sorted((r.k, r.id) for r in _heavy(spark).collect())
-    assert all(r.list_no == 0 for r in lists if r.k != 0)
-    assert all([i.id for i in r["items"]] == sorted(i.id for i in r["items"]) for r in lists)
+@pytest.mark.parametrize("block", [7, 100, 65_536])
+def test_lists_are_bounded_and_whole(spark, block):
+    lists = bounded_lists(_heavy(spark), "k", "id", F.struct("id", "text"), list_size=50, block=block).collect()
+    assert max(r.n_items for r in lists) == 50
+    by_key: dict = {}
+    for r in sorted(lists, key=lambda r: (r.k, r.list_no)):
+        by_key.setdefault(r.k, []).append(r)
+    for k, pieces in by_key.items():
+        ids = [i.id for r in pieces for i in r["items"]]
+        assert ids == sorted(r.id for r in _heavy(spark).where(F.col("k") == k).collect()) if k in (0, 1) else ids == sorted(ids)
+        assert [r.list_no for r in pieces] == list(range(len(pieces))) and {r.n_lists for r in pieces} == {len(pieces)}
+        assert all(r.n_items == 50 for r in pieces[:-1])
+    assert sum(r.n_items for r in lists) == 3000
 
 
 @pytest.mark.parametrize("block", [1, 3, 7, 100_000])
@@ -55,9 +58,16 @@ def test_similarity_agrees_with_plain_python(spark):
         assert got == {i + 1: pytest.approx(brute.similarity(a, b)) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
 
 
-def test_similarity_shuffles_texts_once(spark):
-    df = spark.createDataFrame([(1, 0, "a b"), (1, 1, "a c")], "run_id int, version int, prompt string")
-    assert executed_plan(prompts.prompt_similarity(df)).count("Exchange") == 1
+def test_a_long_run_is_spread_over_tasks(spark):
+    """One run with 100,000 versions: the shuffle spreads its ranges over all partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    history = spark.range(100_000).select(F.lit(1).alias("run_id"), F.col("id").alias("version"), F.format_string("word%d same", "id").alias("prompt"))
+    steps = previous_in_group(history.repartition(8), "run_id", "version", "prompt")
+    spread = [r.n for r in steps.where("previous is not null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(spread) == 4 and max(spread) < 50_000
+    assert steps.where("version > 0 and previous <> concat('word', version - 1, ' same')").isEmpty()
+    assert steps.where("previous is null").count() == 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_batches_cover_every_epoch(spark):
@@ -93,18 +103,21 @@ def test_label_sets(spark):
         "row_no int, Paperid int, HEAname string, nominal_compositions string, measured_compositions string,"
         " RT_Lattice_Constant_A double, Phase string, Processing_Method string, Ref string",
     )
-    row = labels.label_sets(labels.label_records(table, keep=("row_no", "Paperid")), ["row_no"], folder="p/").first()
-    assert row.path == "p/7.pdf" and [r.name for r in row.records] == ["A", "B"]
+    row = labels.label_sets(labels.label_records(table, keep=("row_no", "Paperid")), "row_no", folder="p/").first()
+    assert (row.path, row.list_no, row.n_lists) == ("p/7.pdf", 0, 1) and [r.name for r in row.records] == ["A", "B"]
     assert row.records[1].lattice_constant is None and row.records[0].measured_composition == "A1"
 
 
 def test_verdicts(spark):
     text = "Yes\n\n2. no\nYES it is\nunclear\nyes\nyes\nyes\nyes\nNo"
     df = spark.createDataFrame([(1, text), (2, "no")], "doc_id long, verdict_text string")
-    repeated = df.unionAll(df)
+    repeated = df.unionAll(spark.createDataFrame([(1, "Another"), (3, "no batch")], "doc_id long, verdict_text string"))
     got = {r.question_no: (r.n_answers, r.n_yes, r.n_no, r.n_unclear, r.good_rate) for r in verdicts.verdict_scores(df).collect()}
     assert got[1] == (2, 1, 1, 0, 0.5) and got[2] == (1, 0, 1, 0, 0.0)
     assert got[4] == (1, 0, 0, 1, None) and got[9] == (1, 0, 1, 0, 1.0)
     batches = spark.createDataFrame([(0, 0, 1, 1), (0, 0, 0, 2), (1, 5, 0, 1)], "epoch int, batch long, position int, doc_id long")
     joined = {(r.epoch, r.batch): (r.n_verdicts, r.feedback) for r in verdicts.batch_feedback(batches, repeated).collect()}
-    assert joined == {(0, 0): (2, "no\n\n" + text), (1, 5): (1, text)}
+    assert joined == {(0, 0): (3, "no\n\nAnother\n\n" + text), (1, 5): (2, "Another\n\n" + text)}
+    twelve = spark.createDataFrame([(1, "\n".join(["yes"] * 12))], "doc_id long, verdict_text string")
+    rates = {r.question_no: r.good_rate for r in verdicts.verdict_scores(twelve, good_if_no=(2, 12)).collect()}
+    assert rates == {n: 0.0 if n in (2, 12) else 1.0 for n in range(1, 13)}

@@ -6,6 +6,8 @@ import pytest
 from compare import compare, duckdb_views
 
 import __spark_entry__ as entry
+from docfacts.plans.oracles import ORACLES
+from docfacts.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,9 +17,13 @@ def con():
     return duckdb_views(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
+    assert compare(spark, con, name, QUERIES[name], ORACLES[name], SF_DIR) is None
+
+
+def test_all_are_registered():
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.keys() <= entry.oracle_sql().keys()
 
 
 def test_entry(spark):

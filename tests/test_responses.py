@@ -4,11 +4,10 @@ import json
 import random
 
 import brute
-import pytest
 from conftest import executed_plan
 from pyspark.sql import functions as F
 
-from docfacts.functions.jsontext import json_kind, json_size, light_fix, strict_json
+from docfacts.functions.jsontext import balanced_chunks, json_kind, json_size, light_fix, strict_json
 from docfacts.operators import records, responses
 
 OBJ = '{"name": "Al2Co", "x": 2, "c": {"name": 5}}'
@@ -25,6 +24,20 @@ SHAPES = [
     ("```json\nnull\n```", "dropped_not_list", (1, False, "null", None)),
     ("```json```", "invalid", None),
     ("it's [1, 'a]b'] and [2]", "invalid", (2, False, "array", 1)),
+    ("[a] [b] [c] [4]", "invalid", (4, False, "array", 1)),
+]
+CHUNKS = [  # text, arrays, objects; traced by hand
+    ("[1][2] [3]", ["[1]", "[2]", "[3]"], []),
+    ("a ]b[ [c] ] d", ["[ [c] ]"], []),
+    ("x [y [z] w] {v}", ["[y [z] w]"], ["{v}"]),
+    ('["]"] {"a": "}"}', ['["]"]'], ['{"a": "}"}']),
+    (r'["a\"]"] [2]', [r'["a\"]"]', "[2]"], []),
+    (r'["a\\"] [2]', [r'["a\\"]', "[2]"], []),
+    (r"\[1\] [2]", [r"[1\]", "[2]"], []),
+    ("don't [1] it's [2]", ["[1]", "[2]"], []),
+    ("[it's] [2]", [], []),
+    ("{'a': '}'}", [], ["{'a': '}'}"]),
+    ("é[ü]é[\U0001f600]", ["[ü]", "[\U0001f600]"], []),
 ]
 
 
@@ -56,6 +69,35 @@ def test_strictness(spark):
     assert {r.response: r.ok for r in df.collect()} == {t: brute.strictly(t)[0] for t in texts}
 
 
+def test_the_texts_digest_inside_a_text_is_no_end(spark):
+    """The mark that closes the probe depends on the text, so nothing in a text can pass for it."""
+    texts = ['["e7c1f0a94b5d4f2c8a36d0b1957e2c48"]', '1, "' + "0" * 32 + '"', '1,"x"] foo', "1], [2", '"a", "b"']
+    df = _answers(spark, texts).select("response", F.expr(strict_json("response")).isNotNull().alias("ok"))
+    assert {r.response: r.ok for r in df.collect()} == {t: brute.strictly(t)[0] for t in texts}
+
+
+def test_chunks_by_hand(spark):
+    df = _answers(spark, [t for t, *_ in CHUNKS])
+    for opener, closer, column in (("[", "]", 1), ("{", "}", 2)):
+        got = {r.doc_id: r.c for r in df.select("doc_id", F.expr(balanced_chunks("response", opener, closer)).alias("c")).collect()}
+        assert got == {i: row[column] for i, row in enumerate(CHUNKS)}
+        two = {r.doc_id: r.c for r in df.select("doc_id", F.expr(balanced_chunks("response", opener, closer, 2)).alias("c")).collect()}
+        assert two == {i: row[column][:2] for i, row in enumerate(CHUNKS)}
+
+
+def test_repairs_by_hand(spark):
+    fixes = {
+        "[1,]": "[1]",
+        "[1, \n]": "[1 \n]",
+        "{'a': 1}": '{ "a": 1}',
+        "{'a': 'b', 'c': 'd'}": '{ "a": "b", "c": "d"}',
+        "{'a': 'it''s'}": "{ \"a\": 'it''s'}",
+        "no change": "no change",
+    }
+    got = {r.response: r.f for r in _answers(spark, list(fixes)).select("response", F.expr(light_fix("response")).alias("f")).collect()}
+    assert got == fixes
+
+
 def _random_answers(n: int) -> list[str]:
     rng = random.Random(3)
     pieces = ["[", "]", "{", "}", '"', "'", "\\", "\n", ",", ":", " ", "1", "a", '"k":', "'k':", "```", "```json\n", "```JSON", "```text\n",
@@ -63,26 +105,22 @@ def _random_answers(n: int) -> list[str]:
     return ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 16))) for _ in range(n)]
 
 
-def test_random_answers_agree_with_plain_python(spark):
+def test_random_answers_keep_the_rules(spark):
+    """Candidates are parts of the text; the first that decodes, as it is or repaired, is the result."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    texts = _random_answers(4000)
+    texts = _random_answers(3000)
     df = _answers(spark, texts).repartition(4)
-    found: dict[int, list[str]] = {}
-    for r in responses.candidate_rows(df).orderBy("doc_id", "candidate_no").collect():
-        found.setdefault(r.doc_id, []).append(r.candidate)
-        assert len(found[r.doc_id]) == r.candidate_no
-    parsed = responses.parse_v2(df).withColumn("json", F.to_json("json")).collect()
-    fixed = {r.doc_id: r.f for r in df.select("doc_id", F.expr(light_fix("response")).alias("f")).collect()}
-    for row in parsed:
-        text = texts[row.doc_id]
-        assert found.get(row.doc_id, []) == brute.candidates(text), text
-        assert fixed[row.doc_id] == brute.repaired(text), text
-        want = brute.first_json(text)
-        if want is None:
-            assert row.status == "raw", text
-        else:
-            assert (row.candidate_no, row.repaired) == want[:2], text
-            assert json.loads(row.json) == want[2], text
+    rows = responses.candidate_rows(df).withColumn("fixed", F.expr(light_fix("candidate"))).orderBy("doc_id", "candidate_no").collect()
+    found: dict[int, list] = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append(r)
+        assert r.candidate in texts[r.doc_id] and len(found[r.doc_id]) == r.candidate_no
+    for row in responses.parse_v2(df).withColumn("json", F.to_json("json")).collect():
+        tried = [(r.candidate_no, repaired, brute.strictly(t)) for r in found.get(row.doc_id, []) for repaired, t in ((False, r.candidate), (True, r.fixed))]
+        first = next(((n, repaired, value) for n, repaired, (ok, value) in tried if ok), None)
+        assert (row.candidate_no, row.repaired) == (first[:2] if first else (None, None)), texts[row.doc_id]
+        assert row.status == ("ok" if first else "raw")
+        assert not first or json.loads(row.json) == first[2]
     spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
 
 
@@ -111,7 +149,7 @@ def test_records(spark):
          ("c.json", full), ("d.json", "[1,]"), (".json", "[]")],
         "file_name string, value string",
     )
-    combined = records.combine_records(files).collect()
+    combined = records.combine_records(files).orderBy("Paperid", "pos").collect()
     assert [(r.Paperid, r.pos) for r in combined] == [("a", 0), ("b.1", 0), ("b.1", 1)]
     assert combined[0].name == "5"
     assert (combined[1].lattice_constant, combined[1].lattice_text, combined[1].phases) == (None, "Not found", '["BCC","FCC"]')
@@ -119,10 +157,9 @@ def test_records(spark):
     assert {(r.file_name, r.reason) for r in records.file_issues(files).collect()} == {("c.json", "not_a_list"), ("d.json", "bad_json")}
     keys = sorted(r.key for r in records.record_keys(files).collect())
     assert keys == ["confidence_scores", "is_single_phase", "lattice_constant", "name", "phases"]
-    assert records.combine_all(files).columns == ["Paperid", "pos", *keys]
-    with pytest.raises(ValueError):
-        records.combine_all(files, max_keys=4)
-    wide = records.combine_all(files).collect()
+    long = {(r.Paperid, r.pos, r.key): r.value for r in records.combine_all_keys(files).collect()}
+    assert len(long) == 7 and long["b.1", 1, "is_single_phase"] == "true" and long["a", 0, "name"] == "5"
+    wide = records.combine_with_keys(files, keys).orderBy("Paperid", "pos").collect()
     assert wide[2].is_single_phase == "true" and wide[0].phases is None
     parsed = records.parse_record_files(files)
     flat = records.flatten_records(parsed, "Paperid", accept_object=True, placeholder="Not found")

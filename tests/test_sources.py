@@ -7,7 +7,7 @@ import pytest
 from conftest import executed_plan
 from pyspark.sql import functions as F
 
-from docfacts.operators import documents, requests, responses
+from docfacts.operators import documents, records, requests, responses
 from docfacts.session import configure, work_folder
 from docfacts.sources import files, sinks
 from docfacts.streaming import ingest
@@ -31,7 +31,7 @@ def test_scans(spark, folder):
     flat = files.scan_pdfs(spark, str(folder))
     assert [(r.doc_id, bytes(r.content)) for r in flat.collect()] == [("a", PDF)]
     assert "content:binary" not in executed_plan(files.scan_pdfs(spark, str(folder), content=False))
-    deep = [r.path.split("/in/")[1] for r in files.scan_pdfs_recursive(spark, [str(folder), str(folder / "sub")]).collect()]
+    deep = sorted(r.path.split("/in/")[1] for r in files.scan_pdfs_recursive(spark, [str(folder), str(folder / "sub")]).collect())
     assert deep == ["a.v1.pdf", "b.PDF", "sub/a.v1.pdf", "sub/d.Pdf"]
     read = {r.file_name: r.value for r in files.read_record_files(spark, str(folder)).collect()}
     assert read == {"r.1.json": '[{"name": "AlCo"}]', "s.json": '{"name":\n"AlCo"}'}
@@ -40,11 +40,13 @@ def test_scans(spark, folder):
 def test_path_rules_and_pairs(spark):
     paths = spark.createDataFrame([(p,) for p in ("/in/a.b.pdf", "/in/x/c.pdf", "/in/d.PDF", "/in/a.b.pdf", "/other/e.pdf", "/in/f.pdf.txt")], "path string")
     assert {(r.path, r.doc_id) for r in documents.flat_pdfs(paths, "/in").collect()} == {("/in/a.b.pdf", "a")}
-    assert [r.path for r in documents.all_pdfs(paths).collect()] == ["/in/a.b.pdf", "/in/d.PDF", "/in/x/c.pdf", "/other/e.pdf"]
+    assert sorted(r.path for r in documents.all_pdfs(paths).collect()) == ["/in/a.b.pdf", "/in/d.PDF", "/in/x/c.pdf", "/other/e.pdf"]
     outputs = spark.createDataFrame([("/in/a.b.json",), ("/in/d.json",)], "path string")
-    paired, missing = documents.pair_outputs(outputs, paths.distinct())
-    assert [tuple(r) for r in paired.collect()] == [("/in/a.b.json", "/in/a.b.pdf")]
-    assert [r.path for r in missing.collect()] == ["/in/d.json"]
+    paired = documents.pair_outputs(outputs, paths.distinct())
+    assert sorted(tuple(r) for r in paired.collect()) == [("/in/a.b.json", "/in/a.b.pdf"), ("/in/d.json", None)]
+    both = documents.both_scans(paths, "/in").collect()
+    assert sorted(r.path for r in both if r.scan == "flat") == sorted(r.path for r in documents.flat_pdfs(paths, "/in").collect())
+    assert sorted(r.path for r in both if r.scan == "recursive") == sorted(r.path for r in documents.all_pdfs(paths).collect())
 
 
 def test_pending_and_kinds(spark):
@@ -62,10 +64,22 @@ def test_pending_and_kinds(spark):
     ]
     assert bodies[2][1]["source"]["media_type"] == "png" and bodies[3][1]["type"] == "image"
     assert sorted(r.doc_id for r in rejected.collect()) == [4, 5]
-    judged = requests.evaluation_requests(docs.withColumn("answer", F.lit("[]")).withColumn("truth", F.lit("t")), "i", "q", ground_truth="truth")
+    judged, refused = requests.evaluation_requests(docs.withColumn("answer", F.lit("[]")).withColumn("truth", F.lit("t")), "i", "q", ground_truth="truth")
     fields = json.loads(judged.where("doc_id = 1").first().fields)
     assert [f["field"] for f in fields] == requests.EVALUATION_FIELDS
     assert [f["block"]["type"] for f in fields] == ["text", "text", "document", "text", "text"]
+    assert sorted(r.doc_id for r in refused.collect()) == [4, 5]
+    answers = spark.createDataFrame([(1, "[1]"), (1, "[2]"), (4, "[4]")], "doc_id long, answer string")
+    truths = spark.createDataFrame([(1, "t0", 0, 2), (1, "t1", 1, 2), (2, "t", 0, 1)], "doc_id long, truth string, list_no int, n_lists int")
+    every = requests.all_requests(docs, answers, truths, "p", "i")
+    rows = sorted((r.doc_id, r.request, r.list_no, r.reason) for r in every.collect() if r.list_no is None)
+    assert rows == [
+        (1, "extract", None, None), (1, "judge", None, None), (1, "judge", None, None), (2, "extract", None, None), (3, "extract", None, None),
+        (4, "extract", None, "unsupported"), (4, "judge", None, "unsupported"), (5, "extract", None, "unsupported"),
+    ]
+    trained = [json.loads(r.body) for r in every.where("request = 'train'").collect()]
+    assert sorted((t[3]["block"]["text"], t[4]["block"]["text"]) for t in trained) == [("[1]", "t0"), ("[1]", "t1"), ("[2]", "t0"), ("[2]", "t1")]
+    assert every.where("body is null and reason is null").count() == 0
 
 
 def test_first_working_backend(spark):
@@ -83,8 +97,12 @@ def test_first_working_backend(spark):
 
 def test_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text('name,size,note\nAlCo,3.5,"a ""b"",\nc"\nNone,NA,N/A\n,nan,x\n')
-    rows = files.read_table(spark, str(tmp_path / "t.csv"), "name string, size double, note string").collect()
+    rows = files.read_table(spark, str(tmp_path / "t.csv"), "name string, size double, note string", multi_line=True).collect()
     assert [tuple(r) for r in rows] == [("AlCo", 3.5, 'a "b",\nc'), (None, None, None), (None, None, "x")]
+    (tmp_path / "typed.csv").write_text("n,x,b,t,e\n1,1.5,true,1,\n-2,NA,False,1x,\n,3,,,\n")
+    typed = files.read_table(spark, str(tmp_path / "typed.csv"), infer=True)
+    assert dict(typed.dtypes) == {"n": "bigint", "x": "double", "b": "boolean", "t": "string", "e": "string"}
+    assert [tuple(r) for r in typed.collect()] == [(1, 1.5, True, "1", None), (-2, None, False, "1x", None), (None, 3.0, None, None, None)]
     df = spark.createDataFrame([("a,b", None, {"Al": 1.0}, 'q"x')], "name string, miss string, m map<string,double>, t string")
     sinks.write_csv(df, str(tmp_path / "out" / "deep"))
     back = spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "out" / "deep")).first()
@@ -105,7 +123,9 @@ def test_log_file(spark, tmp_path):
 
 def test_results_and_verdict_tables(spark, tmp_path):
     answers = spark.createDataFrame([(1, "[1]"), (2, "none")], "doc_id long, response string")
-    sinks.write_outcomes(responses.parse_v2(answers), str(tmp_path / "t"))
+    for _ in range(2):  # a repeated run replaces its own rows
+        sinks.write_outcomes(responses.parse_v2(answers), str(tmp_path / "t"), "run1")
+    sinks.write_outcomes(responses.parse_v2(answers.where("false")), str(tmp_path / "t"), "run2")
     results, held = sinks.read_results(spark, str(tmp_path / "t")), sinks.read_quarantine(spark, str(tmp_path / "t"))
     assert [tuple(r) for r in results.collect()] == [(1, "[1]")]
     assert [tuple(r) for r in held.collect()] == [(2, "raw", "none")]
@@ -113,9 +133,12 @@ def test_results_and_verdict_tables(spark, tmp_path):
     docs = spark.range(1, 5).withColumnRenamed("id", "doc_id")
     assert sorted(r.doc_id for r in documents.pending_docs(docs, results, held).collect()) == [3, 4]
     verdict = spark.createDataFrame([(1, "Yes")], "doc_id long, verdict_text string")
-    for _ in range(2):
-        sinks.append_verdicts(verdict, str(tmp_path / "v"))
+    for run in ("a", "a", "b"):
+        sinks.write_verdicts(verdict, str(tmp_path / "v"), run)
     assert spark.read.parquet(str(tmp_path / "v")).count() == 2
+    files_in = spark.createDataFrame([(f"p{k}.json", '[{"name": "a"}, {"name": "b"}]') for k in range(30)], "file_name string, value string")
+    sinks.write_combined(records.combine_records(files_in), str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 60
 
 
 def test_stream_works_on_new_documents_only(spark, tmp_path):
@@ -131,7 +154,7 @@ def test_stream_works_on_new_documents_only(spark, tmp_path):
         ingest.ingest_answers(stream, outcomes, str(tmp_path / checkpoint)).awaitTermination()
         return {(r.doc_id, r.status, r.json, r.raw) for r in ingest.read_outcomes(spark, outcomes).collect()}
 
-    arrive([(1, "[1]"), (2, "none"), (1, "[1]")])
+    arrive([(1, "[1]"), (2, "none"), (1, "[9]"), (1, "[1]")])  # of differing answers the first in text order counts
     first = {(1, "ok", "[1]", None), (2, "raw", None, "none")}
     assert ingest_all("c1") == first
     arrive([(2, "[2]"), (3, "x {'a': 1,}")])
@@ -142,6 +165,30 @@ def test_stream_works_on_new_documents_only(spark, tmp_path):
     assert ingest.read_outcomes(spark, outcomes).count() == 3
 
 
+def test_a_batch_without_its_commit_is_repeated_alike(spark, tmp_path):
+    configure(spark)
+    outcomes = work_folder(spark, "outcomes")
+    spark.createDataFrame([(k, f"[{k}]") for k in range(50)], "doc_id long, response string").write.parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema("doc_id long, response string").parquet(str(tmp_path / "in"))
+        ingest.ingest_answers(stream, outcomes, str(tmp_path / "c"), buckets=4).awaitTermination()
+        return sorted((r.doc_id, r.json, r.batch) for r in ingest.read_outcomes(spark, outcomes).collect())
+
+    first = run()
+    (tmp_path / "c" / "commits" / "0").unlink()
+    for crc in (tmp_path / "c" / "commits").glob(".0.crc"):
+        crc.unlink()
+    assert run() == first and len(first) == 50
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    outcomes = work_folder(spark, "outcomes")
+    ingest.create_outcomes(spark.createDataFrame([], "doc_id long, response string"), outcomes)
+    plan = executed_plan(ingest.known_ids(spark, outcomes, [3, 5], "b"))
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_stream_of_files(spark, tmp_path):
     answers = tmp_path / "answers"
     answers.mkdir()
@@ -153,7 +200,7 @@ def test_stream_of_files(spark, tmp_path):
         ingest.ingest_answers(stream, outcomes, str(tmp_path / "c")).awaitTermination()
     rows = ingest.read_outcomes(spark, outcomes).collect()
     assert {(r.doc_id, r.status, r.json, r.raw) for r in rows} == {("p1", "ok", "[1]", None), ("p2", "raw", None, "none")}
-    assert {r.batch_id for r in rows} == {0, 1}
+    assert {r.batch[-2:] for r in rows} == {"-0", "-1"}
 
 
 def test_stream_of_pdfs(spark, folder, tmp_path):

@@ -2,28 +2,46 @@ from __future__ import annotations
 
 import random
 
-import brute
 import pytest
 from conftest import executed_plan
 from pyspark.sql import functions as F
 
-from docfacts.functions.tokens import exact_token_count
-from docfacts.functions.text import tokens_from_chars, tokens_from_words
+from docfacts.functions.text import normalize_text, tokens_from_chars, tokens_from_words
 from docfacts.operators import text_budget
 
 
-def test_texts_agree_with_plain_python(spark):
-    rng = random.Random(1)
-    pieces = ["a", "Übung", "l'été", "co-op", "-", "'", "_", " ", "  ", "\n", "-\n", "\t", "\r\n", "\x1c", "\x85", " ", "　",
-              ".", "½", "٣", "é", "中文", "x-\ny-\nz", "\U0001f600", "​"]
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(4)
+TEXTS = [  # text, normalised form, words; traced by hand
+    ("", "", 0),
+    (" \t\r\n ", "", 0),
+    ("  one\ttwo\r\nthree  ", "one two three", 3),
+    ("co-\nop", "coop", 1),
+    ("co- \nop", "co- op", 2),
+    ("x-\ny-\nz", "xy-\nz".replace("-\n", "- "), 2),
+    ("l'été co-op don't_2", "l'été co-op don't_2", 3),
+    ("'quoted' -dash- _", "'quoted' -dash- _", 3),
+    ("½ ٣ 中文, \U0001f600", "½ ٣ 中文, \U0001f600", 3),
+    ("a\x1c\x85b\u3000\u3000c", "a b c", 3),
+]
+
+
+def test_texts_by_hand(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(TEXTS)], "doc_id int, text string")
+    for row in df.select("doc_id", F.expr(normalize_text("text")).alias("norm")).collect():
+        assert row.norm == TEXTS[row.doc_id][1], TEXTS[row.doc_id]
     for row in text_budget.text_stats(df).collect():
-        norm = brute.normal(texts[row.doc_id])
-        chars, words = len(norm), brute.words(norm)
-        assert (row.characters, row.words) == (chars, words), repr(texts[row.doc_id])
-        assert (row.tokens_word_est, row.tokens_char_est) == (round(words / 0.75), round(chars / 4))
-        assert row.tokens_tiktoken is None
+        text, norm, words = TEXTS[row.doc_id]
+        assert (row.characters, row.words, row.tokens_tiktoken) == (len(norm), words, None), text
+
+
+def test_counts_add_up_over_joined_texts(spark):
+    rng = random.Random(1)
+    pieces = ["a", "Übung", "l'été", "co-op", "-", "'", "_", ".", "½", "٣", "é", "中文", "\U0001f600"]
+    halves = [[" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(2)] for _ in range(500)]
+    rows = [(f"{i}-{k}", t) for i, pair in enumerate(halves) for k, t in enumerate([*pair, "  \n ".join(pair)])]
+    got = {r.doc_id: (r.characters, r.words) for r in text_budget.text_stats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for i in range(len(halves)):
+        left, right, both = (got[f"{i}-{k}"] for k in range(3))
+        assert both == (left[0] + 1 + right[0], left[1] + right[1])
 
 
 def test_token_estimates_round_half_to_even(spark):
@@ -77,6 +95,12 @@ def test_report_csv_and_totals(spark):
     assert total.total_tokens_tiktoken == 8 + total.image_tokens
     plain = text_budget.token_totals(text_budget.without_images(text_budget.text_stats(
         spark.createDataFrame([("a", "b c")], "doc_id string, text string")))).first()
+    lines = {text_budget.token_total_line(text_budget.token_totals(b)).first().line for b in (budget,)}
+    assert lines == {
+        "TOTAL\tfiles=3\twords=3\tchars=8\ttokens(word-est)=4\ttokens(char-est)=2\ttokens(tiktoken)=8\timage_mp="
+        f"{total.image_mp:.2f}\timage_tokens={total.image_tokens}\ttotal_tokens(word-est)={4 + total.image_tokens}"
+        f"\ttotal_tokens(char-est)={2 + total.image_tokens}\ttotal_tokens(tiktoken)={8 + total.image_tokens}"
+    }
     assert plain.image_mp is None and plain.tokens_tiktoken is None and plain.total_tokens_word_est is None
 
 
@@ -87,22 +111,6 @@ def test_only_needed_columns_are_read(spark):
     assert plan.count("regexp_extract_all") == 1
 
 
-def test_exact_tokens(spark):
-    def byte_encoding(name: str):
-        import tiktoken
-
-        ranks = {bytes([i]): i for i in range(256)}
-        return tiktoken.Encoding(name, pat_str=r".", mergeable_ranks=ranks, special_tokens={"<|end|>": 256})
-
-    def no_encoding(name: str):
-        raise OSError(name)
-
-    docs = spark.createDataFrame([(1, "abc\n\nd"), (2, "é"), (3, "<|end|>")], "doc_id int, text string")
-    for load, want in ((byte_encoding, {1: 5, 2: 2, 3: None}), (no_encoding, {1: None, 2: None, 3: None})):
-        counted = text_budget.text_stats(docs, exact_tokens=exact_token_count("bytes", load)(F.col("norm")))
-        assert {r.doc_id: r.tokens_tiktoken for r in counted.collect()} == want
-
-
 def test_failures(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id int, text string")
     assert [tuple(r) for r in text_budget.text_failures(docs).collect()] == [(2, "no_text")]
