@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
+def thrifty(work: Callable) -> Callable:
+    """A function over Arrow batches that gives its memory back at the end of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def thrifty_group(work: Callable) -> Callable:
+    """A function over the Arrow table of a group that gives its memory back after each group."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return work(key, table)
+        finally:
+            give_back()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one slice hold about ``budget`` bytes; a longer text stands alone."""
     for batch in batches:
@@ -96,6 +135,12 @@ class Rolling:
         return (sums[ends] - sums[starts]) * self.down[starts]
 
 
+@lru_cache(maxsize=1)
+def rolling() -> Rolling:
+    """One table of powers for each Python worker, for slices of the usual size; a longer text widens it."""
+    return Rolling(SLICE_BYTES + (SLICE_BYTES >> 3))
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 

@@ -25,13 +25,12 @@ their own, one row is returned for each; other columns are ignored; an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docfacts.llm.common import Rolling, joined_bytes, lower_ascii, mix, partitions, slices, words_of, written
+from docfacts.llm.common import joined_bytes, lower_ascii, mix, partitions, rolling, slices, thrifty, thrifty_group, words_of, written
 from docfacts.llm.graph import components
 
 WORDS = 5
@@ -47,17 +46,12 @@ _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 _DIGESTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344)]
 
 
-@lru_cache(maxsize=1)
-def _rolling() -> Rolling:
-    return Rolling(4 << 20)
-
-
 def ngram_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of the distinct n-grams of each text, sorted by both."""
     data, offsets = joined_bytes(texts)
-    rolling = _rolling()
+    powers = rolling()
     starts, ends, first = words_of(data, offsets)
-    word = mix(rolling.ranges(rolling.sums(lower_ascii(data)), starts, ends))
+    word = mix(powers.ranges(powers.sums(lower_ascii(data)), starts, ends))
     sizes = np.diff(first)
     text = np.repeat(np.arange(len(sizes)), sizes)
     position = np.arange(len(word)) - first[text]
@@ -97,7 +91,7 @@ def describe_sets(documents: DataFrame) -> DataFrame:
             n, (d1, d2) = _digests(text, grams, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2)], ["doc_id", "n", "d1", "d2"])
 
-    return documents.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, d1 long, d2 long")
+    return documents.select("doc_id", "text").mapInArrow(thrifty(describe), "doc_id long, n long, d1 long, d2 long")
 
 
 _SEGMENT = ["d1", "d2", "n", "counts", "grams"]
@@ -141,7 +135,7 @@ def _segments(documents: DataFrame, fragments: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows["fragment"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in _SEGMENT)], ["fragment", *_SEGMENT])
 
     schema = "fragment int, " + ", ".join(f"{c} binary" for c in _SEGMENT)
-    return documents.select("doc_id", "text").mapInArrow(send, schema)
+    return documents.select("doc_id", "text").mapInArrow(thrifty(send), schema)
 
 
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -162,9 +156,11 @@ def _shared(segments: DataFrame, buckets: int) -> DataFrame:
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
         low = wide.view("<u8").ravel()
-        segment = np.repeat(np.arange(len(counts)), counts)
+        segment = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        del raw, wide
         order = np.lexsort((d1[segment], low))
         low, segment = low[order], segment[order]
+        del order
         same = np.r_[False, low[1:] == low[:-1]]
         again = same & np.r_[False, (d1[segment][1:] == d1[segment][:-1]) & (d2[segment][1:] == d2[segment][:-1])]
         low, segment, same = low[~again], segment[~again], same[~again]
@@ -195,7 +191,7 @@ def _shared(segments: DataFrame, buckets: int) -> DataFrame:
         return pa.table([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in names[1:])], names)
 
     schema = "bucket int, " + ", ".join(f"{c} binary" for c in names[1:])
-    return segments.groupBy("fragment").applyInArrow(count, schema)
+    return segments.groupBy("fragment").applyInArrow(thrifty_group(count), schema)
 
 
 def _needed(n):
@@ -226,7 +222,7 @@ def _hopeful(shared: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[order].view("<i8")))
         return pa.table([pa.array(d1[first][chosen]), pa.array(d2[first][chosen]), pa.array(n[chosen]), lists, pa.array(rare[chosen].astype(np.int32))], ["d1", "d2", "n", "grams", "rare"])
 
-    return shared.groupBy("bucket").applyInArrow(add, "d1 long, d2 long, n long, grams array<long>, rare int")
+    return shared.groupBy("bucket").applyInArrow(thrifty_group(add), "d1 long, d2 long, n long, grams array<long>, rare int")
 
 
 def _may_overlap(room: Column, other_room: Column, n: Column, other_n: Column) -> Column:

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docfacts.llm.common import written
+from docfacts.llm.common import thrifty, written
 from docfacts.llm.graph import components
 
 LEAST_COSINE = 0.95
@@ -121,7 +121,7 @@ def _valid(embeddings: DataFrame, vec_id: str, embedding: str, kind: str) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["vec_id", "size", "packed"])
 
     one = embeddings.select(F.col(vec_id).alias("id"), F.col(embedding).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    return one.mapInArrow(pack, "vec_id long, size int, packed binary")
+    return one.mapInArrow(thrifty(pack), "vec_id long, size int, packed binary")
 
 
 def _codebooks(vectors: DataFrame, rows: int, kind: str, least: float) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
@@ -190,7 +190,7 @@ def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
         values = [ids, [size] * len(ids), cells, member, packed]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], ["vec_id", "size", "cell", "member", "packed"])
 
-    visits = written(vectors.mapInArrow(visit, "vec_id long, size int, cell long, member boolean, packed binary"), "visits")
+    visits = written(vectors.mapInArrow(thrifty(visit), "vec_id long, size int, cell long, member boolean, packed binary"), "visits")
     counts = visits.groupBy("size", "cell").agg(F.count_if("member").alias("members"), F.count_if(~F.col("member")).alias("guests"))
     parted = visits.join(counts.where("members > 0"), ["size", "cell"])
     blocks, guest_blocks = F.ceil(F.col("members") / BLOCK), F.ceil(F.col("guests") / BLOCK)

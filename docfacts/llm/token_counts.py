@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from docfacts.llm.common import slices
+from docfacts.llm.common import slices, thrifty
 from docfacts.llm.tokenizer import encoder
 
 LIMIT = 2048
@@ -186,7 +186,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
             )
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long"
-    return documents.select("doc_id", "text").mapInArrow(count, schema)
+    return documents.select("doc_id", "text").mapInArrow(thrifty(count), schema)
 
 
 def prefix_tables(documents: DataFrame, path: str) -> DataFrame:
@@ -202,4 +202,4 @@ def prefix_tables(documents: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "ends", "counts"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(tables_of, "doc_id long, ends array<long>, counts array<long>")
+    return documents.select("doc_id", "text").mapInArrow(thrifty(tables_of), "doc_id long, ends array<long>, counts array<long>")

@@ -18,22 +18,23 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docfacts.llm.common import Rolling, joined_bytes, lower_ascii, mix, slices, words_of, written
+from docfacts.llm.common import SLICE_BYTES, joined_bytes, lower_ascii, mix, rolling, slices, thrifty, words_of, written
 
 BITS = 20
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 8_000
 SHARDS, EPOCHS = 1, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
 #: The constant's weight where nothing could be learned: a score of about 0.007.
 NO_LABELS = -5.0
 FOLDS = 5
+#: The score's column beside all columns of a table.
+SCORE = "__toxicity_score"
 STEMS = (4, 5)
 
 _LETTER = np.zeros(256, bool)
@@ -45,24 +46,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-@lru_cache(maxsize=1)
-def _rolling() -> Rolling:
-    return Rolling(4 << 20)
-
-
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text number and place of every feature of joined texts, repeats included."""
     data, offsets = joined_bytes(texts)
     starts, ends, first = words_of(data, offsets, ~_LETTER)
-    rolling = _rolling()
-    sums = rolling.sums(lower_ascii(data))
-    word = mix(rolling.ranges(sums, starts, ends))
+    powers = rolling()
+    sums = powers.sums(lower_ascii(data))
+    word = mix(powers.ranges(sums, starts, ends))
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     out_text, out_place = [text], [word * _SEEDS[0]]
     for bytes_kept in STEMS:
         long = ends - starts > bytes_kept
         out_text.append(text[long])
-        out_place.append(mix(rolling.ranges(sums, starts[long], starts[long] + bytes_kept) ^ _SEEDS[bytes_kept % 3]))
+        out_place.append(mix(powers.ranges(sums, starts[long], starts[long] + bytes_kept) ^ _SEEDS[bytes_kept % 3]))
     for apart in (1, 2):
         same = text[:-apart] == text[apart:] if len(text) > apart else np.zeros(0, bool)
         left, right = word[: len(same)][same], word[len(word) - len(same) :][same]
@@ -106,26 +102,28 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tu
     """The places and weights that differ from zero."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES // 2):
             text, place = features(batch.column("text"))
             keys = np.unique(text << BITS | place)
             cut = np.searchsorted(keys, np.arange(batch.num_rows + 1) << BITS)
             packed = [(keys[a:b] & (CONSTANT - 1)).astype("<i4").tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(packed, pa.binary())], ["doc_id", "toxic", "places"])
 
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("order")
-        model = Ftrl()
-        seen = [(np.append(np.frombuffer(p, "<i4"), CONSTANT), int(t)) for p, t in zip(group["places"], group["toxic"])]
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = Ftrl(), []
+        for batch in batches:
+            for label, places in zip(batch.column("toxic").to_pylist(), batch.column("places")):
+                seen.append((np.append(np.frombuffer(places.as_buffer(), "<i4"), np.int32(CONSTANT)), label))
         for _ in range(EPOCHS):
             for places, label in seen:
                 model.learn(places, label)
         used = np.flatnonzero(np.abs(model.z) > L1)
-        return pd.DataFrame({"place": used, "weight": model.weights(used)})
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(model.weights(used))], ["place", "weight"])
 
-    marked = training_rows(documents, labels, rows).mapInArrow(extract, "doc_id long, toxic int, places binary")
+    marked = training_rows(documents, labels, rows).mapInArrow(thrifty(extract), "doc_id long, toxic int, places binary")
     marked = marked.withColumns({"order": F.xxhash64("doc_id", F.lit(7)), "shard": F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SHARDS))})
-    learned = written(marked.groupBy("shard").applyInPandas(train, "place long, weight double"), "toxicity")
+    dealt = marked.repartition(SHARDS, "shard").sortWithinPartitions("order").select("toxic", "places")
+    learned = written(dealt.mapInArrow(thrifty(train), "place long, weight double"), "toxicity")
     shards = F.lit(float(SHARDS))
     summed = learned.groupBy("place").agg((F.sum("weight") / shards).alias("weight")).orderBy("place").toPandas()
     if summed.empty:
@@ -148,20 +146,19 @@ def with_scores(rows: DataFrame, documents: DataFrame, labels: DataFrame, keep:
         dense = np.zeros(CONSTANT + 1)
         dense[places] = values
         used = dense != 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES // 2):
             text, place = features(batch.column("text"))
             hit = used[place]
             keys = np.unique(text[hit] << BITS | place[hit])
             total = np.bincount(keys >> BITS, weights=dense[keys & (CONSTANT - 1)], minlength=batch.num_rows) + dense[CONSTANT]
             result = pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))), pa.float64())
             names = [n for n in batch.schema.names if keep or n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), result], [*names, "_score" if keep else "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), result], [*names, SCORE if keep else "score"])
 
     fields = [f for f in rows.schema.fields if keep or f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(score, f"{schema}, {'_score' if keep else 'score'} double")
+    return rows.mapInArrow(thrifty(score), StructType([*fields, StructField(SCORE if keep else "score", DoubleType())]))
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, all columns kept."""
-    return with_scores(documents, documents, labels, keep=True).where("_score < 0.5").select(*documents.columns)
+    return with_scores(documents, documents, labels, keep=True).where(f"{SCORE} < 0.5").select(*documents.columns)
