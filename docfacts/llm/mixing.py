@@ -164,9 +164,9 @@ def mixed_words(documents: DataFrame) -> DataFrame:
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    sized = documents.withColumn("_size", word_count(F.col("text")))
-    plan = mix(sized.select("doc_id", "source", F.col("_size").alias("size")))
-    plan = written(plan.where("copies > 0"), "copies").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    sized = documents.withColumn("__mix_size", word_count(F.col("text")))
+    plan = mix(sized.select("doc_id", "source", F.col("__mix_size").alias("size")))
+    plan = written(plan.where("copies > 0"), "copies").select(F.col("doc_id").alias("__mix_d"), F.col("source").alias("__mix_s"), F.col("size").alias("__mix_z"), F.col("copies").alias("__mix_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_d")) & F.col("source").eqNullSafe(F.col("__mix_s")) & (F.col("__mix_size") == F.col("__mix_z"))
     kept = sized.join(plan, same)
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*documents.columns)
+    return kept.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*documents.columns)

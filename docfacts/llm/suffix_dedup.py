@@ -26,14 +26,13 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from docfacts.llm.common import Rolling, joined_bytes, mix, partitions, slices, written
+from docfacts.llm.common import joined_bytes, mix, partitions, rolling, slices, thrifty, thrifty_group, written
 
 LENGTH = 50
 ANCHOR = 12
@@ -48,11 +47,6 @@ FRAGMENTS = 2
 MOST_FRAGMENTS = 32_767
 
 
-@lru_cache(maxsize=1)
-def _rolling() -> Rolling:
-    return Rolling(4 << 20)
-
-
 def _windowed_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` neighbours, by doubling."""
     least, size = values, 1
@@ -70,10 +64,10 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> t
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none.astype(np.uint64), none
-    rolling = _rolling()
-    sums = rolling.sums(data)
+    powers = rolling()
+    sums = powers.sums(data)
     at = np.arange(len(data) - ANCHOR + 1)
-    hashes = mix(rolling.ranges(sums, at, at + ANCHOR))
+    hashes = mix(powers.ranges(sums, at, at + ANCHOR))
     ranked = (hashes & ~_PLACE) | at.astype(np.uint64)
     anchor = (_windowed_least(ranked, length - ANCHOR + 1) & _PLACE).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -122,18 +116,18 @@ _AT_ONCE = 20_000
 def _piece_keys(data: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, side: int) -> tuple[np.ndarray, ...]:
     """Hashes of each piece, of its anchor, and of the anchor with the bytes to its left and right (0 where they are missing)."""
     whole, anchor, left, right = (np.zeros(len(at), np.uint64) for _ in range(4))
-    rolling = _rolling()
+    powers = rolling()
     for begin in range(0, len(at), _AT_ONCE):
         part = slice(begin, begin + _AT_ONCE)
         low = at[part] - at[begin]
         n, p = size[part], place[part]
-        sums = rolling.sums(data[at[begin] : at[begin] + low[-1] + n[-1]])
-        whole[part] = mix(rolling.ranges(sums, low, low + n) + n.astype(np.uint64))
-        anchor[part] = mix(rolling.ranges(sums, low + p, low + p + ANCHOR))
+        sums = powers.sums(data[at[begin] : at[begin] + low[-1] + n[-1]])
+        whole[part] = mix(powers.ranges(sums, low, low + n) + n.astype(np.uint64))
+        anchor[part] = mix(powers.ranges(sums, low + p, low + p + ANCHOR))
         has = p >= side
-        left[part][has] = mix(rolling.ranges(sums, (low + p)[has] - side, (low + p)[has] + ANCHOR)) | np.uint64(1)
+        left[part][has] = mix(powers.ranges(sums, (low + p)[has] - side, (low + p)[has] + ANCHOR)) | np.uint64(1)
         has = p + ANCHOR + side <= n
-        right[part][has] = mix(rolling.ranges(sums, (low + p)[has], (low + p)[has] + ANCHOR + side)) | np.uint64(1)
+        right[part][has] = mix(powers.ranges(sums, (low + p)[has], (low + p)[has] + ANCHOR + side)) | np.uint64(1)
     return whole, anchor, left, right
 
 
@@ -161,7 +155,7 @@ def _sent_pieces(documents: DataFrame, fragments: int, length: int) -> DataFrame
             start, size, place, hashes, text = cut_pieces(data, offsets, length)
             if not len(start):
                 continue
-            key = mix(_rolling().ranges(_rolling().sums(data), start, start + size) + size.astype(np.uint64))
+            key = mix(rolling().ranges(rolling().sums(data), start, start + size) + size.astype(np.uint64))
             leader = _leaders(data, key, start, size, (ids[text], text))
             repeat = ids[text] != ids[text[leader]]
             where = ((hashes >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
@@ -183,7 +177,7 @@ def _sent_pieces(documents: DataFrame, fragments: int, length: int) -> DataFrame
 
     marked = documents.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
     schema = "fragment int, " + ", ".join(f"{c} binary" for c in [*_PIECES, *_RANGES])
-    return marked.mapInArrow(send, schema)
+    return marked.mapInArrow(thrifty(send), schema)
 
 
 class Scratch:
@@ -299,6 +293,7 @@ def _searched(pieces: DataFrame, buckets: int, length: int) -> DataFrame:
         owner = np.concatenate([o.astype(np.int64) + s for o, s in zip(columns["owner"], shift)])
         start = np.concatenate([np.cumsum(x, dtype=np.int64) for x in columns["start"]])  # kept as differences
         ids, marks, size, place, data = (np.concatenate(columns[n]) for n in ("ids", "marks", "size", "place", "body"))
+        del columns["body"]
         size, place = size.astype(np.int64), place.astype(np.int64)
         doc = ids[owner]
         at = np.r_[0, np.cumsum(size)[:-1]]
@@ -353,7 +348,7 @@ def _searched(pieces: DataFrame, buckets: int, length: int) -> DataFrame:
         return pa.table([pa.array(used, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", *_RANGES])
 
     schema = "bucket int, " + ", ".join(f"{c} binary" for c in _RANGES)
-    return pieces.groupBy("fragment").applyInArrow(search, schema)
+    return pieces.groupBy("fragment").applyInArrow(thrifty_group(search), schema)
 
 
 def _merged(ranges: DataFrame) -> DataFrame:
@@ -375,7 +370,7 @@ def _merged(ranges: DataFrame) -> DataFrame:
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (low[first], stops)]
         return pa.table([pa.array(ids[first][border]), pa.array(marks[first][border]), *lists], ["doc_id", "mark", "starts", "stops"])
 
-    return ranges.groupBy("bucket").applyInArrow(merge, "doc_id long, mark long, starts array<long>, stops array<long>")
+    return ranges.groupBy("bucket").applyInArrow(thrifty_group(merge), "doc_id long, mark long, starts array<long>, stops array<long>")
 
 
 def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -392,17 +387,22 @@ def remaining(raw: bytes, starts: list[int], stops: list[int]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def _losers(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents that lose something, with their runs in ``_starts, _stops``.
+def _slot(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS)).cast("int")
+
+
+def _with_runs(documents: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents that may lose something, with their runs in ``__span_starts, __span_stops`` (null for those that do not), and the others.
 
-    Before the join, texts are dropped by a list of hashed ids with at most ``SLOTS`` entries, so that texts
-    that lose nothing are not shuffled. The list is sent to all tasks; its size has that bound.
+    The two are told apart by a list of hashed ids with at most ``SLOTS`` entries, so that most texts that
+    lose nothing are not shuffled. The list is sent to all tasks; its size has that bound.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    slots = found.select(slot("doc_id").alias("_slot")).distinct()
-    some = documents.join(F.broadcast(slots), slot(F.col("doc_id")) == F.col("_slot"), "left_semi")
-    runs = found.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("starts").alias("_starts"), F.col("stops").alias("_stops"))
-    return some.join(runs, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")))
+    slots = F.broadcast(found.select(_slot(F.col("doc_id")).alias("__span_slot")).distinct())
+    listed = _slot(documents["doc_id"]) == slots["__span_slot"]
+    runs = found.select(F.col("doc_id").alias("__span_doc"), F.col("mark").alias("__span_mark"), F.col("starts").alias("__span_starts"), F.col("stops").alias("__span_stops"))
+    some = documents.join(slots, listed, "left_semi")
+    joined = some.join(runs, (some["doc_id"] == runs["__span_doc"]) & (F.xxhash64(some["text"]) == runs["__span_mark"]), "left")
+    return joined.select(*(some[c] for c in documents.columns), runs["__span_doc"], runs["__span_mark"], runs["__span_starts"], runs["__span_stops"]), documents.join(slots, listed, "left_anti")
 
 
 def removed_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -411,17 +411,18 @@ def removed_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts, starts, stops = (batch.column(c).to_pylist() for c in ("text", "_starts", "_stops"))
+            texts, starts, stops = (batch.column(c).to_pylist() for c in ("text", "__span_starts", "__span_stops"))
             digests = [hashlib.sha256(remaining(t.encode(), a, b)).hexdigest() for t, a, b in zip(texts, starts, stops)]
             lost = [sum(b) - sum(a) for a, b in zip(starts, stops)]
-            values = [batch.column("_doc"), batch.column("_mark"), pa.array(lost, pa.int64()), pa.array(list(map(len, starts)), pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(values, ["_doc", "_mark", "removed", "spans", "digest"])
+            values = [batch.column("__span_doc"), batch.column("__span_mark"), pa.array(lost, pa.int64()), pa.array(list(map(len, starts)), pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(values, ["__span_doc", "__span_mark", "removed", "spans", "digest"])
 
-    losers = _losers(documents.select("doc_id", "text"), found).select("text", "_doc", "_mark", "_starts", "_stops")
-    lost = losers.mapInArrow(digest, "_doc long, _mark long, removed long, spans long, digest string").distinct()
+    some, _ = _with_runs(documents.select("doc_id", "text"), found)
+    losers = some.where("__span_starts is not null").select("text", "__span_doc", "__span_mark", "__span_starts", "__span_stops")
+    lost = losers.mapInArrow(thrifty(digest), "__span_doc long, __span_mark long, removed long, spans long, digest string").distinct()
     text = F.coalesce("text", F.lit(""))
     every = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), F.xxhash64("text").alias("mark"))
-    joined = every.join(lost, (F.col("doc_id") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
+    joined = every.join(lost, (F.col("doc_id") == F.col("__span_doc")) & (F.col("mark") == F.col("__span_mark")), "left")
     nothing = F.lit(0).cast("long")
     return joined.select("doc_id", "n_bytes", F.coalesce("removed", nothing).alias("n_removed"), F.coalesce("spans", nothing).alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"))
 
@@ -430,18 +431,14 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated passages cut out of their texts, all columns kept; ``n_chars`` follows the text."""
     found = repeated_ranges(documents.select("doc_id", "text"), length)
     names = documents.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = [remaining(t.encode(), a, b).decode("utf-8", "ignore") for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "_starts", "_stops")))]
+            columns = (batch.column(c).to_pylist() for c in ("text", "__span_starts", "__span_stops"))
+            texts = [t if a is None else remaining(t.encode(), a, b).decode("utf-8", "ignore") for t, a, b in zip(*columns)]
             values = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(values, names)
 
-    # A text that loses something is taken from the join, the others from the table.
-    marked = documents.withColumn("_mark", F.xxhash64("text"))
-    runs = found.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_m"), F.col("starts").alias("_starts"), F.col("stops").alias("_stops"))
-    joined = marked.join(runs, (F.col("doc_id") == F.col("_doc")) & (F.col("_mark") == F.col("_m")), "left")
-    short = joined.where("_starts is not null").select(*names, "_starts", "_stops").mapInArrow(shorten, schema)
-    out = joined.where("_starts is null").select(*names).unionByName(short)
-    return out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"])) if "n_chars" in names else out
+    some, others = _with_runs(documents, found)
+    out = others.unionByName(some.drop("__span_doc", "__span_mark").mapInArrow(thrifty(shorten), documents.schema))
+    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out
