@@ -2,7 +2,62 @@
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\e'), '<', '\l'), '>', '\g')"
 
+_COMPONENTS = """
+reach(doc, top) AS (
+  SELECT a, a FROM links UNION SELECT reach.doc, links.b FROM reach JOIN links ON links.a = reach.top
+),
+tops AS (SELECT doc, least(doc, min(top)) AS top FROM reach GROUP BY doc)"""
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded
+),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),{_COMPONENTS}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(top, doc_id) AS component_id FROM sets LEFT JOIN tops ON tops.doc = doc_id
+""",
+    "op3_suffix_array_dedup": """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS k FROM bytes WHERE n >= 50) t),
+again AS (SELECT doc_id, k FROM windows QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+marked AS (SELECT *, coalesce(k > lag(k) OVER w + 50, true) AS fresh FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM marked),
+runs AS (SELECT doc_id, min(k) AS low, max(k) + 50 AS high FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM runs),
+lost AS (
+  SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(any_h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substr(any_value(any_h), 2 * max(high) + 1) AS kept
+  FROM (SELECT g.*, h AS any_h FROM gaps g JOIN bytes USING (doc_id)) t GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM bytes LEFT JOIN lost USING (doc_id)
+""",
+    "op8_embedding_near_dedup": f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+sized AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM vectors),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM sized x JOIN sized y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE x.size > 0 AND y.size > 0 AND list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.95
+),{_COMPONENTS},
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(top, vec_id) AS component_id, coalesce(top, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counted ON counted.a = vec_id LEFT JOIN tops ON tops.doc = vec_id
+""",
     "op2_quality_rules": r"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text,
