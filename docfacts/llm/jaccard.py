@@ -9,7 +9,7 @@ The others look for partners by their rarest shared n-grams, as many as a partne
 least once. For each n-gram the set with the smallest id is paired with the others (as many pairs as rows, whatever the
 group's size), pairs that cannot overlap enough by length, position or shared count left out. The pairs are counted
 fragment by fragment and summed; the links give components. A second round pairs all sets of *different* components that
-share a rare n-gram and may still overlap enough, first against each component's best values, so that
+share a rare n-gram and may still overlap enough, components first by their best values, so that
 members of a large component are looked at only if one of them may be a partner. After it no link between components is
 left out, and links within a component do not change it.
 
@@ -251,18 +251,34 @@ def _star_pairs(rare: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
-    """All sets of different components that share a rare n-gram and may be linked."""
-    labelled = rare.join(labels, rare["u.rep"] == labels["node"], "left").select("gram", "u", "n", "room", F.coalesce("component", F.col("u.rep")).alias("label"))
-    labelled = written(labelled, "rare")
-    groups = labelled.groupBy("gram", "label").agg(F.max("room").alias("g_room"), F.min("n").alias("g_least"), F.max("n").alias("g_most"))
-    several = groups.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    groups = groups.join(several, "gram").withColumnRenamed("label", "g_label")
-    # A set against the best that any member of another component could be. Each pair is met from its larger label.
-    nearest = F.greatest(F.least(F.col("n"), F.col("g_most")), F.col("g_least"))
-    open_ = labelled.join(groups, "gram").where((F.col("label") > F.col("g_label")) & ((OVER + UNDER) * F.least("room", "g_room") >= UNDER * (F.col("n") + F.col("g_least"))) & (OVER * F.least(F.col("n"), nearest) >= UNDER * F.greatest(F.col("n"), nearest)))
-    other = labelled.select("gram", F.col("label").alias("g_label"), F.col("u").alias("o_u"), F.col("n").alias("o_n"), F.col("room").alias("o_room"))
-    met = open_.select("gram", "g_label", "u", "n", "room").join(other, ["gram", "g_label"])
-    return met.where(_may_overlap(F.col("room"), F.col("o_room"), F.col("n"), F.col("o_n"))).select(F.least("u", "o_u").alias("a"), F.greatest("u", "o_u").alias("b")).distinct()
+    """All sets of different components that share a rare n-gram and may be linked.
+
+    The smaller set of a linked pair must have room for ``2 * UNDER / (OVER + UNDER)`` of itself: it is called strong. Components are compared
+    first, by the best that a strong member of one and any member of the other could reach at an n-gram; only where that is
+    enough are the members themselves paired. So an n-gram of a large group costs its components, not its pairs.
+    """
+    named = rare.join(labels, rare["u.rep"] == labels["node"], "left").select("gram", "u", "n", "room", F.coalesce("component", F.col("u.rep")).alias("label"))
+    named = written(named, "rare")
+    several = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
+    mixed = written(named.join(several, "gram"), "mixed")
+    strong = mixed.where((OVER + UNDER) * F.col("room") >= 2 * UNDER * F.col("n"))
+
+    def best(rows: DataFrame, side: str) -> DataFrame:
+        found = rows.groupBy("gram", "label").agg(F.max("room").alias(f"{side}_room"), F.min("n").alias(f"{side}_least"), F.max("n").alias(f"{side}_most"))
+        return found.withColumnRenamed("label", f"{side}_label")
+
+    least_other = F.greatest("g_least", "s_least")
+    feasible = best(strong, "s").join(best(mixed, "g"), "gram").where(
+        (F.col("s_label") != F.col("g_label"))
+        & ((OVER + UNDER) * F.least("s_room", "g_room") >= UNDER * (F.col("s_least") + least_other))
+        & (F.col("g_most") >= F.col("s_least"))
+        & (OVER * F.col("s_most") >= UNDER * least_other)
+    )
+    feasible = feasible.select("gram", F.col("s_label").alias("label"), "g_label")
+    other = mixed.select("gram", F.col("label").alias("g_label"), F.col("u").alias("o_u"), F.col("n").alias("o_n"), F.col("room").alias("o_room"))
+    met = strong.join(feasible, ["gram", "label"]).join(other, ["gram", "g_label"])
+    fits = (F.col("n") <= F.col("o_n")) & _may_overlap(F.col("room"), F.col("o_room"), F.col("n"), F.col("o_n"))
+    return met.where(fits).select(F.least("u", "o_u").alias("a"), F.greatest("u", "o_u").alias("b")).distinct()
 
 
 def linked_components(documents: DataFrame) -> DataFrame:
