@@ -508,6 +508,7 @@ select rec_id, round(l1_nom_vs_name, 6) as l1_nom_vs_name, round(l1_nom_vs_measu
 select rec_id, t1 as ratio_text, t3 as ratio_text_3 from alloys left join ratio_texts using (rec_id)""",
     "name_without_zero": f"with {_COMPARED}{_NAMED} select rec_id, name_without_zero from short_names",
     "check_compositions": _CHECK,
+    "check_headers": f"select rec_id, consistency_check, name_without_zero, 'x' as Note from ({_CHECK}) c",
     "consistency_summary": f"""with {_COMPARED}
 select count(*) filter (consistency_check = 'OK') as n_ok, count(*) filter (consistency_check like 'inconsistent%') as n_inconsistent,
   count(*) filter (consistency_check = 'unknown') as n_unknown from compared""",

@@ -136,6 +136,13 @@ def check_compositions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def check_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The same check over a table with other spellings of its headers, and an extra column."""
+    spelled = {"name": "Name", "nominal_composition": "Nominal Composition", "measured_composition": "MEASURED_composition"}
+    renamed = _alloys(spark, d).withColumnsRenamed(spelled).withColumn("Note", F.lit("x"))
+    return compositions.check_compositions(renamed).select("rec_id", "consistency_check", "name_without_zero", "Note")
+
+
 def consistency_summary(spark: SparkSession, d: str) -> DataFrame:
     return compositions.consistency_summary(_compared(spark, d))
 
@@ -409,7 +416,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_budget_no_rate, token_total_line, normalize_as_weight,
         parse_formula, parse_ratio_form, parse_pairs, parse_composition, normalize_composition,
         weight_to_mole, name_inferred, composition_distance, ratio_string, name_without_zero,
-        check_compositions, consistency_summary,
+        check_compositions, check_headers, consistency_summary,
         parse_v1, json_candidates, json_candidates_two, json_candidates_pages, light_fix, parse_v2, quarantine,
         flatten_records, confidence_profile, combine_records, combine_all_keys, combine_with_keys, record_keys,
         prompt_similarity, prompt_log, label_sets, mini_batches, batch_feedback, label_reconcile,
