@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT_WORDS = 250_000
+KEPT_WORDS = 450_000
 LONGEST_KEPT = 48
 
 
