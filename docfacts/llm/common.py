@@ -48,10 +48,19 @@ def _libc() -> ctypes.CDLL:
     return ctypes.CDLL(None)
 
 
-def thrifty(work: Callable) -> Callable:
-    """A function over Arrow batches that gives its memory back at the end of the task."""
+#: What empties the caches that outlive a task in a Python worker; their modules add to it.
+CACHES: list[Callable] = []
+
+
+def thrifty(work: Callable, keeps_caches: bool = False) -> Callable:
+    """A function over Arrow batches that gives its memory back at the end of the task.
+
+    Unless it ``keeps_caches`` it also drops, at its start, what tasks of other operators left in the worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for clear in [] if keeps_caches else CACHES:
+            clear()
         try:
             yield from work(batches)
         finally:
@@ -64,6 +73,8 @@ def thrifty_group(work: Callable) -> Callable:
     """A function over the Arrow table of a group that gives its memory back after each group."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        for clear in CACHES:
+            clear()
         try:
             return work(key, table)
         finally:

@@ -105,7 +105,7 @@ def pack(documents: DataFrame, path: str, length: int = LENGTH, keep_ids: bool =
             yield _rows(rows, columns)
         yield _rows([(*r[:7], True, r[8]) for held in windows.held.values() for r in held], columns)
 
-    found = written(documents.select("doc_id", "text").mapInArrow(thrifty(first), schema), "packed")
+    found = written(documents.select("doc_id", "text").mapInArrow(thrifty(first, keeps_caches=True), schema), "packed")
     open_rows = found.where("open")
     count = open_rows.select(F.approx_count_distinct("sequence_id")).first()[0]
     tasks = max(1, round(count / MERGED_WINDOWS))
@@ -128,7 +128,7 @@ def pack(documents: DataFrame, path: str, length: int = LENGTH, keep_ids: bool =
             yield _rows(rows, columns)
 
     merged = (
-        open_rows.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(thrifty(merge), schema)
+        open_rows.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(thrifty(merge, keeps_caches=True), schema)
     )
     out = found.where("not open").unionByName(merged)
     return out.drop("open") if keep_ids else out.drop("open", "ids")

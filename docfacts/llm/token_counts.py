@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from docfacts.llm.common import slices, thrifty
+from docfacts.llm.common import CACHES, slices, thrifty
 from docfacts.llm.tokenizer import encoder
 
 LIMIT = 2048
@@ -162,6 +162,9 @@ def prefix_counts(path: str) -> PrefixCounts:
     return PrefixCounts(path)
 
 
+CACHES.append(prefix_counts.cache_clear)
+
+
 def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """For each document its bytes, its tokens, whether they exceed ``limit``, and how many characters fit in it."""
 
@@ -186,7 +189,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
             )
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long"
-    return documents.select("doc_id", "text").mapInArrow(thrifty(count), schema)
+    return documents.select("doc_id", "text").mapInArrow(thrifty(count, keeps_caches=True), schema)
 
 
 def prefix_tables(documents: DataFrame, path: str) -> DataFrame:
@@ -202,4 +205,4 @@ def prefix_tables(documents: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "ends", "counts"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(thrifty(tables_of), "doc_id long, ends array<long>, counts array<long>")
+    return documents.select("doc_id", "text").mapInArrow(thrifty(tables_of, keeps_caches=True), "doc_id long, ends array<long>, counts array<long>")

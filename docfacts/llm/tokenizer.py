@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from docfacts.llm.common import CACHES
+
 KEPT_WORDS = 450_000
 LONGEST_KEPT = 48
 
@@ -123,3 +125,6 @@ def encoder(path: str) -> Encoder:
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
+
+
+CACHES.append(encoder.cache_clear)
