@@ -6,8 +6,13 @@ running sum over the text (one addition for each part), the second a table over
 one part. That table is itself a recurrence: the encoding of ``w[:k]`` ends with the one token
 ``t`` that may follow the last token of the encoding of ``w[:k - len(t)]``, so
 ``count[k] = count[k - len(t)] + 1``. Two tokens may stand side by side when merging their
-symbols from scratch gives the same two tokens. With both tables, truncation and budget
-questions are answered by look-up; nothing is encoded again.
+symbols from scratch gives the same two tokens.
+
+Where a budget falls is found without a table of the whole part. A bounded beginning of the part is cut into the steps of
+the splitting pattern. In short steps the prefixes are read one at a time by the library, from a step a little before; in a long
+step (letters, marks, signs or blanks of any script) the recurrence runs over its bytes. It stops once as many prefixes as the
+longest token has bytes are all at the budget: every longer one comes from one of these and is over it. So the work
+follows the budget, not the length of the part.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens, never over a limit); a null or
 repeated ``doc_id`` is passed through, one result row for each input row; other columns are
@@ -18,6 +23,7 @@ library counts them by default.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +36,10 @@ from docfacts.llm.common import CACHES, slices, thrifty
 from docfacts.llm.tokenizer import encoder
 
 LIMIT = 2048
+#: Steps of up to so many characters are read by the library.
+SHORT = 64
+#: Characters at the start of a long step that may be read otherwise when cut (as "'r" and "'re").
+UNSTEADY = 4
 
 
 class PrefixCounts:
@@ -37,7 +47,7 @@ class PrefixCounts:
 
     def __init__(self, path: str):
         self.encoder = encoder(path)
-        self._merges = _Merges(path) if self.encoder.by_words else None
+        self._merges = _Merges(path) if self.encoder.tokenizer else None
 
     def sums(self, parts: list[str]) -> np.ndarray:
         """The exact token count up to each part end, from 0."""
@@ -54,12 +64,14 @@ class PrefixCounts:
 
     def part(self, part: str) -> np.ndarray:
         """The count of every prefix of one part."""
-        table = self._merges.counts(part) if self._merges else None
-        if table is None:  # characters that change when they are normalised: each prefix is read as it is
-            texts = [part[:k] for k in range(len(part) + 1)]
-            table = self.encoder.counts(texts)
+        table = self._merges.counts(part) if self._merges and self.encoder.by_words else None
+        if table is None:
+            table = np.fromiter((self._count(part[:k]) for k in range(len(part) + 1)), np.int64, len(part) + 1)
         return table
 
+    def _count(self, text: str) -> int:
+        return len(self.encoder.library(text))
+
     def every_prefix(self, text: str) -> np.ndarray:
         """``counts[k]``: the tokens of ``text[:k]``."""
         parts = self.encoder.parts(text)
@@ -80,22 +92,139 @@ class PrefixCounts:
         start = int(self.ends(parts[: last + 1])[last]) + (1 if last else 0)
         if last == len(parts):
             return start - 1 if last else 0
-        fitting = np.flatnonzero(counts[last] + self.part(parts[last]) <= budget)
-        return start + int(fitting[-1])
+        fits = self._fitting if self._merges else self._fitting_piece
+        return start + fits(parts[last], budget - int(counts[last]))
+
+    def _fitting_piece(self, text: str, budget: int) -> int:
+        """The most characters that fit, for pieces of whole characters: a prefix without its last piece is a shorter prefix."""
+        low, high = 0, min(budget + 1, len(text))
+        while high < len(text) and self._count(text[:high]) <= budget:
+            low, high = high, min(2 * high, len(text))
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._count(text[:middle]) <= budget else (low, middle)
+        best, k = low, low + 1
+        while k <= len(text) and k - best <= self.encoder.longest:
+            best = k if self._count(text[:k]) <= budget else best
+            k += 1
+        return best
+
+    def _fitting(self, part: str, budget: int) -> int:
+        """The most characters of a part that fit, from a beginning of it that is doubled until the answer lies inside."""
+        size = 4 * (budget + SHORT + 1)
+        while True:
+            found = self._fitting_within(part[:size], budget, size >= len(part))
+            if found is not None:
+                return found
+            size *= 2
+
+    def _fitting_within(self, text: str, budget: int, whole: bool) -> int | None:
+        """The most characters that fit; None if more of the part than ``text`` is needed to tell."""
+        starts, ends, before, inside = _steps(self.encoder.tokenizer.encode(text, add_special_tokens=False), len(text))
+        # The end of the text may turn a cut step and the one before it into others; all earlier ones are settled.
+        upto = next((i for i in range(2, len(starts)) if before[i - 2] > budget), len(starts))
+        open_end = not whole and upto > len(starts) - 3
+        if open_end and (not starts or ends[-1] - starts[-1] <= SHORT):
+            return None
+        for i in range(min(upto, len(starts)) - 1, -1, -1):
+            back = max(i - 2, 0)
+            while back and not (not inside[back] and self._merges.apart(text[starts[back] - 1], text[starts[back]])):
+                back -= 1
+            origin, counted = (starts[back], before[back]) if back else (0, 0)
+            fits = lambda k: counted + self._count(text[origin:k]) <= budget  # noqa: B023, E731
+            after = starts[i + 1] if i + 1 < len(starts) else len(text)
+            if after > ends[i] and fits(after):  # dropped blanks
+                return None if open_end and i == len(starts) - 1 else after
+            low = starts[i]
+            lead = self._merges.normal(text[low])[1:] if inside[i] else ""
+            if ends[i] - low > SHORT and (not inside[i] or len(lead) == 1 and self._merges.apart(text[low], text[low + 1 : low + 2])):
+                best, over, between = self._merges.reach(text[low : ends[i]], budget - before[i], lead)
+                if open_end and i == len(starts) - 1 and over is None:
+                    return None
+                for k in reversed(between):
+                    if k > max(best, UNSTEADY) and fits(low + k):
+                        return low + k
+                if best > UNSTEADY:
+                    return low + best
+                upper = low + UNSTEADY
+            else:
+                upper = ends[i]
+            for k in range(upper, low, -1):
+                if fits(k):
+                    return k
+        return starts[0] if starts else len(text)
+
+
+def _steps(encoding, length: int) -> tuple[list[int], list[int], list[int], list[bool]]:
+    """Starts and ends of the steps of the splitting pattern in characters, the tokens before each, and whether it starts
+    inside a character (a dotted capital I becomes a letter and a mark)."""
+    starts, ends, before, inside, word = [], [], [], [], object()
+    for i, (w, (a, b)) in enumerate(zip(encoding.word_ids, encoding.offsets)):
+        if w is None or w != word:
+            inside.append(bool(ends) and a < max(ends[-2:]))
+            starts.append(max(a, starts[-1]) if starts else a)
+            ends.append(b)
+            before.append(i)
+        ends[-1] = max(ends[-1], b)
+        word = w
+    return starts, [min(e, s) for e, s in zip(ends, [*starts[1:], length])], before, inside
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 class _Merges:
-    """The recurrence over prefixes of one word, for byte-level merges with an end-of-word mark."""
+    """The recurrence over prefixes of one word, for byte-level merges with or without an end-of-word mark."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
-        self.end = model["end_of_word_suffix"]
+        self.end = model["end_of_word_suffix"] or ""
         self.vocabulary = model["vocab"].keys()
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.rank = {pair: i for i, pair in enumerate(pairs)}
         self.longest = max(map(len, self.vocabulary))
         self.beside = lru_cache(maxsize=1 << 16)(self._beside)
+        normalizer = encoder(path).tokenizer.normalizer
+        self.normal = lru_cache(maxsize=1 << 14)(normalizer.normalize_str) if normalizer else str
+        self.letters = _byte_letters()
+
+    def apart(self, before: str, char: str) -> bool:
+        """Whether normalising leaves ``char`` apart from what comes before it."""
+        return char.isascii() or not unicodedata.combining(char) and self.normal(before + char) == self.normal(before) + self.normal(char)
+
+    def reach(self, step: str, budget: int, lead: str = "") -> tuple[int, int | None, list[int]]:
+        """How many characters of one step of the pattern fit, by the recurrence over its bytes.
+
+        ``lead`` is what the step holds of its first character, if not all of it. Only prefixes that end where normalising may be cut are read; the others beyond the result are returned for the library.
+        The second value says where all that follows is over the budget, None if the end of the step came first.
+        """
+        word, last, inside, best, over = "", [""], [0], 0, 0
+        between: list[int] = []
+        at = 0
+        while at < len(step):
+            upto = at + 1
+            while upto < len(step) and not self.apart(step[at:upto], step[upto]):
+                upto += 1
+            for byte in (lead if lead and not at else self.normal(step[at:upto])).encode():
+                word = (word + self.letters[byte])[-self.longest :]
+                last, inside = last[-len(word) :], inside[-len(word) :]
+                token, count = self._step(word, len(word), "", last, inside)
+                closed = self._step(word, len(word), self.end, last, inside)[1] if self.end else count
+                last.append(token)
+                inside.append(count)
+                over = over + 1 if count >= budget else 0
+            between += range(at + 1, upto)
+            at = upto
+            if closed <= budget:
+                best, between = at, []
+            if over > self.longest:
+                return best, at, between
+        return best, None, between
 
     def _beside(self, left: str, right: str) -> bool:
         symbols = list(left) + _symbols(right, self.end)
@@ -134,7 +263,7 @@ class _Merges:
     def _step(self, word: str, k: int, end: str, last: list[str], inside: list[int]) -> tuple[str | None, int]:
         for start in range(max(0, k - self.longest), k):
             token = word[start:k] + end
-            if token in self.vocabulary and (start == 0 and self._joins(token) or start > 0 and self.beside(last[start], token)):
+            if token in self.vocabulary and (self.beside(last[start], token) if last[start] else self._joins(token)):
                 return token, inside[start] + 1
         return None, 0
 
@@ -151,7 +280,7 @@ class _Merges:
 
 
 def _symbols(token: str, end: str) -> list[str]:
-    if token.endswith(end) and len(token) > len(end):
+    if end and token.endswith(end) and len(token) > len(end):
         body = list(token[: -len(end)])
         return [*body[:-1], body[-1] + end]
     return list(token)

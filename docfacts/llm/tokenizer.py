@@ -65,15 +65,17 @@ class Encoder:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self._library = lambda text: model.encode(text, num_threads=1)
+            self.library = lambda text: model.encode(text, num_threads=1)
             self.by_words, size = False, model.get_piece_size()
+            self.tokenizer, self.longest = None, max(len(model.id_to_piece(i)) for i in range(size))
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self._library = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self.tokenizer = tokenizer
+            self.library = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
             with open(path, encoding="utf-8") as file:
                 self.by_words = _drops_blanks(json.load(file))
             size = tokenizer.get_vocab_size()
@@ -81,7 +83,7 @@ class Encoder:
         self.packed = Parts(self._packed)
 
     def _packed(self, part: str) -> bytes:
-        return array(self._code, self._library(part)).tobytes()
+        return array(self._code, self.library(part)).tobytes()
 
     def parts(self, text: str) -> list[str]:
         """A text cut at blanks and line feeds; joining the parts' ids gives the text's ids."""
@@ -96,7 +98,7 @@ class Encoder:
     def counts(self, parts: list[str]) -> np.ndarray:
         """Tokens of each part."""
         if not self.by_words:
-            return np.array([len(self._library(p)) for p in parts], np.int64)
+            return np.array([len(self.library(p)) for p in parts], np.int64)
         self.packed.age()
         sizes = np.fromiter(map(len, map(self.packed.__getitem__, parts)), np.int64, len(parts))
         return sizes // self.kind.itemsize

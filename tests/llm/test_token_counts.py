@@ -60,6 +60,26 @@ def test_longest_prefix(library):
         assert counts.longest_prefix(text, budget) == max(fits)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_longest_prefix_of_any_script(name):
+    counts = PrefixCounts(special_path(name))
+    rng = random.Random(5)
+    for piece in ["日本", "ก", "=/+", "é", "ậ각", "İ=", "'re", "a<|endoftext|>", "\t", "12x", "👩\u200d"]:
+        text = "".join(rng.choice([piece, piece[0]]) for _ in range(90)) + rng.choice(["a'll", "b"])
+        sizes = [len(counts.encoder.library(text[:k])) for k in range(len(text) + 1)]
+        for budget in {0, 1, sizes[-1] // 2, sizes[-1] - 1} - {sizes[-1], -1}:
+            assert counts.longest_prefix(text, budget) == max(k for k, n in enumerate(sizes) if n <= budget), (piece, budget)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_a_megabyte_without_blanks(name):
+    counts = PrefixCounts(special_path(name))
+    for text in ("=/+-_*" * 170_000, "日本語文" * 90_000):
+        fits = counts.longest_prefix(text, 2048)
+        assert len(counts.encoder.library(text[:fits])) <= 2048
+        assert all(len(counts.encoder.library(text[:k])) > 2048 for k in range(fits + 1, fits + 40))
+
+
 def test_query_columns(spark, documents, library):
     table = documents([(1, "a b c"), (2, None), (2, ""), (None, "word " * 3000), (3, "é")]).withColumn("n_tokens", F.lit(1))
     found = rows(token_counts(table, PATH), "doc_id", "n_bytes", "n_tokens", "over_limit")
