@@ -5,7 +5,7 @@ left out, hashed to ``2 ** BITS`` places. The learner keeps two sums for each pl
 ``ALPHA / (BETA + sqrt(n))`` there, and the weight is zero until ``|z|`` exceeds ``L1``. Hence few weights
 differ from zero: they are broadcast as a short list, at most ``2 ** BITS`` of them.
 
-Learning uses at most ``TRAIN_ROWS`` labelled rows (those with the smallest hash of their id). They may be dealt
+Learning uses at most ``TRAIN_ROWS`` labelled ids (those with the smallest hash) and one text of each. They may be dealt
 over ``SHARDS`` tasks whose weights are averaged; one learns best and holds the bounded rows. Scoring covers every document and its whole text in one
 pass without a shuffle.
 
@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from docfacts.llm.common import SLICE_BYTES, joined_bytes, lower_ascii, mix, rolling, slices, thrifty, words_of, written
 
 BITS = 20
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 16_000
 SHARDS, EPOCHS = 1, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
 #: The constant's weight where nothing could be learned: a score of about 0.007.
@@ -92,7 +92,7 @@ CONSTANT = 1 << BITS
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The labelled rows to learn from, with their texts. The chosen ids are at most ``rows``, so they are broadcast."""
+    """The rows of the labelled ids to learn from, with their texts. The chosen ids are at most ``rows``, so they are broadcast."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -121,6 +121,8 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tu
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(model.weights(used))], ["place", "weight"])
 
     marked = training_rows(documents, labels, rows).mapInArrow(thrifty(extract), "doc_id long, toxic int, places binary")
+    # One text for each id, whatever the number of its rows; one that has features before one that has none.
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("places").alias("places"))
     marked = marked.withColumns({"order": F.xxhash64("doc_id", F.lit(7)), "shard": F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SHARDS))})
     dealt = marked.repartition(SHARDS, "shard").sortWithinPartitions("order").select("toxic", "places")
     learned = written(dealt.mapInArrow(thrifty(train), "place long, weight double"), "toxicity")

@@ -47,6 +47,14 @@ def test_held_out_labels_are_not_used(spark, documents):
     assert scores[0] == scores[1]
 
 
+def test_repeated_rows_are_learnt_once(spark, documents):
+    data, labels = corpus(random.Random(4), 200)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    often = data + [row for row in data if row[0] % 3 == 0] * 5
+    once, many = (tx.learn(documents(x), frame) for x in (data, often))
+    assert once[0].tolist() == many[0].tolist() and once[1].tolist() == many[1].tolist()
+
+
 def test_no_labels_and_empty(spark, documents):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert rows(tx.toxicity(documents([(1, "a")]), labels), "doc_id", "predicted") == [(1, 0)]
