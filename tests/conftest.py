@@ -25,8 +25,3 @@ def spark(tmp_path_factory) -> SparkSession:
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def executed_plan(df) -> str:
-    """The physical plan as text."""
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ import random
 
 import brute
 import pytest
-from conftest import executed_plan
+from plans import executed_plan
 from pyspark.sql import functions as F
 
 from docfacts.functions import composition as C

@@ -6,7 +6,7 @@ import itertools
 
 import brute
 import pytest
-from conftest import executed_plan
+from plans import executed_plan
 from pyspark.sql import functions as F
 
 from docfacts.operators import labels, prompts, verdicts

@@ -4,7 +4,7 @@ import json
 import random
 
 import brute
-from conftest import executed_plan
+from plans import executed_plan
 from pyspark.sql import functions as F
 
 from docfacts.functions.jsontext import balanced_chunks, json_kind, json_size, light_fix, strict_json

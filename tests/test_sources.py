@@ -4,7 +4,7 @@ import base64
 import json
 
 import pytest
-from conftest import executed_plan
+from plans import executed_plan
 from pyspark.sql import functions as F
 
 from docfacts.operators import documents, records, requests, responses

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import executed_plan
+from plans import executed_plan
 from pyspark.sql import functions as F
 
 from docfacts.functions.text import normalize_text, tokens_from_chars, tokens_from_words
