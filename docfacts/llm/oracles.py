@@ -8,6 +8,53 @@ reach(doc, top) AS (
 ),
 tops AS (SELECT doc, least(doc, min(top)) AS top FROM reach GROUP BY doc)"""
 
+#: Levels of eight that the SQL of the manifest goes up, in the trees and over them: enough for two million leaves a tree.
+_LEVELS = 7
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LOWERED = "CASE WHEN changed THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+
+
+def _crc32(data: str) -> str:
+    """CRC-32 of a text in UTF-8: a fold over its bytes, eight shifts for each."""
+    table = "([" + ", ".join(str(_crc_entry(i)) for i in range(256)) + "]::BIGINT[])"
+    pairs = f"regexp_extract_all(hex(encode({data})), '..')"
+    numbers = f"list_transform({pairs}, lambda p: 16 * (strpos('0123456789ABCDEF', p[1]) - 1) + strpos('0123456789ABCDEF', p[2]) - 1)"
+    start = "list_prepend(4294967295::BIGINT, list_transform({0}, lambda b: b::BIGINT))".format(numbers)
+    return f"xor(list_reduce({start}, lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _crc_entry(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+def _tree(leaves: str, name: str) -> str:
+    """The levels of trees over the rows ``tree, pos, d, n`` of a relation, and the runs of each level."""
+    out = [f"{name}0 AS (SELECT tree, pos, d, n FROM {leaves})"]
+    for k in range(_LEVELS):
+        out.append(f"{name}runs{k} AS (SELECT tree, pos // 8 AS pos, list(d ORDER BY pos) AS run, n FROM {name}{k} GROUP BY tree, pos // 8, n)")
+        joined = "CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END"
+        out.append(f"{name}{k + 1} AS (SELECT tree, pos, {joined} AS d, (n + 7) // 8 AS n FROM {name}runs{k})")
+    return ",\n".join(out)
+
+
+def _climbed(rows: str, name: str, tree: str, pos: str) -> list[str]:
+    """Steps that carry ``proof`` and ``node`` of the rows of a relation up the levels of ``name``, one after another."""
+    out = []
+    for k in range(_LEVELS):
+        at = f"((x.{pos} // {8**k}) % 8)"
+        left, right = f"array_to_string(run[1 : {at}], '')", f"array_to_string(run[{at} + 2 :], '')"
+        out.append(
+            f"SELECT x.* REPLACE (CASE WHEN r.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof, "
+            f"CASE WHEN r.n > 1 THEN sha256({left} || node || {right}) ELSE node END AS node) "
+            f"FROM {rows} x JOIN {name}runs{k} r ON r.tree = x.{tree} AND r.pos = x.{pos} // {8 ** (k + 1)}"
+        )
+        rows = f"{name}climb{k}"
+        out[-1] = f"{rows} AS ({out[-1]})"
+    return out
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": rf"""
 WITH RECURSIVE worded AS (
@@ -129,5 +176,73 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM largest JOIN letters USING (page_id)
+""",
+    "op11_merkle_manifest": f"""
+WITH seen AS (
+  SELECT *, coalesce({_crc32("coalesce(doc_id::VARCHAR, '')")} % 3 = 0 AND doc_id IS NOT NULL, false) AS changed FROM documents
+),
+hashed AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS tree,
+    sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    sha256({" || ".join(_FIELD.format(c if c != "text" else f"({_LOWERED})") for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS node
+  FROM seen
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS d, count(*) OVER (PARTITION BY tree) AS n
+  FROM hashed
+),
+{_tree("leaves", "low")},
+groups AS (SELECT 'all' AS tree, tree AS lang, row_number() OVER (ORDER BY tree) - 1 AS pos, d, count(*) OVER () AS n FROM low{_LEVELS}),
+{_tree("groups", "top")},
+started AS (SELECT doc_id, leaf, tree, pos, '' AS proof, node FROM leaves),
+{", ".join(_climbed("started", "low", "tree", "pos"))},
+between_trees AS (
+  SELECT c.doc_id, c.leaf, c.proof, c.node, g.tree AS gtree, g.pos AS gpos, g.d AS subroot FROM lowclimb{_LEVELS - 1} c JOIN groups g ON g.lang = c.tree
+),
+{", ".join(_climbed("between_trees", "top", "gtree", "gpos"))}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM topclimb{_LEVELS - 1}, (SELECT d AS root FROM top{_LEVELS}) t
+""",
+    "op12_fill_in_middle": """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+),
+cuts AS (
+  SELECT doc_id, text, n,
+    ('0x' || h[1:8])::BIGINT % (n + 1) AS one, ('0x' || h[9:16])::BIGINT % (n + 1) AS two,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 AS plain,
+    ('0x' || h[25:32])::BIGINT % 100 < 20 AS suffix_first
+  FROM drawn
+),
+parts AS (
+  SELECT *, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+    substr(text, 1, least(one, two)) AS prefix, substr(text, least(one, two) + 1, abs(one - two)) AS middle, substr(text, greatest(one, two) + 1) AS suffix
+  FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN least(one, two) END AS prefix_chars, CASE WHEN NOT plain THEN abs(one - two) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+""",
+    "op13_sharding": f"""
+WITH sized AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(coalesce(text, '')) AS k FROM documents
+),
+totals AS (
+  SELECT sum(size)::BIGINT AS total, count(*) AS rows, greatest(8 * 128, least(65536, greatest(64, (count(*) + 999) // 1000))) AS share FROM sized
+),
+placed AS (
+  SELECT *, (sum(size) OVER w)::BIGINT - size AS begin, row_number() OVER w - 1 AS place, (sum(size) OVER g)::BIGINT AS group_bytes, count(*) OVER g AS group_rows
+  FROM sized WINDOW w AS (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY k)
+),
+dealt AS (
+  SELECT *, least(7, 8 * CASE WHEN group_bytes * share > total OR group_rows * share > rows THEN 2 * begin + size
+    ELSE 2 * min(begin) OVER (PARTITION BY k) + group_bytes END // (2 * total)) AS shard
+  FROM placed, totals
+)
+SELECT doc_id, size, {_crc32("text")} AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard, place - min(place) OVER (PARTITION BY shard) AS slot,
+  NULL::INTEGER AS grown_shard
+FROM dealt
 """,
 }

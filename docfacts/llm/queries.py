@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docfacts.llm import chat, jaccard, mixing, near_embeddings, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from docfacts.llm import chat, fill_middle, jaccard, merkle, mixing, near_embeddings, packing, quality, sharding, suffix_dedup, token_counts, toxicity, warc
 from docfacts.llm.common import table
 from docfacts.llm.oracles import ORACLES  # noqa: F401
 from docfacts.llm.tokenizer import special_path
@@ -66,6 +66,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), special_path(VOCABULARY))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_suffix_array_dedup, op4_chat_formatting, op5_warc, op6_packing, op7_toxicity, op8_embedding_near_dedup, op9_mixing, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_quality_rules, op3_suffix_array_dedup, op4_chat_formatting, op5_warc, op6_packing, op7_toxicity,
+        op8_embedding_near_dedup, op9_mixing, op10_token_counts, op11_merkle_manifest, op12_fill_in_middle, op13_sharding,
+    )
 }
