@@ -32,9 +32,8 @@ from pyspark.sql.window import Window
 from docfacts.llm.common import written
 
 FANOUT = 8
-#: Levels that one task appends: 4096 leaves.
+#: Levels that one task appends: blocks of 4096 leaves.
 BLOCK_LEVELS = 4
-BLOCK = FANOUT**BLOCK_LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _WITNESS = "array<struct<left:string,right:string>>"
 
@@ -97,37 +96,37 @@ class Frontier:
         return self.open[self.levels][0][0]
 
 
-def _appended(table: pa.Table) -> tuple[pa.Table, Frontier, str]:
+def _appended(table: pa.Table, levels: int) -> tuple[pa.Table, Frontier, str]:
     """The nodes of a block in order, their frontier and the block's root."""
     table = table.sort_by("pos")
-    frontier = Frontier(min(levels_of(table.column("n")[0].as_py()), BLOCK_LEVELS))
+    frontier = Frontier(min(levels_of(table.column("n")[0].as_py()), levels))
     for node in table.column("digest").to_pylist():
         frontier.append(node)
     return table, frontier, frontier.close()
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("pos") / F.lit(BLOCK)).cast("long"))
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"pos div {FANOUT**levels}"))
 
 
-def _block_roots(nodes: DataFrame) -> DataFrame:
+def _block_roots(nodes: DataFrame, levels: int) -> DataFrame:
     """The roots of all blocks, as nodes of the next step: ``tree, pos, digest, n``."""
 
     def root(key: tuple, table: pa.Table) -> pa.Table:
         tree, block = key
-        nodes_above = -(-table.column("n")[0].as_py() // BLOCK)
-        return pa.table({"tree": [tree.as_py()], "pos": [block.as_py()], "digest": [_appended(table)[2]], "n": [nodes_above]})
+        nodes_above = -(-table.column("n")[0].as_py() // FANOUT**levels)
+        return pa.table({"tree": [tree.as_py()], "pos": [block.as_py()], "digest": [_appended(table, levels)[2]], "n": [nodes_above]})
 
-    slim = _blocks(nodes.select("tree", "pos", "digest", "n"))
+    slim = _blocks(nodes.select("tree", "pos", "digest", "n"), levels)
     return slim.groupBy("tree", "block").applyInArrow(root, "tree string, pos long, digest string, n long")
 
 
-def _extended(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _extended(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """The nodes with whole witnesses: inside their block, then as the block's root has it in ``above``."""
     names = [c for c in nodes.columns if c not in ("pos", "n")]
 
     def extend(key: tuple, table: pa.Table, upper: pa.Table) -> pa.Table:
-        table, frontier, _ = _appended(table)
+        table, frontier, _ = _appended(table, levels)
         later = [(step["left"], step["right"]) for step in upper.column("witness")[0].as_py()]
         steps = [step for witness in frontier.witnesses for step in (*witness, *later)]
         length = frontier.levels + len(later)
@@ -139,7 +138,7 @@ def _extended(nodes: DataFrame, above: DataFrame) -> DataFrame:
     kinds = dict(nodes.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "pos long", f"witness {_WITNESS}", "subroot string"])
     met = above.select("tree", F.col("pos").alias("block"), "witness", "subroot")
-    return _blocks(nodes).groupBy("tree", "block").cogroup(met.groupBy("tree", "block")).applyInArrow(extend, schema)
+    return _blocks(nodes, levels).groupBy("tree", "block").cogroup(met.groupBy("tree", "block")).applyInArrow(extend, schema)
 
 
 def _placed(leaves: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -155,23 +154,23 @@ def _placed(leaves: DataFrame, order: Sequence[str]) -> DataFrame:
     return joined.select("tree", "pos", *[c for c in leaves.columns if c != "tree"], "n")
 
 
-def _steps(nodes: DataFrame) -> list[DataFrame]:
+def _steps(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """The nodes, and the block roots of each further step up to one node for each tree."""
     steps = [nodes]
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        steps.append(written(_block_roots(steps[-1]), "blocks"))
-        most = -(-most // BLOCK)
+        steps.append(written(_block_roots(steps[-1], levels), "blocks"))
+        most = -(-most // FANOUT**levels)
     return steps
 
 
-def _descended(steps: list[DataFrame], above: DataFrame) -> DataFrame:
+def _descended(steps: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """Witnesses for the first of the steps, from those of the last: ``above`` has a row for each tree."""
     if len(steps) == 1:
         return steps[0].join(above.select("tree", "pos", "witness", "subroot"), ["tree", "pos"])
     for nodes in steps[-2:0:-1]:
-        above = written(_extended(nodes, above), "witnesses")
-    return _extended(steps[0], above)
+        above = written(_extended(nodes, above, levels), "witnesses")
+    return _extended(steps[0], above, levels)
 
 
 def manifest(
@@ -180,6 +179,7 @@ def manifest(
     order: str = "doc_id",
     group: str = "lang",
     also: dict[str, Column] | None = None,
+    block_levels: int = BLOCK_LEVELS,
 ) -> DataFrame:
     """A witness for every document: ``doc_id`` (the order column), ``leaf, pos, witness, subroot, root`` and what ``also`` adds.
 
@@ -192,16 +192,16 @@ def manifest(
     # An empty name is the null group: it comes before all others, which keep their order in bytes.
     tree = F.coalesce(F.concat(F.lit("+"), F.col(group)), F.lit("")).alias("tree")
     leaves = written(documents.select(tree, *carried, F.monotonically_increasing_id().alias("tie")), "leaves")
-    steps = _steps(_placed(leaves, ["order", "digest", "tie"]))
+    steps = _steps(_placed(leaves, ["order", "digest", "tie"]), block_levels)
     subroots = steps[-1].select(F.lit("").alias("tree"), F.col("tree").alias("order"), "digest")
-    top = _steps(_placed(written(subroots, "subroots"), ["order"]))
+    top = _steps(_placed(written(subroots, "subroots"), ["order"]), block_levels)
     root = top[-1].select("digest").first()
     root = root[0] if root else None
     empty = F.array().cast(_WITNESS)
     summit = spark.range(1).select(F.lit("").alias("tree"), F.lit(0).cast("long").alias("pos"), empty.alias("witness"), F.lit(root).cast("string").alias("subroot"))
-    of_trees = written(_descended(top, summit), "witnesses")
+    of_trees = written(_descended(top, summit, block_levels), "witnesses")
     above = of_trees.select(F.col("order").alias("tree"), F.lit(0).cast("long").alias("pos"), "witness", F.col("digest").alias("subroot"))
-    found = _descended(steps, above)
+    found = _descended(steps, above, block_levels)
     return found.select(
         F.col("order").alias(order), F.col("digest").alias("leaf"), "pos", "witness", "subroot", F.lit(root).cast("string").alias("root"),
         *(F.col(f"also_{name}").alias(name) for name in also),
@@ -218,7 +218,7 @@ def proof_text(witness: Column) -> Column:
     return F.array_join(F.transform(witness, lambda step: F.concat(step["left"], step["right"])), "")
 
 
-def verified_manifest(documents: DataFrame) -> DataFrame:
+def verified_manifest(documents: DataFrame, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """The manifest checked against documents of which some were changed: one row for each document row.
 
     Changed are those whose id has a CRC-32 that 3 divides: their texts lose the capitals A to Z. A null id is not changed.
@@ -227,6 +227,6 @@ def verified_manifest(documents: DataFrame) -> DataFrame:
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     text = F.when(changed, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
     seen = leaf_digest(*(text if f == "text" else F.col(f) for f in FIELDS))
-    made = manifest(documents, also={"seen": seen})
+    made = manifest(documents, also={"seen": seen}, block_levels=block_levels)
     checked = made.withColumns({"proof_sha256": F.sha2(proof_text(F.col("witness")), 256), "folded_root": folded(F.col("seen"), F.col("witness"))})
     return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

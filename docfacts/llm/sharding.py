@@ -106,10 +106,13 @@ def _splitters(records: DataFrame, total: int, rows: int, ranges: int, share: in
         wanted = spark.createDataFrame([(k, DRAWN * pieces / measured[k]["bytes"], DRAWN * pieces / measured[k]["rows"]) for k, pieces in full.items()], "range int, by_byte double, by_row double")
         again = located.join(F.broadcast(wanted), "range")
         found = _sampled(again, F.greatest(F.col("size") * F.col("by_byte"), F.col("by_row")), heavy, turn)
-        inside: dict[int, list[bytes]] = {}
+        inside: dict[int, set[bytes]] = {}
         for place, key in found:
-            inside.setdefault(place, []).append(key)
-        cuts = sorted({*cuts, *(key for keys in inside.values() for key in keys[DRAWN // 2 :: DRAWN])})
+            inside.setdefault(place, set()).add(key)
+        for place, keys in inside.items():
+            step = max(1, round(len(keys) / (full[place] + 1)))
+            cuts.extend(sorted(keys)[step::step])
+        cuts = sorted(set(cuts))
     return cuts, {k: (r["bytes"], r["rows"]) for k, r in measured.items()}
 
 

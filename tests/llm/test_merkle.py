@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 from tools import rows
 
-from docfacts.llm import merkle
 from docfacts.llm.merkle import Frontier, digest, folded, manifest, verified_manifest
 
 
@@ -71,14 +70,12 @@ def table(spark):
     return make
 
 
-def test_equals_one_process(spark, table, monkeypatch):
+def test_equals_one_process(spark, table):
     rows_ = [(i * 3 % 1009, f"Text {i} É", ["en", "de", None, "é", "z"][i % 5 if i % 3 else 0], None if i % 7 == 0 else f"s{i % 4}", i if i % 5 else None) for i in range(700)]
     rows_ += [(5, None, "one", None, None), (6, "", "", "", 0), (None, "No id", "en", "s", 1), (11, "Twice", "en", "s", 5), (11, "Twice", "en", "s", 5), (11, "Thrice", "en", "s", 5), (-4, "Below", "en", "s", 5)]
     assert rows(verified_manifest(table(rows_))) == plain_manifest(rows_)
     # Blocks of one level, so that there are many steps of block roots.
-    monkeypatch.setattr(merkle, "BLOCK_LEVELS", 1)
-    monkeypatch.setattr(merkle, "BLOCK", 8)
-    assert rows(verified_manifest(table(rows_))) == plain_manifest(rows_)
+    assert rows(verified_manifest(table(rows_), block_levels=1)) == plain_manifest(rows_)
 
 
 @pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65, 512, 513, 4096, 4097])
