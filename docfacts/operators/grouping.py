@@ -80,3 +80,24 @@ def spread_positions(rows: DataFrame, by: str, order: Sequence[str], bucket: str
         .withColumn("position", F.col("_offset") + F.col("_inside") - 1)
         .drop("_inside", "_offset")
     )
+
+
+def chains_within(rows: DataFrame, key: str, value: str, tolerance: float, cells: int = 16) -> DataFrame:
+    """Adds ``chain``, the least value of the chain that a value belongs to: neighbours in a chain differ by ``tolerance`` at most.
+
+    ``value`` holds finite doubles, distinct within ``key`` (which is not null). Values are ordered in blocks of ``cells`` tolerances, and a block
+    learns the last value and the last chain before it from one row a block, so no task orders a whole heavy key.
+    """
+    width = tolerance * cells if tolerance > 0 else 1.0
+    cut = rows.withColumn("_block", F.floor(F.col(value) / F.lit(width)))
+    inside = Window.partitionBy(key, "_block").orderBy(value)
+    by_block = Window.partitionBy(key).orderBy("_block")
+    last = cut.groupBy(key, "_block").agg(F.max(value).alias("_last"))
+    carried = last.select(key, "_block", F.lag("_last").over(by_block).alias("_carry"))
+    previous = F.coalesce(F.lag(value).over(inside), F.col("_carry"))
+    begun = cut.join(carried, [key, "_block"]).withColumn("_begin", F.when(previous.isNull() | (F.col(value) - previous > tolerance), F.col(value)))
+    starts = begun.groupBy(key, "_block").agg(F.max("_begin").alias("_start"))
+    before = F.last("_start", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1))
+    so_far = F.last("_begin", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chained = begun.withColumn("_so_far", so_far).join(starts.select(key, "_block", before.alias("_before")), [key, "_block"])
+    return chained.withColumn("chain", F.coalesce("_so_far", "_before")).drop("_block", "_carry", "_begin", "_so_far", "_before")

@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docfacts.operators.grouping import bounded_lists, spread_positions
+from docfacts.functions.matching import matches_within
+from docfacts.operators.grouping import bounded_lists, chains_within, spread_positions
 
 # Label file column of each record field.
 LABEL_COLUMNS = {
@@ -108,7 +109,10 @@ def label_reconcile(
     predictions: DataFrame, labels: DataFrame, paper_id: str = "paper_id", decimals: int = 3
 ) -> DataFrame:
     """Per paper: does the number of materials and do the lattice constants agree with the labels?"""
-    details = reconcile_details(predictions, labels, paper_id, decimals)
+    return _agreement(reconcile_details(predictions, labels, paper_id, decimals), paper_id)
+
+
+def _agreement(details: DataFrame, paper_id: str) -> DataFrame:
     return (
         details.groupBy(paper_id)
         .agg(
@@ -122,3 +126,41 @@ def label_reconcile(
         .withColumn("same_lattice", (F.col("n_match") == F.col("n_label")) & (F.col("n_match") == F.col("n_pred")))
         .withColumn("verdict", F.when(F.col("same_count") & F.col("same_lattice"), "match").otherwise("no match"))
     )
+
+
+#: Half a unit of the third decimal, in which lattice constants are reported.
+TOLERANCE = 5e-4
+
+
+def reconcile_chains(predictions: DataFrame, labels: DataFrame, paper_id: str = "paper_id", tolerance: float = TOLERANCE) -> DataFrame:
+    """Per paper, material and chain of lattice constants: how many rows are predicted, labelled and matched.
+
+    A predicted and a labelled constant match when they differ by ``tolerance`` at most, and each row is used once; of all such matchings the
+    largest counts. Constants farther apart from their neighbours than the tolerance cannot meet, so a material's
+    constants are cut there into chains (``low`` to ``high``), and each is matched by one sweep. Copies of a constant are added up before the
+    shuffle, and no pairs are formed. Rows without a (finite) constant match one another, as in :func:`reconcile_details`.
+    """
+    value = F.col("lattice_constant").cast("double")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value + F.lit(0.0)).alias("v")
+    keys = [F.col(paper_id).alias("paper"), F.col("name"), finite]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sides = predictions.select(*keys, one.alias("p"), none.alias("l")).unionAll(labels.select(*keys, none.alias("p"), one.alias("l")))
+    counted = sides.groupBy("paper", "name", "v").agg(F.sum("p").alias("p"), F.sum("l").alias("l"))
+    named = counted.withColumn("_key", F.to_json(F.struct("paper", "name"), {"ignoreNullFields": "false"}))
+    chains = chains_within(named.where("v is not null"), "_key", "v", tolerance)
+    gathered = chains.groupBy("paper", "name", "chain").agg(
+        F.max("v").alias("high"), F.sum("p").alias("n_pred"), F.sum("l").alias("n_label"), F.sort_array(F.collect_list(F.struct("v", "p", "l"))).alias("_entries")
+    )
+    matched = gathered.select(
+        F.col("paper").alias(paper_id), "name", F.col("chain").alias("low"), "high", "n_pred", "n_label", F.expr(matches_within("_entries", tolerance)).alias("n_match")
+    )
+    bare = counted.where("v is null").select(
+        F.col("paper").alias(paper_id), "name", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
+        F.col("p").alias("n_pred"), F.col("l").alias("n_label"), F.least("p", "l").alias("n_match"),
+    )
+    return matched.unionAll(bare)
+
+
+def label_reconcile_within(predictions: DataFrame, labels: DataFrame, paper_id: str = "paper_id", tolerance: float = TOLERANCE) -> DataFrame:
+    """Per paper: does the number of materials and do the lattice constants agree with the labels, up to a tolerance?"""
+    return _agreement(reconcile_chains(predictions, labels, paper_id, tolerance), paper_id)

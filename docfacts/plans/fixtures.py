@@ -189,6 +189,21 @@ select rec_id, paper_id as Paperid, coalesce(name, 'HEA' || rec_id) as HEAname,
 from ({alloys}) a
 """
 
+# Predicted and labelled lattice constants a few tolerances apart: chains of neighbours, copies, names and constants that are missing.
+NEAR_CONSTANTS = """
+select paper_id, name, side, case when k % 13 = 0 then cast(null as double) else steps / 10000e0 end as lattice_constant
+from (select p_partkey % 97 as paper_id, case when p_partkey % 7 = 0 then cast(null as varchar(9)) else 'HEA' || (p_partkey % 2) end as name,
+    'predicted' as side, p_partkey as k, 30000 + (p_partkey * 7) % 41 * 2 as steps from {part}
+  union all
+  select p_partkey % 97, case when p_partkey % 7 = 0 then cast(null as varchar(9)) else 'HEA' || (p_partkey % 2) end,
+    'labelled', p_partkey + 1, 30000 + (p_partkey * 11) % 41 * 2 + case when p_partkey % 3 = 0 then 1 else 0 end from {part}
+  union all
+  select 1000 + p_partkey, 'edge', 'predicted', 1, 30004 from {part}
+  union all
+  select 1000 + p_partkey, 'edge', 'labelled', 1, case p_partkey % 3 when 0 then 30006 when 1 then 30009 else 30010 end from {part}
+) t
+"""
+
 # Text of each document under three extraction backends; null where a backend failed.
 BACKEND_TEXTS = """
 select doc_id,

@@ -455,6 +455,49 @@ weighed as (
   select m.rec_id, m.source, element, v / total as fraction from by_weight m join sums2 t on t.rec_id = m.rec_id and t.source = m.source
   where total > 0 or (t.unit = 'at' and total <> 0))""" + _every_row("weighed", "fraction", "fraction")
 
+def _chains(tolerance: str) -> str:
+    """Chains of constants and their matches by two pointers, in relation ``chains``."""
+    return f"""
+recursive reported as ({fx.duckdb_sql(fx.NEAR_CONSTANTS)}),
+marked as (
+  select *, case when lattice_constant - lag(lattice_constant) over w <= {tolerance} then 0 else 1 end as begins
+  from reported where lattice_constant is not null window w as (partition by paper_id, name order by lattice_constant)
+),
+numbered as (
+  select *, sum(begins) over (partition by paper_id, name order by lattice_constant rows unbounded preceding) as chain from marked
+),
+lists as (
+  select paper_id, name, chain, min(lattice_constant) as low, max(lattice_constant) as high,
+    coalesce(list(lattice_constant order by lattice_constant) filter (side = 'predicted'), []) as ps,
+    coalesce(list(lattice_constant order by lattice_constant) filter (side = 'labelled'), []) as ls
+  from numbered group by all
+),
+walk as (
+  select *, 1 as i, 1 as j, 0 as met from lists
+  union all
+  select * exclude (i, j, met),
+    case when abs(ps[i] - ls[j]) <= {tolerance} or ps[i] < ls[j] then i + 1 else i end,
+    case when abs(ps[i] - ls[j]) <= {tolerance} or ps[i] >= ls[j] then j + 1 else j end,
+    met + case when abs(ps[i] - ls[j]) <= {tolerance} then 1 else 0 end
+  from walk where i <= len(ps) and j <= len(ls)
+),
+chains as (
+  select paper_id, name, low, high, len(ps) as n_pred, len(ls) as n_label, cast(met as bigint) as n_match
+  from walk where i > len(ps) or j > len(ls)
+  union all
+  select paper_id, name, null, null, count(*) filter (side = 'predicted'), count(*) filter (side = 'labelled'),
+    least(count(*) filter (side = 'predicted'), count(*) filter (side = 'labelled'))
+  from reported where lattice_constant is null group by all
+)"""
+
+
+_CHAINS_AGREE = f"""with {_chains('5e-4')}
+select *, n_label - n_match as n_missed, n_pred - n_match as n_extra, n_pred = n_label as same_count,
+  n_match = n_label and n_match = n_pred as same_lattice,
+  case when n_pred = n_label and n_match = n_label and n_match = n_pred then 'match' else 'no match' end as verdict
+from (select paper_id, cast(sum(n_pred) as bigint) as n_pred, cast(sum(n_label) as bigint) as n_label, cast(sum(n_match) as bigint) as n_match
+  from chains group by paper_id) t"""
+
 ORACLES: dict[str, str] = {
     "text_stats": f"with {_stats()} select * from stats",
     "image_megapixels": f"with {_budget((8.27, 11.69))} select doc_id, pages, round(image_mp, 6) as image_mp, pages_used from sized",
@@ -568,6 +611,8 @@ from part""",
     "mini_batches": f"select * from ({_batches('documents')}) b",
     "batch_feedback": _FEEDBACK,
     "label_reconcile": _RECONCILE,
+    "label_reconcile_tol": _CHAINS_AGREE,
+    "reconcile_chains": f"with {_chains('7e-4')} select * from chains",
     "verdict_scores": _SCORES,
     "scan_docs": _SCAN,
     "classify_docs": f"select doc_id, {_KINDS} as kind, {_KINDS} = 'pdf' as is_pdf from documents",

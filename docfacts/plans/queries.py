@@ -353,6 +353,21 @@ def label_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return labels.label_reconcile(predicted, labelled)
 
 
+def _near_constants(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sides = fx.derived(spark, d, fx.NEAR_CONSTANTS)
+    return sides.where("side = 'predicted'"), sides.where("side = 'labelled'")
+
+
+def label_reconcile_tol(spark: SparkSession, d: str) -> DataFrame:
+    """Labels compared under a tolerance, constants a few tolerances apart."""
+    return labels.label_reconcile_within(*_near_constants(spark, d))
+
+
+def reconcile_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The same, chain by chain, under a wider tolerance."""
+    return labels.reconcile_chains(*_near_constants(spark, d), tolerance=7e-4)
+
+
 def verdict_scores(spark: SparkSession, d: str) -> DataFrame:
     scores = verdicts.verdict_scores(fx.derived(spark, d, fx.VERDICTS))
     return scores.withColumn("good_rate", _places(F.col("good_rate")))
@@ -419,7 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         check_compositions, check_headers, consistency_summary,
         parse_v1, json_candidates, json_candidates_two, json_candidates_pages, light_fix, parse_v2, quarantine,
         flatten_records, confidence_profile, combine_records, combine_all_keys, combine_with_keys, record_keys,
-        prompt_similarity, prompt_log, label_sets, mini_batches, batch_feedback, label_reconcile,
+        prompt_similarity, prompt_log, label_sets, mini_batches, batch_feedback, label_reconcile, label_reconcile_tol, reconcile_chains,
         verdict_scores,
         scan_docs, classify_docs, pending_docs, pair_outputs, request_rows, stream_ingest,
     )
