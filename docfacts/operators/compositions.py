@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docfacts.functions import composition as C
+from docfacts.functions.strict_composition import parse_strict
 
 L1_LIMIT = 0.15
 COSINE_LIMIT = 0.95
@@ -17,12 +18,18 @@ def find_column(df: DataFrame, *spellings: str) -> str | None:
     return next((by_lower[s] for s in spellings if s in by_lower), None)
 
 
-def parse_and_normalize(df: DataFrame, column: str, prefix: str, assume_weight_if_ambiguous: bool = False) -> DataFrame:
+def parse_and_normalize(
+    df: DataFrame, column: str, prefix: str, assume_weight_if_ambiguous: bool = False, strict: bool = False
+) -> DataFrame:
     """Adds ``<prefix>_parsed``, ``<prefix>_unit`` and ``<prefix>_fractions``.
 
-    With ``assume_weight_if_ambiguous`` amounts without a unit that add up to about 100 are weight percent.
+    With ``assume_weight_if_ambiguous`` amounts without a unit that add up to about 100 are weight percent. With ``strict`` a text
+    that is not understood as a whole gives no composition, and ``<prefix>_problems`` lists what was not understood.
     """
-    parsed = df.withColumn("_parsed", F.expr(C.parse_composition(f"`{column}`")))
+    parse = parse_strict if strict else C.parse_composition
+    parsed = df.withColumn("_parsed", F.expr(parse(f"`{column}`")))
+    if strict:
+        parsed = parsed.withColumn(f"{prefix}_problems", F.col("_parsed.problems"))
     return parsed.withColumns(
         {
             f"{prefix}_parsed": F.col("_parsed.amounts"),
@@ -75,12 +82,14 @@ def check_compositions(
     eps: float = EPS,
     decimals: int = 1,
     as_json: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """The whole check: input columns kept, parsed and judged columns appended.
 
     One narrow stage without a shuffle. The name and measured columns are optional, the
     nominal one is required; names match in any case, with blank or underscore.
-    ``as_json=False`` keeps the compositions as maps.
+    ``as_json=False`` keeps the compositions as maps. ``strict`` reads the nominal and the measured composition as a whole or not at all, and
+    appends ``nominal_problems`` and ``measured_problems``.
     """
     nominal = find_column(df, "nominal composition", "nominal_composition")
     if nominal is None:
@@ -88,6 +97,7 @@ def check_compositions(
     name = find_column(df, "name")
     measured = find_column(df, "measured composition", "measured_composition")
     null_text = F.lit(None).cast("string")
+    parse = parse_strict if strict else C.parse_composition
     work = df.withColumns(
         {
             "_name_text": F.col(f"`{name}`") if name else null_text,
@@ -98,8 +108,8 @@ def check_compositions(
     # The two parsed columns and the name are worked on side by side, in few projections.
     work = work.withColumns(
         {
-            "_nominal": F.expr(C.parse_composition("_nominal_text")),
-            "_measured": F.expr(C.parse_composition("_measured_text")),
+            "_nominal": F.expr(parse("_nominal_text")),
+            "_measured": F.expr(parse("_measured_text")),
             "name_fractions": F.expr(C.infer_from_name("_name_text")),
             "_order": F.expr(C.element_order("_name_text")),
         }
@@ -109,8 +119,10 @@ def check_compositions(
             "measured_fractions": F.expr(C.normalize_composition("_measured.amounts", "_measured.unit")),
             "_nominal_amounts": F.col("_nominal.amounts"),
             "_measured_amounts": F.col("_measured.amounts"),
+            **{f"_{side}_problems": F.col(f"_{side}.problems") for side in ("nominal", "measured") if strict},
         }
     )
+    problems = [F.col(f"_{side}_problems").alias(f"{side}_problems") for side in ("nominal", "measured") if strict]
     judged = compare_compositions(work, l1_limit, cosine_limit)
 
     def shown(column: str, name: str) -> Column:
@@ -130,6 +142,7 @@ def check_compositions(
         "consistency_check",
         F.expr(C.name_without_zero("_name_text", "nominal_fractions", "_order", eps)).alias("name_without_zero"),
         F.expr(C.ratio_string("nominal_fractions", "_order", eps, decimals)).alias("cleanned composition"),
+        *problems,
     )
 
 

@@ -60,6 +60,42 @@ select p_partkey as rec_id, case p_partkey % 16
 from (select p_partkey, p_type, cast(p_size as int) as sz from {part}) t
 """
 
+# Spellings for the strict reading, with what comes out, traced by hand: text, amounts as JSON, unit, problems (¦ between them). @ is a number
+# from the table.
+STRICT_SHAPES = [
+    ("Al @ at.% Nb 30 at.%", '{"Al": @.0, "Nb": 30.0}', "at", ""),
+    ("Al=@ wt%", '{"Al": @.0}', "wt", ""),
+    ("Not found", None, None, "Not¦found"),
+    ("Al @ wt%, Nb 30 at%", None, None, "at%"),
+    ("Al:Nb:Ti=1:@:2", '{"Al": 1.0, "Nb": @.0, "Ti": 2.0}', None, ""),
+    ("Al:Nb=1:@:2", None, None, "Al:Nb=1:@:2"),
+    ("AlCo@CrAl", '{"Al": 2.0, "Co": @.0, "Cr": 1.0}', None, ""),
+    ("Al @ at% Nb", None, None, "Nb"),
+    ("(FeCo)@", None, None, "(¦)"),
+    ("Al -@at% Nb 1at%", None, None, "-@¦at%¦Al"),
+    ("Xx @wt% Fe 10wt%", None, None, "Xx¦@¦wt%"),
+    ("Al = @ mol %; Nb：30mol% | Ti – 1e1 MOL%", '{"Al": @.0, "Nb": 30.0, "Ti": 10.0}', "at", ""),
+    ("@Al", None, None, "@"),
+    ("Al= Nb@", None, None, "Al="),
+    ("Al@% Nb.5%", '{"Al": @.0, "Nb": 0.5}', None, ""),
+    ("Al-Co-Cr@", '{"Al": 1.0, "Co": 1.0, "Cr": @.0}', None, ""),
+    ("Fe bal. Cr @ wt.%", None, None, "bal¦.¦Fe"),
+    ("   ", None, None, None),
+    (None, None, None, None),
+]
+
+
+def strict_rows() -> str:
+    """``STRICT_SHAPES`` as a list of SQL values, numbered from 0; null where a column has none."""
+    quoted = lambda v: "cast(null as varchar(200))" if v is None else f"'{v}'"
+    return "values " + ", ".join(f"({i}, {', '.join(map(quoted, shape))})" for i, shape in enumerate(STRICT_SHAPES))
+
+
+STRICT_SPELLINGS = f"""
+select p_partkey as rec_id, replace(spelling, '@', cast(cast(p_size as int) as varchar(12))) as spelling
+from {{part}} p join ({strict_rows().replace("{", "{{").replace("}", "}}")}) as shapes(shape, spelling, amounts, unit, problems) on p_partkey % {len(STRICT_SHAPES)} = shape
+"""
+
 # Model answers: every shape the two parsers treat differently, next to what comes out of them, traced by hand. In
 # all texts ~ is a line end, ^ a backslash, § a single quote, @ a number from the table, ¦ stands between
 # candidates. Columns: answer; first parser: status, branch, value; second parser: candidate (0: none), repaired, value; all candidates.

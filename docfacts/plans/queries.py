@@ -97,6 +97,21 @@ def name_inferred(spark: SparkSession, d: str) -> DataFrame:
     return _long(named, ["rec_id", "source"], "m", "fraction")
 
 
+def parse_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Compositions that are understood as a whole or reported."""
+    done = compositions.parse_and_normalize(fx.derived(spark, d, fx.STRICT_SPELLINGS), "spelling", "c", strict=True)
+    return done.select(
+        "rec_id", "spelling", F.expr(C.sorted_json("c_parsed")).alias("amounts"), F.col("c_unit").alias("unit"),
+        F.array_join("c_problems", "¦").alias("problems"),
+    )
+
+
+def check_strict(spark: SparkSession, d: str) -> DataFrame:
+    """The whole check on compositions that must be understood as a whole."""
+    checked = compositions.check_compositions(_alloys(spark, d), strict=True)
+    return checked.select("rec_id", "consistency_check", *[F.array_join(f"{side}_problems", "¦").alias(f"{side}_problems") for side in ("nominal", "measured")])
+
+
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     work = compositions.parse_and_normalize(_alloys(spark, d), "nominal_composition", "nominal")
     work = compositions.parse_and_normalize(work, "measured_composition", "measured")
@@ -431,7 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_budget_no_rate, token_total_line, normalize_as_weight,
         parse_formula, parse_ratio_form, parse_pairs, parse_composition, normalize_composition,
         weight_to_mole, name_inferred, composition_distance, ratio_string, name_without_zero,
-        check_compositions, check_headers, consistency_summary,
+        check_compositions, check_headers, consistency_summary, parse_strict, check_strict,
         parse_v1, json_candidates, json_candidates_two, json_candidates_pages, light_fix, parse_v2, quarantine,
         flatten_records, confidence_profile, combine_records, combine_all_keys, combine_with_keys, record_keys,
         prompt_similarity, prompt_log, label_sets, mini_batches, batch_feedback, label_reconcile, label_reconcile_tol, reconcile_chains,
