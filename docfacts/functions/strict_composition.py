@@ -23,6 +23,8 @@ SYMBOL = r"[A-Z][a-z]?(?![a-z])"
 TOKEN = rf"{UNIT}|-(?=[.0-9]){NUMBER}|{NUMBER}|{SYMBOL}|\p{{L}}+|[^\s]"
 RATIO = rf"\A{SYMBOL}(?: ?: ?{SYMBOL})+ ?= ?{NUMBER}(?: ?: ?{NUMBER})+\z"
 
+#: Tokens followed before their lists are put aside.
+_CHUNK = 256
 _TEXTS = "cast(array() as array<string>)"
 _NONE = "cast(null as string)"
 _RESULT = "struct<amounts:map<string,double>,unit:string,problems:array<string>>"
@@ -84,8 +86,29 @@ def _read(tokens: str, text: str) -> str:
 
         return let(problems, build)
 
-    last = "named_struct(" + ", ".join(f"'{f}', {settled.get(f, f'{a}.{f}')}" for f in fields) + ")"
-    folded = f"aggregate({tokens}, {start}, ({a}, {x}) -> {step}, {r} -> {r})"
+    # Lists grow by copying, so they are kept for one chunk of tokens at a time; long texts stay linear.
+    lists = ["ks", "vs", "bare", "problems"]
+    o, c, i, q = fresh(), fresh(), fresh(), fresh()
+
+    def after_chunk(f: str) -> str:
+        kept = "named_struct(" + ", ".join(f"'{name}', {f}.{name}" for name in lists) + ")"
+        onward = "named_struct(" + ", ".join(f"'{name}', {f'{o}.s.{name}' if name in lists else f'{f}.{name}'}" for name in fields) + ")"
+        return f"named_struct('s', {onward}, 'parts', array_append({o}.parts, {kept}))"
+
+    def whole(f: str) -> str:
+        gathered = {name: f"flatten(transform({f}.parts, {q} -> {q}.{name}))" for name in lists}
+        return "named_struct(" + ", ".join(f"'{name}', {gathered.get(name, f'{f}.s.{name}')}" for name in fields) + ")"
+
+    kinds = "struct<ks:array<string>,vs:array<double>,bare:array<string>,problems:array<string>>"
+    inner = f"aggregate({c}, {o}.s, ({a}, {x}) -> {step}, {r} -> {r})"
+
+    def chunked(t: str) -> str:
+        chunks = f"transform(sequence(0, (size({t}) - 1) div {_CHUNK}), {i} -> slice({t}, {i} * {_CHUNK} + 1, {_CHUNK}))"
+        outer = f"named_struct('s', {start}, 'parts', cast(array() as array<{kinds}>))"
+        return f"aggregate({chunks}, {outer}, ({o}, {c}) -> {let(inner, after_chunk)}, {r} -> {r})"
+
+    last = "named_struct(" + ", ".join(f"'{name}', {settled.get(name, f'{a}.{name}')}" for name in fields) + ")"
+    folded = let(let(tokens, chunked), whole)
     return let(folded, lambda s: let(last.replace(f"{a}.", f"{s}."), finish))
 
 
