@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docfacts.functions.jsontext import json_kind, strict_json
+from docfacts.session import written
 
 # The record fields and their order.
 TEXT_FIELDS = ["name", "nominal_composition", "measured_composition", "phases", "alloy_condition", "doi"]
@@ -119,6 +120,67 @@ def combine_with_keys(
     return rows.withColumn("_fields", fields).select("Paperid", "pos", *columns)
 
 
+#: What a value's type widens to: the first of these that holds all types of a key.
+_WIDENED = [({"bigint"}, "bigint"), ({"bigint", "double"}, "double"), ({"boolean"}, "boolean")]
+
+
+def merged_schema(records: DataFrame, record: str = "record") -> list[tuple[str, str]]:
+    """Every key of any record with the type that holds all its values, in order of first appearance: one pass, one row a key.
+
+    Whole numbers widen to numbers; texts, nested values (as JSON text) and keys whose types do not fit together are text; a key
+    that is null everywhere is text too. ``records`` has ``Paperid`` and ``pos``.
+    """
+    fields = records.select("Paperid", "pos", F.explode(F.col(record).try_cast("map<string,variant>")).alias("key", "_value"))
+    scalar = F.schema_of_variant("_value")
+    kind = (
+        F.when(scalar == "BIGINT", "bigint")
+        .when(scalar.startswith("DECIMAL") | scalar.isin("DOUBLE", "FLOAT"), "double")
+        .when(scalar == "BOOLEAN", "boolean")
+        .when(scalar != "VOID", "string")
+    )
+    keys = fields.groupBy("key").agg(F.collect_set(kind).alias("kinds"), F.min(F.struct("Paperid", "pos")).alias("first"))
+    rows = sorted(keys.collect(), key=lambda r: ((r["first"]["Paperid"] or "", r["first"]["pos"]), r["key"]))  # the columns of the result
+    return [(r["key"], next((wide for held, wide in _WIDENED if r["kinds"] and set(r["kinds"]) <= held), "string")) for r in rows]
+
+
+def _path_of(key: str) -> str | None:
+    """A path to a key inside a variant; null for a key that no path can name."""
+    quote = next((q for q in "\"'" if q not in key), None)
+    return f"$[{quote}{key}{quote}]" if quote and "\\" not in key and key else None
+
+
+def _column_names(keys: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """Names that differ in more than case: a key that repeats one gets a number."""
+    used, names = {t.lower() for t in taken}, []
+    for key in keys:
+        name, n = key, 2
+        while name.lower() in used:
+            name, n = f"{key}_{n}", n + 1
+        used.add(name.lower())
+        names.append(name)
+    return names
+
+
+def combine_wide(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
+    """The combined table with a typed column for every key that any record has: ``Paperid, pos`` and the union of all keys.
+
+    Each file is parsed once; the records go to a table in the shared folder, from which one pass merges the schema and one projection reads the
+    columns. Gaps are null. A key that differs from another only in case, or from ``Paperid`` and ``pos``, gets a number after it.
+    """
+    rows = written(explode_records(parse_record_files(files, file_name, value), ["Paperid"]), "records")
+    schema = merged_schema(rows)
+    names = _column_names([key for key, _ in schema], ["Paperid", "pos"])
+    lookup = F.col("record").try_cast("map<string,variant>")
+
+    def column(key: str, kind: str) -> Column:
+        path = _path_of(key)
+        if path is not None:
+            return F.try_variant_get("record", path, kind)
+        return F.try_variant_get(F.try_element_at(lookup, F.lit(key)), "$", kind)
+
+    return rows.select("Paperid", "pos", *[column(key, kind).alias(name) for (key, kind), name in zip(schema, names)])
+
+
 def confidence_profile(records: DataFrame, threshold: int = HIGH_CONFIDENCE) -> DataFrame:
     """Per field: records, scored records, high-confidence records and their share."""
     counts = [F.count(F.lit(1)).alias("n")]

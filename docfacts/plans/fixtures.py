@@ -165,6 +165,18 @@ from (select rec_id, '{{"name": ' || coalesce('"' || name || '"', 'null')
   from ({alloys}) a) t
 """
 
+# Record files whose records have different keys, and keys whose values have different types.
+MIXED_FILES = """
+select rec_id, 'paper.' || rec_id || '.json' as file_name,
+  case rec_id % 6 when 5 then obj when 4 then '[' || obj || ', 7, {{"only here": null}}]' else '[' || obj || ', {{}}]' end as value
+from (select rec_id, '{{"whole": ' || rec_id || ', "number": ' || case when rec_id % 2 = 0 then '' || conf else conf || '.25' end
+    || ', "mixed": ' || case rec_id % 3 when 0 then '' || conf when 1 then '"text"' else 'true' end
+    || case when rec_id % 4 = 0 then ', "flag": ' || case when rec_id % 8 = 0 then 'true' else 'null' end else '' end
+    || case when rec_id % 7 = 0 then ', "Name": "upper", "name": "lower", "pos": "p"' else ', "name": "' || paper_id || '"' end
+    || ', "list": [' || conf || ', {{"a": null}}], "a b''c.d": "odd"}}' as obj
+  from ({alloys}) a) t
+"""
+
 # Page sizes; documents of one source have none, so the default size is used for them.
 PAGE_GEOMETRY = """
 select doc_id, page_no,

@@ -625,6 +625,17 @@ from part""",
     "label_sets": _LABEL_SETS,
     "mini_batches": f"select * from ({_batches('documents')}) b",
     "batch_feedback": _FEEDBACK,
+    "combine_wide": f"""with files as ({fx.duckdb_sql(fx.MIXED_FILES)}),
+records as (
+  select 'paper.' || rec_id as Paperid, cast(0 as int) as pos, json(value)->0 as r
+  from files where rec_id % 6 <> 5
+  union all select 'paper.' || rec_id, 1, json(value)->1 from files where rec_id % 6 <> 5
+  union all select 'paper.' || rec_id, 2, json(value)->2 from files where rec_id % 6 = 4
+)
+select Paperid, pos, cast(r->>'whole' as bigint) as whole, cast(r->>'number' as double) as number, r->>'mixed' as mixed,
+  cast(r->>'flag' as boolean) as flag, r->>'$."Name"' as "Name", r->>'$."name"' as name_2, r->>'pos' as pos_2,
+  cast(r->'list' as varchar) as list, r->>'$."a b''c.d"' as "a b'c.d", r->>'$."only here"' as "only here"
+from records""",
     "parse_strict": _STRICT,
     "check_strict": _CHECK_STRICT,
     "label_reconcile": _RECONCILE,

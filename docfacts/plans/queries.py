@@ -234,6 +234,11 @@ def combine_with_keys(spark: SparkSession, d: str) -> DataFrame:
     return records.combine_with_keys(fx.derived(spark, d, fx.RECORD_FILES), keys)
 
 
+def combine_wide(spark: SparkSession, d: str) -> DataFrame:
+    """All keys of all records as typed columns."""
+    return records.combine_wide(fx.derived(spark, d, fx.MIXED_FILES))
+
+
 def record_keys(spark: SparkSession, d: str) -> DataFrame:
     return records.record_keys(fx.derived(spark, d, fx.RECORD_FILES))
 
@@ -448,7 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         weight_to_mole, name_inferred, composition_distance, ratio_string, name_without_zero,
         check_compositions, check_headers, consistency_summary, parse_strict, check_strict,
         parse_v1, json_candidates, json_candidates_two, json_candidates_pages, light_fix, parse_v2, quarantine,
-        flatten_records, confidence_profile, combine_records, combine_all_keys, combine_with_keys, record_keys,
+        flatten_records, confidence_profile, combine_records, combine_all_keys, combine_with_keys, combine_wide, record_keys,
         prompt_similarity, prompt_log, label_sets, mini_batches, batch_feedback, label_reconcile, label_reconcile_tol, reconcile_chains,
         verdict_scores,
         scan_docs, classify_docs, pending_docs, pair_outputs, request_rows, stream_ingest,

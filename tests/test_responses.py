@@ -166,3 +166,34 @@ def test_records(spark):
     assert flat.count() == 4 and flat.where("lattice_text is not null").count() == 1
     profile = {r.field: (r.n_records, r.n_scored, r.n_high) for r in records.confidence_profile(flat).collect()}
     assert profile["name"] == (4, 2, 2) and profile["doi"] == (4, 0, 0)
+
+
+def _record_files(spark, values):
+    return spark.createDataFrame([(f"f{i}.json", v) for i, v in enumerate(values)], "file_name string, value string").repartition(3)
+
+
+def test_wide_table_has_all_keys_and_types(spark):
+    many = "{" + ", ".join(f'"k{i}": {i}' for i in range(600)) + "}"
+    wide = records.combine_wide(
+        _record_files(
+            spark,
+            [
+                '[{"n": 1, "x": 1, "s": "a", "b": true, "nul": null}, {"n": 2.5, "x": "one", "b": false}]',
+                '[{"n": 1e300, "x": [1, {"y": null}], "N": "other case", "Paperid": "own", "a.b": 1, "q\\"": 2, "it\'s": 3, "\'\\"": 4}]',
+                f"[{many}]", '{"not": "a list"}', "[1, null, []]", "[broken", "[]",
+            ],
+        )
+    )
+    kinds = dict(wide.dtypes)
+    assert (kinds["n"], kinds["x"], kinds["s"], kinds["b"], kinds["nul"], kinds["a.b"], kinds["k599"]) == ("double", "string", "string", "boolean", "string", "bigint", "bigint")
+    assert len(wide.columns) == 2 + 5 + 6 + 600 and "not" not in kinds
+    rows_ = {(r.Paperid, r.pos): r.asDict() for r in wide.collect()}
+    assert [rows_["f0", 0][c] for c in ("n", "x", "s", "b", "nul")] == [1.0, "1", "a", True, None] and rows_["f0", 1]["x"] == "one"
+    got = rows_["f1", 0]
+    assert (got["n"], got["x"], got["N_2"], got["Paperid_2"], got["a.b"], got['q"'], got["it's"], got["'\""]) == (1e300, '[1,{"y":null}]', "other case", "own", 1, 2, 3, 4)
+    assert rows_["f2", 0]["k599"] == 599 and len(rows_) == 7 and set(rows_["f4", 1].values()) == {"f4", 1, None}
+
+
+def test_wide_table_of_nothing(spark):
+    assert records.combine_wide(_record_files(spark, ["oops"])).collect() == []
+    assert records.combine_wide(_record_files(spark, ["[{}]"])).columns == ["Paperid", "pos"]
