@@ -40,5 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == sign:
             break
         sign = now
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     tops = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)

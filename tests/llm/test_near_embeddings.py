@@ -4,6 +4,9 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 from tools import rows
 
 from docfacts.llm.near_embeddings import nearest_cells, near_duplicates
@@ -66,3 +69,42 @@ def test_cells_come_in_order():
     bounds = [first[i] + second[j] for i, j in visited]
     assert bounds == sorted(bounds)
     assert set(visited) == {(i, j) for i in range(3) for j in range(2) if first[i] + second[j] <= 0.5}
+
+
+def spanned(n: int, span: int, size: int = 64, seed: int = 0) -> np.ndarray:
+    """Vectors of ``size`` numbers that lie in a space of ``span`` dimensions, in single precision."""
+    rng = np.random.default_rng(seed)
+    basis = np.linalg.qr(rng.normal(size=(size, span)))[0]
+    return (rng.normal(size=(n, span)) @ basis.T).astype(np.float32)
+
+
+def partner_counts(vectors: np.ndarray) -> np.ndarray:
+    unit = vectors.astype(np.float64)
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    return np.concatenate([(unit[a : a + 1000] @ unit.T >= 0.95).sum(1) - 1 for a in range(0, len(unit), 1000)])
+
+
+def found_counts(spark, vectors: np.ndarray, **options) -> np.ndarray:
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(vectors)), "embedding": vectors.tolist()}), "vec_id long, embedding array<float>").repartition(4)
+    return near_duplicates(frame, **options).select("vec_id", "n_links").toPandas().sort_values("vec_id")["n_links"].to_numpy()
+
+
+@pytest.mark.parametrize("span", [3, 4, 8, 64])
+def test_recall_on_data_of_low_span(spark, span):
+    vectors = spanned(5_000, span)
+    true, found = partner_counts(vectors), found_counts(spark, vectors)
+    assert (found <= true).all() and found.sum() >= 0.995 * true.sum()
+
+
+def test_exact_way(spark):
+    vectors = spanned(3_000, 4, seed=1)
+    assert (found_counts(spark, vectors, target_recall=1) == partner_counts(vectors)).all()
+
+
+def test_many_equal_vectors_are_one(spark):
+    """Linear work: 60,000 copies and a near one would be billions of pairs."""
+    same = F.array(*[F.lit(float(x)).cast("float") for x in range(1, 9)])
+    near = F.array(*[F.lit(x + 0.01).cast("float") for x in range(1, 9)])
+    frame = spark.range(60_001).select(F.col("id").alias("vec_id"), F.when(F.col("id") == 17, near).otherwise(same).alias("embedding"))
+    groups = near_duplicates(frame).groupBy("n_links", "component_id", "kept").count()
+    assert rows(groups) == [(60_000, 0, False, 60_000), (60_000, 0, True, 1)]
