@@ -20,6 +20,8 @@ is a fragment, and their number follows the session's shuffle partitions.
 Defined cases: a null or blank text has no n-gram, is linked with nothing and is its own component; a text with fewer words than
 ``WORDS`` is one n-gram; a null id never links and has a null component; rows with equal id but different texts are documents of
 their own, one row is returned for each; other columns are ignored; an empty table gives an empty result.
+
+N-grams are told apart by hashes of 48 bits and their fragment, sets by 128 bits; equality is equality of hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docfacts.llm.common import joined_bytes, lower_ascii, mix, partitions, rolling, slices, thrifty, thrifty_group, words_of, written
+from docfacts.llm.common import joined_bytes, lower_ascii, mix, partitions, slices, thrifty, thrifty_group, word_hashes, words_of, written
 from docfacts.llm.graph import components
 
 WORDS = 5
@@ -49,9 +51,8 @@ _DIGESTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344)]
 def ngram_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of the distinct n-grams of each text, sorted by both."""
     data, offsets = joined_bytes(texts)
-    powers = rolling()
     starts, ends, first = words_of(data, offsets)
-    word = mix(powers.ranges(powers.sums(lower_ascii(data)), starts, ends))
+    word = word_hashes(lower_ascii(data), starts, ends)
     sizes = np.diff(first)
     text = np.repeat(np.arange(len(sizes)), sizes)
     position = np.arange(len(word)) - first[text]
@@ -257,7 +258,7 @@ def _cross_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
     first, by the best that a strong member of one and any member of the other could reach at an n-gram; only where that is
     enough are the members themselves paired. So an n-gram of a large group costs its components, not its pairs.
     """
-    named = rare.join(labels, rare["u.rep"] == labels["node"], "left").select("gram", "u", "n", "room", F.coalesce("component", F.col("u.rep")).alias("label"))
+    named = rare.join(labels, rare["u.d1"] == labels["node"], "left").select("gram", "u", "n", "room", F.coalesce("component", F.col("u.d1")).alias("label"))
     named = written(named, "rare")
     several = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
     mixed = written(named.join(several, "gram"), "mixed")
@@ -281,8 +282,8 @@ def _cross_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
     return met.where(fits).select(F.least("u", "o_u").alias("a"), F.greatest("u", "o_u").alias("b")).distinct()
 
 
-def linked_components(documents: DataFrame) -> DataFrame:
-    """For each document the size of its set and the smallest id that its links reach: ``doc_id, n_shingles, component_id``."""
+def _named_sets(documents: DataFrame) -> DataFrame:
+    """For each document row its set (``n, d1, d2``), the smallest id of its class and of its component."""
     spark = documents.sparkSession
     fragments = min(partitions(spark), MOST_FRAGMENTS)
     sets = written(describe_sets(documents), "sets")
@@ -292,17 +293,52 @@ def linked_components(documents: DataFrame) -> DataFrame:
     # The overlap of two sets is at most what follows their first common n-gram, and what each shares at all.
     rare = units.select("u", "n", F.size("grams").alias("shared"), F.posexplode(F.slice("grams", 1, F.col("rare"))).alias("at", "gram")).select("gram", "u", "n", (F.col("shared") - F.col("at")).alias("room"))
     first = written(_verified(_star_pairs(rare), units), "links")
-    reps = lambda links: links.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    labels = written(components(reps(first)), "labels")
+    # Classes are nodes by their digest, so that two with one smallest id stay apart.
+    nodes = lambda links: links.select(F.col("a.d1").alias("a"), F.col("b.d1").alias("b"))
+    labels = written(components(nodes(first)), "labels")
     second = _verified(written(_cross_pairs(rare, labels), "pairs"), units)
-    final = components(reps(first).union(reps(second)))
-    named = classes.join(final, classes["rep"] == final["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    joined = sets.join(named, ["d1", "d2"], "left")
+    final = written(components(nodes(first).union(nodes(second))), "components")
+    linked = classes.join(final, classes["d1"] == final["node"]).select("d1", "d2", "rep", F.col("component").alias("label"))
+    smallest = linked.groupBy("label").agg(F.min("rep").alias("component"))
+    reached = linked.join(smallest, "label").select("d1", "d2", "component")
+    named = classes.join(reached, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    return sets.join(named, ["d1", "d2"], "left")
+
+
+def linked_components(documents: DataFrame) -> DataFrame:
+    """For each document the size of its set and the smallest id that its links reach: ``doc_id, n_shingles, component_id``."""
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _named_sets(documents).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def without_near_copies(documents: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, all columns kept; null ids stay."""
-    copies = linked_components(documents).where("component_id < doc_id").select("doc_id").distinct()
-    return documents.join(written(copies, "copies"), "doc_id", "left_anti").select(*documents.columns)
+    """One document of each component, that with the smallest id, all columns kept.
+
+    Texts without words and rows with a null id stay, all of them. Other rows are told apart by id and set: of rows with one id and different texts each is
+    kept or goes by its own links, and of rows with one id and one set the first stays.
+    """
+    named = written(_named_sets(documents), "named")
+    kept = named.where("n > 0 and doc_id is not null and component >= doc_id").select("doc_id", "d1", "d2").distinct()
+    going = named.where("n > 0 and doc_id is not null and component < doc_id").select("doc_id").distinct()
+    # Ids with more than one row that have words are looked at row by row; for all others the id decides.
+    several = written(named.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "several")
+    simple = documents.join(written(going.union(several).distinct(), "going"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+    columns = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "doc_id", "text")
+    mixed = written(columns.join(several, "doc_id", "left_semi"), "mixed")
+    described = _with_sets(mixed)
+    blank = described.where("n = 0").select("row.*")
+    chosen = described.where("n > 0").join(kept, ["doc_id", "d1", "d2"], "left_semi").groupBy("doc_id", "d1", "d2").agg(F.first("row").alias("row")).select("row.*")
+    return simple.unionAll(blank.select(*simple.columns)).unionAll(chosen.select(*simple.columns))
+
+
+def _with_sets(rows: DataFrame) -> DataFrame:
+    """``rows`` (``row, doc_id, text``) with the size and digests of their sets in place of the text."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            text, grams = ngram_sets(batch.column("text"))
+            n, (d1, d2) = _digests(text, grams, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2)], ["row", "doc_id", "n", "d1", "d2"])
+
+    kind = dict(rows.dtypes)["row"]
+    return rows.mapInArrow(thrifty(describe), f"row {kind}, doc_id long, n long, d1 long, d2 long")

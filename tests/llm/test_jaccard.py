@@ -4,12 +4,14 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tools import rows
 
 from docfacts.llm import jaccard
+from docfacts.llm.common import word_hashes
 from docfacts.llm.graph import components
 
 
@@ -76,6 +78,42 @@ def test_one_of_each_group_stays(spark, documents):
     assert rows(jaccard.without_near_copies(documents(data)), "doc_id") == [(1,), (2,), (8,)]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, documents):
+    words = [f"w{k}" for k in range(100)]
+    near, clean = " ".join([*words[:-1], "z"]), "a clean text of its own with words"
+    data = [(1, " ".join(words)), (4, near), (4, clean), (4, None), (6, "some other words that nobody else has here"), (6, "some other words that nobody else has here"), (7, near), (None, near), (None, near), (None, None)]
+    # 4's clean text stays although another row of this id is a near copy; of repeated rows one stays.
+    left = documents(data).withColumns({"row": F.lit(1), "n": F.lit(2), "component": F.lit(3), "d1": F.lit(4)})
+    kept = jaccard.without_near_copies(left)
+    assert kept.columns == left.columns
+    assert rows(kept, "doc_id", "text") == sorted([(1, " ".join(words)), (4, clean), (4, None), (6, "some other words that nobody else has here"), (None, near), (None, near), (None, None)], key=repr)
+    assert (4, 4) in rows(jaccard.linked_components(documents(data)), "doc_id", "component_id")
+    assert jaccard.without_near_copies(left.where("false")).collect() == []
+
+
+def test_regular_words_are_told_apart(spark, documents):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever the base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    short = [one[:n] for n in (64, 128, 255, 256, 257)] + [two[:n] for n in (64, 128, 255, 256, 257)]
+    data = [(k, t) for k, t in enumerate([one, two, *short])]
+    assert rows(jaccard.linked_components(documents(data))) == sorted(((k, 1, k) for k in range(12)), key=repr)
+
+
+def test_word_hashes_depend_on_every_byte():
+    rng = random.Random(1)
+    seen: dict = {}
+    words = {rng.randbytes(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 64, 255, 256, 257, 1000])) for _ in range(2_000)}
+    words |= {b"\0" * n for n in range(1, 40)} | {w[:-1] + bytes([w[-1] ^ 1]) for w in list(words)[:500]}
+    words = sorted(words)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    hashes = word_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(np.unique(hashes)) == len(words)
+    again = word_hashes(np.frombuffer(b"xx" + words[7] + b"yyyyyyyyy", np.uint8), np.array([2]), np.array([2 + len(words[7])]))
+    assert again[0] == hashes[7]
+
+
 def test_very_long_text(spark, documents):
     long = " ".join(f"w{k}" for k in range(60_000))
     found = rows(jaccard.linked_components(documents([(1, long), (2, long + " more"), (3, "w1 w2 w3 w4 w5")])))
