@@ -22,9 +22,33 @@ REPAIRS = [
 NO_TEXTS = "cast(array() as array<string>)"
 
 
-def strict_json(text: str) -> str:
+# The number words that JSON lacks but some writers use; a minus sign only before Infinity.
+NON_FINITE = r"(?<![A-Za-z0-9_.$+-])(NaN|-?Infinity)(?![A-Za-z0-9_.$])"
+NON_FINITE_KEY = "$numberDouble"
+
+
+def marked_non_finite(text: str) -> str:
+    """``NaN``, ``Infinity`` and ``-Infinity`` as values become objects like ``{"$numberDouble": "NaN"}``; inside of strings nothing changes.
+
+    The text is cut into strings and what lies between them, so a string that holds these words is kept apart from the number.
+    """
+    pieces = literal(r'''"(?:[^"\\]|\\.)*+"?|[^"]++''')
+    marked = literal('{"' + NON_FINITE_KEY.replace("$", "\\$") + '":"$1"}')
+
+    def rewrite(t: str) -> str:
+        each_piece = each(
+            f"regexp_extract_all({t}, {pieces}, 0)", lambda p: f"if(startswith({p}, '\"'), {p}, regexp_replace({p}, {literal(NON_FINITE)}, {marked}))"
+        )
+        return f"if(contains({t}, 'NaN') or contains({t}, 'Infinity'), array_join({each_piece}, ''), {t})"
+
+    return let(text, rewrite)
+
+
+def strict_json(text: str, non_finite: bool = False) -> str:
     """VARIANT of a text that is one JSON value and nothing else, otherwise null.
 
+    With ``non_finite`` the numbers ``NaN`` and ``Infinity`` are taken, see :func:`marked_non_finite`.
+
     ``try_parse_json`` accepts text after the value, so the text is parsed as the first of exactly
     two array entries. The second is the text's own digest, which no text holds.
     """
@@ -39,7 +63,7 @@ def strict_json(text: str) -> str:
 
         return let(f"md5(cast({t} as binary))", probe)
 
-    return let(text, whole)
+    return let(marked_non_finite(text) if non_finite else text, whole)
 
 
 def json_kind(value: str) -> str:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docfacts.operators.grouping import with_position
+
 # Leading bytes of the supported file kinds, in the order they are tested.
 SIGNATURES = {"jpeg": "FFD8FF", "png": "89504E47", "pdf": "255044462D"}
 
@@ -33,6 +35,11 @@ def all_pdfs(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.where(is_pdf).select(F.col(path).alias("path")).distinct()
 
 
+def sorted_pdfs(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The paths of :func:`all_pdfs` with their ``position`` in text order."""
+    return with_position(all_pdfs(paths, path), ["path"])
+
+
 def both_scans(paths: DataFrame, folder: str, path: str = "path") -> DataFrame:
     """The rows of :func:`flat_pdfs` and :func:`all_pdfs` from one pass, told apart by ``scan`` (flat, recursive)."""
     counted = paths.where(F.endswith(F.lower(F.col(path)), F.lit(".pdf"))).groupBy(F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("_n"))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docfacts.session import written
+
 
 def bounded_lists(
     rows: DataFrame, key: str, order: str, item: Column, list_size: int = 10_000, block: int = 65_536
@@ -82,6 +84,23 @@ def spread_positions(rows: DataFrame, by: str, order: Sequence[str], bucket: str
     )
 
 
+def with_position(rows: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Adds the 0-based place in the order of all rows, as a column.
+
+    Rows are range-partitioned and sorted once, into a table in the shared folder; a place is the place in its part and the rows of the parts
+    before it (one number for each part). End ``order`` with what tells rows apart, so that no value fills a part.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = written(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ranked")
+    parts = sorted(held.groupBy("_part").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_part"])
+    shifts, before = [], 0
+    for part in parts:
+        shifts.append((part["_part"], before - part["first"]))
+        before += part["n"]
+    by_part = F.broadcast(rows.sparkSession.createDataFrame(shifts, "_part int, _shift long"))  # one row for each part
+    return held.join(by_part, "_part").withColumn(name, F.col("_row") + F.col("_shift")).select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
 def chains_within(rows: DataFrame, key: str, value: str, tolerance: float, cells: int = 16) -> DataFrame:
     """Adds ``chain``, the least value of the chain that a value belongs to: neighbours in a chain differ by ``tolerance`` at most.
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from docfacts.functions.text import prompt_terms
 from docfacts.operators.grouping import previous_in_group
 
-# Fixed value: one step of a run's log.
+# The first line of a step of a run's log, and a step.
+LOG_BEGIN = r"Training step \d+\. Epoch \d+:"
 LOG_STEP = (
     r"(?s)Training step (\d+)\. Epoch (\d+):[^\n\[]*\[([\d:]+)[^,\n]*,\s*([\d.]+)s/it\][^\n]*\n"
     r"(.*?)\n?TF-IDF Cosine Similarity: (-?[\d.]+)"

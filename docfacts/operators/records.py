@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docfacts.functions.jsontext import json_kind, strict_json
+from docfacts.functions.jsontext import NON_FINITE_KEY, json_kind, strict_json
+from docfacts.operators.grouping import with_position
 from docfacts.session import written
 
 # The record fields and their order.
@@ -29,7 +30,8 @@ def record_columns(record: Column, placeholder: str | None = None) -> list[Colum
     columns = []
     for field in FIELDS:
         if field == "lattice_constant":
-            columns.append(F.try_variant_get(record, "$.lattice_constant", "double").alias(field))
+            marked = F.try_variant_get(record, f"$.lattice_constant['{NON_FINITE_KEY}']", "double")
+            columns.append(F.coalesce(F.try_variant_get(record, "$.lattice_constant", "double"), marked).alias(field))
             columns.append(text(field).alias("lattice_text"))
         else:
             columns.append(text(field).alias(field))
@@ -77,12 +79,17 @@ def parse_record_files(files: DataFrame, file_name: str = "file_name", value: st
 def combine_records(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
     """All records of all list files in one table.
 
-    In no order, so that each file is parsed once; :func:`docfacts.sources.sinks.write_combined` writes it sorted.
+    In no order; :func:`sorted_records` numbers the rows, :func:`docfacts.sources.sinks.write_combined` writes them sorted.
     """
     rows = explode_records(parse_record_files(files, file_name, value), ["Paperid"])
     return rows.select("Paperid", "pos", *record_columns(F.col("record")))
 
 
+def sorted_records(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
+    """The combined table with ``position``, the place by ``Paperid`` and place in the file. Each file is parsed once."""
+    return with_position(combine_records(files, file_name, value), ["Paperid", "pos"])
+
+
 def file_issues(files: DataFrame, file_name: str = "file_name", value: str = "value") -> DataFrame:
     """Files left out of the combined table, with reason and whole content."""
     return (

@@ -71,7 +71,7 @@ def candidate_rows(
     )
 
 
-def _first_success(candidates: str, tried_before: str) -> str:
+def _first_success(candidates: str, tried_before: str, non_finite: bool = False) -> str:
     """The first candidate that parses, strict or else repaired, with its number; null if none does.
 
     A fold: once something is found, later candidates are not looked at.
@@ -83,26 +83,27 @@ def _first_success(candidates: str, tried_before: str) -> str:
         return f"cast(named_struct('candidate_no', {x}.i + 1 + {tried_before}, 'repaired', {repaired}, 'json', {value}) as {hit})"
 
     def strict_or_fixed(v: str) -> str:
-        fixed = let(strict_json(light_fix(f"{x}.c")), lambda w: f"if({w} is not null, {outcome(w, 'true')}, null)")
+        fixed = let(strict_json(light_fix(f"{x}.c"), non_finite), lambda w: f"if({w} is not null, {outcome(w, 'true')}, null)")
         return f"if({v} is not null, {outcome(v, 'false')}, {fixed})"
 
     numbered = f"transform({candidates}, ({c}, {i}) -> named_struct('c', {c}, 'i', {i}))"
-    attempt = let(strict_json(f"{x}.c"), strict_or_fixed)
+    attempt = let(strict_json(f"{x}.c", non_finite), strict_or_fixed)
     return f"aggregate({numbered}, cast(null as {hit}), ({a}, {x}) -> if({a} is not null, {a}, {attempt}))"
 
 
-def parse_v2(responses: DataFrame, text: str = "response", max_items: int | None = None) -> DataFrame:
+def parse_v2(responses: DataFrame, text: str = "response", max_items: int | None = None, non_finite: bool = False) -> DataFrame:
     """First candidate that parses, as it is or after a light repair, wins.
 
     Adds ``status`` (ok, raw), ``candidate_no``, ``repaired`` and ``json`` (VARIANT). The bracket
-    scan runs only for answers whose fenced blocks gave nothing.
+    scan runs only for answers whose fenced blocks gave nothing. With ``non_finite`` bare ``NaN`` and ``Infinity`` are taken as
+    numbers; they appear as objects like ``{"$numberDouble": "NaN"}``, which typed columns read as doubles.
     """
 
     def then_scan(hit: str) -> str:
-        scanned = let(bracket_candidates(text, max_items), lambda c: _first_success(c, "size(_fenced)"))
+        scanned = let(bracket_candidates(text, max_items), lambda c: _first_success(c, "size(_fenced)", non_finite))
         return f"if({hit} is not null or {text} is null, {hit}, {scanned})"
 
-    found = let(_first_success("_fenced", "0"), then_scan)
+    found = let(_first_success("_fenced", "0", non_finite), then_scan)
     # One row in, one row out: the generator keeps a later filter from repeating the parse.
     return (
         responses.withColumn("_fenced", F.expr(fenced_candidates(text)))

@@ -513,6 +513,9 @@ select *, n_label - n_match as n_missed, n_pred - n_match as n_extra, n_pred = n
 from (select paper_id, cast(sum(n_pred) as bigint) as n_pred, cast(sum(n_label) as bigint) as n_label, cast(sum(n_match) as bigint) as n_match
   from chains group by paper_id) t"""
 
+_NON_FINITE = f"""select p_partkey as doc_id, {fx.filled_in("v2_json")} as json, {fx.filled_in("lattice")} as lattice
+from part join ({fx.non_finite_rows()}) as shapes(shape, template, v2_json, lattice) on p_partkey % {len(fx.NON_FINITE_SHAPES)} = shape"""
+
 ORACLES: dict[str, str] = {
     "text_stats": f"with {_stats()} select * from stats",
     "image_megapixels": f"with {_budget((8.27, 11.69))} select doc_id, pages, round(image_mp, 6) as image_mp, pages_used from sized",
@@ -664,4 +667,22 @@ select s.*, round(coalesce(mp, 500.0e0 * 700.0e0 / 1e6 * greatest(pages, 1)), 6)
 from stats s left join measured using (doc_id)""",
     "token_total_line": _TOTAL_LINE,
     "normalize_as_weight": _AS_WEIGHT,
+    "sorted_pdfs": f"""with paths as ({_PATHS})
+select path, row_number() over (order by path) - 1 as position from (select distinct path from paths where lower(path) like '%.pdf') t""",
+    "scan_folders": """select 'flat' as scan, '%PDF-' || s_suppkey as found, cast(1 as bigint) as n, true as good from supplier
+union all select 'recursive', cast(s_nationkey as varchar), count(*), true from supplier group by all""",
+    "record_folder": f"""select 'not_a_list' as issue, cast(0 as int) as pos, name, 3 + lattice_milli / 1000e0 as lattice_constant, cast(paper_id as varchar) as doi
+from ({_ALLOYS}) a qualify row_number() over (partition by paper_id order by rec_id) = 1""",
+    "outcomes_written": f"""with {_OUTCOMES}
+select doc_id, json, case when candidate_no is null then response end as raw, case when candidate_no is null then 'raw' else 'ok' end as kind
+from outcomes, range(2)""",
+    "csv_split": f"""select id, case when remark in ('', 'NA', 'None') then null else remark end as remark, cast(size as bigint) as size,
+  cast(nullif(amount, 'nan') as double) as amount from ({fx.duckdb_sql(fx.TABLE_CELLS)}) t""",
+    "verdicts_written": f"select doc_id, verdict_text, 2 * count(*) as n, cast(2 as bigint) as runs from ({_VERDICTS}) v group by all",
+    "parse_v2_non_finite": _NON_FINITE,
 }
+
+ORACLES["sorted_records"] = f"select *, row_number() over (order by Paperid, pos) - 1 as position from ({ORACLES['combine_records']}) c"
+ORACLES["csv_written"] = ORACLES["combine_records"]
+ORACLES["prompt_log_files"] = f"""select * exclude (log_id) replace (cast(row_number() over (order by log_id, version) as int) as version)
+from ({ORACLES['prompt_log']}) l"""

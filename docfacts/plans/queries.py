@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docfacts.functions import composition as C
 from docfacts.functions.jsontext import json_kind, json_size, light_fix as fix_json
@@ -12,6 +12,7 @@ from docfacts.functions.sql import each_value, let
 from docfacts.operators import compositions, documents, labels, prompts, records, requests, responses, text_budget, verdicts
 from docfacts.plans import fixtures as fx
 from docfacts.session import work_folder
+from docfacts.sources import files, sinks
 from docfacts.streaming import ingest
 
 PROMPT = "Read the PDF file and extract the alloys."
@@ -443,6 +444,97 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return ingest.read_outcomes(spark, outcomes).select("doc_id", "status", "candidate_no", "repaired", "json", "raw")
 
 
+# ---- positions, readers and writers: tables written to the shared folder and read back ----
+
+def sorted_records(spark: SparkSession, d: str) -> DataFrame:
+    return records.sorted_records(fx.derived(spark, d, fx.RECORD_FILES))
+
+
+def sorted_pdfs(spark: SparkSession, d: str) -> DataFrame:
+    return documents.sorted_pdfs(fx.derived(spark, d, fx.PATHS))
+
+
+def scan_folders(spark: SparkSession, d: str) -> DataFrame:
+    """A folder with a PDF for each supplier, and more files in it and below it, scanned flat; folders by nation, scanned at any depth, named twice."""
+    folder, nations = work_folder(spark, "pdfs"), work_folder(spark, "nations")
+    suppliers = fx.table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.format_string("%%PDF-%d", "s_suppkey").alias("line"))
+    flat, deep = suppliers.select("line"), suppliers.select("line", F.col("s_nationkey").alias("nation"))
+    flat.write.option("extension", "pdf").option("maxRecordsPerFile", 1).csv(folder)
+    flat.write.mode("append").text(folder)
+    flat.write.option("extension", "pdf").csv(f"{folder}/below")
+    deep.write.option("extension", "PDF").option("maxRecordsPerFile", 1).partitionBy("nation").csv(nations)
+    top = files.scan_pdfs(spark, folder).where("length > 0").select(
+        F.lit("flat").alias("scan"), F.btrim(F.col("content").cast("string"), F.lit("\n")).alias("found"),
+        F.lit(1).cast("long").alias("n"), F.startswith(F.substring_index("path", "/", -1), F.concat("doc_id", F.lit("."))).alias("good"),
+    )
+    below = files.scan_pdfs_recursive(spark, [nations, nations])
+    place = F.row_number().over(Window.orderBy("path")) - 1
+    by_nation = below.withColumn("good", F.col("position") == place).groupBy(F.regexp_extract("path", r"nation=(\d+)", 1).alias("found"))
+    return top.unionAll(by_nation.agg(F.count(F.lit(1)).alias("n"), F.bool_and("good").alias("good")).select(F.lit("recursive"), "found", "n", "good"))
+
+
+def record_folder(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON file for each paper, its first record, read as record files."""
+    folder = work_folder(spark, "records")
+    lattice = (F.lit(3) + F.col("lattice_milli") / 1000).alias("lattice_constant")
+    first = _alloys(spark, d).groupBy("paper_id").agg(F.min(F.struct("rec_id", "name", lattice, F.col("paper_id").cast("string").alias("doi"))).alias("r"))
+    first.select("r.name", "r.lattice_constant", "r.doi").write.option("maxRecordsPerFile", 1).json(folder)
+    read = files.read_record_files(spark, folder).where("value <> ''")
+    parsed = records.parse_record_files(read)
+    rows = records.flatten_records(parsed, "issue", accept_object=True)
+    return rows.select("issue", "pos", "name", "lattice_constant", "doi")
+
+
+def outcomes_written(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed answers of one run, written twice, and of half of them in another run."""
+    folder = work_folder(spark, "outcomes")
+    parsed = responses.parse_v2(_answers(spark, d))
+    for run_id in ("a", "a", "b"):
+        sinks.write_outcomes(parsed, folder, run_id)
+    results = sinks.read_results(spark, folder).select("doc_id", "json", F.lit(None).cast("string").alias("raw"), F.lit("ok").alias("kind"))
+    return results.unionAll(sinks.read_quarantine(spark, folder).select("doc_id", F.lit(None).cast("string"), "raw", "reason"))
+
+
+def csv_written(spark: SparkSession, d: str) -> DataFrame:
+    """The combined table written as CSV and read back with its types."""
+    folder = work_folder(spark, "csv")
+    combined = combine_records(spark, d)
+    sinks.write_csv(combined, folder)
+    return files.read_table(spark, folder, schema=combined.schema)
+
+
+def csv_split(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with line ends, quotes and commas, read in byte ranges, types inferred."""
+    folder = work_folder(spark, "csv")
+    sinks.write_csv(fx.derived(spark, d, fx.TABLE_CELLS), folder)
+    return files.read_split_table(spark, folder, infer=True)
+
+
+def verdicts_written(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of two runs, the first written twice, as answers."""
+    folder = work_folder(spark, "verdicts")
+    judged = fx.derived(spark, d, fx.VERDICTS)
+    for run_id in ("first", "first", "second"):
+        sinks.write_verdicts(judged, folder, run_id)
+    return spark.read.parquet(folder).groupBy("doc_id", "verdict_text").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run").alias("runs"))
+
+
+def prompt_log_files(spark: SparkSession, d: str) -> DataFrame:
+    """All logs in one file, read in byte ranges."""
+    folder = work_folder(spark, "logs")
+    logs = fx.derived(spark, d, fx.PROMPT_LOGS)
+    logs.coalesce(1).sortWithinPartitions("log_id").select("value").write.text(folder)
+    return files.read_prompt_logs(spark, folder).drop("log_id")
+
+
+def parse_v2_non_finite(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with NaN and Infinity, and the numbers that typed columns read."""
+    parsed = responses.parse_v2(fx.derived(spark, d, fx.NON_FINITE), non_finite=True)
+    first = F.try_variant_get("json", "$[0]", "variant")
+    lattice = records.record_columns(first)[records.FIELDS.index("lattice_constant")]
+    return parsed.select("doc_id", F.to_json("json").alias("json"), lattice.cast("string").alias("lattice"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -457,5 +549,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prompt_similarity, prompt_log, label_sets, mini_batches, batch_feedback, label_reconcile, label_reconcile_tol, reconcile_chains,
         verdict_scores,
         scan_docs, classify_docs, pending_docs, pair_outputs, request_rows, stream_ingest,
+        sorted_records, sorted_pdfs, scan_folders, record_folder, outcomes_written, csv_written, csv_split, verdicts_written,
+        prompt_log_files, parse_v2_non_finite,
     )
 }

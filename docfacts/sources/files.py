@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from docfacts.operators.documents import id_before_first_dot
-from docfacts.operators.prompts import parse_prompt_log
+from docfacts.operators.grouping import with_position
+from docfacts.operators.prompts import LOG_BEGIN, parse_prompt_log
+from docfacts.sources.records_of_lines import marked_lines, quoted_cells, records_of_lines
 
 # Cell texts that mean "missing" in a table file.
 NULL_WORDS = [
@@ -25,14 +28,14 @@ def scan_pdfs(spark: SparkSession, folder: str, content: bool = True) -> DataFra
 
 
 def scan_pdfs_recursive(spark: SparkSession, targets: Sequence[str]) -> DataFrame:
-    """Distinct PDF paths of files and folders at any depth, suffix in any case."""
+    """Distinct PDF paths of files and folders at any depth, suffix in any case, with their ``position`` in the order of paths."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[pP][dD][fF]")
         .option("recursiveFileLookup", "true")
         .load(list(targets))
     )
-    return files.select("path").distinct()
+    return with_position(files.select("path").distinct(), ["path"])
 
 
 def read_record_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,12 +83,16 @@ def read_table(
 
     Columns are text unless a schema is given or ``infer`` asks for the types that all rows fit. With a schema,
     cells are read as text and cast, so that a missing-value word in a number column is null rather than an error.
-    ``multi_line`` reads cells with line breaks; such a file cannot be split, so one task reads it.
+    ``multi_line`` reads cells with line breaks in one task a file; :func:`read_split_table` reads them in many.
     """
     raw = (
         spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option("quote", '"').option("escape", '"')
         .csv(path)
     )
+    return _typed(raw, schema, infer)
+
+
+def _typed(raw: DataFrame, schema: StructType | str | None, infer: bool) -> DataFrame:
     clean = missing_words_to_null(raw)
     if schema is None:
         return typed_columns(clean) if infer else clean
@@ -93,8 +100,39 @@ def read_table(
     return clean.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 
 
+def read_split_table(spark: SparkSession, path: str, schema: StructType | str | None = None, infer: bool = False) -> DataFrame:
+    """The same table as :func:`read_table` with ``multi_line``, but every file is read in its byte ranges.
+
+    Which line ends lie inside a cell follows from the number of quotes before them, counted for each range and carried over the ranges before it.
+    Quotes must stand around whole cells and be doubled inside, as :func:`docfacts.sources.sinks.write_csv` writes them. The names
+    are those of the first file; every file has a header.
+    """
+    records = records_of_lines(spark, path, quoted_cells, states=2)
+    first = records.where("block = 0 and seq = 0").orderBy("file").select("text").first()
+    names = next(csv.reader([first["text"].rstrip("\r")]), []) if first else []
+    if not names:
+        return _typed(spark.createDataFrame([], "value string"), schema, infer)
+    body = records.where("not (block = 0 and seq = 0)").select(F.regexp_replace("text", "\r\\z", "").alias("text")).where("text <> ''")
+    parsed = body.select(F.from_csv("text", _ddl(names), {"quote": '"', "escape": '"', "multiLine": "true"}).alias("row"))
+    return _typed(parsed.select("row.*"), schema, infer)
+
+
+def _ddl(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+
+
 def read_prompt_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Run logs (one file each) as prompt history rows."""
-    logs = spark.read.text(path, wholetext=True)
-    named = logs.select(F.col("_metadata.file_name").alias("log_id"), "value")
-    return parse_prompt_log(named)
+    """Run logs as prompt history rows, each file one log; a log of any size is read in its byte ranges.
+
+    A step reaches from its first line to that of the next; ``version`` counts the finished steps of a log.
+    """
+    steps = records_of_lines(spark, path, marked_lines(LOG_BEGIN))
+    named = steps.select(F.struct("file", "block", "seq").alias("place"), "text")
+    parsed = parse_prompt_log(named, "place", "text").select(F.substring_index("place.file", "/", -1).alias("log_id"), "place", "*")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parsed.groupBy("place.file", "place.block").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.struct("file", "block").alias("range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("place.file", "place.block").orderBy("place.seq")
+    ranked = parsed.withColumn("rank", F.row_number().over(inside)).join(before, F.struct("place.file", "place.block") == F.col("range"))
+    numbered = ranked.withColumn("version", (F.col("before") + F.col("rank")).cast("int"))
+    return numbered.select("log_id", "version", "epoch", "step", "elapsed_s", "seconds_per_step", "prompt", "similarity")
