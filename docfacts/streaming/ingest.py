@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docfacts.operators.documents import id_before_first_dot
 from docfacts.operators.responses import parse_v2
+from docfacts.streaming.known import create_filters, live_filters, merge_filters, perhaps_known, write_filters
 
 
 def stream_answer_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -48,6 +49,13 @@ def create_outcomes(answers: DataFrame, outcomes: str) -> None:
     }
     empty = answers.sparkSession.range(0, 1).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]).where("doc_id is not null")
     empty.write.mode("overwrite").parquet(f"{outcomes.rstrip('/')}/bucket=-1/batch=none")
+    spark, folder = answers.sparkSession, filter_folder(outcomes)
+    create_filters(spark, folder)
+    # Outcomes without a filter, as of a table from elsewhere: their batches get one set of filters.
+    covered = live_filters(spark, folder).select(F.explode("covers").alias("batch")).distinct()
+    bare = [r.batch for r in read_outcomes(spark, outcomes).where("bucket >= 0").select("batch").distinct().join(covered, "batch", "left_anti").collect()]
+    if bare:
+        write_filters(_ids_of(spark, outcomes, bare), folder, f"found-{min(bare)}", bare)
 
 
 def parse_outcomes(answers: DataFrame, *keep: str) -> DataFrame:
@@ -63,19 +71,42 @@ def parse_outcomes(answers: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def known_ids(spark: SparkSession, outcomes: str, buckets: list[int], but: str) -> DataFrame:
-    """Ids with an outcome in some buckets, those of one batch left out; other buckets are not read."""
-    known = read_outcomes(spark, outcomes).where(F.col("bucket").isin(*buckets, -1) & (F.col("batch") != but))
+def known_ids(spark: SparkSession, outcomes: str, buckets: list[int], batches: list[str]) -> DataFrame:
+    """Ids with an outcome in some buckets and batches; other parts are not read."""
+    known = read_outcomes(spark, outcomes).where(F.col("bucket").isin(*buckets) & F.col("batch").isin(*batches))
     return known.select("doc_id").distinct()
 
 
+def _ids_of(spark: SparkSession, outcomes: str, batches: list[str]) -> DataFrame:
+    return read_outcomes(spark, outcomes).where(F.col("batch").isin(*batches)).select("doc_id", "bucket")
+
+
+def filter_folder(outcomes: str) -> str:
+    """Where the filters of an outcome table lie: beside it."""
+    return f"{outcomes.rstrip('/')}-known"
+
+
+def without_known(ids: DataFrame, outcomes: str, but: str) -> DataFrame:
+    """``ids`` (with ``doc_id, bucket``) that have no outcome in batches other than ``but``.
+
+    Filters are asked first. Only where one may know an id are the ids of its outcomes read; a batch of new ids reads none.
+    """
+    spark = ids.sparkSession
+    hits = perhaps_known(ids, live_filters(spark, filter_folder(outcomes))).where(F.col("batch") != but)
+    parts = hits.select("bucket", "batch").distinct().collect()  # parts of the table, not ids
+    if not parts:
+        return ids
+    known = known_ids(spark, outcomes, sorted({p["bucket"] for p in parts}), sorted({p["batch"] for p in parts}))
+    return ids.join(known, "doc_id", "left_anti")
+
+
 def ingest_answers(answers: DataFrame, outcomes: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Start a query over a stream of ``doc_id, response`` that handles what is there, then stops.
 
     Of several answers to one document in a micro-batch the first in text order counts, so a repeated batch
-    chooses alike. Each micro-batch skips ids that already have an outcome, looking only into the buckets of its own ids,
-    parses the rest and writes its part of these buckets. A repeated batch overwrites its own parts, so a failure
-    between write and commit adds nothing twice. The known ids live in the outcome table, not in stream state, so a
+    chooses alike. Each micro-batch skips ids that already have an outcome (see :func:`without_known`),
+    parses the rest and writes its part of each bucket, one file a bucket. A repeated batch overwrites its own parts, so a failure
+    between write and commit adds nothing twice. The known ids live in the outcome table and its filters, not in stream state, so a
     new checkpoint does not start over.
     """
     create_outcomes(answers, outcomes)
@@ -84,10 +115,11 @@ def ingest_answers(answers: DataFrame, outcomes: str, checkpoint: str, buckets:
         spark = batch.sparkSession
         name = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
         one = batch.groupBy("doc_id").agg(F.min("response").alias("response")).withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
-        present = [row.bucket for row in one.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        fresh = one.join(known_ids(spark, outcomes, present, name), "doc_id", "left_anti")
-        outcome = parse_outcomes(fresh, "bucket").withColumn("batch", F.lit(name))
-        outcome.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(outcomes)
+        folder = filter_folder(outcomes)
+        write_filters(one, folder, name, [name])
+        outcome = parse_outcomes(without_known(one, outcomes, name), "bucket").withColumn("batch", F.lit(name))
+        outcome.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(outcomes)
+        merge_filters(spark, folder, lambda batches: _ids_of(spark, outcomes, batches))
 
     return (
         answers.writeStream.foreachBatch(handle)

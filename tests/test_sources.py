@@ -185,7 +185,7 @@ def test_a_batch_without_its_commit_is_repeated_alike(spark, tmp_path):
 def test_a_batch_reads_its_own_buckets(spark, tmp_path):
     outcomes = work_folder(spark, "outcomes")
     ingest.create_outcomes(spark.createDataFrame([], "doc_id long, response string"), outcomes)
-    plan = executed_plan(ingest.known_ids(spark, outcomes, [3, 5], "b"))
+    plan = executed_plan(ingest.known_ids(spark, outcomes, [3, 5], ["b"]))
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
