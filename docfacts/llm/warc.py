@@ -6,7 +6,10 @@ payloads are written once as ``response``; the others are ``revisit`` records th
 
 Reading: records are taken one after another, plain or as gzip members. A record whose version
 line, headers, length, end mark or payload digest fails is left, the next valid member or
-version line is searched for, reading goes on there, and the bytes between are logged as a gap.
+version line is searched for, reading goes on there, and the bytes between are logged as a gap. The same holds inside of a gzip
+member: what can be inflated of it, up to the damage, is searched like a file of its own.
+
+Archives are cut so that none exceeds ``ARCHIVE_BYTES`` even if all its pages are as long as the longest.
 
 Defined cases: a null html is the empty payload, a null url an empty target; a null ``page_id`` is its
 own record without an id; repeated rows with the largest id of a payload are all responses; other
@@ -29,6 +32,9 @@ from docfacts.session import work_folder
 
 #: Records in one archive.
 RECORDS = 2_000
+ARCHIVE_BYTES = 1 << 30
+#: Room for the headers of a record.
+_HEAD_BYTES = 4_096
 _END = "\r\n\r\n"
 _ID = "urn:page:"
 # Fixed values of the format.
@@ -57,6 +63,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, records: i
     revisits = written(again.groupBy("page_id", "digest").agg(F.max("first").alias("refers_to")), "revisits")
     revisits = revisits.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
     typed = hashed.join(revisits, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    longest = hashed.agg(F.max(F.col("bytes") + F.octet_length(F.coalesce("url", F.lit(""))) * 3)).first()[0] or 0
+    records = max(1, min(records, ARCHIVE_BYTES // (longest + _HEAD_BYTES)))
     typed.select(_record().alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", records).text(folder)
 
 
@@ -135,34 +143,47 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     }, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends."""
+def _member(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """The content of the gzip member at ``at`` and where it ends; None for the end if only a beginning could be inflated."""
     inflate = zlib.decompressobj(wbits=31)
     try:
         content = inflate.decompress(data[at:])
-    except zlib.error as error:
-        raise Damaged("gzip member") from error
-    if not inflate.eof:
-        raise Damaged("gzip member")
-    return content, len(data) - len(inflate.unused_data)
+        return content, len(data) - len(inflate.unused_data) if inflate.eof else None
+    except zlib.error:
+        pass
+    # Byte by byte, so that all that comes out before the damage is kept.
+    inflate, out = zlib.decompressobj(wbits=31), []
+    try:
+        for k in range(at, len(data)):
+            out.append(inflate.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out), None
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """Start, end and record of every valid record, and start, end and reason of every gap between them."""
+    """Start, end and record of every valid record, and start, end and reason of every gap between them.
+
+    What stands in a member has the member's range; gaps inside of one say where in its content they are.
+    """
     at, bad, reason = 0, None, ""
     while at < len(data):
+        found: list[dict | str] = []
+        stop: int | None = None
         try:
             if data.startswith(_GZIP, at):
                 content, stop = _member(data, at)
-                found = []
-                inner = 0
-                while inner < len(content):
-                    record, inner = parse_record(content, inner)
-                    found.append(record)
+                # The damaged end of a cut member is part of the gap in the file.
+                inner = [(a, b, f) for a, b, f in _plain(content) if stop is not None or not (isinstance(f, str) and b == len(content))]
+                found = [f"{f} in member, {a} to {b}" if isinstance(f, str) else f for a, b, f in inner]
+                if stop is None:
+                    raise Damaged("gzip member")
             else:
                 record, stop = parse_record(data, at)
                 found = [record]
         except Damaged as error:
+            for record in found:
+                yield at, len(data), record
             if bad is None:
                 bad, reason = at, str(error)
             at = _next(data, at + 1)
@@ -177,6 +198,27 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
         yield bad, len(data), reason
 
 
+def _plain(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    """Records and gaps of bytes that hold plain records only."""
+    at, bad, reason = 0, None, ""
+    while at < len(data):
+        try:
+            record, stop = parse_record(data, at)
+        except Damaged as error:
+            if bad is None:
+                bad, reason = at, str(error)
+            version = _VERSION.search(data, at + 1)
+            at = version.start() if version else len(data)
+            continue
+        if bad is not None:
+            yield bad, at, reason
+            bad = None
+        yield at, stop, record
+        at = stop
+    if bad is not None:
+        yield bad, len(data), reason
+
+
 def _next(data: bytes, at: int) -> int:
     """The next place where a record may start."""
     version = _VERSION.search(data, at)
@@ -211,9 +253,10 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the pages as archives in the shared folder, read them back, and give what was read."""
+    """Write the pages as archives in the shared folder, read them back, and give what was read. A gap in what was just written is an error."""
     spark = pages.sparkSession
     folder = work_folder(spark, "warc")
     write_archives(pages, folder, min_bytes)
-    records = read_archives(spark, folder, payloads=False).where("gap is null")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_archives(spark, folder, payloads=False)
+    broken = F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(": "), "gap")).cast("long")
+    return records.select(F.when(F.col("gap").isNull(), F.col("page_id")).otherwise(broken).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

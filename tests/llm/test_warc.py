@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 from tools import rows
 
@@ -73,8 +74,48 @@ def test_salvage_of_members():
     whole = b"".join(parts)
     assert kept(whole) == ([0, 1, 2, 3], [])
     broken = bytearray(whole)
-    broken[len(parts[0]) + 40] ^= 0xFF
+    broken[len(parts[0]) + 20] ^= 0xFF
     assert kept(bytes(broken)) == ([0, 2, 3], [(len(parts[0]), len(parts[0]) + len(parts[1]))])
     mixed = parts[0] + record(9, b"plain") + parts[1][:-5] + parts[2]
     start = len(parts[0] + record(9, b"plain"))
-    assert kept(mixed) == ([0, 9, 2], [(start, start + len(parts[1]) - 5)])
+    # The trailer of a member is cut: its record could still be inflated.
+    assert kept(mixed) == ([0, 9, 1, 2], [(start, start + len(parts[1]) - 5)])
+
+
+def test_salvage_inside_a_member():
+    """One damaged record of six in one member costs that record alone."""
+    parts = [record(k, f"payload {k}".encode() * 60) for k in range(6)]
+    content = bytearray(b"".join(parts))
+    content[len(parts[0]) + len(parts[1]) - 9] ^= 1
+    member = gzip.compress(bytes(content))
+    found = list(warc.salvage(member))
+    assert [f["page_id"] for _, _, f in found if isinstance(f, dict)] == [0, 2, 3, 4, 5]
+    gaps = [(a, b, f) for a, b, f in found if isinstance(f, str)]
+    assert gaps == [(0, len(member), f"digest in member, {len(parts[0])} to {len(parts[0]) + len(parts[1])}")]
+    # Bytes of the trailer, or of the stream, are cut or changed: what came before is kept, and reading goes on after it.
+    whole = gzip.compress(b"".join(parts))
+    for cut in (4, 1, 9):
+        assert kept(whole[:-cut] + parts[0])[0][:5] == [0, 1, 2, 3, 4] and kept(whole[:-cut] + parts[0])[0][-1] == 0
+    changed = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]
+    assert kept(changed + record(7, b"after")) == ([0, 1, 2, 3, 4, 5, 7], [(0, len(whole))])
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 60_000)
+    frame = spark.createDataFrame([(k, "u", "x" * 10_000 + str(k)) for k in range(20)], PAGES).coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "a"))
+    sizes = [p.stat().st_size for p in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) >= 5 and max(sizes) <= 60_000
+    assert rows(warc.read_archives(spark, str(tmp_path / "a")), "page_id") == [(k,) for k in sorted(range(20), key=lambda k: repr((k,)))]
+
+
+def test_a_gap_fails_the_round_trip(spark, monkeypatch):
+    original = warc.write_archives
+
+    def damaged(pages, folder, *rest):
+        original(pages, folder, *rest)
+        spark.range(1).select(F.lit("WARC/1.1 cut").alias("value")).write.mode("append").text(folder)
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(Exception, match="gap in"):
+        warc.round_trip(spark.createDataFrame([(1, "u", "a")], PAGES)).collect()
