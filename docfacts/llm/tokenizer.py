@@ -26,16 +26,16 @@ class Parts(dict):
     Two generations of at most ``KEPT_WORDS`` each are held, so memory is bounded whatever the corpus.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode, folds: bool):
         super().__init__({"": b""})
-        self._encode, self._before = encode, {}
+        self._encode, self._folds, self._before = encode, folds, {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self._before.get(part)
         if ids is None:
             word = part[:-1] if part[-1] in ",." else part
             lowered = word.lower()
-            if (word != part or lowered != part) and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            if self._folds and (word != part or lowered != part) and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
                 # Letters and one mark are two steps of the splitting pattern, and these letters have plain lower cases.
                 ids = self[lowered] + (self[part[-1]] if word != part else b"")
             else:
@@ -80,7 +80,7 @@ class Encoder:
                 self.by_words = _drops_blanks(json.load(file))
             size = tokenizer.get_vocab_size()
         self.kind, self._code = (np.dtype("<u2"), "H") if size < 65_536 else (np.dtype("<u4"), "I")
-        self.packed = Parts(self._packed)
+        self.packed = Parts(self._packed, self.tokenizer is not None and _folds_case(self.tokenizer))
 
     def _packed(self, part: str) -> bytes:
         return array(self._code, self.library(part)).tobytes()
@@ -104,6 +104,15 @@ class Encoder:
         return sizes // self.kind.itemsize
 
 
+def _folds_case(tokenizer) -> bool:
+    """Whether the vocabulary reads plain Latin letters in lower case, and a mark after letters as a step of its own."""
+    letters = "".join(chr(c) for c in range(0x41, 0x100) if chr(c).isalpha())
+    normalizer, splitter = tokenizer.normalizer, tokenizer.pre_tokenizer
+    if normalizer is None or splitter is None or normalizer.normalize_str(letters) != normalizer.normalize_str(letters.lower()):
+        return False
+    return all(len(splitter.pre_tokenize_str(f"ab{mark}")) == 2 for mark in ",.")
+
+
 def _drops_blanks(spec: dict) -> bool:
     """Whether the vocabulary splits by a pattern that keeps only its matches, none of which holds a blank."""
     steps = spec.get("pre_tokenizer") or {}

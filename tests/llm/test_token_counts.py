@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -80,6 +81,20 @@ def test_a_megabyte_without_blanks(name):
         assert all(len(counts.encoder.library(text[:k])) > 2048 for k in range(fits + 1, fits + 40))
 
 
+def test_a_cased_vocabulary_keeps_its_case(tmp_path):
+    """The same file without its lower-casing step: words are not folded."""
+    spec = json.load(open(PATH, encoding="utf-8"))
+    steps = spec["normalizer"].get("normalizers", [spec["normalizer"]])
+    kept = [s for s in steps if s["type"] != "Lowercase"]
+    assert len(kept) < len(steps)
+    spec["normalizer"] = {"type": "Sequence", "normalizers": kept} if kept else None
+    (tmp_path / "cased.json").write_text(json.dumps(spec), encoding="utf-8")
+    encoder = Encoder(str(tmp_path / "cased.json"))
+    for text in ("Hello Wonderful World", "hello, Wonderful. ÀB c", *TEXTS):
+        assert encoder.ids(text).tolist() == encoder.library(text), text
+    assert len(encoder.ids("Hello Wonderful World")) > len(Encoder(PATH).ids("Hello Wonderful World"))
+
+
 def test_query_columns(spark, documents, library):
     table = documents([(1, "a b c"), (2, None), (2, ""), (None, "word " * 3000), (3, "é")]).withColumn("n_tokens", F.lit(1))
     found = rows(token_counts(table, PATH), "doc_id", "n_bytes", "n_tokens", "over_limit")
