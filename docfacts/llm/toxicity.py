@@ -5,7 +5,8 @@ left out, hashed to ``2 ** BITS`` places. The learner keeps two sums for each pl
 ``ALPHA / (BETA + sqrt(n))`` there, and the weight is zero until ``|z|`` exceeds ``L1``. Hence few weights
 differ from zero: they are broadcast as a short list, at most ``2 ** BITS`` of them.
 
-Learning uses at most ``TRAIN_ROWS`` labelled ids (those with the smallest hash) and one text of each. They may be dealt
+Learning uses at most ``TRAIN_ROWS`` labelled ids (those with the smallest hash) and one text of each, as many as have ``TRAIN_BYTES`` of
+features; a text that would exceed them is passed over with all after it. They may be dealt
 over ``SHARDS`` tasks whose weights are averaged; one learns best and holds the bounded rows. Scoring covers every document and its whole text in one
 pass without a shuffle.
 
@@ -23,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from docfacts.llm.common import SLICE_BYTES, joined_bytes, lower_ascii, mix, rolling, slices, thrifty, words_of, written
 
 BITS = 20
-TRAIN_ROWS = 16_000
+#: Bounds of the sample that is learnt from: ids, and bytes of their features (4 for each), which one task holds.
+TRAIN_ROWS, TRAIN_BYTES = 16_000, 256 << 20
 SHARDS, EPOCHS = 1, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
 #: The constant's weight where nothing could be learned: a score of about 0.007.
@@ -98,7 +101,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROW
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """The places and weights that differ from zero."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +127,9 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tu
     # One text for each id, whatever the number of its rows; one that has features before one that has none.
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("places").alias("places"))
     marked = marked.withColumns({"order": F.xxhash64("doc_id", F.lit(7)), "shard": F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SHARDS))})
+    # At most TRAIN_ROWS rows, so one task sums them up.
+    so_far = F.sum(F.octet_length("places")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = marked.withColumn("bytes", so_far).where(F.col("bytes") <= train_bytes)
     dealt = marked.repartition(SHARDS, "shard").sortWithinPartitions("order").select("toxic", "places")
     learned = written(dealt.mapInArrow(thrifty(train), "place long, weight double"), "toxicity")
     shards = F.lit(float(SHARDS))

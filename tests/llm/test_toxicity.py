@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -55,6 +56,40 @@ def test_repeated_rows_are_learnt_once(spark, documents):
     assert once[0].tolist() == many[0].tolist() and once[1].tolist() == many[1].tolist()
 
 
+def test_weights_are_those_of_a_plain_learner(spark, documents):
+    """The recurrence per coordinate over Python dictionaries, rows in the learner's order."""
+    data, labels = corpus(random.Random(7), 300)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5}
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in known], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(7))).collect()]
+    texts = dict(data)
+    marks = {}
+    for i in order:
+        _, place = tx.features(pa.array([texts[i]]))
+        marks[i] = sorted({*place.tolist(), tx.CONSTANT})
+    z, n = dict.fromkeys(range(0), 0.0), {}
+    weight = lambda p: 0.0 if abs(z.get(p, 0.0)) <= tx.L1 else -(z[p] - math.copysign(tx.L1, z[p])) / ((tx.BETA + math.sqrt(n[p])) / tx.ALPHA + tx.L2)
+    for _ in range(tx.EPOCHS):
+        for i in order:
+            w = {p: weight(p) for p in marks[i]}
+            gradient = 1 / (1 + math.exp(-sum(w.values()))) - known[i]
+            for p in marks[i]:
+                before = n.get(p, 0.0)
+                n[p] = before + gradient**2
+                z[p] = z.get(p, 0.0) + gradient - (math.sqrt(n[p]) - math.sqrt(before)) / tx.ALPHA * w[p]
+    want = {p: weight(p) for p in z if weight(p)}
+    places, weights = tx.learn(documents(data), frame)
+    got = dict(zip(places.tolist(), weights.tolist()))
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], rel_tol=1e-6, abs_tol=1e-9) for p in want)
+
+
+def test_training_is_bounded_in_bytes(spark, documents):
+    data, labels = corpus(random.Random(8), 120)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    few, none = (tx.learn(documents(data), frame, train_bytes=b) for b in (40_000, 1))
+    assert len(few[0]) and none[0].tolist() == [tx.CONSTANT] and none[1].tolist() == [tx.NO_LABELS]
+
+
 def test_no_labels_and_empty(spark, documents):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert rows(tx.toxicity(documents([(1, "a")]), labels), "doc_id", "predicted") == [(1, 0)]
