@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docfacts.session import work_folder
 
@@ -36,6 +36,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def groups_for(documents: DataFrame, bytes_each: int, at_least: int, at_most: int) -> int:
+    """A number of groups that follows the bytes of all texts, whatever the session's shuffle partitions are."""
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(-(-total // bytes_each), at_least), at_most)
+
+
 def give_back() -> None:
     """Return freed memory to the system. Python workers live on between tasks and would keep it."""
     pa.default_memory_pool().release_unused()

@@ -15,7 +15,7 @@ left out, and links within a component do not change it.
 
 Equal sets are one unit throughout (named by their smallest id and a 128-bit digest), so exact copies make no pairs; a task
 sends a set it has already sent only once. Nothing is collected, broadcast by hint, or grouped without bound: the largest group
-is a fragment, and their number follows the session's shuffle partitions.
+is a fragment, and their number follows the bytes of all texts.
 
 Defined cases: a null or blank text has no n-gram, is linked with nothing and is its own component; a text with fewer words than
 ``WORDS`` is one n-gram; a null id never links and has a null component; rows with equal id but different texts are documents of
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docfacts.llm.common import joined_bytes, lower_ascii, mix, partitions, slices, thrifty, thrifty_group, word_hashes, words_of, written
+from docfacts.llm.common import groups_for, joined_bytes, lower_ascii, mix, partitions, slices, thrifty, thrifty_group, word_hashes, words_of, written
 from docfacts.llm.graph import components
 
 WORDS = 5
@@ -42,7 +42,8 @@ OVER, UNDER = 100, 80
 PARTS = 4
 #: Sets that one task remembers as sent.
 REMEMBERED = 500_000
-MOST_FRAGMENTS = 32_767
+#: Bytes of text whose n-grams one fragment takes, where the session has fewer shuffle partitions than that gives.
+FRAGMENT_BYTES, MOST_FRAGMENTS = 16 << 20, 32_767
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _DIGESTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344)]
@@ -285,7 +286,7 @@ def _cross_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
 def _named_sets(documents: DataFrame) -> DataFrame:
     """For each document row its set (``n, d1, d2``), the smallest id of its class and of its component."""
     spark = documents.sparkSession
-    fragments = min(partitions(spark), MOST_FRAGMENTS)
+    fragments = groups_for(documents, FRAGMENT_BYTES, partitions(spark), MOST_FRAGMENTS)
     sets = written(describe_sets(documents), "sets")
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     hopeful = _hopeful(_shared(_segments(documents, fragments), fragments))

@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docfacts.llm.common import joined_bytes, mix, partitions, rolling, slices, thrifty, thrifty_group, written
+from docfacts.llm.common import groups_for, joined_bytes, mix, partitions, rolling, slices, thrifty, thrifty_group, written
 
 LENGTH = 50
 ANCHOR = 12
@@ -44,7 +44,8 @@ IN_FILES = 32_000_000
 SLOTS = 1 << 20
 #: Fragments for each shuffle partition: a task holds one fragment at a time.
 FRAGMENTS = 2
-MOST_FRAGMENTS = 32_767
+#: Bytes of text whose pieces one fragment takes, where the session has fewer shuffle partitions than that gives.
+FRAGMENT_BYTES, MOST_FRAGMENTS = 8 << 20, 32_767
 
 
 def _windowed_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -375,7 +376,7 @@ def _merged(ranges: DataFrame) -> DataFrame:
 
 def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """Which bytes of which documents came before: ``doc_id, mark`` (hash of the text), ``starts, stops`` of the maximal runs."""
-    fragments = min(FRAGMENTS * partitions(documents.sparkSession), MOST_FRAGMENTS)
+    fragments = groups_for(documents, FRAGMENT_BYTES, FRAGMENTS * partitions(documents.sparkSession), MOST_FRAGMENTS)
     return written(_merged(_searched(_sent_pieces(documents, fragments, length), fragments, length)), "repeats")
 
 
