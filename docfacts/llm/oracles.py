@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from docfacts.llm.quality import PHRASES
+
 _ESCAPED = r"replace(replace(replace({0}, '\', '\e'), '<', '\l'), '>', '\g')"
 
 _COMPONENTS = """
@@ -132,7 +136,7 @@ lost AS (
   SELECT doc_id, count(*) FILTER (seen) AS n_dup_lines, sum(length(line)) AS line_chars,
     coalesce(sum(length(line)) FILTER (NOT (seen OR NOT regexp_matches(line, '\p{L}') OR 10 * n_symbols > length(line) OR 2 * n_marks > n_words
       OR (n_separators >= 2 AND 3 * n_separators >= n_words)
-      OR regexp_matches(lower(line), '(cookie policy|accept cookies|privacy policy|terms of service|terms of use|all rights reserved|enable javascript|click here|skip to content|back to top|share this|lorem ipsum)'))), 0) AS kept_chars
+      OR regexp_matches(lower(line), '({PHRASES})'))), 0) AS kept_chars
   FROM judged GROUP BY doc_id
 ),
 counted AS (
@@ -144,7 +148,7 @@ counted AS (
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (line_chars - kept_chars) <= 30 * line_chars AS kept
 FROM counted
-""",
+""".replace("{PHRASES}", "|".join(PHRASES)),
     "op4_chat_formatting": rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -15,6 +15,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 8
@@ -24,19 +26,13 @@ MOST_LOST = 30
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»·›>]"
+# Phrases of web page furniture in English, German, French and Spanish.
 PHRASES = (
-    "cookie policy",
-    "accept cookies",
-    "privacy policy",
-    "terms of service",
-    "terms of use",
-    "all rights reserved",
-    "enable javascript",
-    "click here",
-    "skip to content",
-    "back to top",
-    "share this",
-    "lorem ipsum",
+    "cookie policy", "accept cookies", "privacy policy", "terms of service", "terms of use", "all rights reserved", "enable javascript", "click here",
+    "skip to content", "back to top", "share this", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "conditions d’utilisation", "accepter les cookies", "cliquez ici", "retour en haut",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aceptar cookies", "haga clic aquí", "volver arriba",
 )
 
 
@@ -45,27 +41,33 @@ def _words(text: Column) -> Column:
 
 
 def _window_hashes(words: Column) -> Column:
+    """A hash for each window; each word is hashed once, and a window is the hash of its words' hashes."""
     some = F.size(words) >= WINDOW
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(1)))
-    return F.when(some, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<long>"))
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    windows = F.transform(F.array(each), lambda hashes: F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))))[0]
+    return F.when(some, windows).otherwise(F.array().cast("array<long>"))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word fails for its own sake."""
+def line_fails(line: Column, phrases: Sequence[str] = PHRASES) -> Column:
+    """Whether a line with a word fails for its own sake. ``phrases`` are in lower case."""
     lowered = F.lower(line)
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     punctuation = ~F.rlike(line, F.lit(r"\p{L}")) | (10 * symbols > F.length(line)) | (2 * F.regexp_count(line, F.lit("!")) > words)
     separators = F.regexp_count(line, F.lit(SEPARATORS))
     navigation = (separators >= 2) & (3 * separators >= words)
-    boilerplate = F.contains(lowered, F.lit(PHRASES[0]))
-    for phrase in PHRASES[1:]:
+    boilerplate = F.lit(False)
+    for phrase in phrases:
         boilerplate = boilerplate | F.contains(lowered, F.lit(phrase))
     return punctuation | navigation | boilerplate
 
 
-def clean_documents(documents: DataFrame, *carried: str) -> DataFrame:
-    """The base counts, the verdicts and the cleaned text of each document; ``carried`` columns go along."""
+def clean_documents(documents: DataFrame, *carried: str, phrases: Sequence[str] = PHRASES, most_lost: int = MOST_LOST) -> DataFrame:
+    """The base counts, the verdicts and the cleaned text of each document; ``carried`` columns go along.
+
+    ``phrases`` mark boilerplate lines, and a document that loses more than ``most_lost`` percent of its line characters is rejected.
+    """
     split = documents.select(
         *carried,
         "doc_id",
@@ -85,7 +87,7 @@ def clean_documents(documents: DataFrame, *carried: str) -> DataFrame:
     )
     # Only texts in which a window comes again are sorted.
     numbered = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    kept_lines = F.filter("first_lines", lambda line: ~line_fails(line))
+    kept_lines = F.filter("first_lines", lambda line: ~line_fails(line, phrases))
     paired = hashed.select(
         *carried,
         "doc_id",
@@ -121,7 +123,7 @@ def clean_documents(documents: DataFrame, *carried: str) -> DataFrame:
         "kept_lines",
     )
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    too_much = 100 * (F.col("line_chars") - F.col("kept_chars")) > MOST_LOST * F.col("line_chars")
+    too_much = 100 * (F.col("line_chars") - F.col("kept_chars")) > most_lost * F.col("line_chars")
     return counted.select(
         "*",
         failed.alias("base_failed"),

@@ -47,6 +47,16 @@ def test_lines(spark, documents):
     assert not kept[4].kept and kept[4].cleaned_text == ""
 
 
+def test_phrases_and_thresholds_are_arguments(spark, documents):
+    lines = ["Ein ganz gewöhnlicher Satz mit vielen Wörtern steht in dieser Zeile hier.", "Alle Rechte vorbehalten", "Cliquez ici pour continuer la lecture", "Our house rules apply to everyone here"]
+    df = documents([(1, "\n".join(lines)), (2, None)])
+    kept = lambda **options: clean_documents(df, **options).where("doc_id = 1").first().cleaned_text.split("\n")
+    assert kept() == [lines[0], lines[3]]
+    assert kept(phrases=("house rules",)) == lines[:3] and kept(phrases=()) == lines
+    long = documents([(1, "\n".join([f"word{k} and more words of line {k} go on" for k in range(9)] + ["click here " * 8]))])
+    assert [clean_documents(long, most_lost=m).first().kept for m in (5, 90)] == [False, True]
+
+
 def test_no_python_in_the_plan(spark, documents):
     plan = quality(documents([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SortMergeJoin" not in plan
