@@ -5,10 +5,10 @@ halves; each half has its own codebook, and the pairs of codes form a grid of ce
 that a member could have (multi-sequence traversal of the two sorted lists of halves), until ``target_recall`` is reached. The least
 distance for a half is that to the plane midway between the vector's own centre and the cell's.
 
-Where to stop is measured twice, and the larger bound holds. A sample of at most ``QUERIES`` vectors is compared with *all* vectors, and the bound that
-each true link needs goes into a histogram: so the bound follows where partners really lie, in the data's own span.
-And partners at exactly the threshold are made for sampled rows, in random directions of the whole space and of the data's span, for data with few
-links to measure. Both take the bound that
+Where to stop is measured. A sample of at most ``QUERIES`` vectors is compared with *all* vectors, and the bound that
+each true link needs goes into a histogram: so the bound follows where partners really lie, in the data's own span. Where fewer than ``ENOUGH`` such links were seen,
+partners at exactly the threshold are made for sampled rows, in random directions of the whole space and of the data's span, and
+the larger bound holds. Both take the bound that
 finds the target share; it never exceeds ``2 - 2 * least``, beyond which no partner can lie. ``target_recall=1`` goes on to that: the exact way.
 
 Pairs in visited cells are verified in double precision, block by block. A block gives a link count and one root for each vector, never its
@@ -43,6 +43,8 @@ TARGET_RECALL = 0.999
 #: Vectors compared with all others to measure where true partners lie, and the steps in which the bound is measured.
 QUERIES = 1024
 STEPS = 2_000
+#: True links across cells that decide alone where to stop; fewer are joined by made partners.
+ENOUGH = 1_000
 #: Partners made to measure the stopping bound, beside the true ones.
 TRIALS = 5_000
 #: Rounding room of the distance bound.
@@ -136,8 +138,8 @@ def needed_bounds(rows: Grid, others: Grid, linked: np.ndarray) -> np.ndarray:
     return np.where(rows.cell[i] == others.cell[j], 0.0, np.where(rows.cell[i] < others.cell[j], forth, back))
 
 
-def _measured_bounds(vectors: DataFrame, books: dict[int, Books], queries: dict[int, np.ndarray], kind: str, least: float, target: float) -> dict[int, float]:
-    """For each vector length the bound that finds ``target`` of the true links of the query vectors with all vectors."""
+def _measured_bounds(vectors: DataFrame, books: dict[int, Books], queries: dict[int, np.ndarray], kind: str, least: float, target: float) -> dict[int, tuple[float, int]]:
+    """For each vector length the bound that finds ``target`` of the true links of the query vectors with all vectors, and how many of these cross cells."""
     most = 2 - 2 * least
     shared = vectors.sparkSession.sparkContext.broadcast((books, queries))
 
@@ -162,7 +164,7 @@ def _measured_bounds(vectors: DataFrame, books: dict[int, Books], queries: dict[
         # Among the links that cross cells, so that links inside cells do not hide the others.
         total = group["n"].cumsum().to_numpy()
         reached = int(np.searchsorted(total, target * total[-1]))
-        bounds[int(size)] = float(group["step"].iloc[min(reached, len(total) - 1)]) / STEPS * most
+        bounds[int(size)] = float(group["step"].iloc[min(reached, len(total) - 1)]) / STEPS * most, int(total[-1])
     return bounds
 
 
@@ -207,7 +209,12 @@ def _codebooks(vectors: DataFrame, rows: int, kind: str, least: float, target: f
         return {size: (*pair, most + ROOM) for size, pair in books.items()}
     share = max(1, QUERIES // len(units))
     true = _measured_bounds(vectors, books, {size: unit[:share] for size, unit in units.items()}, kind, least, target)
-    return {size: (*pair, min(max(made_bound(units[size], pair, least, target), true.get(size, 0.0)), most) + ROOM) for size, pair in books.items()}
+    for size, pair in books.items():
+        bound, seen = true.get(size, (0.0, 0))
+        if seen < ENOUGH:
+            bound = max(bound, made_bound(units[size], pair, least, target))
+        books[size] = (*pair, min(bound, most) + ROOM)
+    return books
 
 
 class Block:
