@@ -42,6 +42,16 @@ def groups_for(documents: DataFrame, bytes_each: int, at_least: int, at_most: in
     return min(max(-(-total // bytes_each), at_least), at_most)
 
 
+#: Rows of an Arrow batch between Spark and Python. Whole texts travel in them, each held several times on the way.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep what a task holds of texts on their way small, for jobs of many stages."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, min(int(spark.conf.get(key)), BATCH_ROWS))
+
+
 def give_back() -> None:
     """Return freed memory to the system. Python workers live on between tasks and would keep it."""
     pa.default_memory_pool().release_unused()
@@ -66,8 +76,10 @@ def thrifty(work: Callable, keeps_caches: bool = False) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for clear in [] if keeps_caches else CACHES:
-            clear()
+        if not keeps_caches:
+            for clear in CACHES:
+                clear()
+            give_back()
         try:
             yield from work(batches)
         finally:

@@ -6,7 +6,7 @@ left out, hashed to ``2 ** BITS`` places. The learner keeps two sums for each pl
 differ from zero: they are broadcast as a short list, at most ``2 ** BITS`` of them.
 
 Learning uses at most ``TRAIN_ROWS`` labelled ids (those with the smallest hash) and one text of each, as many as have ``TRAIN_BYTES`` of
-features; a text that would exceed them is passed over with all after it. They may be dealt
+features, in the order in which they are learnt. They may be dealt
 over ``SHARDS`` tasks whose weights are averaged; one learns best and holds the bounded rows. Scoring covers every document and its whole text in one
 pass without a shuffle.
 
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
 
 from docfacts.llm.common import SLICE_BYTES, joined_bytes, lower_ascii, mix, rolling, slices, thrifty, words_of, written
 
@@ -113,10 +112,12 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, train
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(packed, pa.binary())], ["doc_id", "toxic", "places"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Ftrl(), []
+        model, seen, held = Ftrl(), [], 0
         for batch in batches:
             for label, places in zip(batch.column("toxic").to_pylist(), batch.column("places")):
-                seen.append((np.append(np.frombuffer(places.as_buffer(), "<i4"), np.int32(CONSTANT)), label))
+                held += len(places.as_buffer())
+                if held <= train_bytes:
+                    seen.append((np.append(np.frombuffer(places.as_buffer(), "<i4"), np.int32(CONSTANT)), label))
         for _ in range(EPOCHS):
             for places, label in seen:
                 model.learn(places, label)
@@ -127,9 +128,6 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, train
     # One text for each id, whatever the number of its rows; one that has features before one that has none.
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("places").alias("places"))
     marked = marked.withColumns({"order": F.xxhash64("doc_id", F.lit(7)), "shard": F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SHARDS))})
-    # At most TRAIN_ROWS rows, so one task sums them up.
-    so_far = F.sum(F.octet_length("places")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = marked.withColumn("bytes", so_far).where(F.col("bytes") <= train_bytes)
     dealt = marked.repartition(SHARDS, "shard").sortWithinPartitions("order").select("toxic", "places")
     learned = written(dealt.mapInArrow(thrifty(train), "place long, weight double"), "toxicity")
     shards = F.lit(float(SHARDS))
