@@ -51,15 +51,19 @@ def _window_hashes(words: Column) -> Column:
 
 def line_fails(line: Column, phrases: Sequence[str] = PHRASES) -> Column:
     """Whether a line with a word fails for its own sake. ``phrases`` are in lower case."""
-    lowered = F.lower(line)
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     punctuation = ~F.rlike(line, F.lit(r"\p{L}")) | (10 * symbols > F.length(line)) | (2 * F.regexp_count(line, F.lit("!")) > words)
     separators = F.regexp_count(line, F.lit(SEPARATORS))
     navigation = (separators >= 2) & (3 * separators >= words)
-    boilerplate = F.lit(False)
-    for phrase in phrases:
-        boilerplate = boilerplate | F.contains(lowered, F.lit(phrase))
+    def furnished(lowered: Column) -> Column:
+        found = F.lit(False)
+        for phrase in phrases:
+            found = found | F.contains(lowered, F.lit(phrase))
+        return found
+
+    # A lambda binds the lowered line, which would else be made again for each phrase.
+    boilerplate = F.exists(F.array(F.lower(line)), furnished)
     return punctuation | navigation | boilerplate
 
 
