@@ -8,9 +8,13 @@ one part. That table is itself a recurrence: the encoding of ``w[:k]`` ends with
 ``count[k] = count[k - len(t)] + 1``. Two tokens may stand side by side when merging their
 symbols from scratch gives the same two tokens.
 
-Where a budget falls is found without a table of the whole part. A bounded beginning of the part is cut into the steps of
-the splitting pattern. In short steps the prefixes are read one at a time by the library, from a step a little before; in a long
-step (letters, marks, signs or blanks of any script) the recurrence runs over its bytes. It stops once as many prefixes as the
+The table is kept for the steps of the splitting pattern (letters, a digit, signs of any script), over their bytes, and shared by all
+words that begin alike: a new word adds entries only from where it leaves the words before. The count of a text is the last entry of its
+table, and a budget is answered by reading entries; nothing is encoded again.
+
+Only where a budget falls inside a part of more than ``LONG_PART`` characters there is no table of that part. A bounded beginning of it is
+cut into steps. In short steps the prefixes are read one at a time by the library, from a step a little before; in a long
+step the recurrence runs over its bytes. It stops once as many prefixes as the
 longest token has bytes are all at the budget: every longer one comes from one of these and is over it. So the work
 follows the budget, not the length of the part.
 
@@ -23,6 +27,7 @@ library counts them by default.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,13 +38,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from docfacts.llm.common import CACHES, slices, thrifty
-from docfacts.llm.tokenizer import encoder
+from docfacts.llm.tokenizer import KEPT_WORDS, LONGEST_KEPT, Encoder, encoder
 
 LIMIT = 2048
 #: Steps of up to so many characters are read by the library.
 SHORT = 64
 #: Characters at the start of a long step that may be read otherwise when cut (as "'r" and "'re").
 UNSTEADY = 4
+#: Prefixes that a worker keeps counts of, and bytes of the longest step whose prefixes are kept; longer steps are read in a window.
+KEPT_PREFIXES, LONG_STEP = 1_000_000, 96
+#: Characters of the longest part whose every prefix is looked up where a budget falls inside it.
+LONG_PART = 256
+_NEVER = float("inf")
+#: Letters of a token's end by which its possible lengths are looked up, and the lengths below that.
+TAIL = 3
+SHORTEST = (*range(TAIL - 1, 0, -1),)
 
 
 class PrefixCounts:
@@ -48,11 +61,16 @@ class PrefixCounts:
     def __init__(self, path: str):
         self.encoder = encoder(path)
         self._merges = _Merges(path) if self.encoder.tokenizer else None
+        self._tabled = _PartCounts(self.encoder, self._merges) if self.encoder.by_words else None
 
     def sums(self, parts: list[str]) -> np.ndarray:
         """The exact token count up to each part end, from 0."""
         counts = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(self.encoder.counts(parts), out=counts[1:])
+        if self._tabled is None:
+            np.cumsum(self.encoder.counts(parts), out=counts[1:])
+        else:
+            self._tabled.age()
+            np.cumsum(np.fromiter(map(self._tabled.__getitem__, parts), np.int64, len(parts)), out=counts[1:])
         return counts
 
     @staticmethod
@@ -64,10 +82,8 @@ class PrefixCounts:
 
     def part(self, part: str) -> np.ndarray:
         """The count of every prefix of one part."""
-        table = self._merges.counts(part) if self._merges and self.encoder.by_words else None
-        if table is None:
-            table = np.fromiter((self._count(part[:k]) for k in range(len(part) + 1)), np.int64, len(part) + 1)
-        return table
+        read = self._tabled.count if self._tabled is not None else self._count
+        return np.fromiter((read(part[:k]) for k in range(len(part) + 1)), np.int64, len(part) + 1)
 
     def _count(self, text: str) -> int:
         return len(self.encoder.library(text))
@@ -92,8 +108,11 @@ class PrefixCounts:
         start = int(self.ends(parts[: last + 1])[last]) + (1 if last else 0)
         if last == len(parts):
             return start - 1 if last else 0
+        left = budget - int(counts[last])
+        if self._tabled is not None and len(parts[last]) <= LONG_PART:
+            return start + int(np.flatnonzero(self.part(parts[last]) <= left)[-1])
         fits = self._fitting if self._merges else self._fitting_piece
-        return start + fits(parts[last], budget - int(counts[last]))
+        return start + fits(parts[last], left)
 
     def _fitting_piece(self, text: str, budget: int) -> int:
         """The most characters that fit, for pieces of whole characters: a prefix without its last piece is a shorter prefix."""
@@ -188,10 +207,14 @@ class _Merges:
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.rank = {pair: i for i, pair in enumerate(pairs)}
         self.longest = max(map(len, self.vocabulary))
-        self.beside = lru_cache(maxsize=1 << 16)(self._beside)
+        self.beside = lru_cache(maxsize=1 << 18)(self._beside)
+        self.joins = lru_cache(maxsize=1 << 16)(self._joins)
+        self.edges = lru_cache(maxsize=1 << 16)(self._edges)
         normalizer = encoder(path).tokenizer.normalizer
         self.normal = lru_cache(maxsize=1 << 14)(normalizer.normalize_str) if normalizer else str
         self.letters = _byte_letters()
+        self.sizes, self.closed_sizes = self._sizes_by_tail(False), self._sizes_by_tail(True)
+        self.table: dict[str, tuple[str, int, int]] = {"": ("", 0, 0)}
 
     def apart(self, before: str, char: str) -> bool:
         """Whether normalising leaves ``char`` apart from what comes before it."""
@@ -227,56 +250,166 @@ class _Merges:
         return best, None, between
 
     def _beside(self, left: str, right: str) -> bool:
-        symbols = list(left) + _symbols(right, self.end)
+        """Whether merging both tokens' symbols from scratch leaves the two tokens.
+
+        Merges happen in the order of their ranks, so the symbols at the border are known at any rank: the edges of the two tokens' own
+        merge trees. The border holds unless an edge pair is merged before one of them goes into its own token.
+        """
+        ours, theirs = self.edges(left), self.edges(right)
+        if ours is None or theirs is None:
+            return False
+        (_, last), (first, _) = ours, theirs
+        rank, i, j = self.rank, 0, 0
         while True:
-            ranks = [self.rank.get(pair) for pair in zip(symbols, symbols[1:])]
-            best = min((r for r in ranks if r is not None), default=None)
-            if best is None:
-                return symbols == [left, right]
-            merged, i = [], 0
-            while i < len(symbols):
-                if i < len(ranks) and ranks[i] == best:
-                    merged.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    merged.append(symbols[i])
-                    i += 1
-            symbols = merged
-
-    def counts(self, part: str) -> np.ndarray | None:
-        """Counts of the prefixes of a part of ASCII letters; None for others."""
-        if not (part.isascii() and part.isalpha()):
-            return None
-        word = part.lower()
-        last: list[str] = [""]
-        inside, out = [0], [0]
-        for k in range(1, len(word) + 1):
-            token, count = self._step(word, k, "", last, inside)
-            closed, closed_count = self._step(word, k, self.end, last, inside)
-            if token is None or closed is None:
+            (x, x_gone), (y, y_gone) = last[i], first[j]
+            merged = rank.get((x, y))
+            gone = x_gone if x_gone < y_gone else y_gone
+            # Of equal pairs the left one is merged first: one that takes the left edge comes before the border, one that takes the right edge after it.
+            if merged is not None and (merged < gone or merged == gone and x_gone > gone):
+                return False
+            if gone == _NEVER:
+                return True
+            i, j = i + (x_gone == gone), j + (y_gone == gone)
+
+    def _edges(self, token: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """The first and the last symbol of a token while it is merged, each with the rank at which it goes into a larger one. None for a token that merges do not make."""
+        symbols = _symbols(token, self.end)
+        first, last, at = [], [], -1
+        while len(symbols) > 1:
+            ranked = min(((self.rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in self.rank), default=None)
+            if ranked is None:
                 return None
+            merged, i = ranked
+            if merged < at:
+                raise ValueError(f"{token!r} is merged before its parts")
+            at = merged
+            if i == 0:
+                first.append((symbols[0], merged))
+            if i == len(symbols) - 2:
+                last.append((symbols[-1], merged))
+            symbols[i : i + 2] = ["".join(symbols[i : i + 2])]
+        return [*first, (token, _NEVER)], [*last, (token, _NEVER)]
+
+    def _joins(self, token: str) -> bool:
+        """Whether the merges make the token of its symbols."""
+        return self.edges(token) is not None
+
+    def closed(self, step: str) -> int:
+        """The tokens of one step, given as the letters of its bytes: the last entry of its table."""
+        found = self.table.get(step)
+        if found is None:
+            found = self._widen(step) if len(step) <= LONG_STEP else self._windowed(step)
+        return found[2]
+
+    def _widen(self, step: str) -> tuple[str, int, int]:
+        """Entries for the prefixes of ``step`` that no word before had: last token and count of the prefix left open, count of it as a word."""
+        table, known = self.table, len(step) - 1
+        while step[:known] not in table:
+            known -= 1
+        for k in range(known + 1, len(step) + 1):
+            prefix = step[:k]
+            tail = prefix[-TAIL:]
+            token, count = self._last(prefix, prefix, self.sizes.get(tail, SHORTEST))
+            closed = self._last(prefix, prefix + self.end, self.closed_sizes.get(tail, SHORTEST))[1] if self.end else count
+            table[prefix] = entry = (token, count, closed)
+        return entry
+
+    def _last(self, prefix: str, word: str, sizes: tuple[int, ...]) -> tuple[str, int]:
+        """The last token of ``word``, which is the prefix or the prefix with its end mark, and its count."""
+        vocabulary, k = self.vocabulary, len(prefix)
+        for size in sizes:
+            if size < k:
+                token = word[k - size :]
+                if token in vocabulary:
+                    before = self.table[prefix[: k - size]]
+                    if self.beside(before[0], token):
+                        return token, before[1] + 1
+            elif size == k and word in vocabulary and self.joins(word):
+                return word, 1
+        raise ValueError(f"no token ends {prefix!r}")
+
+    def _sizes_by_tail(self, closed: bool) -> dict[str, tuple[int, ...]]:
+        """For the last letters of a prefix the lengths that its last token may have, longest first."""
+        found: dict[str, set[int]] = {}
+        for token in self.vocabulary:
+            body = token
+            if self.end and token.endswith(self.end) and len(token) > len(self.end):
+                if not closed:
+                    continue
+                body = token[: -len(self.end)]
+            elif closed:
+                continue
+            if len(body) >= TAIL:
+                found.setdefault(body[-TAIL:], set()).add(len(body))
+        return {tail: (*sorted(sizes | set(SHORTEST), reverse=True),) for tail, sizes in found.items()}
+
+    def _windowed(self, step: str) -> tuple[str, int, int]:
+        """The same for a long step: only as many entries as the longest token has bytes are held."""
+        word, last, inside, closed = "", [""], [0], 0
+        for letter in step:
+            word = (word + letter)[-self.longest :]
+            last, inside = last[-len(word) :], inside[-len(word) :]
+            token, count = self._step(word, len(word), "", last, inside)
             last.append(token)
             inside.append(count)
-            out.append(closed_count)
-        return np.array(out, np.int64)
+        if self.end:
+            closed = self._step(word, len(word), self.end, last[:-1], inside[:-1])[1]
+        return last[-1], inside[-1], closed if self.end else inside[-1]
+
+    def age(self) -> None:
+        """Call between texts: a full table is begun anew."""
+        if len(self.table) > KEPT_PREFIXES:
+            self.table = {"": ("", 0, 0)}
 
     def _step(self, word: str, k: int, end: str, last: list[str], inside: list[int]) -> tuple[str | None, int]:
         for start in range(max(0, k - self.longest), k):
             token = word[start:k] + end
-            if token in self.vocabulary and (self.beside(last[start], token) if last[start] else self._joins(token)):
+            if token in self.vocabulary and (self.beside(last[start], token) if last[start] else self.joins(token)):
                 return token, inside[start] + 1
         return None, 0
 
-    def _joins(self, token: str) -> bool:
-        """Whether the merges make the token of its symbols."""
-        symbols = _symbols(token, self.end)
-        while len(symbols) > 1:
-            ranked = [(self.rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in self.rank]
-            if not ranked:
-                return False
-            _, i = min(ranked)
-            symbols[i : i + 2] = ["".join(symbols[i : i + 2])]
-        return True
+
+class _PartCounts(dict):
+    """The counts of blank-free parts, summed from the tables of their steps; two generations of at most ``KEPT_WORDS`` are held."""
+
+    def __init__(self, encoder: Encoder, merges: _Merges):
+        super().__init__({"": 0})
+        self._tokenizer, self._merges, self._folds = encoder.tokenizer, merges, encoder.packed.folds
+        specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+        self._spelt = {ord(c): "".join(merges.letters[b] for b in c.encode()) for c in map(chr, range(128, 256))}
+        self._before: dict[str, int] = {}
+
+    def __missing__(self, part: str) -> int:
+        found = self._before.get(part)
+        if found is None:
+            found = self.count(part)
+        if len(part) <= LONGEST_KEPT:
+            self[part] = found
+        return found
+
+    def count(self, part: str) -> int:
+        word = part[:-1] if part[-1:] in (",", ".") else part
+        if self._folds and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            # Letters and one mark are two steps, and these letters have plain lower cases.
+            return self._merges.closed(word.lower().translate(self._spelt)) + (self._merges.closed(part[-1]) if word != part else 0)
+        if self._special is None:
+            return self._plain(part)
+        between = self._special.split(part)
+        return sum(map(self._plain, between)) + len(between) - 1
+
+    def _plain(self, text: str) -> int:
+        normalizer = self._tokenizer.normalizer
+        normal = normalizer.normalize_str(text) if normalizer is not None else text
+        return sum(self._merges.closed(step) for step, _ in self._tokenizer.pre_tokenizer.pre_tokenize_str(normal)) if normal else 0
+
+    def age(self) -> None:
+        """Call between texts: a full generation becomes the older one."""
+        self._merges.age()
+        if len(self) > KEPT_WORDS:
+            self._before = dict(self)
+            self.clear()
+            self[""] = 0
 
 
 def _symbols(token: str, end: str) -> list[str]:

@@ -28,14 +28,14 @@ class Parts(dict):
 
     def __init__(self, encode, folds: bool):
         super().__init__({"": b""})
-        self._encode, self._folds, self._before = encode, folds, {}
+        self._encode, self.folds, self._before = encode, folds, {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self._before.get(part)
         if ids is None:
             word = part[:-1] if part[-1] in ",." else part
             lowered = word.lower()
-            if self._folds and (word != part or lowered != part) and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            if self.folds and (word != part or lowered != part) and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
                 # Letters and one mark are two steps of the splitting pattern, and these letters have plain lower cases.
                 ids = self[lowered] + (self[part[-1]] if word != part else b"")
             else:

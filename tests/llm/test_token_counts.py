@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tools import rows
 
-from docfacts.llm.token_counts import PrefixCounts, prefix_tables, token_counts
+from docfacts.llm.token_counts import PrefixCounts, _symbols, prefix_tables, token_counts
 from docfacts.llm.tokenizer import Encoder, special_path
 
 PATH = special_path("word_bpe_49k.json")
@@ -53,6 +53,49 @@ def test_every_prefix_counts_what_the_library_counts(library):
         assert counts.every_prefix(text).tolist() == [len(library(text[:k])) for k in range(len(text) + 1)], text
 
 
+def test_sums_end_with_the_librarys_counts(library):
+    """``n_tokens`` is the last entry of the table: words that share beginnings, cases, marks, long steps, special strings."""
+    counts, rng = PrefixCounts(PATH), random.Random(11)
+    pieces = ["the", "Éa", "ch", "aaa", "!!", "...", "7", "'ll", "İ", "日本", "e\u0301", "\t", "<|endoftext|>", "<|endof", "ß", "x" * 120, "é" * 70]
+    for text in TEXTS + [" ".join("".join(rng.choices(pieces, k=rng.randint(1, 4))) for _ in range(6)) for _ in range(300)]:
+        parts = counts.encoder.parts(text)
+        assert counts.sums(parts)[-1] == len(library(text)), text
+        budget = int(counts.sums(parts)[-1] // 2)
+        fits = counts.longest_prefix(text, budget)
+        assert len(library(text[:fits])) <= budget or budget == 0 and not fits
+
+
+def test_borders_hold_as_merging_from_scratch_says():
+    merges, rng = PrefixCounts(PATH)._merges, random.Random(2)
+
+    def scratch(left: str, right: str) -> bool:
+        symbols = list(left) + _symbols(right, merges.end)
+        while True:
+            ranked = [(merges.rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in merges.rank]
+            if not ranked:
+                return symbols == [left, right]
+            _, i = min(ranked)
+            symbols[i : i + 2] = ["".join(symbols[i : i + 2])]
+
+    tokens = sorted(merges.vocabulary)
+    open_tokens = [t for t in tokens if not t.endswith(merges.end)]
+    short = [t for t in open_tokens if len(t) < 4]
+    alike = [t for t in tokens if len(set(t.removesuffix(merges.end))) == 1]
+    pairs = [(a, b) for a in alike for b in alike if a[0] == b[0] and not a.endswith(merges.end)]
+    pairs += [(rng.choice(short), rng.choice(tokens)) for _ in range(4000)] + [(rng.choice(open_tokens), rng.choice(tokens)) for _ in range(4000)]
+    assert {merges._beside(a, b) for a, b in pairs} == {True, False}
+    assert [p for p in pairs if merges._beside(*p) != scratch(*p)] == []
+
+
+def test_a_full_table_is_begun_anew(monkeypatch, library):
+    monkeypatch.setattr("docfacts.llm.token_counts.KEPT_PREFIXES", 50)
+    monkeypatch.setattr("docfacts.llm.token_counts.KEPT_WORDS", 10)
+    counts = PrefixCounts(PATH)
+    for text in [f"word{i} reading{'abc'[i % 3]} unbelievably thereof" for i in range(60)]:
+        assert counts.sums(counts.encoder.parts(text))[-1] == len(library(text))
+    assert len(counts._merges.table) < 200
+
+
 def test_longest_prefix(library):
     counts = PrefixCounts(PATH)
     text = "Anon thereof, reading the unbelievable internationalization of éclairs again"
