@@ -283,16 +283,21 @@ def _cross_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
     return met.where(fits).select(F.least("u", "o_u").alias("a"), F.greatest("u", "o_u").alias("b")).distinct()
 
 
-def _named_sets(documents: DataFrame) -> DataFrame:
-    """For each document row its set (``n, d1, d2``), the smallest id of its class and of its component."""
-    spark = documents.sparkSession
-    fragments = groups_for(documents, FRAGMENT_BYTES, partitions(spark), MOST_FRAGMENTS)
+def _units(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The set of each row, the classes of equal sets, those that may have partners, and the n-grams by which they look for them."""
+    fragments = groups_for(documents, FRAGMENT_BYTES, partitions(documents.sparkSession), MOST_FRAGMENTS)
     sets = written(describe_sets(documents), "sets")
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     hopeful = _hopeful(_shared(_segments(documents, fragments), fragments))
     units = written(hopeful.join(classes.drop("n"), ["d1", "d2"]).select(F.struct("rep", "d1").alias("u"), "n", "grams", "rare"), "units")
     # The overlap of two sets is at most what follows their first common n-gram, and what each shares at all.
     rare = units.select("u", "n", F.size("grams").alias("shared"), F.posexplode(F.slice("grams", 1, F.col("rare"))).alias("at", "gram")).select("gram", "u", "n", (F.col("shared") - F.col("at")).alias("room"))
+    return sets, classes, units, rare
+
+
+def _named_sets(documents: DataFrame) -> DataFrame:
+    """For each document row its set (``n, d1, d2``), the smallest id of its class and of its component."""
+    sets, classes, units, rare = _units(documents)
     first = written(_verified(_star_pairs(rare), units), "links")
     # Classes are nodes by their digest, so that two with one smallest id stay apart.
     nodes = lambda links: links.select(F.col("a.d1").alias("a"), F.col("b.d1").alias("b"))
@@ -312,6 +317,41 @@ def linked_components(documents: DataFrame) -> DataFrame:
     return _named_sets(documents).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _every_pair(rare: DataFrame) -> DataFrame:
+    """All different sets that share a rare n-gram and may be linked, each pair once."""
+    other = rare.select("gram", F.col("u").alias("o_u"), F.col("n").alias("o_n"), F.col("room").alias("o_room"))
+    met = rare.join(other, "gram").where((F.col("u") < F.col("o_u")) & _may_overlap(F.col("room"), F.col("o_room"), F.col("n"), F.col("o_n")))
+    return met.select(F.col("u").alias("a"), F.col("o_u").alias("b")).distinct()
+
+
+def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and which documents hold which set: ``a, b`` and ``doc_id, n_shingles, class_id``.
+
+    ``a``, ``b`` and ``class_id`` name a class of equal sets by its smallest id and a digest (``rep, d1``); copies are not expanded into pairs. Linked sets
+    share one of their rarest n-grams, so pairs are sought only there, and only where length and position leave room. The work follows the number
+    of links: of g near copies that differ from each other all g * (g - 1) / 2 are listed. Use ``linked_components`` where groups are enough.
+    A row without words or with a null id is linked with nothing and has a null class.
+    """
+    sets, classes, units, rare = _units(documents)
+    named = classes.select("d1", "d2", F.struct("rep", "d1").alias("class_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
+    membership = sets.join(named, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("class_id"))
+    return written(_verified(written(_every_pair(rare), "pairs"), units), "links"), membership
+
+
+def link_counts(documents: DataFrame) -> DataFrame:
+    """For each document the number of other rows linked with it, copies of one set counted each: ``doc_id, n_shingles, n_links``.
+
+    Rows are added up by class before classes are joined with links, so copies make no pairs. A null id or a text without words has 0.
+    """
+    pairs, membership = links(documents)
+    rows = written(membership.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
+    reached = both.join(rows.select(F.col("class_id").alias("other"), "copies"), "other").groupBy("class_id").agg(F.sum("copies").alias("reached"))
+    counted = rows.join(reached, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("reached", F.lit(0))).alias("n_links"))
+    return membership.join(counted, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def without_near_copies(documents: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id, all columns kept.
 

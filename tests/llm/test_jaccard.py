@@ -65,6 +65,28 @@ def test_chain_crosses_stars(spark, documents):
     assert {c for _, _, c in found} == {61}
 
 
+def test_every_link_is_listed(spark, documents):
+    """Also those inside a group that hold nothing together: counts with copies, and pairs of classes, against all pairs."""
+    rng = random.Random(4)
+    texts: list[str | None] = [None, "", " \n", "one two", "ONE two"]
+    for _ in range(4):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([120, 200, 300]))]
+        texts += [" ".join(base)] * rng.randrange(1, 5) + [edited(rng, base, rng.choice([0.005, 0.01, 0.02])) for _ in range(12)]
+    data = list(enumerate(texts))
+    sets = [shingles(t) for t in texts]
+    linked = [(a, b) for a, b in combinations(range(len(sets)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    table = documents([*data, (None, texts[5])]).withColumns({"n_links": F.lit(1), "copies": F.lit(2), "class_id": F.lit(3)})
+    expected = [(i, len(s), sum(i in pair for pair in linked)) for i, s in enumerate(sets)] + [(None, len(sets[5]), 0)]
+    assert rows(jaccard.link_counts(table)) == sorted(expected, key=repr)
+    pairs, membership = jaccard.links(table)
+    first = {s: min(i for i, other in enumerate(sets) if other == s) for s in sets}
+    classes = {tuple(sorted((first[sets[a]], first[sets[b]]))) for a, b in linked if sets[a] != sets[b]}
+    found = [tuple(sorted(r)) for r in rows(pairs, "a.rep", "b.rep")]
+    assert set(found) == classes and len(found) == len(classes) > 40
+    assert rows(membership, "doc_id", "class_id.rep") == sorted([(i, first[s] if s else None) for i, s in enumerate(sets)] + [(None, None)], key=repr)
+    assert jaccard.link_counts(table.where("false")).collect() == []
+
+
 def test_nulls_ties_and_empty(spark, documents):
     same = "a b c d e f g"
     found = rows(jaccard.linked_components(documents([(None, same), (5, same), (5, same), (3, same), (None, None), (9, "x")])))
