@@ -58,6 +58,8 @@ def _windowed_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 _PLACE = np.uint64((1 << 28) - 1)
+#: Windows whose anchors are sought at a time.
+_WINDOWS = 1 << 17
 
 
 def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -67,17 +69,22 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> t
         return none, none, none, none.astype(np.uint64), none
     powers = rolling()
     sums = powers.sums(data)
-    at = np.arange(len(data) - ANCHOR + 1)
-    hashes = mix(powers.ranges(sums, at, at + ANCHOR))
-    ranked = (hashes & ~_PLACE) | at.astype(np.uint64)
-    anchor = (_windowed_least(ranked, length - ANCHOR + 1) & _PLACE).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    anchor = np.empty(len(data) - length + 1, np.int32)
+    for begin in range(0, len(anchor), _WINDOWS):
+        end = min(begin + _WINDOWS, len(anchor))
+        at = np.arange(begin, end + length - ANCHOR)
+        ranked = mix(powers.ranges(sums, at, at + ANCHOR))
+        ranked &= ~_PLACE
+        ranked |= at.astype(np.uint64)
+        anchor[begin:end] = _windowed_least(ranked, length - ANCHOR + 1) & _PLACE
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     inside = text[: len(anchor)] == text[length - 1 :]
     changed = anchor[1:] != anchor[:-1]
     first = np.flatnonzero(inside & np.r_[True, changed | ~inside[:-1]])
     last = np.flatnonzero(inside & np.r_[changed | ~inside[1:], True])
+    place = anchor[first].astype(np.int64)
     # Anchors have small hashes by choice; mixed again they spread evenly.
-    return first, last - first + length, anchor[first] - first, mix(hashes[anchor[first]]), text[first]
+    return first, last - first + length, place - first, mix(mix(powers.ranges(sums, place, place + ANCHOR))), text[first].astype(np.int64)
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -111,7 +118,7 @@ def _leaders(data: np.ndarray, key: np.ndarray, starts: np.ndarray, sizes: np.nd
 
 
 #: Ranges that are hashed or compared at a time.
-_AT_ONCE = 20_000
+_AT_ONCE = 8_000
 
 
 def _piece_keys(data: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, side: int) -> tuple[np.ndarray, ...]:

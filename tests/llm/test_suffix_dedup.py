@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tools import rows
 
 from docfacts.llm import suffix_dedup as sd
+from docfacts.llm.common import SLICE_BYTES, rolling
 
 
 def brute(data: list[tuple[int | None, str | None]], length: int = 50) -> list[tuple]:
@@ -88,3 +90,17 @@ def test_transform_and_prefixes(seed):
 def test_collections_in_files(monkeypatch):
     monkeypatch.setattr(sd, "IN_FILES", 10)
     test_transform_and_prefixes(1)
+
+
+def test_a_slice_needs_little_memory():
+    """What is held while a slice of texts is cut stays a small multiple of its bytes, tables of powers included."""
+    data = np.random.default_rng(3).integers(97, 123, SLICE_BYTES).astype(np.uint8)
+    rolling.cache_clear()
+    tracemalloc.start()
+    try:
+        start, size, *_ = sd.cut_pieces(data, np.array([0, len(data)]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert start[0] == 0 and start[-1] + size[-1] == len(data)
+    assert peak < 32 * len(data)
