@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from docfacts.functions import composition as C
 from docfacts.functions.jsontext import json_kind, json_size, light_fix as fix_json
 from docfacts.functions.sql import each_value, let
 from docfacts.operators import compositions, documents, labels, prompts, records, requests, responses, text_budget, verdicts
+from docfacts.operators.grouping import previous_in_group
 from docfacts.plans import fixtures as fx
 from docfacts.session import work_folder
 from docfacts.sources import files, sinks
@@ -454,23 +455,31 @@ def sorted_pdfs(spark: SparkSession, d: str) -> DataFrame:
     return documents.sorted_pdfs(fx.derived(spark, d, fx.PATHS))
 
 
+def _a_file_each(rows: DataFrame) -> DataFrameWriter:
+    """A writer of one file for each row. A file costs far more than its bytes, so rows are dealt over all shuffle partitions, however small the table."""
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.write.option("maxRecordsPerFile", 1)
+
+
 def scan_folders(spark: SparkSession, d: str) -> DataFrame:
     """A folder with a PDF for each supplier, and more files in it and below it, scanned flat; folders by nation, scanned at any depth, named twice."""
     folder, nations = work_folder(spark, "pdfs"), work_folder(spark, "nations")
     suppliers = fx.table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.format_string("%%PDF-%d", "s_suppkey").alias("line"))
     flat, deep = suppliers.select("line"), suppliers.select("line", F.col("s_nationkey").alias("nation"))
-    flat.write.option("extension", "pdf").option("maxRecordsPerFile", 1).csv(folder)
+    _a_file_each(flat).option("extension", "pdf").csv(folder)
     flat.write.mode("append").text(folder)
     flat.write.option("extension", "pdf").csv(f"{folder}/below")
-    deep.write.option("extension", "PDF").option("maxRecordsPerFile", 1).partitionBy("nation").csv(nations)
+    _a_file_each(deep).option("extension", "PDF").partitionBy("nation").csv(nations)
     top = files.scan_pdfs(spark, folder).where("length > 0").select(
         F.lit("flat").alias("scan"), F.btrim(F.col("content").cast("string"), F.lit("\n")).alias("found"),
         F.lit(1).cast("long").alias("n"), F.startswith(F.substring_index("path", "/", -1), F.concat("doc_id", F.lit("."))).alias("good"),
     )
-    below = files.scan_pdfs_recursive(spark, [nations, nations])
-    place = F.row_number().over(Window.orderBy("path")) - 1
-    by_nation = below.withColumn("good", F.col("position") == place).groupBy(F.regexp_extract("path", r"nation=(\d+)", 1).alias("found"))
-    return top.unionAll(by_nation.agg(F.count(F.lit(1)).alias("n"), F.bool_and("good").alias("good")).select(F.lit("recursive"), "found", "n", "good"))
+    below = files.scan_pdfs_recursive(spark, [nations, nations]).select(F.lit("all").alias("scan"), "position", F.struct("path", "position").alias("at"))
+    # Positions are right if the first is 0 and each next one stands by 1 later, at a greater path.
+    before, path = F.col("previous"), F.col("at.path")
+    follows = F.when(before.isNull(), F.col("position") == 0).otherwise((F.col("position") == before["position"] + 1) & (path > before["path"]))
+    by_nation = previous_in_group(below, "scan", "position", "at", block=65_536).groupBy(F.regexp_extract(path, r"nation=(\d+)", 1).alias("found"))
+    return top.unionAll(by_nation.agg(F.count(F.lit(1)).alias("n"), F.bool_and(follows).alias("good")).select(F.lit("recursive"), "found", "n", "good"))
 
 
 def record_folder(spark: SparkSession, d: str) -> DataFrame:
@@ -478,7 +487,7 @@ def record_folder(spark: SparkSession, d: str) -> DataFrame:
     folder = work_folder(spark, "records")
     lattice = (F.lit(3) + F.col("lattice_milli") / 1000).alias("lattice_constant")
     first = _alloys(spark, d).groupBy("paper_id").agg(F.min(F.struct("rec_id", "name", lattice, F.col("paper_id").cast("string").alias("doi"))).alias("r"))
-    first.select("r.name", "r.lattice_constant", "r.doi").write.option("maxRecordsPerFile", 1).json(folder)
+    _a_file_each(first.select("r.name", "r.lattice_constant", "r.doi")).json(folder)
     read = files.read_record_files(spark, folder).where("value <> ''")
     parsed = records.parse_record_files(read)
     rows = records.flatten_records(parsed, "issue", accept_object=True)

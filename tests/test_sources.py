@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from pathlib import Path
 
 import pytest
 from plans import executed_plan
 from pyspark.sql import functions as F
 
 from docfacts.operators import documents, records, requests, responses
+from docfacts.plans import queries
 from docfacts.session import configure, work_folder
 from docfacts.sources import files, sinks
 from docfacts.streaming import ingest
@@ -208,3 +211,22 @@ def test_stream_of_pdfs(spark, folder, tmp_path):
     query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o"))
     query.trigger(availableNow=True).start().awaitTermination()
     assert [(r.doc_id, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("a", PDF)]
+
+
+def test_many_files_are_written_by_many_tasks(spark, monkeypatch):
+    """A small table that becomes one file for each row is not written by one task."""
+    made = {}
+    monkeypatch.setattr(queries, "work_folder", lambda session, purpose: made.setdefault(purpose, work_folder(session, purpose)))
+    queries.scan_folders(spark, "/root/testdata/sf0.001")
+    queries.record_folder(spark, "/root/testdata/sf0.001")
+    for purpose, pattern in (("pdfs", "*.pdf"), ("nations", "*/*.PDF"), ("records", "*.json")):
+        tasks = {re.match(r"part-(\d+)", f.name)[1] for f in Path(made[purpose]).glob(pattern)}
+        assert len(tasks) == 4, purpose
+
+
+@pytest.mark.parametrize("wrong", ["position + 1", "2 * position", "10 - position"])
+def test_scan_folders_sees_wrong_positions(spark, monkeypatch, wrong):
+    scan = files.scan_pdfs_recursive
+    monkeypatch.setattr(files, "scan_pdfs_recursive", lambda *a: scan(*a).withColumn("position", F.expr(wrong)))
+    found = queries.scan_folders(spark, "/root/testdata/sf0.001")
+    assert found.where("scan = 'recursive' and not good").count() > 0
